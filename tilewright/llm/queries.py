@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import chat, decontam, mixing, sharding, sketch
+from tilewright.llm import chat, decontam, mixing, partenum, quality, sharding, sketch, tokencount, toxicity
+
+#: The vocabulary of op3: a parameter, never part of the repository.
+VOCABULARY_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.sort_array(F.transform("items", lambda i: i.cast("string")))
@@ -21,6 +28,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokencount.load_vocabulary(VOCABULARY_FILE))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,6 +55,13 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
+    scorer = toxicity.learn(docs, labels.filter(~held_out))
+    return toxicity.toxicity(docs, scorer).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), 16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -65,10 +83,18 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
+    "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op8_fingerprints": op8_fingerprints,
+    "op9_jaccard_join": op9_jaccard_join,
 }
