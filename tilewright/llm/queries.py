@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import chat, decontam, mixing, partenum, quality, sharding, sketch, tokencount, toxicity
+from tilewright.llm import chat, decontam, mixing, partenum, quality, sharding, sketch, suffixdedup, tokencount, toxicity
 
 #: The vocabulary of op3: a parameter, never part of the repository.
 VOCABULARY_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -87,6 +87,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = suffixdedup.without_repeats(table(spark, sf_dir, "documents"))
+    return rest.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -97,4 +102,5 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_fingerprints": op8_fingerprints,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
