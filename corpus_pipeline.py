@@ -4,11 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tilewright.llm import decontam, mixing, partenum, quality, sharding
 from tilewright.llm.scratch import written
 
-STAGES: list = []
+SHARDS = 16
 
-#: Model fitting cannot be stated in SQL.
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.accepted(docs)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return partenum.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of the benchmark go."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of sources above their target are left out, those below are repeated, three times at most."""
+    return mixing.mixed_documents(docs)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row gets a shard and a slot of a reproducible shuffle."""
+    return sharding.shard(docs, SHARDS, keep=tuple(c for c in docs.columns if c not in ("doc_id", "size", "text_crc32", "row_number", "shard", "slot")))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("jaccard_join", jaccard_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
+
+#: SQL cannot state the fitted classifier; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

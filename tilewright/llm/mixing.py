@@ -177,3 +177,18 @@ def taken(m: Mix, b: int = 1_024) -> DataFrame:
         )
         .drop("src", "part", "nth")
     )
+
+
+def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
+    """The mix in whole documents: each is there as often as slots take its first word, with its own columns.
+
+    A document without words is in no block and stays once. Equal rows stand for each other.
+    """
+    uses = taken(mix(docs, seed=seed, **options), options.get("block_words", 1_024))
+    uses = uses.groupBy("key").agg(F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("n_copies"))).alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
+    uses = written(uses.select(F.col("key").alias("_key"), "_copies", "_rows"), "mix-copies")
+    keyed = docs.withColumn("_key", row_key(docs, seed))
+    single = keyed.join(uses.filter("_rows = 1"), "_key")
+    equal = keyed.join(uses.filter("_rows > 1"), "_key").dropDuplicates(["_key"])
+    rows = single.unionByName(equal).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -77,8 +77,8 @@ def place_of(row_number: int, n: int, shards: int, seed: int = 0) -> tuple[int,
             return x % shards, x // shards
 
 
-def shard(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Deals rows to shards: doc_id, size, text_crc32, row_number, shard, slot.
+def shard(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Deals rows to shards: doc_id, size, text_crc32, row_number, shard, slot, then the columns of ``keep``.
 
     size is the text's UTF-8 bytes plus 1. A null text counts no bytes and has the checksum of the
     empty text; a null id is an id like any other. Repeated rows each get a place of their own. An
@@ -88,7 +88,7 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "doc_i
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"),
+        F.crc32(text).alias("text_crc32"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), *keep,
     )
     rows = numbered(rows, "_key", [F.col("_key"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], n)
     place = permuted(F.col("row_number"), max(n, 1), seed)
@@ -97,6 +97,6 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "doc_i
         .select(
             "doc_id", "size", "text_crc32", "row_number",
             F.pmod(F.col("_place"), F.lit(shards)).cast("int").alias("shard"),
-            F.floor(F.col("_place") / F.lit(shards)).cast("long").alias("slot"),
+            F.floor(F.col("_place") / F.lit(shards)).cast("long").alias("slot"), *keep,
         )
     )
