@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
+MODULES = ("tile_queries",)
 
 
 def register(name: str, sql: str | None = None):
@@ -22,9 +23,18 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    import importlib
+
+    for module in MODULES:
+        importlib.import_module(f"tilewright.plans.{module}")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return ORACLE
