@@ -78,7 +78,7 @@ def trials(spark: SparkSession, sf: str) -> DataFrame:
     return o.select(
         F.col("o_orderpriority").alias("study_name"), F.col("o_orderstatus").alias("mode"), F.col("o_orderkey").cast("long").alias("trial_number"),
         F.when(m5 == 0, "PRUNED").when(m5 == 1, "FAIL").otherwise("COMPLETE").alias("state"),
-        F.when(F.pmod("o_orderkey", F.lit(7)) == 0, "").otherwise(F.round(F.col("o_totalprice").cast("double") / 1e5, 6).cast("string")).alias("value"),
+        F.when(F.pmod("o_orderkey", F.lit(7)) == 0, "").otherwise((F.col("o_totalprice").cast("double") / 1e5).cast("string")).alias("value"),
         F.when(F.pmod("o_orderkey", F.lit(11)) == 0, "").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("session_started_at"),
         F.date_format("o_orderdate", "yyyy-MM").alias("session_id"),
     )
@@ -117,7 +117,7 @@ tt AS (SELECT t.tile_idx, p.r, p.c, p.r - t.row_start AS tr, p.c - t.col_start A
 HISTORY = "WITH h AS (SELECT user_id AS run_id, event_type AS metric, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS step, CAST(value AS DOUBLE) AS value, ts, event_id FROM events)"
 TRIALS = """WITH t AS (SELECT o_orderpriority AS study_name, o_orderstatus AS mode, CAST(o_orderkey AS BIGINT) AS trial_number,
  CASE o_orderkey % 5 WHEN 0 THEN 'PRUNED' WHEN 1 THEN 'FAIL' ELSE 'COMPLETE' END AS state,
- CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE round(CAST(o_totalprice AS DOUBLE) / 1e5, 6) END AS v,
+ CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_totalprice AS DOUBLE) / 1e5 END AS v,
  CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS started, strftime(o_orderdate, '%Y-%m') AS session_id FROM orders)"""
 PARAMS = """WITH ends AS (SELECT o_custkey, max(strftime(o_orderdate, '%Y-%m-%d')) AS end_time FROM orders GROUP BY 1),
 p AS (SELECT c.c_custkey AS run_id, k.key, CASE k.key WHEN 'segment' THEN c.c_mktsegment WHEN 'nation' THEN CAST(c.c_nationkey AS VARCHAR) ELSE CAST(CAST(floor(CAST(c.c_acctbal AS DOUBLE)) AS BIGINT) AS VARCHAR) END AS value, e.end_time

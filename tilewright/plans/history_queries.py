@@ -167,7 +167,7 @@ def r12_batch_summary(spark, sf):
     return runs.summary(fx.history(spark, sf)).withColumn("minutes", R("minutes"))
 
 
-@register("b14_recent_runs", "SELECT user_id AS run_id, max(epoch_ms(ts)) AS start_ms FROM events WHERE user_id <> 7 GROUP BY 1 HAVING CAST(max(ts) AS DATE) >= (SELECT CAST(max(ts) AS DATE) - 9 FROM events)")
+@register("b14_recent_runs", "SELECT user_id AS run_id, max(epoch_us(ts)) // 1000 AS start_ms FROM events WHERE user_id <> 7 GROUP BY 1 HAVING CAST(max(ts) AS DATE) >= (SELECT CAST(max(ts) AS DATE) - 9 FROM events)")
 def b14_recent_runs(spark, sf):
     e = fx.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     today = str(e.agg(F.max(F.to_date("ts"))).first()[0])  # one value
