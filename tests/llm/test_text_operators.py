@@ -122,12 +122,17 @@ def test_suffix_array():
     for k in range(200):
         raw = bytes(rng.choice(b"ab" if k % 2 else b"abcz\x00\xff") for _ in range(rng.randrange(0, 50)))
         got = suffixdedup.two_stage_suffix_array(np.frombuffer(raw, np.uint8))
-        assert got.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+        want = sorted(range(len(raw)), key=lambda i: raw[i:])
+        assert got.tolist() == want
+        some = np.array(sorted(rng.sample(range(len(raw)), len(raw) // 3)), np.int64)
+        got = suffixdedup.two_stage_suffix_array(np.frombuffer(raw, np.uint8), starts=some)
+        assert [i for i in got.tolist() if i in some] == [i for i in want if i in some]
 
 
-@pytest.mark.parametrize("many", [2, 256])
-def test_suffix_dedup(spark, corpus, monkeypatch, many):
+@pytest.mark.parametrize(("many", "most"), [(2_000, 20_000), (1, 20_000), (1, 1), (3, 4)])
+def test_suffix_dedup(spark, corpus, monkeypatch, many, most):
     monkeypatch.setattr(suffixdedup, "MANY", many)
+    monkeypatch.setattr(suffixdedup, "MOST", most)
     got = suffixdedup.without_repeats(frame(spark, corpus)).collect()
     rows = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr)
     assert rows == brute.repeats(corpus)

@@ -7,8 +7,10 @@ that can match meet under the anchor's hash. The starts of strings that share an
 with the bytes that they cover. Segments that are equal are counted, not compared. Of the others, the
 suffix array of each group tells which starts repeat: suffixes smaller than their successors are sorted
 directly, the rest are induced by bucket scans, and neighbours in the array whose common prefix reaches
-``width`` are repeated. An anchor with very many different segments goes another way, which is exact
-too: the hash of every string of it is counted.
+``width`` are repeated. Only the suffixes that starts need take part. An anchor with very many different
+segments is cut up first: starts at near distances from the anchor form a class, all strings of a class
+share a core, and segments meet under the core's hash. If even a core has too many segments for one task,
+the hash of every string is counted instead, which is exact too.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ from tilewright.llm.textbytes import BASE, INVERSE, mixed, powers, prefix_hash,
 
 WIDTH, GRAM = 400, 32
 #: Texts are read in pieces of so many starts, so a text of any length fits.
-PIECE = 1 << 21
-#: Suffix arrays are built over about so many bytes at a time; an anchor with more different segments than MANY is counted by hashes.
-BLOCK_BYTES, MANY = 192 << 10, 256
+PIECE = 1 << 20
+#: Suffix arrays are built over about so many bytes at a time.
+BLOCK_BYTES = 192 << 10
+#: An anchor with more different segments than MANY is cut into classes of CLASS distances; a core with more than MOST goes by hashes.
+MANY, CLASS, MOST = 2_000, 16, 20_000
 #: Tables with a row per text are broadcast up to so many rows.
 BROADCAST_ROWS = 300_000
 
@@ -48,23 +52,29 @@ def least_places(h: np.ndarray, span: int) -> np.ndarray:
     return (np.minimum(left[:m], right[span - 1 : span - 1 + m]) & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
-def segments(text: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(first starts, last starts + 1, anchor hashes, offset) of the segments of one text, piece by piece."""
+def segments(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, first starts, last starts + 1, anchors' places, anchors' hashes) of the segments of texts laid end to end, piece by piece."""
     at = 0
-    while at + width <= len(text):
-        piece = text[at : at + PIECE + width - 1]
+    while at + width <= len(data):
+        piece = data[at : at + PIECE + width - 1]
         c = prefix_hash(piece)
         m = len(piece) - gram + 1
         h = mixed((c[gram:] - c[:m]) * powers(INVERSE, m))
         place = least_places(h, width - gram + 1)
-        lo = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        row = np.searchsorted(offsets, np.arange(at, at + len(place)), "right") - 1
+        fits = np.arange(at, at + len(place)) + width <= offsets[row + 1]
+        change = np.ones(len(place), bool)
+        change[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | (fits[1:] != fits[:-1])
+        lo = np.flatnonzero(change)
         hi = np.append(lo[1:], len(place))
-        yield lo, hi, mixed(h[place[lo]] + np.uint64(width)).view(np.int64), at
+        use = fits[lo]
+        lo, hi = lo[use], hi[use]
+        yield row[lo], lo + at, hi + at, place[lo] + at, mixed(h[place[lo]] + np.uint64(width)).view(np.int64)
         at += PIECE
 
 
-def two_stage_suffix_array(text: np.ndarray, depth: int = WIDTH) -> np.ndarray:
-    """Suffix array, exact in the first ``depth`` bytes.
+def two_stage_suffix_array(text: np.ndarray, depth: int = WIDTH, starts: np.ndarray | None = None) -> np.ndarray:
+    """Suffix array, exact in the first ``depth`` bytes; of ``starts`` and the suffixes that they are induced from, if given.
 
     Suffixes smaller than their successor are sorted directly. A scan of the buckets of first bytes in
     ascending order then puts each larger suffix behind those already in its bucket when the suffix
@@ -79,7 +89,15 @@ def two_stage_suffix_array(text: np.ndarray, depth: int = WIDTH) -> np.ndarray:
     inner = nxt < n - 1
     smaller[inner] = text[nxt[inner]] < text[nxt[inner] + 1]
     raw = text.tobytes()
-    direct = np.flatnonzero(smaller)
+    wanted = np.ones(n, bool)
+    if starts is not None:
+        # A larger suffix is induced from those that follow it, up to the next smaller one.
+        ends = np.append(np.flatnonzero(smaller), n - 1)
+        gain = np.zeros(n + 1, np.int32)
+        np.add.at(gain, starts, 1)
+        np.add.at(gain, ends[np.searchsorted(ends, starts)] + 1, -1)
+        wanted = np.cumsum(gain)[:n] > 0
+    direct = np.flatnonzero(smaller & wanted)
     direct = np.array(sorted(direct.tolist(), key=lambda i: raw[i : i + depth]), np.int64)
     cuts = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -88,7 +106,7 @@ def two_stage_suffix_array(text: np.ndarray, depth: int = WIDTH) -> np.ndarray:
     def induce(scanned: np.ndarray, byte: int) -> np.ndarray:
         """Deals the larger suffixes before the scanned ones to their buckets; those of this very bucket come back."""
         before = scanned[scanned > 0] - 1
-        before = before[~smaller[before]]
+        before = before[~smaller[before] & wanted[before]]
         first = text[before]
         order = np.argsort(first, kind="stable")
         before, first = before[order], first[order]
@@ -107,14 +125,14 @@ def two_stage_suffix_array(text: np.ndarray, depth: int = WIDTH) -> np.ndarray:
         if len(mine):
             out.append(mine)
             induce(mine, byte)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else direct
 
 
 def repeated_starts(text: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """Which of ``starts`` (all with ``width`` bytes after them) begin a string that another of them begins too."""
     valid = np.zeros(len(text), bool)
     valid[starts] = True
-    order = two_stage_suffix_array(text, width)
+    order = two_stage_suffix_array(text, width, starts)
     order = order[valid[order]]
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
     word = np.zeros(len(text), np.uint64)
@@ -142,20 +160,37 @@ def anchors(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             nodes = batch.column("node").to_numpy(zero_copy_only=False)
             for at, data, offsets in runs(batch.column("text")):
-                keys, owner, ident = [], [], []
-                for i in np.flatnonzero(np.diff(offsets) >= width).tolist():
-                    for lo, _, key, off in segments(data[offsets[i] : offsets[i + 1]], width):
-                        keys.append(key)
-                        owner.append(np.full(len(key), nodes[at + i]))
-                        ident.append(place_id(nodes[at + i], lo + off))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owner, ident)], ["anchor", "node", "ident"])
+                for row, lo, _, _, key in segments(data, offsets, width):
+                    node = nodes[at + row]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, place_id(node, lo - offsets[row]))], ["anchor", "node", "ident"])
 
     return docs.mapInArrow(read, "anchor bigint, node bigint, ident bigint")
 
 
-def place_id(node: int, start: np.ndarray) -> np.ndarray:
-    return mixed(start.astype(np.uint64) * BASE + mixed(np.array([node], np.int64).view(np.uint64))).view(np.int64)
+def place_id(node: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mixed(start.astype(np.uint64) * BASE + mixed(node.view(np.uint64))).view(np.int64)
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows 0, 1 ... each repeated ``count`` times, and first, first + 1 ... in each."""
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[row]
+
+
+def cores(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """anchor, content, class, core (a hash) for each class of distances that a segment has starts in."""
+    for batch in batches:
+        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("anchor", "content", "at", "n_starts")]
+        for k, data, offsets in runs(batch.column("data")):
+            anchor, content, at, n = (x[k : k + len(offsets) - 1] for x in cols)
+            low, high = (at - n + 1) // CLASS, at // CLASS
+            row, cls = spread(low, high - low + 1)
+            begin = offsets[row] + at[row] - CLASS * cls
+            end = begin - CLASS + 1 + width
+            c = prefix_hash(data)
+            # Near the ends of its starts a class may reach beyond the segment; strings there still hold the core's bytes.
+            h = mixed((c[end] - c[begin]) * powers(INVERSE, len(data) + 1)[begin] + mixed(anchor[row].view(np.uint64)) + cls.astype(np.uint64) * BASE)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[row], content[row], cls, h.view(np.int64))], ["anchor", "content", "class", "core"])
 
 
 def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
@@ -167,51 +202,67 @@ def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        names = ["anchor", "content", "node", "start", "n_starts", "ident", "data"]
+        names = ["anchor", "content", "node", "start", "n_starts", "at", "ident", "data"]
         for batch in batches:
             nodes, wants = batch.column("node").to_numpy(zero_copy_only=False), batch.column("anchors")
-            for at, data, offsets in runs(batch.column("text")):
-                cols: list[list] = [[] for _ in names]
-                for i in range(len(offsets) - 1):
-                    node = int(nodes[at + i])
-                    if node in seen or offsets[i + 1] - offsets[i] < width:
-                        continue
-                    if len(seen) < 1_000_000:
-                        seen.add(node)
-                    want = np.array(wants[at + i].as_py(), np.int64)
-                    text = data[offsets[i] : offsets[i + 1]]
-                    for lo, hi, key, off in segments(text, width):
-                        for j in np.flatnonzero(np.isin(key, want)).tolist():
-                            raw = text[off + lo[j] : off + hi[j] + width - 1].tobytes()
-                            content = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-                            for c, x in zip(cols, (int(key[j]), content, node, int(off + lo[j]), int(hi[j] - lo[j]), int(place_id(node, off + lo[j : j + 1])[0]), raw), strict=True):
-                                c.append(x)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "data" else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
+            lists, flat = wants.offsets.to_numpy(), wants.values.to_numpy(zero_copy_only=False)
+            new = np.zeros(len(nodes), bool)
+            for i, x in enumerate(nodes.tolist()):
+                new[i] = x not in seen
+                if len(seen) < 1_000_000:
+                    seen.add(x)
+            for k, data, offsets in runs(batch.column("text")):
+                want = np.unique(flat[lists[k] : lists[k + len(offsets) - 1]])
+                for row, lo, hi, place, key in segments(data, offsets, width):
+                    use = np.flatnonzero(new[k + row] & np.isin(key, want))
+                    row, lo, hi, place, key = (x[use] for x in (row, lo, hi, place, key))
+                    node, start = nodes[k + row], lo - offsets[row]
+                    raw = [data[x:y].tobytes() for x, y in zip(lo, hi + width - 1, strict=True)]
+                    content = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in raw], np.int64)
+                    cols = [pa.array(x) for x in (key, content, node, start, hi - lo, place - lo, place_id(node, start))]
+                    for i in range(0, len(raw), 10_000):
+                        yield pa.RecordBatch.from_arrays([*(x.slice(i, 10_000) for x in cols), pa.array(raw[i : i + 10_000], pa.binary())], names)
 
     members = docs.join(small(wanted), "node").select("node", "text", "anchors").mapInArrow(
-        cut, "anchor bigint, content bigint, node bigint, start bigint, n_starts bigint, ident bigint, data binary"
+        cut, "anchor bigint, content bigint, node bigint, start bigint, n_starts bigint, at bigint, ident bigint, data binary"
     )
     members = written(members, "segments")
     distinct = written(
-        members.groupBy("anchor", "content").agg(F.min("ident").alias("lo"), F.max("ident").alias("hi"), F.first("n_starts").alias("n_starts"), F.first("data").alias("data"))
-        .select("anchor", "content", (F.col("lo") != F.col("hi")).alias("again"), "n_starts", "data"),
+        members.groupBy("anchor", "content")
+        .agg(F.min("ident").alias("lo"), F.max("ident").alias("hi"), F.first("n_starts").alias("n_starts"), F.first("at").alias("at"), F.first("data").alias("data"))
+        .select("anchor", "content", (F.col("lo") != F.col("hi")).alias("again"), "n_starts", "at", "data"),
         "distinct-segments",
     )
     sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
     whole = distinct.filter("again").select("anchor", "content", F.array(F.array(F.lit(0).cast("long"), F.col("n_starts"))).alias("runs"))
     compared = distinct.join(sizes, "anchor")
-    few = compared.filter(F.col("n") <= MANY).select("anchor", "content", "again", "n_starts", "data")
+    zero = F.lit(0).cast("long")
+    few = compared.filter(F.col("n") <= MANY).select(F.col("anchor").alias("meet"), "anchor", "content", "again", zero.alias("first"), "n_starts", "data")
+
+    many = compared.filter(F.col("n") > MANY)
+    classes = many.select("anchor", "content", "at", "n_starts", "data").mapInArrow(lambda b: cores(b, width), "anchor bigint, content bigint, class bigint, core bigint")
+    classes = written(classes, "classes")
+    met = classes.join(classes.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1"), "core")
+    parts = many.join(met, ["anchor", "content"])
+    # Distances from CLASS * class to CLASS * class + CLASS - 1 are starts at - distance.
+    first = F.greatest(zero, F.col("at") - CLASS * F.col("class") - (CLASS - 1))
+    last = F.least(F.col("n_starts") - 1, F.col("at") - CLASS * F.col("class"))
+    parts = parts.withColumn("first", first).withColumn("last", last).select(
+        F.col("core").alias("meet"), "anchor", "content", "again", "first", (F.col("last") - F.col("first") + 1).alias("n_starts"),
+        F.substring("data", (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + width).cast("int")).alias("data"), "k",
+    )
+    grouped = few.unionByName(parts.filter(F.col("k") <= MOST).drop("k"))
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, last = [], 0, None
 
         def flush() -> pd.DataFrame:
-            text = np.frombuffer(b"".join(r[4] for r in held), np.uint8)
-            first = np.concatenate(([0], np.cumsum([len(r[4]) for r in held])))[:-1]
-            starts = np.concatenate([np.arange(f, f + r[3]) for f, r in zip(first, held, strict=True)])
-            hit = np.split(repeated_starts(text, starts, width), np.cumsum([r[3] for r in held])[:-1])
-            out = [(r[0], r[1], spans(x)) for r, x in zip(held, hit, strict=True) if not r[2] and x.any()]
+            text = np.frombuffer(b"".join(r[6] for r in held), np.uint8)
+            n = np.array([r[5] for r in held])
+            length = np.array([len(r[6]) for r in held])
+            _, starts = spread(np.cumsum(length) - length, n)
+            hit = np.split(repeated_starts(text, starts, width), np.cumsum(n)[:-1])
+            out = [(r[1], r[2], [[r[4] + a, r[4] + b] for a, b in spans(x)]) for r, x in zip(held, hit, strict=True) if not r[3] and x.any()]
             return pd.DataFrame(out, columns=["anchor", "content", "runs"])
 
         for b in batches:
@@ -220,21 +271,25 @@ def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
                     yield flush()
                     held, size = [], 0
                 held.append(r)
-                size += len(r[4])
+                size += len(r[6])
                 last = r[0]
         if held:
             yield flush()
 
-    by_array = few.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(sort, "anchor bigint, content bigint, runs array<array<bigint>>")
-
-    def every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for anchor, content, n, raw in zip(b["anchor"], b["content"], b["n_starts"], b["data"], strict=True):
-                c = prefix_hash(np.frombuffer(raw, np.uint8))
-                h = mixed((c[width:] - c[:-width]) * powers(INVERSE, len(c) - width))
-                yield pd.DataFrame({"string": h.view(np.int64), "anchor": anchor, "content": content, "nth": np.arange(n)})
+    by_array = grouped.repartition("meet").sortWithinPartitions("meet").mapInPandas(sort, "anchor bigint, content bigint, runs array<array<bigint>>")
 
-    strings = compared.filter(F.col("n") > MANY).select("anchor", "content", "n_starts", "data").mapInPandas(every, "string bigint, anchor bigint, content bigint, nth bigint")
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("anchor", "content", "first", "n_starts")]
+            for k, data, offsets in runs(batch.column("data")):
+                anchor, content, at, n = (x[k : k + len(offsets) - 1] for x in cols)
+                row, nth = spread(np.zeros(len(n), np.int64), n)
+                begin = offsets[row] + nth
+                c = prefix_hash(data)
+                h = mixed((c[begin + width] - c[begin]) * powers(INVERSE, len(data) + 1)[begin])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), anchor[row], content[row], at[row] + nth)], ["string", "anchor", "content", "nth"])
+
+    strings = parts.filter(F.col("k") > MOST).select("anchor", "content", "first", "n_starts", "data").mapInArrow(every, "string bigint, anchor bigint, content bigint, nth bigint")
     twofold = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
     by_hash = strings.join(twofold, "string").groupBy("anchor", "content").agg(F.transform(F.collect_set("nth"), lambda x: F.array(x, x + 1)).alias("runs"))
     hits = written(whole.unionByName(by_array).unionByName(by_hash), "repeated-starts")
