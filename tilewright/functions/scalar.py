@@ -68,13 +68,11 @@ def snapped_reach(top: Column) -> Column:
 
 
 def bearing(dy: Column, dx: Column) -> Column:
-    return F.atan2(-dy, -dx)
+    """atan2(-dy, -dx) in -pi to pi; without a vertical part it is -pi (flat cells too) or 0, as with a negative zero."""
+    return F.when((dy == 0) & (dx >= 0), -math.pi).otherwise(F.atan2(-dy, -dx))
 
 
 def alignment(angle: Column, other: Column, power: float = 1.0) -> Column:
     """((cos of the difference + 1) / 2) ^ power."""
     return F.pow((F.cos(angle - other) + 1) / 2, F.lit(float(power)))
 
-
-def angle_turn(k: int, n: int) -> float:
-    return math.pi * k / n

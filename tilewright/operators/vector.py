@@ -102,7 +102,10 @@ def covered_fraction(boxes: DataFrame, edges: DataFrame, bin_size: float = 32.0)
     """pid, fraction of each box that disjoint polygons cover, exactly: by Green's formula every edge adds the area between it, clipped to the box, and the box's left side."""
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / bin_size), F.floor(b / bin_size)))
     b = boxes.withColumn("_bin", bins(F.col("miny"), F.col("maxy")))
-    e = edges.filter("y1 <> y2").withColumn("_bin", bins(F.least("y1", "y2"), F.greatest("y1", "y2")))
+    # Outer rings add and holes take away, whichever way round they are drawn.
+    turn = F.signum(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) * F.when(F.col("ring_id") == 0, 1.0).otherwise(-1.0)
+    rings = edges.groupBy("poly_id", "ring_id").agg(turn.alias("_turn"))
+    e = edges.filter("y1 <> y2").join(rings, ["poly_id", "ring_id"]).withColumn("_bin", bins(F.least("y1", "y2"), F.greatest("y1", "y2")))
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     # Within a bin only the bin's own part of box and edge counts, so that nothing is added twice.
     ya = F.greatest(low, F.col("miny"), F.col("_bin") * bin_size)
@@ -117,7 +120,7 @@ def covered_fraction(boxes: DataFrame, edges: DataFrame, bin_size: float = 32.0)
     straight = F.greatest(F.lit(0.0), F.least(F.col("_w"), F.col("_l") - F.col("minx")))
     mean = F.when(gap < 1e-12, straight).otherwise((ramp(F.col("_h") - F.col("minx")) - ramp(F.col("_l") - F.col("minx"))) / F.when(gap < 1e-12, 1.0).otherwise(gap))
     sign = F.when(F.col("y2") > F.col("y1"), 1.0).otherwise(-1.0)
-    area = j.select("pid", (sign * mean * (F.col("_b") - F.col("_a"))).alias("a")).groupBy("pid").agg(F.abs(F.sum("a")).alias("area"))
+    area = j.select("pid", (F.col("_turn") * sign * mean * (F.col("_b") - F.col("_a"))).alias("a")).groupBy("pid").agg(F.sum("a").alias("area"))
     return boxes.join(area, "pid", "left").select("pid", (F.coalesce("area", F.lit(0.0)) / F.when((F.col("maxx") > F.col("minx")) & (F.col("maxy") > F.col("miny")), (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")))).alias("fraction"))
 
 

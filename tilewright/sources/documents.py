@@ -90,7 +90,7 @@ def read_metric_history(spark: SparkSession, path: str) -> DataFrame:
 
 def read_run_params(spark: SparkSession, path: str) -> DataFrame:
     """Files <run>/params/<key>, one trimmed text each."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"), F.col("_metadata.file_path").alias("file"))
     return files.select(F.regexp_extract("file", r"/([^/]+)/params/[^/]+$", 1).alias("run_id"), F.regexp_extract("file", r"/([^/]+)$", 1).alias("key"), "value").filter("run_id <> ''")
 
 
