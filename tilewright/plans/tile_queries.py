@@ -322,10 +322,10 @@ def g27_grid_means(spark, sf):
     return rounded(m.withColumn("gr", F.col("gr").cast("long")).withColumn("gc", F.col("gc").cast("long")), "mean")
 
 
-@register("g29_display", fx.TILED + ", e AS (SELECT tile_idx, min(target) AS lo, max(target) AS hi FROM tt GROUP BY 1) SELECT tile_idx, round(avg(CASE WHEN hi > lo THEN (target - lo) / (hi - lo) ELSE 0.0 END), 9) AS mean_display, max(CASE WHEN hi > lo THEN (target - lo) / (hi - lo) ELSE 0.0 END) AS top FROM tt JOIN e USING (tile_idx) GROUP BY 1")
+@register("g29_display", fx.TILED + ", e AS (SELECT tile_idx, min(target) AS lo, max(target) AS hi FROM tt GROUP BY 1) SELECT tile_idx, round(avg(CASE WHEN hi > lo THEN (target - lo) / (hi - lo) ELSE 0.0 END), 12) AS mean_display, max(CASE WHEN hi > lo THEN (target - lo) / (hi - lo) ELSE 0.0 END) AS top FROM tt JOIN e USING (tile_idx) GROUP BY 1")
 def g29_display(spark, sf):
     d = qc.display(fx.tiled(fx.target(spark, sf), spark, sf), ["tile_idx"], "target")
-    return d.groupBy("tile_idx").agg(R(F.avg("display"), 9).alias("mean_display"), F.max("display").alias("top"))
+    return d.groupBy("tile_idx").agg(R(F.avg("display"), 12).alias("mean_display"), F.max("display").alias("top"))
 
 
 @register("g30_extrema", fx.TILED + ", n AS (SELECT *, row_number() OVER (PARTITION BY tile_idx ORDER BY pred, tr, tc) AS lo, row_number() OVER (PARTITION BY tile_idx ORDER BY pred DESC, tr, tc) AS hi FROM tt) SELECT a.tile_idx, round(a.pred, 6) AS min, a.tr AS min_r, a.tc AS min_c, round(b.pred, 6) AS max, b.tr AS max_r, b.tc AS max_c FROM n a JOIN n b ON a.tile_idx = b.tile_idx AND a.lo = 1 AND b.hi = 1")
