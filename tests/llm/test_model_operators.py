@@ -45,6 +45,26 @@ def test_quality_of_odd_rows(spark):
     assert quality.quality(docs.limit(0)).isEmpty() and quality.accepted(docs.limit(0)).isEmpty()
 
 
+def test_quality_sample_is_bounded(spark):
+    """A third of the rows without a text and a third with one text take their share of the sample, as a row each."""
+    rows = [(None if i % 3 == 0 else "same text" if i % 3 == 1 else f"text {i} of many",) for i in range(9_000)]
+    docs = spark.createDataFrame(rows, "text string").repartition(5)
+    got = quality.sampled(docs, len(rows), 300).dropDuplicates(["h"]).collect()
+    weight = {r.text: r.weight for r in got}
+    assert abs(sum(weight.values()) - 300) < 60 and len(got) < 170
+    assert weight[None] in (100, 101) and weight["same text"] in (100, 101)
+    assert {k for t, k in weight.items() if t not in (None, "same text")} == {1}
+
+
+def test_quality_fit_sees_each_text_once(spark, monkeypatch):
+    given = {}
+    real = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, cols, values, y, width, **more: given.update(n=len(y), weight=more.get("weight")) or real(rows, cols, values, y, width, **more))
+    docs = spark.createDataFrame([(None if i % 2 else f"text {i} of many",) for i in range(3_000)], "text string").repartition(5)
+    quality.fit_scorer(docs, 200)
+    assert given["n"] < 200 and 130 < given["weight"].sum() < 270
+
+
 def test_token_counts_equal_the_library(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 

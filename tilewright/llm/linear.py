@@ -15,18 +15,20 @@ def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.1, pairs=None, pair_weight: float = 0.0):
+def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, l2: float = 1e-4, steps: int = 400, rate: float = 0.1, pairs=None, pair_weight: float = 0.0, weight: np.ndarray | None = None):
     """Weights and bias by Adam on the whole sample. y may be soft labels.
 
     pairs: (rows, cols, values, n) of feature differences whose scores should be 0; their mean square
-    is added, times pair_weight.
+    is added, times pair_weight. weight: how often each row counts (once if None).
     """
     n = len(y)
-    w, b = np.zeros(width), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))) if n else 0.0
+    weight = np.ones(n) if weight is None else weight
+    mean = (weight * y).sum() / weight.sum() if n else 0.0
+    w, b = np.zeros(width), float(np.log((mean + 1e-3) / (1 - mean + 1e-3))) if n else 0.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1) if n else ():
         p = sigmoid(np.bincount(rows, values * w[cols], n) + b)
-        d = (p - y) / n
+        d = weight * (p - y) / weight.sum()
         g = np.append(np.bincount(cols, values * d[rows], width) + l2 * w, d.sum())
         if pairs is not None and pairs[3]:
             pr, pc, pv, k = pairs

@@ -25,7 +25,7 @@ NAMES = ("sign_runs", "capitals", "repeats", "top_word", "signs", "bare_signs",
 #: Words that a share is thinned by, so that a text of a few words has no large shares.
 THIN = 8
 BITS = 16
-#: The linear model is fitted on about so many documents, chosen by hash.
+#: The linear model is fitted on about so many documents; a text that many have is one row with a weight.
 MAX_TRAIN = 20_000
 #: Bytes by kind: small letters and all beyond ASCII as x, capitals X, digits 9; signs and white space stay.
 KINDS = bytes(120 if 97 <= c <= 122 or c >= 128 else 88 if 65 <= c <= 90 else 57 if 48 <= c <= 57 else c for c in range(256))
@@ -122,6 +122,20 @@ def expectation_maximisation(counts: dict[int, int], labellers: int = len(NAMES)
     return dict(zip(keys.tolist(), post.tolist(), strict=True)), rates, share
 
 
+def sampled(texts: DataFrame, total: int, max_train: int) -> DataFrame:
+    """The rows of a sample of about ``max_train`` of ``total`` rows: text, h (its hash), weight (rows of the sample with this text).
+
+    Every text gets its share of the sample by how many rows have it, rounded up or down by hash, so the
+    weights of all distinct texts sum to about max_train however often texts repeat. Null is one text.
+    """
+    hashed_texts = texts.withColumn("h", F.xxhash64("text"))
+    width = 1 << 40
+    share = F.col("n") * F.lit(min(1.0, max_train / max(total, 1))) + F.pmod("h", F.lit(width)) / F.lit(float(width))
+    counts = hashed_texts.groupBy("h").agg(F.count("*").alias("n"))
+    chosen = counts.select("h", F.floor(share).cast("long").alias("weight")).filter("weight > 0")
+    return hashed_texts.join(F.broadcast(chosen), "h").select("text", "h", "weight")  # max_train hashes at most, about
+
+
 def fit_scorer(docs: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text"):
     """(posteriors of patterns, rates, weights, bias) from all documents' votes and a sample's features."""
     texts = docs.select(F.col(text_col).alias("text"))
@@ -136,24 +150,26 @@ def fit_scorer(docs: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "tex
     counts = {r["pattern"]: r["n"] for r in found}
     posteriors, rates, _ = expectation_maximisation(counts)
     total = sum(counts.values())
-    scale = 1_000_000
-    part = max(1, min(scale, scale * max_train // max(total, 1)))
-    sample = texts.filter(F.pmod(F.xxhash64("text"), F.lit(scale)) < part)
+    sample = sampled(texts, total, max_train)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader()
+        reader, seen = Reader(), set()
         for b in batches:
             out = []
-            for t in b["text"]:
-                v, f = reader.read(t)
-                out.append((posteriors.get(pattern(v), 0.5), [hashed(k, BITS) for k in f], list(f.values())))
-            yield pd.DataFrame(out, columns=["y", "cols", "values"])
-
-    rows = sample.mapInPandas(features, "y double, cols array<int>, values array<double>").toPandas()  # about max_train short rows
+            for t, h, k in zip(b["text"], b["h"], b["weight"], strict=True):
+                if h not in seen:
+                    seen.add(h)
+                    v, f = reader.read(t)
+                    out.append((h, k, posteriors.get(pattern(v), 0.5), [hashed(x, BITS) for x in f], list(f.values())))
+            yield pd.DataFrame(out, columns=["h", "weight", "y", "cols", "values"])
+
+    found = sample.mapInPandas(features, "h long, weight long, y double, cols array<int>, values array<double>")
+    rows = found.dropDuplicates(["h"]).toPandas().sort_values("h")  # about max_train short rows at most
     if not len(rows):
         return posteriors, rates, np.zeros(1 << BITS), 0.0
     sizes = rows["cols"].map(len).to_numpy()
-    w, b = fit(np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows["cols"].to_numpy()).astype(int), np.concatenate(rows["values"].to_numpy()), rows["y"].to_numpy(), 1 << BITS, rate=0.2)
+    at = np.repeat(np.arange(len(rows)), sizes)
+    w, b = fit(at, np.concatenate(rows["cols"].to_numpy()).astype(int), np.concatenate(rows["values"].to_numpy()), rows["y"].to_numpy(), 1 << BITS, rate=0.2, weight=rows["weight"].to_numpy(float))
     return posteriors, rates, w, b
 
 
