@@ -87,6 +87,27 @@ def test_one_of_each(spark, corpus):
     assert sorted(r.doc_id for r in rest.collect()) == sorted(want)
 
 
+def test_one_of_each_with_null_and_shared_ids(spark):
+    """Rows that only share an id, or have none, stay; copies among them leave one row."""
+    rng = random.Random(12)
+    a, b, c, d, e, f = (words(rng, 40, 9_000) for _ in range(6))
+    near = "start " + a
+    docs = [(1, a), (None, near), (None, b), (None, c), (None, c), (None, None), (None, ""), (None, ""), (7, d), (7, e), (7, near), (3, e), (None, f), (7, b)]
+    rest = partenum.one_of_each(frame(spark, docs))
+    want = [(1, a), (7, b), (None, c), (None, None), (None, ""), (None, ""), (7, d), (3, e), (None, f)]
+    assert sorted(((r.doc_id, r.text) for r in rest.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_clean_with_null_and_shared_ids(spark):
+    rng = random.Random(13)
+    a, b, c = (words(rng, 40, 9_000) for _ in range(3))
+    items = spark.createDataFrame([(1, a)], "item_id long, text string")
+    docs = [(None, a), (None, b), (None, None), (None, ""), (5, a + " x"), (5, c), (5, c)]
+    rest = decontam.clean(frame(spark, docs), items)
+    assert rest.columns == ["doc_id", "text", "n", "node"]
+    assert sorted(((r.doc_id, r.text) for r in rest.collect()), key=repr) == sorted([(None, b), (None, None), (None, ""), (5, c), (5, c)], key=repr)
+
+
 def test_signatures_lose_no_pair():
     """Sets at the very bound, of sizes on both sides of band borders, share a signature."""
     rng = np.random.default_rng(3)

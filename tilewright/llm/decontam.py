@@ -98,6 +98,8 @@ def contamination(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id") -> DataFrame:
-    """The documents without any window, with the columns they came with. Ids that are null or shared stay or go by the worst row that has them."""
-    bad = contamination(docs, benchmark, width, id_col=id_col).filter("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents without any window, with the columns they came with. Rows are told apart by id and text, so ids may be null or shared."""
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    named = keyed.select(F.struct(F.col(id_col).alias("id"), F.col("_key").alias("key")).alias("doc_id"), "text")
+    bad = contamination(named, benchmark, width).filter("n_hit > 0").select(F.col("doc_id.id").alias("_bad"), F.col("doc_id.key").alias("_bad_key")).distinct()
+    return keyed.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.col("_key") == F.col("_bad_key")), "left_anti").drop("_key")

@@ -83,7 +83,7 @@ def odd_sketches(row: np.ndarray, h: np.ndarray, bits: np.ndarray) -> tuple[np.n
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node (a hash of the whole set; null if empty), n, members (packed hashes) and sketch (both once per node and task), and rows of frequent shingles (node null, n -1, members, times)."""
+    """doc_id, key (a hash of the text), node (a hash of the whole set; null if empty), n, members (packed hashes) and sketch (both once per node and task), and rows of frequent shingles (node null, n -1, members, times)."""
     mask = np.uint64((1 << 8 * HASH_BYTES) - 1)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +102,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pending, pending_n = [], 0
 
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
+            ids, keys, texts = batch.column("doc_id"), batch.column("key"), batch.column("text")
             for at, data, offsets in runs(texts):
                 rows = len(offsets) - 1
                 row, h = words(data, offsets)
@@ -128,22 +128,22 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if pending_n > 2_000_000:
                     count()
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, rows), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), pa.array(members, pa.binary()), pa.array(sketches, pa.binary()), pa.nulls(rows, pa.list_(pa.int64()))],
-                    ["doc_id", "node", "n", "members", "sketch", "times"],
+                    [ids.slice(at, rows), keys.slice(at, rows), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), pa.array(members, pa.binary()), pa.array(sketches, pa.binary()), pa.nulls(rows, pa.list_(pa.int64()))],
+                    ["doc_id", "key", "node", "n", "members", "sketch", "times"],
                 )
         count()
         top = sorted(often, key=often.get, reverse=True)[:LOCAL_KEPT]
         if top:
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, kind_type), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.array([pack(np.array(top, np.uint64)).tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.array([[often[x] for x in top]], pa.list_(pa.int64()))],
-                ["doc_id", "node", "n", "members", "sketch", "times"],
+                [pa.nulls(1, kind_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.array([pack(np.array(top, np.uint64)).tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.array([[often[x] for x in top]], pa.list_(pa.int64()))],
+                ["doc_id", "key", "node", "n", "members", "sketch", "times"],
             )
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind_type = to_arrow_type(docs.schema[id_col].dataType)
-    rows = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
-    return rows.mapInArrow(read, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node bigint, n bigint, members binary, sketch binary, times array<bigint>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(read, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key bigint, node bigint, n bigint, members binary, sketch binary, times array<bigint>")
 
 
 def frequent_shingles(sets: DataFrame) -> np.ndarray:
@@ -413,6 +413,15 @@ def cluster_links(near: DataFrame, sets: DataFrame, numerator: int = 75) -> Data
     return dealt(near, blocks_of(near), held).mapInArrow(compare, "a bigint, b bigint")
 
 
+def linked_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets of all rows, their links, and node, label (the component) of every set that is not empty."""
+    sets = written(shingle_sets(docs, id_col, text_col), "shingle-sets")
+    near = written(clusters(signatures(sets, frequent_shingles(sets))), "clusters")
+    links = written(cluster_links(near, sets), "cluster-links")
+    nodes = sets.filter("n >= 0 AND node IS NOT NULL").select("node").distinct()
+    return sets, links, nodes.join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document row: doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (links kept between its set and other sets).
 
@@ -420,13 +429,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are one node, so repeated rows and copies are linked without making pairs; null ids take part but
     are never the smallest. n_links counts the links that were needed to join the component.
     """
-    sets = written(shingle_sets(docs, id_col, text_col), "shingle-sets")
-    near = written(clusters(signatures(sets, frequent_shingles(sets))), "clusters")
-    links = written(cluster_links(near, sets), "cluster-links")
-    label = components(links)
-
+    sets, links, labels = linked_sets(docs, id_col, text_col)
     nodes = sets.filter("n >= 0 AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    parent = nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least")
+    parent = nodes.join(labels, "node")
     smallest = parent.groupBy("label").agg(F.min("least").alias("component_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = parent.join(smallest, "label").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -437,11 +442,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the smallest of their component, one row each; documents without words all stay."""
-    found = jaccard_components(docs, id_col, text_col)
-    extra = found.filter(F.col("n_shingles") > 0).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(extra, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    again = found.filter("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_gone"))
-    single = rest.join(again, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-    double = rest.join(again, F.col(id_col).eqNullSafe(F.col("_gone")), "left_semi").dropDuplicates([id_col])
-    return single.unionByName(double)
+    """One row of each component, of its smallest id (null is the largest); documents without words all stay.
+
+    Rows are told apart by id and text, so ids may be null or shared. Rows that are equal in both are
+    one text of one component, of which one row stays.
+    """
+    sets, _, labels = linked_sets(docs, id_col, text_col)
+    same = sets.filter("n > 0").groupBy("node", "doc_id", "key").agg(F.count("*").alias("times"))
+    rows = written(same.join(labels, "node"), "row-labels")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = rows.groupBy("label").agg(F.min(order).alias("first"))
+    found = rows.join(first, "label").select(
+        F.col("doc_id").alias("_id"), F.col("key").alias("_same"), "times",
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))).alias("stays"),
+    )
+    keyed = docs.withColumn("_key", F.xxhash64(text_col))
+    marked = lambda left, marks, how: left.join(marks.select("_id", "_same"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_same")), how)
+    again = found.filter("stays AND times > 1")
+    rest = marked(keyed, found.filter("NOT stays"), "left_anti")
+    single = marked(rest, again, "left_anti")
+    double = marked(rest, again, "left_semi").dropDuplicates([id_col, "_key"])
+    return single.unionByName(double).drop("_key")
