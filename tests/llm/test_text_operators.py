@@ -75,6 +75,29 @@ def test_jaccard_join(spark, corpus, monkeypatch, often):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == brute.jaccard(corpus)
 
 
+@pytest.mark.parametrize(("block", "cost"), [(256, 200), (3, 200), (3, 0), (256, 10**9)])
+def test_every_link_is_counted_once(spark, corpus, monkeypatch, block, cost):
+    monkeypatch.setattr(partenum, "BLOCK", block)
+    monkeypatch.setattr(partenum, "SEARCH_COST", cost)
+    monkeypatch.setattr(partenum, "COLUMNS", 64)
+    base = words(random.Random(14), 60, 9_000).split()
+    docs = corpus + [(400 + k, " ".join([*base, f"end{k}"])) for k in range(4)]
+    sets = {frozenset(brute.shingles(t)) for _, t in docs} - {frozenset()}
+    near = {a: sum(a != b and 100 * len(a & b) >= 75 * len(a | b) for b in sets) for a in sets}
+    want = sorted(((i, near.get(frozenset(brute.shingles(t)), 0)) for i, t in docs), key=repr)
+    got = sorted(((r.doc_id, r.n_links) for r in partenum.jaccard_components(frame(spark, docs)).collect()), key=repr)
+    assert got == want and [n for i, n in got if i in (400, 401, 402, 403)] == [3, 3, 3, 3]
+
+
+@pytest.mark.parametrize("cost", [0, 200, 10**9])
+def test_links_of_lesser_centers_are_counted_there(monkeypatch, cost):
+    monkeypatch.setattr(partenum, "SEARCH_COST", cost)
+    sets = [np.arange(30, dtype=np.uint64) for _ in range(4)]
+    found, n = partenum.links_in(np.arange(4), np.zeros(4, int), sets, [[], [5, 6], [6, 7], [7]], False, 75)
+    assert n.tolist() == [3, 2, 1, 2]
+    assert partenum.links_in(np.arange(4), np.array([0, 0, 1, 1]), sets, [[]] * 4, True, 75)[1].tolist() == [2, 2, 2, 2]
+
+
 def test_jaccard_join_of_nothing(spark, corpus):
     assert partenum.jaccard_components(frame(spark, corpus).limit(0)).isEmpty()
     assert partenum.one_of_each(frame(spark, [(1, None), (2, "")])).count() == 2

@@ -38,6 +38,8 @@ LOCAL_FREQUENT, LOCAL_KEPT = 2, 20_000
 LEAST_BITS = 256
 #: Clusters are compared in blocks of about so many sets.
 BLOCK = 256
+#: Columns of a matrix of members at once, and how many of its cells' products cost as much as one search. They steer work only, never results.
+COLUMNS, SEARCH_COST = 4_096, 200
 #: A table of set ids is broadcast up to so many rows.
 BROADCAST_ROWS = 2_000_000
 
@@ -293,38 +295,71 @@ class Joined:
         self.parent = np.where(np.isin(label, label[others]), label[x], label)
 
 
-def links_in(node: np.ndarray, block: np.ndarray, sets: list[np.ndarray], crossing: bool, numerator: int) -> list[tuple[int, int]]:
-    """Links that join what links join in a group: every pair not yet joined by others is compared (only across blocks, if crossing).
+def shared_counts(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """How many members the two sets of each pair (x, y) share. Many pairs go through products of 0/1 matrices, few by search."""
+    size = np.array([len(x) for x in sets])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    values, col = np.unique(flat, return_inverse=True)
+    several = np.bincount(col) > 1
+    if len(sets) ** 2 * int(several.sum()) < SEARCH_COST * int(size[pairs[1]].sum()):
+        place, use = np.cumsum(several) - 1, several[col]
+        row, col = row[use], place[col[use]]
+        order = np.argsort(col, kind="stable")
+        row, col, both = row[order], col[order], np.zeros((len(sets), len(sets)), np.int64)
+        for at in range(0, int(several.sum()), COLUMNS):
+            lo, hi = np.searchsorted(col, (at, at + COLUMNS))
+            has = np.zeros((len(sets), COLUMNS), np.float32)  # counts of COLUMNS at most are exact
+            has[row[lo:hi], col[lo:hi] - at] = 1
+            both += (has @ has.T).astype(np.int64)
+        return both[pairs[0], pairs[1]]
+    first = np.concatenate(([0], np.cumsum(size)))
+    out = np.zeros(pairs.shape[1], np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], pairs[0][1:] != pairs[0][:-1]))) if len(out) else ()
+    for lo, hi in zip(starts, [*starts[1:], len(out)], strict=True):
+        x, rest = pairs[0][lo], pairs[1][lo:hi]
+        k = size[rest]
+        at = np.repeat(first[rest], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        place = np.minimum(np.searchsorted(sets[x], flat[at]), size[x] - 1)
+        out[lo:hi] = np.add.reduceat((sets[x][place] == flat[at]).astype(np.int64), np.cumsum(k) - k)
+    return out
+
+
+def links_in(node: np.ndarray, block: np.ndarray, sets: list[np.ndarray], lesser: list[list[int]], crossing: bool, numerator: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that join what links join in a group, and how many links each set has of those that the group owns.
 
-    Sizes and odd sketches (parities of hash counts, which differ in no more places than the sets)
-    rule most pairs out; the rest are intersected.
+    Every pair is looked at (only across blocks, if crossing). Sizes and odd sketches (parities of hash
+    counts, which differ in no more places than the sets) rule pairs out; the rest are intersected.
+    lesser: the lesser centers of each set's clusters; a pair that shares one of them is counted there.
     """
     size = np.array([len(x) for x in sets])
     width = int(sketch_bits(size).max())
     flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     sketch = odd_sketches(row, flat, np.full(len(sets), width))[0].view(np.uint64).reshape(len(sets), -1) if len(sets) > 2 else None
-    first = np.concatenate(([0], np.cumsum(size)))
-    joined, found = Joined(len(sets)), []
+    pairs = []
     for x in range(len(sets) - 1):
-        label = joined.label()
         rest = np.arange(x + 1, len(sets))
-        rest = rest[(label[rest] != label[x]) & (100 * np.minimum(size[rest], size[x]) >= numerator * np.maximum(size[rest], size[x]))]
+        rest = rest[100 * np.minimum(size[rest], size[x]) >= numerator * np.maximum(size[rest], size[x])]
         if crossing:
             rest = rest[block[rest] != block[x]]
         if len(rest) and sketch is not None:
             rest = rest[np.bitwise_count(sketch[rest] ^ sketch[x]).sum(1) * (100 + numerator) <= (100 - numerator) * (size[rest] + size[x])]
-        if not len(rest):
-            continue
-        k = size[rest]
-        at = np.repeat(first[rest], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        other = flat[at]
-        place = np.minimum(np.searchsorted(sets[x], other), size[x] - 1)
-        inter = np.add.reduceat((sets[x][place] == other).astype(np.int64), np.cumsum(k) - k)
-        hit = rest[100 * inter >= numerator * (size[x] + k - inter)]
+        pairs.append(np.stack((np.full(len(rest), x), rest)))
+    pairs = np.concatenate(pairs, 1)
+    inter = shared_counts(sets, pairs) if pairs.shape[1] else np.zeros(0, np.int64)
+    pairs = pairs[:, 100 * inter >= numerator * (size[pairs[0]] + size[pairs[1]] - inter)]
+    may = np.array([len(x) > 0 for x in lesser])[pairs].all(0)
+    if may.any():
+        again = np.zeros(len(may), bool)
+        again[may] = shared_counts([np.array(sorted(x), np.int64) for x in lesser], pairs[:, may]) > 0
+        pairs = pairs[:, ~again]
+    joined, found = Joined(len(sets)), []
+    for x in np.unique(pairs[0]).tolist():
+        hit, label = pairs[1][pairs[0] == x], joined.label()
+        hit = hit[label[hit] != label[x]]
         if len(hit):
             found += [(int(node[x]), int(node[y])) for y in hit]
             joined.join(x, hit)
-    return found
+    return found, np.bincount(pairs.ravel(), minlength=len(sets))
 
 
 def dealt(near: DataFrame, blocks: DataFrame, held: DataFrame) -> DataFrame:
@@ -395,8 +430,9 @@ def hopeful(near: DataFrame, sets: DataFrame, numerator: int = 75) -> DataFrame:
 
 
 def cluster_links(near: DataFrame, sets: DataFrame, numerator: int = 75) -> DataFrame:
-    """Links (a, b) enough to join all that link within each cluster (center, node).
+    """Links (a, b; n null) enough to join all that link within each cluster (center, node), and rows (a, b null, n) whose n sum to the links of node a.
 
+    Every link is counted once: in the cluster of the least center that both ends have, in one pair of blocks.
     A cluster of more than BLOCK nodes is compared block by block in many tasks; a task holds the sets
     of two blocks at most. Sketches are looked at first, so that sets are only sent where they matter.
     """
@@ -404,36 +440,40 @@ def cluster_links(near: DataFrame, sets: DataFrame, numerator: int = 75) -> Data
     nodes = written(near.select("node").distinct(), "hopeful-nodes")
     small = F.broadcast if nodes.count() <= BROADCAST_ROWS else (lambda df: df)
     held = sets.filter("members IS NOT NULL AND n > 0").select("node", "members").join(small(nodes), "node", "left_semi").dropDuplicates(["node"])
+    held = held.join(near.groupBy("node").agg(F.collect_list("center").alias("centers")), "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), (node, block, members) in groups(batches, ["node", "block", "members"]):
-            found = links_in(np.array(node), np.array(block), [np.sort(unpack(m)) for m in members], i != j, numerator)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        for (center, i, j), (node, block, members, centers) in groups(batches, ["node", "block", "members", "centers"]):
+            lesser = [[c for c in cs if c < center] for cs in centers]
+            found, n = links_in(np.array(node), np.array(block), [np.sort(unpack(m)) for m in members], lesser, i != j, numerator)
+            has = np.flatnonzero(n)
+            rows = [*((x, y, None) for x, y in found), *((node[k], None, int(n[k])) for k in has.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(3)], ["a", "b", "n"])
 
-    return dealt(near, blocks_of(near), held).mapInArrow(compare, "a bigint, b bigint")
+    return dealt(near, blocks_of(near), held).mapInArrow(compare, "a bigint, b bigint, n bigint")
 
 
 def linked_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sets of all rows, their links, and node, label (the component) of every set that is not empty."""
+    """The sets of all rows, their links and link counts (cluster_links), and node, label (the component) of every set that is not empty."""
     sets = written(shingle_sets(docs, id_col, text_col), "shingle-sets")
     near = written(clusters(signatures(sets, frequent_shingles(sets))), "clusters")
     links = written(cluster_links(near, sets), "cluster-links")
     nodes = sets.filter("n >= 0 AND node IS NOT NULL").select("node").distinct()
-    return sets, links, nodes.join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return sets, links, nodes.join(components(links.filter("b IS NOT NULL")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document row: doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (links kept between its set and other sets).
+    """A row per document row: doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (how many other sets its set links with).
 
     A null, empty or blank text has the empty set, no link, and its own id as component. Equal sets
     are one node, so repeated rows and copies are linked without making pairs; null ids take part but
-    are never the smallest. n_links counts the links that were needed to join the component.
+    are never the smallest. Every pair of different sets that links is counted.
     """
     sets, links, labels = linked_sets(docs, id_col, text_col)
     nodes = sets.filter("n >= 0 AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     parent = nodes.join(labels, "node")
     smallest = parent.groupBy("label").agg(F.min("least").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = links.filter("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     known = parent.join(smallest, "label").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows = sets.filter("n >= 0").select("doc_id", "n", "node")
     lone = rows.filter("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
