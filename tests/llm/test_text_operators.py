@@ -173,10 +173,11 @@ def test_suffix_array():
         assert [i for i in got.tolist() if i in some] == [i for i in want if i in some]
 
 
-@pytest.mark.parametrize(("many", "most"), [(2_000, 20_000), (1, 20_000), (1, 1), (3, 4)])
-def test_suffix_dedup(spark, corpus, monkeypatch, many, most):
-    monkeypatch.setattr(suffixdedup, "MANY", many)
-    monkeypatch.setattr(suffixdedup, "MOST", most)
+@pytest.mark.parametrize(("group", "broadcast"), [(128 << 10, 32 << 20), (2_000, 0), (900, 32 << 20), (0, 32 << 20)])
+def test_suffix_dedup(spark, corpus, monkeypatch, group, broadcast):
+    """Groups of any size: compared whole, by classes, and down to single strings."""
+    monkeypatch.setattr(suffixdedup, "GROUP_BYTES", group)
+    monkeypatch.setattr(suffixdedup, "BROADCAST_BYTES", broadcast)
     got = suffixdedup.without_repeats(frame(spark, corpus)).collect()
     rows = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr)
     assert rows == brute.repeats(corpus)

@@ -2,23 +2,60 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder (tests, local runs).
-LOCAL_FOLDER = "file:///tmp/checkpoints/tilewright"
+
+@functools.cache
+def local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tilewright-")
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or a local one where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER).rstrip("/")
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary folder in a local session; an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return local_folder()
+
+
+class Scratch:
+    """Tables of one operator by name. They go when they are dropped, the others when the application ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def _system(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table written once; later reads do not repeat its work."""
+        path = f"{scratch_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        schema = df.schema
+        df.write.parquet(path)
+        system, p = self._system(path)
+        system.deleteOnExit(p)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more: what was made of them must have been written."""
+        for name in names:
+            for path in self.paths.pop(name, ()):
+                system, p = self._system(path)
+                system.delete(p, True)
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*[n for n in self.paths if n not in names])
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written once in the shared folder; later reads do not repeat its work."""
-    spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    """``df`` as a table that stays until the application ends."""
+    return Scratch(df.sparkSession).write(df, name)

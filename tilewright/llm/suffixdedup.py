@@ -7,10 +7,12 @@ that can match meet under the anchor's hash. The starts of strings that share an
 with the bytes that they cover. Segments that are equal are counted, not compared. Of the others, the
 suffix array of each group tells which starts repeat: suffixes smaller than their successors are sorted
 directly, the rest are induced by bucket scans, and neighbours in the array whose common prefix reaches
-``width`` are repeated. Only the suffixes that starts need take part. An anchor with very many different
-segments is cut up first: starts at near distances from the anchor form a class, all strings of a class
-share a core, and segments meet under the core's hash. If even a core has too many segments for one task,
-the hash of every string is counted instead, which is exact too.
+``width`` are repeated. Only the suffixes that starts need take part.
+
+A group of more than GROUP_BYTES is split by what stands around its anchor: starts at near distances
+from the anchor form a class, all strings of a class share a core, and the parts of segments that a
+class covers meet under the core's hash; equal parts are counted, different ones compared as above. A
+core that still has too many different parts is split down to its strings, which meet whole.
 """
 
 from __future__ import annotations
@@ -19,23 +21,20 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.scratch import written
-from tilewright.llm.textbytes import BASE, INVERSE, mixed, powers, prefix_hash, runs
+from tilewright.llm.scratch import Scratch
+from tilewright.llm.textbytes import BASE, INVERSE, RUN_BYTES, mixed, powers, prefix_hash, runs
 
 WIDTH, GRAM = 400, 32
 #: Texts are read in pieces of so many starts, so a text of any length fits.
-PIECE = 1 << 20
-#: Suffix arrays are built over about so many bytes at a time.
-BLOCK_BYTES = 192 << 10
-#: An anchor with more different segments than MANY is cut into classes of CLASS distances; a core with more than MOST goes by hashes.
-MANY, CLASS, MOST = 2_000, 16, 20_000
-#: Tables with a row per text are broadcast up to so many rows.
-BROADCAST_ROWS = 300_000
+PIECE = 1 << 18
+#: Suffix arrays are built over about so many bytes at a time; a group of more than GROUP_BYTES is split into classes of CLASS distances.
+BLOCK_BYTES, GROUP_BYTES, CLASS = 128 << 10, 128 << 10, 16
+#: A table of wanted anchors or of spans is broadcast up to so many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def least_places(h: np.ndarray, span: int) -> np.ndarray:
@@ -98,7 +97,13 @@ def two_stage_suffix_array(text: np.ndarray, depth: int = WIDTH, starts: np.ndar
         np.add.at(gain, ends[np.searchsorted(ends, starts)] + 1, -1)
         wanted = np.cumsum(gain)[:n] > 0
     direct = np.flatnonzero(smaller & wanted)
-    direct = np.array(sorted(direct.tolist(), key=lambda i: raw[i : i + depth]), np.int64)
+    # Suffixes with the same first two bytes are sorted at a time, so few of their beginnings are copied at once.
+    pair = (text[direct].astype(np.int64) << 8) | np.append(text, 0)[direct + 1]
+    direct = direct[np.argsort(pair, kind="stable")]
+    edges = np.concatenate(([0], np.cumsum(np.bincount(pair, minlength=1 << 16))))
+    for k in np.flatnonzero(np.diff(edges) > 1).tolist():
+        same = direct[edges[k] : edges[k + 1]]
+        direct[edges[k] : edges[k + 1]] = sorted(same.tolist(), key=lambda i: raw[i : i + depth])
     cuts = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
@@ -171,34 +176,28 @@ def place_id(node: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mixed(start.astype(np.uint64) * BASE + mixed(node.view(np.uint64))).view(np.int64)
 
 
+def digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def digests(pieces: list[bytes]) -> pa.Array:
+    return pa.array([digest(x) for x in pieces], pa.int64())
+
+
 def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows 0, 1 ... each repeated ``count`` times, and first, first + 1 ... in each."""
     row = np.repeat(np.arange(len(count)), count)
     return row, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[row]
 
 
-def cores(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """anchor, content, class, core (a hash) for each class of distances that a segment has starts in."""
-    for batch in batches:
-        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("anchor", "content", "at", "n_starts")]
-        for k, data, offsets in runs(batch.column("data")):
-            anchor, content, at, n = (x[k : k + len(offsets) - 1] for x in cols)
-            low, high = (at - n + 1) // CLASS, at // CLASS
-            row, cls = spread(low, high - low + 1)
-            begin = offsets[row] + at[row] - CLASS * cls
-            end = begin - CLASS + 1 + width
-            c = prefix_hash(data)
-            # Near the ends of its starts a class may reach beyond the segment; strings there still hold the core's bytes.
-            h = mixed((c[end] - c[begin]) * powers(INVERSE, len(data) + 1)[begin] + mixed(anchor[row].view(np.uint64)) + cls.astype(np.uint64) * BASE)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[row], content[row], cls, h.view(np.int64))], ["anchor", "content", "class", "core"])
-
-
-def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
-    """node, spans (bytes first/end, merged) that repeated strings cover. docs: node, text, a row per text or more."""
-    found = written(anchors(docs, width), "anchors")
-    twice = found.groupBy("anchor").agg(F.min("ident").alias("lo"), F.max("ident").alias("hi")).filter("lo != hi").select("anchor")
-    wanted = written(found.join(twice, "anchor").groupBy("node").agg(F.collect_set("anchor").alias("anchors")), "wanted")
-    small = F.broadcast if wanted.count() <= BROADCAST_ROWS else (lambda df: df)
+def broadcast_if_small(df: DataFrame, size: Column) -> DataFrame:
+    """``df`` marked for broadcast if the sum of ``size`` (bytes of a row, checked here) stays below BROADCAST_BYTES."""
+    total = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
+def cut_segments(docs: DataFrame, width: int) -> DataFrame:
+    """The segments of docs (node, text, anchors) whose anchor is in ``anchors``, once per node and task: anchor, content (a hash of data), node, start (in the text), n_starts, at (the anchor's place in data), ident, data."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -218,67 +217,39 @@ def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
                     row, lo, hi, place, key = (x[use] for x in (row, lo, hi, place, key))
                     node, start = nodes[k + row], lo - offsets[row]
                     raw = [data[x:y].tobytes() for x, y in zip(lo, hi + width - 1, strict=True)]
-                    content = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in raw], np.int64)
-                    cols = [pa.array(x) for x in (key, content, node, start, hi - lo, place - lo, place_id(node, start))]
-                    for i in range(0, len(raw), 10_000):
-                        yield pa.RecordBatch.from_arrays([*(x.slice(i, 10_000) for x in cols), pa.array(raw[i : i + 10_000], pa.binary())], names)
+                    cols = [pa.array(key), digests(raw), *(pa.array(x) for x in (node, start, hi - lo, place - lo, place_id(node, start)))]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(raw, pa.binary())], names)
 
-    members = docs.join(small(wanted), "node").select("node", "text", "anchors").mapInArrow(
-        cut, "anchor bigint, content bigint, node bigint, start bigint, n_starts bigint, at bigint, ident bigint, data binary"
-    )
-    members = written(members, "segments")
-    distinct = written(
-        members.groupBy("anchor", "content")
-        .agg(F.min("ident").alias("lo"), F.max("ident").alias("hi"), F.first("n_starts").alias("n_starts"), F.first("at").alias("at"), F.first("data").alias("data"))
-        .select("anchor", "content", (F.col("lo") != F.col("hi")).alias("again"), "n_starts", "at", "data"),
-        "distinct-segments",
-    )
-    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    whole = distinct.filter("again").select("anchor", "content", F.array(F.array(F.lit(0).cast("long"), F.col("n_starts"))).alias("runs"))
-    compared = distinct.join(sizes, "anchor")
-    zero = F.lit(0).cast("long")
-    few = compared.filter(F.col("n") <= MANY).select(F.col("anchor").alias("meet"), "anchor", "content", "again", zero.alias("first"), "n_starts", "data")
-
-    many = compared.filter(F.col("n") > MANY)
-    classes = many.select("anchor", "content", "at", "n_starts", "data").mapInArrow(lambda b: cores(b, width), "anchor bigint, content bigint, class bigint, core bigint")
-    classes = written(classes, "classes")
-    met = classes.join(classes.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1"), "core")
-    parts = many.join(met, ["anchor", "content"])
-    # Distances from CLASS * class to CLASS * class + CLASS - 1 are starts at - distance.
-    first = F.greatest(zero, F.col("at") - CLASS * F.col("class") - (CLASS - 1))
-    last = F.least(F.col("n_starts") - 1, F.col("at") - CLASS * F.col("class"))
-    parts = parts.withColumn("first", first).withColumn("last", last).select(
-        F.col("core").alias("meet"), "anchor", "content", "again", "first", (F.col("last") - F.col("first") + 1).alias("n_starts"),
-        F.substring("data", (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + width).cast("int")).alias("data"), "k",
-    )
-    grouped = few.unionByName(parts.filter(F.col("k") <= MOST).drop("k"))
+    return docs.mapInArrow(cut, "anchor bigint, content bigint, node bigint, start bigint, n_starts bigint, at bigint, ident bigint, data binary")
 
-    def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, last = [], 0, None
 
-        def flush() -> pd.DataFrame:
-            text = np.frombuffer(b"".join(r[6] for r in held), np.uint8)
-            n = np.array([r[5] for r in held])
-            length = np.array([len(r[6]) for r in held])
-            _, starts = spread(np.cumsum(length) - length, n)
-            hit = np.split(repeated_starts(text, starts, width), np.cumsum(n)[:-1])
-            out = [(r[1], r[2], [[r[4] + a, r[4] + b] for a, b in spans(x)]) for r, x in zip(held, hit, strict=True) if not r[3] and x.any()]
-            return pd.DataFrame(out, columns=["anchor", "content", "runs"])
-
-        for b in batches:
-            for r in b.itertuples(index=False, name=None):
-                if r[0] != last and size >= BLOCK_BYTES:
-                    yield flush()
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[6])
-                last = r[0]
-        if held:
-            yield flush()
+def cut_classes(segments: DataFrame, width: int) -> DataFrame:
+    """The parts of segments (anchor, content, at, n_starts, data) by class of distances from the anchor: anchor, content, first and last (start in the segment), core and part (hashes of what the class's strings share and cover)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("anchor", "content", "at", "n_starts")]
+            for k, data, offsets in runs(batch.column("data")):
+                anchor, content, at, n = (x[k : k + len(offsets) - 1] for x in cols)
+                low, high = (at - n + 1) // CLASS, at // CLASS
+                row, cls = spread(low, high - low + 1)
+                begin = offsets[row] + at[row] - CLASS * cls
+                end = begin - CLASS + 1 + width
+                c = prefix_hash(data)
+                # Near the ends of its starts a class may reach beyond the segment; strings there still hold the core's bytes.
+                core = mixed((c[end] - c[begin]) * powers(INVERSE, len(data) + 1)[begin] + mixed(anchor[row].view(np.uint64)) + cls.astype(np.uint64) * BASE)
+                # Distances from CLASS * class to CLASS * class + CLASS - 1 are starts at - distance.
+                first, last = np.maximum(0, at[row] - CLASS * cls - (CLASS - 1)), np.minimum(n[row] - 1, at[row] - CLASS * cls)
+                part = digests([data[x:y].tobytes() for x, y in zip(offsets[row] + first, offsets[row] + last + width, strict=True)])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (anchor[row], content[row], first, last, core.view(np.int64))), part], ["anchor", "content", "first", "last", "core", "part"])
+
+    return segments.mapInArrow(cut, "anchor bigint, content bigint, first bigint, last bigint, core bigint, part bigint")
+
 
-    by_array = grouped.repartition("meet").sortWithinPartitions("meet").mapInPandas(sort, "anchor bigint, content bigint, runs array<array<bigint>>")
+def cut_strings(parts: DataFrame, width: int) -> DataFrame:
+    """Every string of parts (anchor, content, first, n_starts, data): string, check (two hashes of it), anchor, content, nth."""
 
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("anchor", "content", "first", "n_starts")]
             for k, data, offsets in runs(batch.column("data")):
@@ -287,26 +258,90 @@ def repeated_spans(docs: DataFrame, width: int) -> DataFrame:
                 begin = offsets[row] + nth
                 c = prefix_hash(data)
                 h = mixed((c[begin + width] - c[begin]) * powers(INVERSE, len(data) + 1)[begin])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), anchor[row], content[row], at[row] + nth)], ["string", "anchor", "content", "nth"])
-
-    strings = parts.filter(F.col("k") > MOST).select("anchor", "content", "first", "n_starts", "data").mapInArrow(every, "string bigint, anchor bigint, content bigint, nth bigint")
-    twofold = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
-    by_hash = strings.join(twofold, "string").groupBy("anchor", "content").agg(F.transform(F.collect_set("nth"), lambda x: F.array(x, x + 1)).alias("runs"))
-    hits = written(whole.unionByName(by_array).unionByName(by_hash), "repeated-starts")
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for node, pieces in zip(b["node"], b["pieces"], strict=True):
-                at = np.array(sorted((p["start"] + r[0], p["start"] + r[1] - 1 + width) for p in pieces for r in p["runs"]), np.int64)
-                end = np.maximum.accumulate(at[:, 1])
-                new = np.concatenate(([True], at[1:, 0] > end[:-1]))
-                out.append((node, np.stack([at[new, 0], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]], 1).tolist()))
-            yield pd.DataFrame(out, columns=["node", "spans"])
-
-    # A text's own segments: no more than its bytes.
+                check = digests([data[x : x + width].tobytes() for x in begin])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), check, *(pa.array(x) for x in (anchor[row], content[row], at[row] + nth))], ["string", "check", "anchor", "content", "nth"])
+
+    return parts.mapInArrow(cut, "string bigint, check bigint, anchor bigint, content bigint, nth bigint")
+
+
+def compared(groups: DataFrame, width: int) -> DataFrame:
+    """Repeated starts of groups (meet, anchor, content, again, first, n_starts, data), each of GROUP_BYTES at most, by suffix arrays: anchor, content, lo, hi (starts from lo to hi - 1 in the segment). Rows marked again are compared but not returned."""
+    names = ["meet", "anchor", "content", "again", "first", "n_starts", "data"]
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+
+        def flush() -> pa.RecordBatch:
+            text = np.frombuffer(b"".join(r[6] for r in held), np.uint8)
+            n = np.array([r[5] for r in held])
+            length = np.array([len(r[6]) for r in held])
+            _, starts = spread(np.cumsum(length) - length, n)
+            hit = np.split(repeated_starts(text, starts, width), np.cumsum(n)[:-1])
+            out = [(r[1], r[2], r[4] + a, r[4] + b) for r, x in zip(held, hit, strict=True) if not r[3] and x.any() for a, b in spans(x)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], ["anchor", "content", "lo", "hi"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                for r in zip(*(batch.column(c).slice(at, 1_000).to_pylist() for c in names), strict=True):
+                    if r[0] != last and size >= BLOCK_BYTES:
+                        yield flush()
+                        held, size = [], 0
+                    held.append(r)
+                    size += len(r[6])
+                    last = r[0]
+        if held:
+            yield flush()
+
+    return groups.select(names).repartition("meet").sortWithinPartitions("meet").mapInArrow(sort, "anchor bigint, content bigint, lo bigint, hi bigint")
+
+
+def repeated_spans(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """node, lo, hi (bytes from lo to hi - 1) that repeated strings cover, overlapping or not. docs: node, text, a row per text or more."""
+    found = scratch.write(anchors(docs, width), "anchors")
+    twice = found.groupBy("anchor").agg(F.min("ident").alias("lo"), F.max("ident").alias("hi")).filter("lo != hi").select("anchor")
+    wanted = scratch.write(found.join(twice, "anchor").groupBy("node").agg(F.collect_set("anchor").alias("anchors")), "wanted")
+    scratch.drop("anchors")
+    known = broadcast_if_small(wanted, 32 + 8 * F.size("anchors"))
+    members = scratch.write(cut_segments(docs.join(known, "node").select("node", "text", "anchors"), width), "segments")
+    distinct = scratch.write(
+        members.groupBy("anchor", "content")
+        .agg(F.min("ident").alias("lo"), F.max("ident").alias("hi"), F.first("n_starts").alias("n_starts"), F.first("at").alias("at"), F.first("data").alias("data"))
+        .select("anchor", "content", (F.col("lo") != F.col("hi")).alias("again"), "n_starts", "at", "data"),
+        "distinct-segments",
+    )
+    zero = F.lit(0).cast("long")
+    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.octet_length("data")).alias("bytes")).filter("n > 1")
+    whole = distinct.filter("again").select("anchor", "content", zero.alias("lo"), F.col("n_starts").alias("hi"))
+    several = distinct.join(sizes, "anchor")
+    small = several.filter(F.col("bytes") <= GROUP_BYTES).select(F.col("anchor").alias("meet"), "anchor", "content", "again", zero.alias("first"), "n_starts", "data")
+
+    # Groups that are too large: their parts by class. Of equal parts one is compared with the others.
+    large = several.filter(F.col("bytes") > GROUP_BYTES).select("anchor", "content", "at", "n_starts", "data")
+    classes = scratch.write(cut_classes(large, width), "classes")
+    place = F.struct("anchor", "content", "first", "last")
+    parts = scratch.write(classes.groupBy("core", "part").agg(F.count("*").alias("n"), F.min(place).alias("p")).select("core", "part", "n", "p.*"), "parts")
+    shared = classes.join(parts.filter("n > 1").select("core", "part"), ["core", "part"]).select("anchor", "content", F.col("first").alias("lo"), (F.col("last") + 1).alias("hi"))
+    met = parts.join(parts.groupBy("core").agg(F.count("*").alias("k"), F.sum(F.col("last") - F.col("first") + width).alias("bytes")).filter("k > 1"), "core")
+    cut = met.join(large, ["anchor", "content"]).select(
+        F.col("core").alias("meet"), "anchor", "content", (F.col("n") > 1).alias("again"), "first", (F.col("last") - F.col("first") + 1).alias("n_starts"),
+        F.substring("data", (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + width).cast("int")).alias("data"), "bytes",
+    )
+    by_array = compared(small.unionByName(cut.filter(F.col("bytes") <= GROUP_BYTES).drop("bytes")), width)
+    strings = cut_strings(cut.filter(F.col("bytes") > GROUP_BYTES).select("anchor", "content", "first", "n_starts", "data"), width)
+    twofold = strings.groupBy("string", "check").agg(F.count("*").alias("n")).filter("n > 1").select("string", "check")
+    alone = strings.join(twofold, ["string", "check"]).select("anchor", "content", F.col("nth").alias("lo"), (F.col("nth") + 1).alias("hi"))
+    hits = scratch.write(whole.unionByName(by_array).unionByName(shared).unionByName(alone), "repeated-starts")
     placed = members.select("anchor", "content", "node", "start").distinct().join(hits, ["anchor", "content"])
-    return placed.groupBy("node").agg(F.collect_list(F.struct("start", "runs")).alias("pieces")).mapInPandas(merge, "node bigint, spans array<array<bigint>>")
+    return placed.select("node", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + width).alias("hi"))
+
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """node, spans (arrays lo, hi, in order) of what node, lo, hi cover. A text's own spans: no more than its bytes."""
+    order = Window.partitionBy("node").orderBy("lo", "hi")
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    run = F.sum(F.when(F.col("lo") <= F.col("before"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    merged = spans.withColumn("before", before).withColumn("run", run).groupBy("node", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return merged.groupBy("node").agg(F.sort_array(F.collect_list(F.array("lo", "hi"))).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,29 +349,35 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 
     Null counts as empty. A text of ``width`` bytes or more that another row has too goes wholly; of
     shorter ones nothing goes. Every occurrence goes, the first too, as judged on the input. An empty
-    table gives an empty result.
+    table gives an empty result. Texts of any length are whole; other columns of the input are ignored,
+    whatever their names.
     """
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text", F.octet_length("text")))
-    copied = rows.filter(F.octet_length("text") >= width).groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node", F.lit(True).alias("copied"))
-    known = repeated_spans(rows.select("node", "text"), width).join(copied, "node", "full").select("node", "spans", F.coalesce("copied", F.lit(False)).alias("copied"))
-    known = written(known, "spans")
-    small = F.broadcast if known.count() <= BROADCAST_ROWS else (lambda df: df)
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t, s, c in zip(b["text"], b["spans"], b["copied"], strict=True):
-                raw = t.encode("utf-8", "surrogatepass")
-                gone = [[0, len(raw)]] if c is True or c == 1 else [[int(x), int(y)] for x, y in s] if s is not None else []
-                kept, at = [], 0
-                for x, y in gone:
-                    kept.append(raw[at:x])
-                    at = y
-                kept.append(raw[at:])
-                out.append((len(raw), sum(y - x for x, y in gone), gone, b"".join(kept)))
-            yield pd.concat([b[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_bytes", "n_removed", "spans", "kept"])], axis=1)
+    size = F.octet_length("text")
+    copied = rows.filter(size >= width).groupBy("node").agg(F.count("*").alias("n"), F.max(size).cast("long").alias("hi")).filter("n > 1").select("node", F.lit(0).cast("long").alias("lo"), "hi")
+    known = scratch.write(merged_spans(repeated_spans(rows.select("node", "text"), width, scratch).unionByName(copied)), "spans")
+    scratch.drop_all_but("spans")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
+        for batch in batches:
+            for k, data, offsets in runs(batch.column("text"), RUN_BYTES):
+                n = len(offsets) - 1
+                spans = batch.column("spans").slice(k, n)
+                out, removed = [], []
+                for i, gone in enumerate(spans.to_pylist()):
+                    raw, kept, at = data[offsets[i] : offsets[i + 1]].tobytes(), [], 0
+                    for x, y in gone or ():
+                        kept.append(raw[at:x])
+                        at = y
+                    kept.append(raw[at:])
+                    out.append(b"".join(kept))
+                    removed.append(len(raw) - len(out[-1]))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, n), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), spans, pa.array(out, pa.binary())], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.join(small(known), "node", "left").select("doc_id", "text", "spans", "copied").mapInPandas(
+    joined = rows.join(broadcast_if_small(known, 32 + 48 * F.size("spans")), "node", "left")
+    return joined.select("doc_id", "text", F.coalesce("spans", F.array().cast("array<array<bigint>>")).alias("spans")).mapInArrow(
         keep, f"doc_id {kind}, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary"
     )

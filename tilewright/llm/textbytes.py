@@ -8,7 +8,7 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Texts are worked on in runs of about so many bytes.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 _POWERS: dict[str, np.ndarray] = {}
 
 
