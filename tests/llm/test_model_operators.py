@@ -1,6 +1,8 @@
 import collections
 import hashlib
+import math
 import random
+import re
 import sys
 from pathlib import Path
 
@@ -11,6 +13,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 from tilewright.llm import chat, mixing, quality, tokencount, toxicity  # noqa: E402
+from tilewright.llm.scratch import Scratch  # noqa: E402
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -180,12 +183,86 @@ def test_swaps_keep_the_score_still(spark):
     assert 0 <= blank.score("anything") < 0.3 and toxicity.toxicity(docs.limit(0), blank).isEmpty()
 
 
-def test_held_out_labels(spark):
+def test_held_out_labels(spark, monkeypatch):
+    """The registered query learns from counterfactual pairs, is right on held-out rows, and scores as the formula says."""
     sf = "/root/testdata/sf0.01"
     from tilewright.llm.queries import op6_toxicity
 
-    got = op6_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    made, real = [], toxicity.learn
+    monkeypatch.setattr(toxicity, "learn", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    rows = op6_toxicity(spark, sf)
+    got = rows.filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     assert sum(r.predicted == r.toxic for r in got) >= 0.88 * len(got)
+    assert made[0].pairs > 100
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    scores = {r.doc_id: r.score for r in rows.collect()}
+    assert scores.keys() == texts.keys()
+    for i, t in list(texts.items())[::7]:
+        ws = set(re.findall(r"[^\W\d_]+", (t or "").lower()))
+        names = ws | {w[:n] + "*" for w in ws for n in (4, 5) if len(w) > n}
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-made[0].bias - sum(made[0].weights.get(f, 0.0) for f in names))))
+
+
+def test_long_words_do_not_disturb_each_other():
+    scorer = toxicity.Scorer({"a" * 100: 5.0, "aaaa*": 0.1}, 0.0)
+    alone = scorer.score("a" * 100)
+    assert toxicity.Scorer(scorer.weights, 0.0).score("a" * 100 + "b") < alone
+    scorer.score("a" * 100 + "b")
+    assert scorer.score("a" * 100) == alone and scorer.score("a" * 200_000) < alone
+
+
+def test_every_swap_counts(spark):
+    """A text with more than 64 sentences that name groups gives all its pairs; a repeated id does not multiply the sample."""
+    text = " ".join(f"Word{chr(97 + k % 26)} met muslims." for k in range(100))
+    docs = spark.createDataFrame([(1, text), *[(2, "vile men")] * 6, *[(3, f"some text {i}") for i in range(900)], (4, "vile " * 30_000)], "doc_id long, text string")
+    docs = docs.withColumn("y", F.lit(0))
+    marks = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 1), (4, 1), (2, 1)], "doc_id long, toxic int")
+    scorer = toxicity.learn(docs, marks, max_train=200)
+    scratch_rows = toxicity.sampled(docs, marks, 200, "doc_id", "text", "toxic", Scratch(spark)).collect()
+    assert 100 < len(scratch_rows) < 300
+    whole = toxicity.learn(docs, marks)
+    assert whole.pairs == 100 * 5 + 6 * 1 and scorer.bias != 0
+
+
+def test_scores_by_brute_force(spark):
+    """Votes pooled document by document in plain Python give the query's posteriors; the weights give its scores."""
+    sf = "/root/testdata/sf0.001"
+    from tilewright.llm.linear import hashed
+    from tilewright.llm.queries import op1_quality
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    read = [(i, *quality.Reader().read(t)) for i, t in texts]
+    post = []
+    for _, v, _ in read:
+        junk, good = v.count(quality.JUNK), v.count(quality.GOOD)
+        post.append((junk + 0.5) / (junk + good + 1) if junk + good else 0.2)
+    for _ in range(100):
+        rate = [[[1.0] * 3 for _ in range(2)] for _ in quality.NAMES]
+        for p, (_, v, _) in zip(post, read, strict=True):
+            for k, x in enumerate(v):
+                rate[k][1][x] += p
+                rate[k][0][x] += 1 - p
+        rate = [[[x / sum(c) for x in c] for c in r] for r in rate]
+        share = (sum(post) + 1) / (len(post) + 5)
+        post = []
+        for _, v, _ in read:
+            one = math.log(share) + sum(math.log(rate[k][1][x]) for k, x in enumerate(v))
+            zero = math.log(1 - share) + sum(math.log(rate[k][0][x]) for k, x in enumerate(v))
+            post.append(1 / (1 + math.exp(max(-40, min(40, zero - one)))))
+    _, _, w, b = quality.fit_scorer(docs)
+    got = {r.doc_id: r for r in op1_quality(spark, sf).collect()}
+    for p, (i, v, f) in zip(post, read, strict=True):
+        z = b + sum(w[hashed(k, quality.BITS)] * x for k, x in f.items())
+        assert got[i].posterior == pytest.approx(p, abs=1e-6) and got[i].score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+        assert (got[i].junk_votes, got[i].good_votes) == (v.count(quality.JUNK), v.count(quality.GOOD))
+
+
+def test_long_words_count_whole():
+    tail = "x" * 300 + "#$" * 200
+    assert quality.Reader().read("x" * 300)[1] != quality.Reader().read(tail)[1]
+    votes = dict(zip(quality.NAMES, quality.Reader().read(tail)[0], strict=True))
+    assert votes["signs"] == quality.JUNK and votes["plain"] != quality.GOOD
 
 
 def test_pipeline(spark):

@@ -30,6 +30,8 @@ MAX_TRAIN = 20_000
 #: Bytes by kind: small letters and all beyond ASCII as x, capitals X, digits 9; signs and white space stay.
 KINDS = bytes(120 if 97 <= c <= 122 or c >= 128 else 88 if 65 <= c <= 90 else 57 if 48 <= c <= 57 else c for c in range(256))
 WORD_CACHE = 200_000
+#: A word of more bytes is read in pieces of so many, over its whole length; a text of so many counts as long even if it has few words.
+LONG_WORD, LONG_TEXT = 60, 60
 
 
 def junk_if(x: bool) -> int:
@@ -42,24 +44,24 @@ def good_if(x: bool) -> int:
 
 def shape(kinds: bytes) -> str:
     """Runs of letters and digits as one, runs of one sign as two at most."""
-    return re.sub(rb"([^\w\s])\1+", rb"\1\1", re.sub(rb"x+", b"x", re.sub(rb"X+", b"X", re.sub(rb"9+", b"9", kinds))))[:12].decode("ascii")
+    return re.sub(rb"([^\w\s])\1+", rb"\1\1", re.sub(rb"x+", b"x", re.sub(rb"X+", b"X", re.sub(rb"9+", b"9", kinds)))).decode("ascii")
 
 
 class Reader:
     """What labellers and scorer see of a text; what a word's kinds mean is kept from text to text."""
 
     def __init__(self):
-        self.known: dict[bytes, tuple[str, bool, int, int, int]] = {}
+        self.known: dict[bytes, tuple[tuple[str, ...], bool, int, int, int]] = {}
 
-    def word(self, kinds: bytes) -> tuple[str, bool, int, int, int]:
-        """shape, ends in a run of signs, letters, capitals, signs."""
+    def word(self, kinds: bytes) -> tuple[tuple[str, ...], bool, int, int, int]:
+        """shapes of its pieces (one, unless it is long), ends in a run of signs, letters, capitals, signs."""
         got = self.known.get(kinds)
         if got is None:
             small, capital = kinds.count(b"x"), kinds.count(b"X")
-            got = (shape(kinds[:200]), bool(re.search(rb"[^\w\s]{2}$", kinds)), small + capital, capital, len(kinds) - small - capital - kinds.count(b"9"))
+            got = (tuple(shape(kinds[i : i + LONG_WORD]) for i in range(0, len(kinds), LONG_WORD)), bool(re.search(rb"[^\w\s]{2}$", kinds)), small + capital, capital, len(kinds) - small - capital - kinds.count(b"9"))
             if len(self.known) >= WORD_CACHE:
                 self.known.clear()
-            if len(kinds) < 60:
+            if len(kinds) <= LONG_WORD:
                 self.known[kinds] = got
         return got
 
@@ -72,8 +74,9 @@ class Reader:
         shapes: Counter = Counter()
         runs = letters = capitals = signs = bare = chars = 0
         for w, k in Counter(" ".join(words).encode("utf-8", "surrogatepass").translate(KINDS).split(b" ")).items():
-            s, run, le, up, si = self.word(w)
-            shapes[s] += k
+            pieces, run, le, up, si = self.word(w)
+            for s in pieces:
+                shapes[s] += k
             runs += k * run
             letters += k * le
             capitals += k * up
@@ -84,10 +87,11 @@ class Reader:
         top = max(Counter(words).values()) / n
         pairs = len(set(zip(words, words[1:], strict=False))) / max(n - 1, 1)
         capital, sign = capitals / max(letters, 1), signs / chars
+        some = n >= 3 or chars >= LONG_TEXT
         votes = (
-            junk_if(runs > 0.15 * (n + 1)), junk_if(capital > 0.5 and n >= 3), junk_if(repeats > 0.2 and n >= 5), junk_if(top > 0.4 and n >= 10),
-            junk_if(sign > 0.15 and n >= 3), junk_if(bare > 0.2 * (n + 1)), junk_if(pairs < 0.3 and n >= 20),
-            good_if((sign < 0.1 and capital < 0.25) or (n < 8 and not runs and not bare and capital <= 0.5)), good_if(repeats < 0.08 and (pairs > 0.4 or n < 5)),
+            junk_if(runs > 0.15 * (n + 1)), junk_if(capital > 0.5 and some), junk_if(repeats > 0.2 and n >= 5), junk_if(top > 0.4 and n >= 10),
+            junk_if(sign > 0.15 and some), junk_if(bare > 0.2 * (n + 1)), junk_if(pairs < 0.3 and n >= 20),
+            good_if((sign < 0.1 and capital < 0.25) or (n < 8 and chars < LONG_TEXT and not runs and not bare and capital <= 0.5)), good_if(repeats < 0.08 and (pairs > 0.4 or n < 5)),
         )
         features = {"s:" + s: k / (n + THIN) for s, k in shapes.items()}
         thin = n / (n + THIN)
@@ -176,8 +180,9 @@ def fit_scorer(docs: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "tex
 def quality(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """A row per document row: doc_id, junk_votes, good_votes, posterior, score (both P(junk)), rejected; then the columns of ``keep``.
 
-    A null, empty or blank text is junk by every labeller. Texts that are equal score equal. An empty
-    table gives an empty result.
+    A null, empty or blank text is junk by every labeller. Texts that are equal score equal; texts and
+    words of any length are read whole. Repeated rows and ids keep a row each. Columns of ``keep`` must
+    not be named like the new ones; other input columns are ignored. An empty table gives an empty result.
     """
     posteriors, _, weights, bias = fit_scorer(docs, max_train, text_col)
     used = {int(i): float(weights[i]) for i in np.flatnonzero(weights)}

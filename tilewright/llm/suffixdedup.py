@@ -298,9 +298,10 @@ def compared(groups: DataFrame, width: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """node, lo, hi (bytes from lo to hi - 1) that repeated strings cover, overlapping or not. docs: node, text, a row per text or more."""
     found = scratch.write(anchors(docs, width), "anchors")
-    twice = found.groupBy("anchor").agg(F.min("ident").alias("lo"), F.max("ident").alias("hi")).filter("lo != hi").select("anchor")
+    # Written, so that both sides of the join are plain shuffles and a very frequent anchor can be split.
+    twice = scratch.write(found.groupBy("anchor").agg(F.min("ident").alias("lo"), F.max("ident").alias("hi")).filter("lo != hi").select("anchor"), "twice")
     wanted = scratch.write(found.join(twice, "anchor").groupBy("node").agg(F.collect_set("anchor").alias("anchors")), "wanted")
-    scratch.drop("anchors")
+    scratch.drop("anchors", "twice")
     known = broadcast_if_small(wanted, 32 + 8 * F.size("anchors"))
     members = scratch.write(cut_segments(docs.join(known, "node").select("node", "text", "anchors"), width), "segments")
     distinct = scratch.write(
@@ -330,18 +331,18 @@ def repeated_spans(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     strings = cut_strings(cut.filter(F.col("bytes") > GROUP_BYTES).select("anchor", "content", "first", "n_starts", "data"), width)
     twofold = strings.groupBy("string", "check").agg(F.count("*").alias("n")).filter("n > 1").select("string", "check")
     alone = strings.join(twofold, ["string", "check"]).select("anchor", "content", F.col("nth").alias("lo"), (F.col("nth") + 1).alias("hi"))
-    hits = scratch.write(whole.unionByName(by_array).unionByName(shared).unionByName(alone), "repeated-starts")
-    placed = members.select("anchor", "content", "node", "start").distinct().join(hits, ["anchor", "content"])
-    return placed.select("node", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + width).alias("hi"))
+    hits = scratch.write(merged_spans(whole.unionByName(by_array).unionByName(shared).unionByName(alone), ["anchor", "content"]), "repeated-starts")
+    placed = members.select("anchor", "content", "node", "start").distinct().join(hits, ["anchor", "content"]).select("node", "start", F.explode("spans").alias("s"))
+    return placed.select("node", (F.col("start") + F.col("s")[0]).alias("lo"), (F.col("start") + F.col("s")[1] - 1 + width).alias("hi"))
 
 
-def merged_spans(spans: DataFrame) -> DataFrame:
-    """node, spans (arrays lo, hi, in order) of what node, lo, hi cover. A text's own spans: no more than its bytes."""
-    order = Window.partitionBy("node").orderBy("lo", "hi")
+def merged_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys and spans (arrays lo, hi, in order) of what lo, hi cover by key. Spans of a text or segment: a few for each of its bytes at most."""
+    order = Window.partitionBy(*keys).orderBy("lo", "hi")
     before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     run = F.sum(F.when(F.col("lo") <= F.col("before"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    merged = spans.withColumn("before", before).withColumn("run", run).groupBy("node", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return merged.groupBy("node").agg(F.sort_array(F.collect_list(F.array("lo", "hi"))).alias("spans"))
+    merged = spans.withColumn("before", before).withColumn("run", run).groupBy(*keys, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return merged.groupBy(*keys).agg(F.sort_array(F.collect_list(F.array("lo", "hi"))).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,7 +357,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text", F.octet_length("text")))
     size = F.octet_length("text")
     copied = rows.filter(size >= width).groupBy("node").agg(F.count("*").alias("n"), F.max(size).cast("long").alias("hi")).filter("n > 1").select("node", F.lit(0).cast("long").alias("lo"), "hi")
-    known = scratch.write(merged_spans(repeated_spans(rows.select("node", "text"), width, scratch).unionByName(copied)), "spans")
+    known = scratch.write(merged_spans(repeated_spans(rows.select("node", "text"), width, scratch).unionByName(copied), ["node"]), "spans")
     scratch.drop_all_but("spans")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
