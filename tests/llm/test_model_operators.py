@@ -125,6 +125,15 @@ def test_mixing(spark):
     assert mixing.taken(mixing.mix(df.limit(0))).isEmpty()
 
 
+def test_mixing_keeps_columns_of_any_name_and_type(spark):
+    rows = [(k, "a" if k % 3 else None, f"w{k} w w", {"k": k}, k, -k) for k in range(30)] + [(3, None, "w3 w w", {"k": 3}, 3, -3)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, tags map<string,int>, _copies long, _key long")
+    got = mixing.mixed_documents(df, block_words=4)
+    assert got.columns == df.columns
+    want = {(r.doc_id, r.source, r.text, r.tags["k"], r._copies, r._key) for r in df.collect()}
+    assert {(r.doc_id, r.source, r.text, r.tags["k"], r._copies, r._key) for r in got.collect()} <= want and got.count() > 10
+
+
 def chats():
     rng = random.Random(3)
     rows = []

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 import sys
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from tilewright.llm import decontam, partenum, sharding, sketch, suffixdedup, textbytes  # noqa: E402
+from tilewright.llm import decontam, partenum, ranks, sharding, sketch, suffixdedup, textbytes  # noqa: E402
 
 SCHEMA = "doc_id long, text string"
 
@@ -227,7 +228,11 @@ def test_fingerprints(spark, corpus):
     assert [tuple(r) for r in got] == [(pytest.approx(2 / 3), pytest.approx(1.0)), (1.0, None), (0.0, None)]
 
 
-def test_next_document(spark, corpus):
+@pytest.mark.parametrize(("listed", "size"), [(4_096, 64), (3, 5), (1, 4)])
+def test_next_document(spark, corpus, monkeypatch, listed, size):
+    """Ids in a list of ranges, and in ranges that are cut again."""
+    monkeypatch.setattr(sketch, "LISTED", listed)
+    monkeypatch.setattr(sketch, "ROWS_PER_RANGE", size)
     got = sketch.with_next(frame(spark, corpus)).collect()
     order = sorted(((-(1 << 63) if i is None else i), t or "") for i, t in corpus)
     want = sorted((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
@@ -237,3 +242,43 @@ def test_next_document(spark, corpus):
     assert [r for r in rows if r[0] > 0] == [r for r in want if r[0] > 0]
     assert sketch.with_next(frame(spark, corpus).limit(0)).isEmpty()
     assert [r.next_text for r in sketch.with_next(frame(spark, [(7, "only")])).collect()] == ["only"]
+
+
+def test_fingerprint_text(spark, corpus):
+    """Equal texts have equal fingerprints; a fingerprint holds its sketch's hashes, six bytes each."""
+    got = sketch.fingerprints(frame(spark, corpus)).collect()
+    by_text = {}
+    for r in got:
+        raw = base64.b64decode(r.fingerprint)
+        assert [int.from_bytes(raw[k : k + 6], "big") for k in range(0, len(raw), 6)] == list(r.sketch)
+    texts = frame(spark, corpus).select("text", sketch.encoded(sketch.sketch(F.col("text"))).alias("f")).collect()
+    for r in texts:
+        assert by_text.setdefault(r.text or "", r.f) == r.f
+    assert len(set(by_text.values())) > 60
+
+
+def test_many_equal_rows_are_numbered(spark, monkeypatch):
+    """Repeated rows of one id, over the number that one task numbers, have gapless places; so has a table in many buckets."""
+    monkeypatch.setattr(ranks, "HOT", 20)
+    monkeypatch.setattr(ranks, "BLOCK", 4)
+    docs = [(1, "same")] * 90 + [(None, None)] * 40 + [(k, f"text {k}") for k in range(300)]
+    got = sharding.shard(frame(spark, docs), 7).collect()
+    again = sharding.shard(frame(spark, docs, 5), 7).collect()
+    assert sorted(r.row_number for r in got) == list(range(len(docs)))
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
+def test_sharded_documents_keep_their_columns(spark):
+    docs = spark.createDataFrame([(1, "a", 5, 6, {"k": 1}), (2, None, 7, 8, None)], "doc_id long, text string, shard int, row_number int, size map<string,int>")
+    got = sharding.sharded_documents(docs, 2)
+    assert got.columns == ["doc_id", "text", "shard", "row_number", "size", "_shard", "slot"]
+    assert sorted((r.doc_id, r.shard, r.row_number, r["size"]) for r in got.collect()) == [(1, 5, 6, {"k": 1}), (2, 7, 8, None)]
+
+
+def test_contamination_of_passages_that_all_items_share(spark):
+    rng = random.Random(21)
+    shared = words(rng, 12, 9_000)
+    bench = [(k, shared + f" own{k} " + words(rng, 3, 9_000)) for k in range(40)]
+    docs = [(k, words(rng, 20, 9_000) + " " + shared + " " + words(rng, 20, 9_000)) for k in range(10)] + [(100, words(rng, 50, 9_000)), (None, shared), (100, None)]
+    got = decontam.contamination(frame(spark, docs, 1), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got), key=repr) == brute.decontam(docs, bench)

@@ -12,12 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.scratch import written
+from tilewright.llm.naming import unused
+from tilewright.llm.scratch import Scratch, broadcast_if_small, dealt_to_all
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A window table is broadcast in parts of about so many words; a larger benchmark takes more passes.
 BROADCAST_WORDS = 2_000_000
+#: The item lists of hit windows are broadcast up to so many bytes.
+BROADCAST_BYTES = 32 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -36,9 +39,9 @@ def windows_of(benchmark: DataFrame, width: int, id_col: str = "item_id", text_c
     )
 
 
-def frequencies(docs: DataFrame, vocabulary: DataFrame, parts: int, text_col: str) -> DataFrame:
-    """How often each vocabulary word occurs in all documents: word, n."""
-    places = docs.select(F.explode(words_of(F.col(text_col))).alias("word"))
+def frequencies(tokens: DataFrame, vocabulary: DataFrame, parts: int) -> DataFrame:
+    """How often each vocabulary word occurs in all documents (w): word, n."""
+    places = tokens.select(F.explode("w").alias("word"))
     found = None
     for k in range(parts):
         some = places.join(F.broadcast(vocabulary.filter(F.pmod(F.xxhash64("word"), F.lit(parts)) == k)), "word")
@@ -46,12 +49,12 @@ def frequencies(docs: DataFrame, vocabulary: DataFrame, parts: int, text_col: st
     return found.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Windows with their rarest token (the first of equals by word): anchor, at, window, items."""
-    by_word = windows.withColumn("id", F.xxhash64("window")).select("id", "window", "items", F.posexplode("window").alias("at", "anchor"))
-    ranked = by_word.join(counts.withColumnRenamed("word", "anchor"), "anchor", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    first = F.min_by(F.struct("at", "anchor", "items"), F.struct("n", "anchor", "at"))
-    return ranked.groupBy("window").agg(first.alias("a")).select("a.anchor", "a.at", "window", "a.items")
+def anchored(windows: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
+    """Windows (wid, window, set) with their rarest token (the first of equals by word): anchor, at, wid, window, set."""
+    known = F.broadcast(counts) if parts == 1 else counts
+    ranked = windows.select("wid", F.posexplode("window").alias("at", "anchor")).join(known.withColumnRenamed("word", "anchor"), "anchor", "left")
+    first = F.min_by(F.struct("at", "anchor"), F.struct(F.coalesce("n", F.lit(0)), "anchor", "at"))
+    return ranked.groupBy("wid").agg(first.alias("a")).join(windows, "wid").select("a.anchor", "a.at", "wid", "window", "set")
 
 
 def contamination(
@@ -62,30 +65,34 @@ def contamination(
     A null or wordless text has no words and no hits; a null or wordless benchmark text has no
     window; one shorter than ``width`` is a single window. An empty benchmark leaves every document
     clean. Repeated rows and equal or null ids keep a row each. Other input columns are ignored.
+
+    Texts are cut to words once, in a table of which each row has a number. Windows travel as numbers;
+    the lists of items that have them, each list once, are looked up for the windows of a document.
     """
-    windows = written(windows_of(benchmark, width, item_col, item_text_col), "decontam-windows")
-    size = windows.agg(F.coalesce(F.sum(F.size("window") + F.size("items")), F.lit(0)).alias("n")).first()["n"]
+    scratch = Scratch(docs.sparkSession)
+    raw = scratch.write(windows_of(benchmark, width, item_col, item_text_col), "window-items")
+    sets = scratch.write(raw.select("items").distinct().withColumn("set", F.monotonically_increasing_id()), "item-lists")
+    windows = scratch.write(raw.join(sets, "items").select(F.monotonically_increasing_id().alias("wid"), "window", "set"), "windows")
+    size = windows.agg(F.coalesce(F.sum(F.size("window")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-size // BROADCAST_WORDS))
+    words = dealt_to_all(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", words_of(F.col("text")).alias("w"))
+    tokens = scratch.write(words.select("doc_id", F.monotonically_increasing_id().alias("row"), F.size("w").alias("n_words"), "w"), "document-words")
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
-    anchors = written(anchored(windows, frequencies(docs, vocabulary, parts, text_col)), "decontam-anchors")
+    anchors = scratch.write(anchored(windows, frequencies(tokens, vocabulary, parts), parts), "anchors")
 
-    tokens = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words_of(F.col(text_col)).alias("w"))
-    placed = tokens.select("doc_id", "row", "w", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("pos", "word"))
+    placed = tokens.select("row", "w", "n_words", F.posexplode("w").alias("pos", "word"))
     found = None
     for k in range(parts):
-        part = F.broadcast(anchors.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == k))
+        part = F.broadcast(anchors.filter(F.pmod(F.xxhash64("wid"), F.lit(parts)) == k))
         start = F.col("pos") - F.col("at")
         inside = (start >= 0) & (start + F.size("window") <= F.col("n_words"))
         same = F.when(inside, F.slice(F.col("w"), F.greatest(start + 1, F.lit(1)), F.size("window")) == F.col("window"))
-        some = placed.join(part, placed["word"] == part["anchor"], "left").select(
-            "doc_id", "row", "n_words", "pos",
-            F.when(F.coalesce(same, F.lit(False)), F.struct(start.alias("start"), F.size("window").alias("length"))).alias("span"), "items",
-        ).filter(F.col("span").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0))
+        some = placed.join(part, placed["word"] == part["anchor"]).filter(F.coalesce(same, F.lit(False)))
+        some = some.select("row", F.struct(start.alias("start"), F.size("window").alias("length")).alias("span"), "set")
         found = some if found is None else found.unionByName(some)
-    per_doc = found.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), F.sort_array(F.collect_set("span")).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("span").isNotNull(), F.col("items")))))).alias("items"),
-    )
+    hit = scratch.write(found.groupBy("row").agg(F.sort_array(F.collect_set("span")).alias("hits"), F.collect_set("set").alias("sets")), "hits")
+    lists = broadcast_if_small(sets, 32 + 48 * F.size("items"), BROADCAST_BYTES)
+    named = hit.select("row", F.explode("sets").alias("set")).join(lists, "set").groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     covered = F.aggregate(
         "hits", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda acc, s: F.struct(
@@ -94,12 +101,21 @@ def contamination(
         ),
         lambda acc: acc["n"].cast("long"),
     )
+    none = lambda c: F.coalesce(c, F.array().cast(found_type(c, hit, named)))
+    per_doc = tokens.select("row", "doc_id", F.col("n_words").cast("long")).join(hit.select("row", "hits"), "row", "left").join(named, "row", "left")
+    per_doc = per_doc.select("doc_id", "n_words", none("hits").alias("hits"), none("items").alias("items"))
     return per_doc.select("doc_id", "n_words", "hits", "items", covered.alias("n_hit"))
 
 
+def found_type(column: str, *tables: DataFrame) -> str:
+    return next(t.schema[column].dataType.simpleString() for t in tables if column in t.columns)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id") -> DataFrame:
     """The documents without any window, with the columns they came with. Rows are told apart by id and text, so ids may be null or shared."""
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    named = keyed.select(F.struct(F.col(id_col).alias("id"), F.col("_key").alias("key")).alias("doc_id"), "text")
-    bad = contamination(named, benchmark, width).filter("n_hit > 0").select(F.col("doc_id.id").alias("_bad"), F.col("doc_id.key").alias("_bad_key")).distinct()
-    return keyed.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.col("_key") == F.col("_bad_key")), "left_anti").drop("_key")
+    key = unused(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    bad, bad_key = unused(keyed, "_bad"), unused(keyed, "_bad_key")
+    named = keyed.select(F.struct(F.col(id_col).alias("id"), F.col(key).alias("key")).alias("doc_id"), "text")
+    found = contamination(named, benchmark, width).filter("n_hit > 0").select(F.col("doc_id.id").alias(bad), F.col("doc_id.key").alias(bad_key)).distinct()
+    return keyed.join(found, F.col(id_col).eqNullSafe(F.col(bad)) & (F.col(key) == F.col(bad_key)), "left_anti").drop(key)

@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.ranks import bucket_count
+from tilewright.llm.naming import unused
+from tilewright.llm.ranks import before, bucket_count
 from tilewright.llm.scratch import written
 
 GOLDEN = 0.6180339887498949
@@ -77,14 +78,14 @@ def mix(
 
     A null or blank text has no words: it is taken 0 times and is in no block. A null source is a
     source like any other, last in order. Repeated rows each have their own place. An empty table
-    gives empty tables. Other columns of the input only enter the row's hash.
+    gives empty tables. Other columns of the input, of any type and name, only enter the row's hashes.
     """
     b = block_words
     sized = written(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
             F.coalesce(F.size(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long").alias("size"),
-            row_key(docs, seed).alias("key"),
+            row_key(docs, seed).alias("key"), row_key(docs, seed + 1).alias("check"),
         ).withColumn("size", F.greatest("size", F.lit(0))),
         "mix-sizes",
     )
@@ -104,13 +105,11 @@ def mix(
     # The place of every document in its source's shuffled stream.
     keyed = sized.join(small(targets.select(F.col("source").alias("_s"), "src", "source_size", "target")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     keyed = keyed.withColumn("part", F.pmod("key", F.lit(bucket_count(rows))))
-    parts = keyed.groupBy("src", "part").agg(F.sum("size").alias("_n"))
-    upto = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("src", "part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("src", "part").orderBy("key", "doc_id", "size")
+    parts = before(keyed.groupBy("src", "part").agg(F.sum("size").alias("_n")), ["src"], "part", "_n", "_first").drop("_n")
+    inside = Window.partitionBy("src", "part").orderBy("key", "check", "doc_id", "size")
     placed = keyed.join(parts, ["src", "part"]).select(
-        "doc_id", "size", "src", "source_size", "target", "key", "part", F.row_number().over(inside).alias("nth"),
-        (F.col("_base") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("start"),
+        "doc_id", "size", "src", "source_size", "target", "key", "check", "part", F.row_number().over(inside).alias("nth"),
+        (F.col("_first") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("start"),
     )
 
     slots = schedule(targets, known["n"], known["slots"], b, sequence, small)
@@ -121,7 +120,8 @@ def mix(
 
 
 def row_key(docs: DataFrame, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns])
+    """A hash of all columns; maps, which have no hash, enter as text."""
+    return F.xxhash64(F.lit(seed), *[F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema])
 
 
 def schedule(targets: DataFrame, sources: int, total: int, b: int, sequence: str, small=lambda df: df) -> DataFrame:
@@ -138,9 +138,8 @@ def schedule(targets: DataFrame, sources: int, total: int, b: int, sequence: str
     drawn = spark.range(total).withColumn("u", point(F.col("id"), sequence)).withColumn("cell", F.floor(F.col("u") * cells))
     drawn = drawn.join(ranges, "cell").filter("u >= lo AND u < hi").select("id", "src", F.floor(F.col("id") / CHUNK).alias("chunk"))
     counts = drawn.groupBy("src", "chunk").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("src", "chunk", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
-    ranked = drawn.join(base, ["src", "chunk"]).select("src", F.col("id").alias("slot"), (F.col("_base") + F.row_number().over(Window.partitionBy("src", "chunk").orderBy("id")) - 1).alias("rank"))
+    base = before(counts, ["src"], "chunk", "_n", "_first").drop("_n")
+    ranked = drawn.join(base, ["src", "chunk"]).select("src", F.col("id").alias("slot"), (F.col("_first") + F.row_number().over(Window.partitionBy("src", "chunk").orderBy("id")) - 1).alias("rank"))
     had = counts.groupBy("src").agg(F.sum("_n").alias("_had"))
     late = (
         targets.filter("slots > 0").join(had, "src", "left").withColumn("_had", F.coalesce("_had", F.lit(0))).filter("_had < slots")
@@ -156,7 +155,7 @@ def schedule(targets: DataFrame, sources: int, total: int, b: int, sequence: str
 
 
 def taken(m: Mix, b: int = 1_024) -> DataFrame:
-    """Words of each document that the mix takes: doc_id, size, source_size, target, taken, key, n_copies.
+    """Words of each document that the mix takes: doc_id, size, source_size, target, taken, key, check, n_copies.
 
     n_copies counts the slots that take the document's first word.
     """
@@ -170,7 +169,7 @@ def taken(m: Mix, b: int = 1_024) -> DataFrame:
     first = F.col("piece_start") == F.col("start")
     starts = F.col("whole") + F.when(F.col("block") * b + F.col("part_words") > F.col("piece_start"), 1).otherwise(0)
     return (
-        got.groupBy("src", "part", "nth", "doc_id", "size", "source_size", "target", "key")
+        got.groupBy("src", "part", "nth", "doc_id", "size", "source_size", "target", "key", "check")
         .agg(
             F.coalesce(F.sum(F.col("whole") * length + cut), F.lit(0)).cast("long").alias("taken"),
             F.coalesce(F.max(F.when(first, starts)), F.lit(0)).cast("long").alias("n_copies"),
@@ -180,15 +179,16 @@ def taken(m: Mix, b: int = 1_024) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
-    """The mix in whole documents: each is there as often as slots take its first word, with its own columns.
+    """The mix in whole documents: each is there as often as slots take its first word, with its own columns, whatever their names and types.
 
-    A document without words is in no block and stays once. Equal rows stand for each other.
+    A document without words is in no block and stays once. Rows that are equal in all columns stand for each other.
     """
     uses = taken(mix(docs, seed=seed, **options), options.get("block_words", 1_024))
-    uses = uses.groupBy("key").agg(F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("n_copies"))).alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
-    uses = written(uses.select(F.col("key").alias("_key"), "_copies", "_rows"), "mix-copies")
-    keyed = docs.withColumn("_key", row_key(docs, seed))
-    single = keyed.join(uses.filter("_rows = 1"), "_key")
-    equal = keyed.join(uses.filter("_rows > 1"), "_key").dropDuplicates(["_key"])
-    rows = single.unionByName(equal).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    uses = uses.groupBy("key", "check").agg(F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("n_copies"))).alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    key, check, copies, nth = (unused(docs, c) for c in ("_key", "_check", "_copies", "_nth"))
+    uses = written(uses.select(F.col("key").alias(key), F.col("check").alias(check), F.col("copies").alias(copies), (F.col("rows") > 1).alias(nth)), "mix-copies")
+    keyed = docs.withColumns({key: row_key(docs, seed), check: row_key(docs, seed + 1)})
+    single = keyed.join(uses.filter(~F.col(nth)), [key, check])
+    equal = keyed.join(uses.filter(nth), [key, check]).dropDuplicates([key, check])
+    rows = single.unionByName(equal).withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

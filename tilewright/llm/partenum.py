@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.components import components
+from tilewright.llm.naming import unused
 from tilewright.llm.scratch import written
 from tilewright.llm.textbytes import BASE, mixed, runs, shingles, summed, words
 
@@ -496,10 +497,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("doc_id").alias("_id"), F.col("key").alias("_same"), "times",
         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))).alias("stays"),
     )
-    keyed = docs.withColumn("_key", F.xxhash64(text_col))
-    marked = lambda left, marks, how: left.join(marks.select("_id", "_same"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_same")), how)
+    key = unused(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64(text_col))
+    name, same = unused(keyed, "_id"), unused(keyed, "_same")
+    marked = lambda left, marks, how: left.join(marks.select(F.col("_id").alias(name), F.col("_same").alias(same)), F.col(id_col).eqNullSafe(F.col(name)) & (F.col(key) == F.col(same)), how)
     again = found.filter("stays AND times > 1")
     rest = marked(keyed, found.filter("NOT stays"), "left_anti")
     single = marked(rest, again, "left_anti")
-    double = marked(rest, again, "left_semi").dropDuplicates([id_col, "_key"])
-    return single.unionByName(double).drop("_key")
+    double = marked(rest, again, "left_semi").dropDuplicates([id_col, key])
+    return single.unionByName(double).drop(key)

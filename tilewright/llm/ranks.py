@@ -1,7 +1,7 @@
 """Global row numbers and running sums without a one-task window.
 
 Rows are dealt to buckets by a hash. A small table with one row per bucket gives what lies before
-each bucket; a window inside the bucket gives the rest.
+each bucket, summed in two levels; a window inside the bucket gives the rest.
 """
 
 from __future__ import annotations
@@ -9,31 +9,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: At most so many buckets, so that the table of bucket sums has a fixed bound.
-MAX_BUCKETS = 65_536
+from tilewright.llm.scratch import Scratch
 
+#: Buckets hold about FEW_ROWS rows while there are no more than FEW_BUCKETS of them, and up to MANY_ROWS in larger tables.
+FEW_ROWS, FEW_BUCKETS, MANY_ROWS = 64, 65_536, 4_096
+#: So many bucket sums are added up in one window.
+BLOCK = 4_096
+#: Equal rows beyond this number are dealt to SALTS parts.
+HOT, SALTS = 4_096, 1_024
 
-def bucket_count(rows: int, rows_per_bucket: int = 64) -> int:
-    return max(1, min(MAX_BUCKETS, -(-rows // rows_per_bucket)))
+
+def bucket_count(rows: int) -> int:
+    return max(1, min(-(-rows // FEW_ROWS), max(FEW_BUCKETS, -(-rows // MANY_ROWS))))
+
+
+def before(counts: DataFrame, keys: list[str], index: str, value: str, name: str) -> DataFrame:
+    """``counts`` (a row per keys and index from 0 up) with ``name``: the sum of ``value`` over the smaller indexes of the same keys."""
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    rows = counts.withColumn("_block", F.floor(F.col(index) / BLOCK))
+    blocks = rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
+    blocks = blocks.select(*keys, "_block", F.coalesce(F.sum("_sum").over(earlier(Window.partitionBy(*keys).orderBy("_block"))), zero).alias("_base"))
+    inside = earlier(Window.partitionBy(*keys, "_block").orderBy(index))
+    return rows.join(blocks, [*keys, "_block"]).withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(inside), zero)).drop("_block", "_base")
 
 
 def numbered(df: DataFrame, key: str, order: list[Column], rows: int, name: str = "row_number") -> DataFrame:
     """``df`` with row numbers from 0 without gaps.
 
     ``key`` is a column with a 64-bit hash of the row; the order is (bucket of the key, ``order``), so
-    it depends on the rows alone, not on how they are partitioned. Equal rows are interchangeable.
-    The broadcast table has MAX_BUCKETS rows at most.
+    it depends on the rows alone, not on how they are partitioned. Equal rows are interchangeable;
+    those of a key with more than HOT rows come last and are numbered in many tasks.
     """
-    b = bucket_count(rows)
-    df = df.withColumn("_bucket", F.pmod(F.col(key), F.lit(b)))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = (
-        df.groupBy("_bucket").agg(F.count("*").alias("_n"))
-        .select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    )
+    scratch, b = Scratch(df.sparkSession), bucket_count(rows)
+    often = scratch.write(df.groupBy(F.col(key).alias("_often")).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT), "often")
+    hot = None
+    if not often.isEmpty():
+        same = F.col(key) == F.col("_often")
+        # Written, so that a row keeps its salt when a task runs again.
+        hot = scratch.write(df.join(often, same, "left_semi").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "repeated-rows")
+        df = df.join(often, same, "left_anti")
+    cold = df.withColumn("_bucket", F.pmod(F.col(key), F.lit(b)))
+    base = before(cold.groupBy("_bucket").agg(F.count("*").alias("_n")), [], "_bucket", "_n", "_first").select("_bucket", "_first")
     inside = Window.partitionBy("_bucket").orderBy(*order)
-    return (
-        df.join(F.broadcast(base), "_bucket")
-        .withColumn(name, F.col("_base") + F.row_number().over(inside) - 1)
-        .drop("_bucket", "_base")
-    )
+    out = cold.join(base, "_bucket").withColumn(name, F.col("_first") + F.row_number().over(inside) - 1).drop("_bucket", "_first")
+    if hot is None:
+        return out
+    # A row for each key of more than HOT rows, and SALTS rows of each.
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    total = rows - hot.count()
+    keys = often.select(F.col("_often").alias(key), (earlier(Window.orderBy("_often")) + F.lit(total)).alias("_first"))
+    salts = hot.groupBy(key, "_salt").agg(F.count("*").alias("_n")).withColumn("_inner", earlier(Window.partitionBy(key).orderBy("_salt"))).drop("_n")
+    nth = F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order))
+    last = hot.join(salts, [key, "_salt"]).join(keys, key).withColumn(name, F.col("_first") + F.col("_inner") + nth - 1)
+    return out.unionByName(last.select(out.columns))

@@ -6,7 +6,8 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @functools.cache
@@ -59,3 +60,16 @@ class Scratch:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table that stays until the application ends."""
     return Scratch(df.sparkSession).write(df, name)
+
+
+def broadcast_if_small(df: DataFrame, size: Column, limit: int) -> DataFrame:
+    """``df`` marked for broadcast if the sum of ``size`` (bytes of a row) is checked to be no more than ``limit``; else as it is."""
+    total = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if total <= limit else df
+
+
+def dealt_to_all(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if its files give tasks for less than half of them (one file with one row group, say)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df if 2 * tasks >= cores else df.repartition(cores)

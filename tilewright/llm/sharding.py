@@ -14,6 +14,7 @@ import struct
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm.naming import unused
 from tilewright.llm.ranks import numbered
 
 ROUNDS = 6
@@ -78,25 +79,34 @@ def place_of(row_number: int, n: int, shards: int, seed: int = 0) -> tuple[int,
 
 
 def shard(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Deals rows to shards: doc_id, size, text_crc32, row_number, shard, slot, then the columns of ``keep``.
+    """Deals rows to shards: doc_id, size, text_crc32, row_number, shard, slot, then row (a struct of the columns of ``keep``) if there are any.
 
     size is the text's UTF-8 bytes plus 1. A null text counts no bytes and has the checksum of the
-    empty text; a null id is an id like any other. Repeated rows each get a place of their own. An
-    empty table gives an empty result. Other columns of the input are ignored.
+    empty text; a null id is an id like any other. Repeated rows each get a place of their own, and
+    many of them are numbered in many tasks. An empty table gives an empty result. Other columns of
+    the input are ignored, whatever their names.
     """
     n = docs.count()
     text = F.coalesce(F.col(text_col), F.lit(""))
+    kept = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), *keep,
+        F.crc32(text).alias("text_crc32"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), *kept,
     )
-    rows = numbered(rows, "_key", [F.col("_key"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], n)
+    rows = numbered(rows, "key", [F.col("key"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], n)
     place = permuted(F.col("row_number"), max(n, 1), seed)
     return (
-        rows.withColumn("_place", place)
+        rows.withColumn("place", place)
         .select(
             "doc_id", "size", "text_crc32", "row_number",
-            F.pmod(F.col("_place"), F.lit(shards)).cast("int").alias("shard"),
-            F.floor(F.col("_place") / F.lit(shards)).cast("long").alias("slot"), *keep,
+            F.pmod(F.col("place"), F.lit(shards)).cast("int").alias("shard"),
+            F.floor(F.col("place") / F.lit(shards)).cast("long").alias("slot"), *(["row"] if keep else []),
         )
     )
+
+
+def sharded_documents(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with their own columns, then shard and slot, named with underscores before them where the input has such columns."""
+    names = {c: unused(docs, c) for c in ("shard", "slot")}
+    placed = shard(docs, shards, seed, id_col, text_col, keep=tuple(docs.columns))
+    return placed.select("row.*", *[F.col(c).alias(new) for c, new in names.items()])

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 K, SHINGLE_WORDS = 128, 5
 #: Hashes have 48 bits, so that one is 8 characters of base 64.
 HASH_BITS = 48
-#: Range borders of the id order: so many at most, found by an approximate quantile of all ids.
-MAX_RANGES, ROWS_PER_RANGE = 4_096, 64
+#: Range borders of the id order, found by approximate quantiles of all ids: about so many rows in a range, in at most
+#: LISTED ranges; in a larger table each of them is cut again into at most CUTS, by quantiles of its own ids.
+ROWS_PER_RANGE, LISTED, CUTS = 64, 4_096, 256
 NO_ID = -(1 << 63)
 
 
@@ -69,32 +70,48 @@ def merge_sketches(df: DataFrame, group: str, column: str, k: int = K) -> DataFr
     return least.groupBy(group).agg(F.slice(F.sort_array(F.collect_set("h")), 1, k).alias("sketch"))
 
 
+def last_not_above(borders: Column, value: Column, size: Column, steps: int) -> Column:
+    """The index of the last of ``size`` ascending borders that is not above the value (0 if all are), by binary search."""
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("lo"), size.cast("int").alias("hi")),
+        lambda s, _: F.when(s["hi"] - s["lo"] <= 1, s).otherwise(
+            F.when(F.get(borders, middle(s)) <= value, F.struct(middle(s).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi")))
+        ),
+        lambda s: s["lo"],
+    )
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", payload=lambda text: F.lit(None).cast("string").alias("payload")) -> DataFrame:
     """doc_id, text, payload, next_text, next_payload; next is the row after in ascending id, the first after the last.
 
-    Rows go to ranges of ids in one shuffle; the first row of a range, whose id is the range's
-    border, goes to the range before as well. A null id comes first, equal ids go by text.
+    Ids are integers. Rows go to ranges of ids in one shuffle; the first row of a range, whose id is
+    the range's border, goes to the range before as well. A null id comes first, equal ids go by text
+    and share a range; null texts are empty. Other input columns are ignored; no rows give no rows.
     """
     order = F.coalesce(F.col(id_col), F.lit(NO_ID))
     n = docs.count()
-    ranges = max(1, min(MAX_RANGES, -(-n // ROWS_PER_RANGE)))
-    borders = docs.agg(F.percentile_approx(order, [i / ranges for i in range(ranges)], 10 * MAX_RANGES).alias("q"), F.min(order).alias("m")).first()
+    listed = max(1, min(LISTED, -(-n // ROWS_PER_RANGE)))
+    borders = docs.agg(F.percentile_approx(order, [i / listed for i in range(listed)], 10 * LISTED).alias("q"), F.min(order).alias("m")).first()
     cuts = sorted({borders["m"], *(borders["q"] or [])}) if n else [0]
     literal = F.array(*[F.lit(x).cast("long") for x in cuts])
-    steps = max(1, len(cuts).bit_length())
-    # Binary search for the last border that is not above the id.
-    found = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")),
-        lambda s, _: F.when(s["hi"] - s["lo"] <= 1, s).otherwise(
-            F.when(F.get(literal, F.floor((s["lo"] + s["hi"]) / 2).cast("int")) <= F.col("_id"), F.struct(F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("lo"), s["hi"].alias("hi")))
-            .otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))
-        ),
-        lambda s: s["lo"],
-    )
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), order.alias("_id")).withColumn("_range", found)
-    own, guest = F.struct(F.col("_range").alias("range"), F.lit(False).alias("guest")), F.struct(F.pmod(F.col("_range") - 1, F.lit(len(cuts))).alias("range"), F.lit(True).alias("guest"))
-    at_border = F.get(literal, F.col("_range")) == F.col("_id")
-    rows = rows.withColumn("_at", F.explode(F.when(at_border, F.array(own, guest)).otherwise(F.array(own))))
+    top = last_not_above(literal, F.col("_id"), F.lit(len(cuts)), max(1, len(cuts).bit_length()))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), order.alias("_id")).withColumn("_top", top)
+    inner = min(CUTS, -(-n // (ROWS_PER_RANGE * len(cuts))))
+    start = F.get(literal, F.col("_top"))
+    if inner > 1:
+        # LISTED rows of CUTS numbers at most.
+        own = rows.groupBy("_top").agg(F.array_sort(F.array_distinct(F.concat(F.array(F.min("_id")), F.percentile_approx("_id", [i / inner for i in range(inner)], 10 * CUTS)))).alias("_cuts"))
+        own = own.withColumn("_before", F.coalesce(F.sum(F.size("_cuts")).over(Window.orderBy("_top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        ranges = own.agg(F.sum(F.size("_cuts"))).first()[0]
+        rows = rows.join(F.broadcast(own), "_top").withColumn("_in", last_not_above(F.col("_cuts"), F.col("_id"), F.size("_cuts"), CUTS.bit_length() + 1))
+        rows = rows.withColumn("_range", F.col("_before") + F.col("_in"))
+        start = F.get("_cuts", F.col("_in"))
+    else:
+        ranges, rows = len(cuts), rows.withColumn("_range", F.col("_top").cast("long"))
+    at = lambda r, guest: F.struct(r.alias("range"), F.lit(guest).alias("guest"))
+    own, guest = at(F.col("_range"), False), at(F.pmod(F.col("_range") - 1, F.lit(ranges)), True)
+    rows = rows.withColumn("_at", F.explode(F.when(start == F.col("_id"), F.array(own, guest)).otherwise(F.array(own))))
     rows = rows.select("doc_id", "text", "_id", F.col("_at.range").alias("_range"), F.col("_at.guest").alias("_guest")).repartition("_range")
     rows = rows.withColumn("payload", payload(F.col("text")))
     w = Window.partitionBy("_range").orderBy("_guest", "_id", "text")

@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.scratch import Scratch
+from tilewright.llm.scratch import Scratch, broadcast_if_small
 from tilewright.llm.textbytes import BASE, INVERSE, RUN_BYTES, mixed, powers, prefix_hash, runs
 
 WIDTH, GRAM = 400, 32
@@ -190,12 +190,6 @@ def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[row]
 
 
-def broadcast_if_small(df: DataFrame, size: Column) -> DataFrame:
-    """``df`` marked for broadcast if the sum of ``size`` (bytes of a row, checked here) stays below BROADCAST_BYTES."""
-    total = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
-
-
 def cut_segments(docs: DataFrame, width: int) -> DataFrame:
     """The segments of docs (node, text, anchors) whose anchor is in ``anchors``, once per node and task: anchor, content (a hash of data), node, start (in the text), n_starts, at (the anchor's place in data), ident, data."""
 
@@ -302,7 +296,7 @@ def repeated_spans(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     twice = scratch.write(found.groupBy("anchor").agg(F.min("ident").alias("lo"), F.max("ident").alias("hi")).filter("lo != hi").select("anchor"), "twice")
     wanted = scratch.write(found.join(twice, "anchor").groupBy("node").agg(F.collect_set("anchor").alias("anchors")), "wanted")
     scratch.drop("anchors", "twice")
-    known = broadcast_if_small(wanted, 32 + 8 * F.size("anchors"))
+    known = broadcast_if_small(wanted, 32 + 8 * F.size("anchors"), BROADCAST_BYTES)
     members = scratch.write(cut_segments(docs.join(known, "node").select("node", "text", "anchors"), width), "segments")
     distinct = scratch.write(
         members.groupBy("anchor", "content")
@@ -378,7 +372,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, n), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), spans, pa.array(out, pa.binary())], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = rows.join(broadcast_if_small(known, 32 + 48 * F.size("spans")), "node", "left")
+    joined = rows.join(broadcast_if_small(known, 32 + 48 * F.size("spans"), BROADCAST_BYTES), "node", "left")
     return joined.select("doc_id", "text", F.coalesce("spans", F.array().cast("array<array<bigint>>")).alias("spans")).mapInArrow(
         keep, f"doc_id {kind}, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary"
     )
