@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tilewright.llm.naming import unused
 from tilewright.llm.scratch import Scratch, broadcast_if_small, dealt_to_all
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A window table is broadcast in parts of about so many words; a larger benchmark takes more passes.
 BROADCAST_WORDS = 2_000_000
@@ -26,7 +26,7 @@ BROADCAST_BYTES = 32 << 20
 def words_of(text: Column) -> Column:
     """The words of a whole text, A-Z in lower case; none for null."""
     low = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
-    return F.coalesce(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return F.array_remove(F.split(F.coalesce(low, F.lit("")), BETWEEN_WORDS), "")
 
 
 def windows_of(benchmark: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from tilewright.llm.ranks import before, bucket_count
 from tilewright.llm.scratch import written
 
 GOLDEN = 0.6180339887498949
-WORD = r"[^\x20\x09-\x0D]+"
+BETWEEN_WORDS = r"[\x20\x09-\x0D]+"
 #: Slots are ranked in chunks of so many.
 CHUNK = 8_192
 #: A table of sources with no more rows than this is broadcast; a larger one is joined by shuffle.
@@ -84,9 +84,9 @@ def mix(
     sized = written(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-            F.coalesce(F.size(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long").alias("size"),
+            F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), BETWEEN_WORDS), "")).cast("long").alias("size"),
             row_key(docs, seed).alias("key"), row_key(docs, seed + 1).alias("check"),
-        ).withColumn("size", F.greatest("size", F.lit(0))),
+        ),
         "mix-sizes",
     )
     rows = sized.count()

@@ -21,7 +21,7 @@ NO_ID = -(1 << 63)
 
 def shingle_hashes(text: Column, words: int = SHINGLE_WORDS) -> Column:
     """Hashes of all runs of ``words`` words split at white space; a shorter text is one run; none without words."""
-    w = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    w = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
     cut = lambda w: F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(w) - F.lit(words - 1), F.lit(1))),
         lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(w, i, words)), 64 - HASH_BITS),
