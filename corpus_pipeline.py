@@ -31,8 +31,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row gets a shard and a slot of a reproducible shuffle."""
-    return sharding.shard(docs, SHARDS, keep=tuple(c for c in docs.columns if c not in ("doc_id", "size", "text_crc32", "row_number", "shard", "slot")))
+    """Every row gets a shard and a slot of a reproducible shuffle, beside all its columns."""
+    return sharding.sharded_documents(docs, SHARDS)
 
 
 STAGES = [
