@@ -239,43 +239,28 @@ def signatures(sets: DataFrame, often: np.ndarray) -> DataFrame:
 
 
 def clusters(sigs: DataFrame) -> DataFrame:
-    """center, node: of the nodes that share a signature, the least is the center of all (itself too). Signatures of one node are left out."""
+    """center, node: of the nodes that share a signature, the least is the center of all (itself too). Signatures of one node are left out.
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, node, size, limit = [], [], 0, 1_000_000
+    Spark sorts the signatures, so a task reads them in order and holds one batch, however often one occurs.
+    """
 
-        def compact():
-            s, n = np.concatenate(sig), np.concatenate(node)
-            order = np.lexsort((n, s))
-            s, n = s[order], n[order]
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            # The signature that the last batch ended with goes on with its center.
+            s = np.concatenate((s, b.column("sig").to_numpy(zero_copy_only=False)))
+            n = np.concatenate((n, b.column("node").to_numpy(zero_copy_only=False)))
             new = np.ones(len(s), bool)
             new[1:] = (s[1:] != s[:-1]) | (n[1:] != n[:-1])
-            return s[new], n[new]
-
-        for b in batches:
-            sig.append(b.column("sig").to_numpy(zero_copy_only=False))
-            node.append(b.column("node").to_numpy(zero_copy_only=False))
-            size += b.num_rows
-            if size > limit:
-                s, n = compact()
-                sig, node, size = [s], [n], len(s)
-                limit = max(limit, 2 * size)
-        if not sig:
-            return
-        s, n = compact()
-        starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        count = np.diff(np.append(starts, len(s)))
-        center, n = np.repeat(n[starts], count), n[np.repeat(count > 1, count)]
-        center = center[np.repeat(count > 1, count)]
-        order = np.lexsort((n, center))
-        center, n = center[order], n[order]
-        new = np.ones(len(n), bool)
-        new[1:] = (center[1:] != center[:-1]) | (n[1:] != n[:-1])
-        center, n = center[new], n[new]
-        for i in range(0, len(n), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (center, n)], ["center", "node"])
-
-    return sigs.repartition("sig").mapInArrow(gather, "center bigint, node bigint").distinct()
+            s, n = s[new], n[new]
+            starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            count = np.diff(np.append(starts, len(s)))
+            several = np.repeat(count > 1, count)
+            pairs = np.unique(np.stack((np.repeat(n[starts], count)[several], n[several])), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["center", "node"])
+            s, n = s[starts[-1:]], n[starts[-1:]]
+
+    return sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(gather, "center bigint, node bigint").distinct()
 
 
 class Joined:
