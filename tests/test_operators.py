@@ -1,3 +1,4 @@
+import colorsys
 import json
 import math
 import random
@@ -96,32 +97,83 @@ def test_regions_against_flood_fill(spark):
         assert sorted(tuple(r) for r in stencil.regions(valid).collect()) == sorted(want)
 
 
-def test_texture_against_numpy(spark):
-    rng = np.random.default_rng(2)
-    a, d = rng.random((20, 23)), rng.random((20, 23))
-    got = stencil.texture(cells_of(spark, a), cells_of(spark, d), 20, 23, 1.0)
-    p = np.pad(a, 1, mode="edge")
+def smooth(x, sigma):
+    w = stencil.gaussian_taps(sigma)
+    return stencil.filtered(stencil.filtered(x, w[:, None]), w[None, :])
+
+
+def stripes_by_definition(gray, dem, smooth_sigma, structure_sigma, power):
+    """Coherence and slope stripes of whole arrays, from the definitions."""
+    p = np.pad(smooth(gray, smooth_sigma), 1, mode="edge")
     gx = p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:] - p[:-2, :-2] - 2 * p[1:-1, :-2] - p[2:, :-2]
     gy = p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:] - p[:-2, :-2] - 2 * p[:-2, 1:-1] - p[:-2, 2:]
-    w = stencil.gaussian_taps(1.0)
-    smooth = lambda x: stencil.filtered(stencil.filtered(x, w[:, None]), w[None, :])
-    jxx, jyy, jxy = smooth(gx * gx), smooth(gy * gy), smooth(gx * gy)
-    coherence = np.sqrt((jxx - jyy) ** 2 + 4 * jxy**2) / (jxx + jyy)
+    jxx, jyy, jxy = (smooth(x, structure_sigma) for x in (gx * gx, gy * gy, gx * gy))
+    tensor = np.stack([np.stack([jxx, jxy], -1), np.stack([jxy, jyy], -1)], -1)
+    low, high = np.moveaxis(np.linalg.eigvalsh(tensor), -1, 0)
+    coherence = (high - low) / (high + low + 1e-12)
+    return coherence, np.clip(coherence * aligned(np.arctan2(2 * jxy, jxx - jyy + 1e-12) + np.pi / 2, dem) ** power, 0, 1)
+
+
+def aligned(angle, dem):
+    dx, dy = np.zeros_like(dem), np.zeros_like(dem)
+    dx[:, 1:-1], dy[1:-1] = (dem[:, 2:] - dem[:, :-2]) / 2, (dem[2:] - dem[:-2]) / 2
+    return np.maximum((np.cos(angle - np.arctan2(-dy, -dx)) + 1) / 2, 1e-12)
+
+
+@pytest.mark.parametrize("power", [1.0, 0.0, 2.5])
+def test_texture_against_numpy(spark, power):
+    rng = np.random.default_rng(2)
+    a, d = rng.random((20, 23)), rng.random((20, 23))
+    got = stencil.texture(cells_of(spark, a), cells_of(spark, d), 20, 23, power=power).cache()
+    coherence, stripes = stripes_by_definition(a, d, 1.5, 2.0, power)
     assert np.allclose(array_of(got, a.shape, "coherence"), coherence)
-    dx, dy = np.zeros_like(d), np.zeros_like(d)
-    dx[:, 1:-1], dy[1:-1] = (d[:, 2:] - d[:, :-2]) / 2, (d[2:] - d[:-2]) / 2
-    stripes = coherence * (np.cos(np.arctan2(2 * jxy, jxx - jyy) - np.arctan2(-dy, -dx)) + 1) / 2
     assert np.allclose(array_of(got, a.shape, "stripes"), stripes)
 
 
-def test_blocks_leave_no_seams(spark):
+def test_stripes_of_a_turned_raster(spark):
+    """Stripes that run down the slope are strong; the same image turned a quarter against the slope is weaker."""
+    x = np.arange(32)
+    a = np.tile(np.sin(x / 2), (32, 1))  # bright and dark columns
+    d = np.tile(x[:, None], (1, 32)).astype(float)  # rises with the row
+    turned = raster.turned(F.col("r"), F.col("c"), 32, 1)
+    cells, dem = cells_of(spark, a), cells_of(spark, d)
+    rot = cells.select(turned[0].alias("r"), turned[1].alias("c"), "value")
+    mean = lambda v: array_of(stencil.texture(v, dem, 32, 32), a.shape, "stripes").mean()
+    assert np.isclose(mean(cells), stripes_by_definition(a, d, 1.5, 2.0, 1.0)[1].mean())
+    assert np.isclose(mean(rot), stripes_by_definition(np.rot90(a), d, 1.5, 2.0, 1.0)[1].mean())
+
+
+def gabor_by_definition(gray, frequency, sigma, n):
+    """Largest magnitude and first orientation that has it, cell by cell, with mirrored edges."""
+    h, w = gray.shape
+    best, which = np.full(gray.shape, -1.0), np.zeros(gray.shape)
+    for k in range(n):
+        t = np.pi * k / n
+        reach = int(np.ceil(max(3 * sigma * abs(np.cos(t)), 3 * sigma * abs(np.sin(t)), 1)))
+        p = np.pad(gray, reach, mode="symmetric")
+        total = np.zeros(gray.shape, complex)
+        for dy in range(-reach, reach + 1):
+            for dx in range(-reach, reach + 1):
+                g = np.exp(-(dx * dx + dy * dy) / (2 * sigma**2)) / (2 * np.pi * sigma**2) * np.exp(2j * np.pi * frequency * (dx * np.cos(t) + dy * np.sin(t)))
+                total += g * p[reach - dy : reach - dy + h, reach - dx : reach - dx + w]
+        size = np.abs(total)
+        new = size > best + 1e-12
+        which[new], best = t, np.maximum(best, size)
+    return best, which
+
+
+def test_gabor_against_its_definition(spark):
     rng = np.random.default_rng(3)
-    rgb = rng.integers(0, 256, (3, 30, 27)).astype(float)
+    rgb, d = rng.integers(0, 256, (3, 30, 27)).astype(float), rng.random((30, 27))
     cells = spark.createDataFrame([(b + 1, r, c, float(rgb[b, r, c])) for b in range(3) for r in range(30) for c in range(27)], "band int, r long, c long, value double")
-    whole, cut = (array_of(stencil.gabor_stripes(cells, block), (30, 27)) for block in (64, 8))
-    assert np.allclose(whole, cut) and whole.max() == 1.0
-    raw = stencil.gabor_bank(rgb)
-    assert np.allclose(whole, raw / raw.max())
+    strength, theta = gabor_by_definition((0.299 * rgb[0] + 0.587 * rgb[1] + 0.114 * rgb[2]) / 255, 0.15, 2.0, 6)
+    options = {"frequency": 0.15, "sigma": 2.0, "orientations": 6}
+    whole, cut = (stencil.gabor_stripes(cells, cells_of(spark, d), block, power=1.5, **options).cache() for block in (64, 8))
+    want = strength / strength.max() * aligned(theta + np.pi / 2, d) ** 1.5
+    for got in (whole, cut):
+        assert np.allclose(array_of(got, d.shape, "strength"), strength / strength.max())
+        assert np.allclose(array_of(got, d.shape, "angle"), theta + np.pi / 2)
+        assert np.allclose(array_of(got, d.shape, "stripes"), want)
     with pytest.raises(ValueError):
         stencil.derived({}, "gabor")
     with pytest.raises(ValueError):
@@ -188,6 +240,16 @@ def test_recolouring(spark):
     assert raster.recoloured(t, "tile_idx", bands=("b1", "b2")) is t
 
 
+def test_hue_turns_as_in_the_standard_library(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, *map(float, x)) for x in [*rng.random((40, 3)), (0.5, 0.5, 0.5), (0, 0, 0), (1, 1, 1), (1, 0, 0), (1, 1, 0)]]
+    t = spark.createDataFrame([(0, k, *x[1:]) for k, x in enumerate(rows)], "tile_idx long, k int, b1 double, b2 double, b3 double")
+    got = {r.k: (r.b1, r.b2, r.b3) for r in raster.recoloured(t, "tile_idx", hue=0.3).collect()}
+    for k, (_, r, g, b) in enumerate(rows):
+        h, s, v = colorsys.rgb_to_hsv(r, g, b)
+        assert got[k] == pytest.approx(colorsys.hsv_to_rgb((h + 0.3) % 1, s, v), abs=1e-9)
+
+
 def test_turns_come_full_circle(spark):
     t = spark.range(25).select(F.floor(F.col("id") / 5).alias("r"), F.pmod("id", F.lit(5)).alias("c"))
     r, c = raster.turned(F.col("r"), F.col("c"), 5, 3)
@@ -256,15 +318,24 @@ def test_tile_lists_and_registries(spark, tmp_path):
     tiles = documents.read_filtered_tiles(spark, str(tmp_path / "list.json"))
     rows = {r.tile_id: r for r in tiles.collect()}
     assert rows["tile_0000"].rgb_stats.coverage_ratio == 0.5 and rows["tile_0001"].illumination == "sun" and rows["tile_0000"].target_stats is None
-    documents.write_filtered_tiles(tiles, spark.range(1), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out/tiles")).count() == 2
+    counts = spark.createDataFrame([(2, 1)], "total_tiles long, valid_tiles long")
+    documents.write_filtered_tiles(tiles, counts, str(tmp_path / "out"), {"min_rgb_coverage": 0.01}, 256)
+    back = documents.read_filtered_tiles(spark, str(tmp_path / "out"))
+    assert back.columns == tiles.columns and sorted(map(repr, back.collect())) == sorted(map(repr, tiles.collect()))
+    head = documents.read_list_header(spark, str(tmp_path / "out")).first()
+    assert (head.filter_config.min_rgb_coverage, head.tile_size, head.stats.total_tiles, head.stats.rgb_invalid) == (0.01, 256, 2, None)
     (tmp_path / "registry.json").write_text(json.dumps({"metadata": {"tile_size": 256}, "tiles": {"tile_0007": {"tile_id": "tile_0007", "tile_idx": 7, "geographic_bounds": {"minx": 1.0}, "filtering": {"is_valid": True}, "model_metrics": {"r1": {"mae": 0.5}}}}}))
     reg = documents.read_registry(spark, str(tmp_path / "registry.json"))
     assert reg.first().model_metrics["r1"].mae == 0.5 and reg.first().split is None
-    documents.write_registry(reg, str(tmp_path / "reg"))
-    assert spark.read.json(str(tmp_path / "reg")).first().tile_idx == 7
+    documents.write_registry(reg, str(tmp_path / "reg"), {"tile_size": 256})
+    assert documents.read_registry(spark, str(tmp_path / "reg")).collect() == reg.collect()
+    written = json.loads(next((tmp_path / "reg").rglob("part-*.json")).read_text())
+    assert written["metadata"]["tile_size"] == 256 and list(written["tiles"]) == ["tile_0007"]
     (tmp_path / "ext.json").write_text(json.dumps({"config": {"seed": "1"}, "stats": {"lobe": 1}, "tiles": [{"tile_id": "a", "role": "lobe"}, {"tile_id": "a", "role": "augmented_lobe", "augment": True}]}))
-    assert [r.augment for r in documents.read_extended_tiles(spark, str(tmp_path / "ext.json")).collect()] == [None, True]
+    ext = documents.read_extended_tiles(spark, str(tmp_path / "ext.json"))
+    assert [r.augment for r in ext.collect()] == [None, True]
+    documents.write_extended_tiles(ext, str(tmp_path / "ext"), {"seed": "1"}, {"lobe": 1})
+    assert sorted(map(repr, documents.read_extended_tiles(spark, str(tmp_path / "ext")).collect())) == sorted(map(repr, ext.collect()))
 
 
 def test_geojson(spark, tmp_path):

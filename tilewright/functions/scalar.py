@@ -36,6 +36,15 @@ def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     return hue, F.when(top == 0, 0.0).otherwise(gap / F.when(top == 0, 1.0).otherwise(top)), top
 
 
+def rgb(h: Column, s: Column, v: Column) -> tuple[Column, Column, Column]:
+    """Bands 0..1 from hue, saturation and value (all 0..1)."""
+    def band(n: int) -> Column:
+        k = F.pmod(n + h * 6, F.lit(6.0))
+        return v - v * s * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))
+
+    return band(5), band(3), band(1)
+
+
 def tile_key(text: Column) -> Column:
     """tile_0007 from 7, '7', 'tile_0007'; other texts stay."""
     t = F.trim(text.cast("string"))

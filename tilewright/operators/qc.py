@@ -48,18 +48,23 @@ def histogram(cells: DataFrame, by: list[str], value: str = "target") -> DataFra
     return cells.groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
 
 
-def baselines(cells: DataFrame, by: list[str], threshold: float, value: str = "target", empty_union: float = 1.0) -> DataFrame:
+def baselines(cells: DataFrame, by: list[str], threshold: float, value: str = "target", empty_union: float = 1.0, accuracy: int | None = None) -> DataFrame:
     """Moments, class balance and errors of constant predictions, from the histogram of values.
 
-    The median is exact. The IoU of predicting 0 is ``empty_union`` where nothing is positive, else 0.
+    The median is exact, for which a task holds the distinct values of a group; rasters of many
+    different values take ``accuracy``, which bounds that and the error of its rank to 1 / accuracy. The IoU of predicting 0 is ``empty_union`` where nothing is positive, else 0.
     """
     h = histogram(cells, by, value)
+    median = F.expr("percentile(v, 0.5, n)") if accuracy is None else F.first("_median")
+    if accuracy is not None:
+        mid = cells.groupBy(*by).agg(F.percentile_approx(value, 0.5, accuracy).alias("_median"))
+        h = h.join(mid, by) if by else h.crossJoin(F.broadcast(mid))
     n, v, pos = F.col("n"), F.col("v"), F.col("v") >= threshold
     k = [F.col(c) for c in by]
     first = h.groupBy(*k).agg(
         F.sum("n").alias("total"), F.sum(n * v).alias("s1"), F.sum(n * v * v).alias("s2"), F.min("v").alias("min"), F.max("v").alias("max"),
         F.coalesce(F.sum(F.when(pos, n)), F.lit(0)).alias("lobe_pixels"), F.coalesce(F.sum(F.when(pos, n * v)), F.lit(0.0)).alias("lobe_sum"),
-        F.sum(n * F.abs(v)).alias("abs_sum"), F.coalesce(F.sum(F.when(pos, n * F.abs(v))), F.lit(0.0)).alias("lobe_abs"), F.expr("percentile(v, 0.5, n)").alias("median"),
+        F.sum(n * F.abs(v)).alias("abs_sum"), F.coalesce(F.sum(F.when(pos, n * F.abs(v))), F.lit(0.0)).alias("lobe_abs"), median.alias("median"),
     ).withColumn("mean", F.col("s1") / F.col("total")).withColumn("lobe_mean", F.col("lobe_sum") / F.when(F.col("lobe_pixels") > 0, F.col("lobe_pixels")))
     joined = h.join(first, by) if by else h.crossJoin(F.broadcast(first))
     second = joined.groupBy(*k, "total", "s1", "s2", "min", "max", "lobe_pixels", "abs_sum", "lobe_abs", "median", "mean", "lobe_mean").agg(
@@ -136,11 +141,12 @@ def hsv_means(cells: DataFrame, by: str, h: Column, s: Column, v: Column, least:
     return x.groupBy(by).agg(*[F.when(few, F.avg(e)).otherwise(mid(e)).alias(n) for e, n in (("h", "mean_hue"), ("s", "mean_saturation"), ("v", "mean_value"))])
 
 
-def calibrated(means: DataFrame, examples: tuple[list, list] | None = None, band: float = 0.1, ambiguous: float | None = None, by: str = "tile_idx") -> DataFrame:
-    """One row (low, high): percentiles around the middle if an ambiguous share is given, else the middle of the examples' means or 0.45, plus and minus half the band; (0.4, 0.6) without tiles."""
+def calibrated(means: DataFrame, examples: tuple[list, list] | None = None, band: float = 0.1, ambiguous: float | None = None, by: str = "tile_idx", accuracy: int | None = None) -> DataFrame:
+    """One row (low, high): percentiles (exact, or with ranks off by 1 / accuracy at most in bounded memory) around the middle if an ambiguous share is given, else the middle of the examples' means or 0.45, plus and minus half the band; (0.4, 0.6) without tiles."""
     v, n = F.col("mean_value"), F.count("*")
     if ambiguous is not None:
-        q = F.percentile("mean_value", F.array(F.lit(0.5 - ambiguous / 2), F.lit(0.5 + ambiguous / 2)))
+        shares = [0.5 - ambiguous / 2, 0.5 + ambiguous / 2]
+        q = F.percentile("mean_value", F.array(*map(F.lit, shares))) if accuracy is None else F.percentile_approx("mean_value", shares, accuracy)
         low, high = q[0], q[1]
     else:
         mid = F.lit(0.45)

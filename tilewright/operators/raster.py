@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.functions.scalar import hsv, rgb
 from tilewright.operators.sampling import unit
 
 
@@ -127,11 +128,8 @@ def recoloured(tiles: DataFrame, by: str, brightness: float = 0.0, contrast: flo
         return tiles
     r, g, b = (F.col(x) for x in bands[:3])
     if hue:
-        angle = 2 * math.pi * hue
-        cos, sin = math.cos(angle), math.sin(angle)
-        k, q = (1 - cos) / 3, math.sqrt(1 / 3) * sin
-        m = ((cos + k, k - q, k + q), (k + q, cos + k, k - q), (k - q, k + q, cos + k))
-        r, g, b = (x * r + y * g + z * b for x, y, z in m)
+        h, saturated, top = hsv(r, g, b)
+        r, g, b = rgb(F.pmod(h + hue, F.lit(1.0)), saturated, top)
     gray = 0.299 * r + 0.587 * g + 0.114 * b
     sat = [gray + saturation * (x - gray) for x in (r, g, b)]
     t = tiles.withColumns(dict(zip(("_1", "_2", "_3"), sat, strict=True)))

@@ -7,17 +7,21 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS, MAX_BUCKETS = 256, 65_536
+#: A bucket has about BUCKET_ROWS rows while there are no more than FEW_BUCKETS, and up to MANY_ROWS in larger tables; BLOCK bucket sums are added up in one window.
+BUCKET_ROWS, FEW_BUCKETS, MANY_ROWS, BLOCK = 256, 65_536, 4_096, 4_096
 
 
 def ranked(df: DataFrame, seed: int, key: str = "tile_id", name: str = "rank") -> DataFrame:
-    """Rows numbered from 0 in the order of their hash, without a one-task window: a small table holds what lies before each hash bucket."""
-    buckets = max(1, min(MAX_BUCKETS, -(-df.count() // BUCKET_ROWS)))
+    """Rows numbered from 0 in the order of their hash, without a one-task window: what lies before each hash bucket is summed in two levels."""
+    n = df.count()
+    buckets = max(1, min(-(-n // BUCKET_ROWS), max(FEW_BUCKETS, -(-n // MANY_ROWS))))
     h = df.withColumn("_h", F.xxhash64(key, F.lit(seed))).withColumn("_b", F.pmod("_h", F.lit(buckets)))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = h.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = h.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_k", F.floor(F.col("_b") / BLOCK))
+    blocks = counts.groupBy("_k").agg(F.sum("_n").alias("_n")).select("_k", earlier(Window.orderBy("_k")).alias("_far"))
+    base = counts.join(blocks, "_k").select("_b", (F.col("_far") + earlier(Window.partitionBy("_k").orderBy("_b"))).alias("_base"))
     w = Window.partitionBy("_b").orderBy("_h", key)
-    return h.join(F.broadcast(base), "_b").withColumn(name, F.col("_base") + F.row_number().over(w) - 1).drop("_h", "_b", "_base")
+    return h.join(base, "_b").withColumn(name, F.col("_base") + F.row_number().over(w) - 1).drop("_h", "_b", "_base")
 
 
 def split_sizes(n: int, train: float, val: float, test: float) -> tuple[int, int, int]:

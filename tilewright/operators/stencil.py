@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions.scalar import alignment, bearing, decay
 from tilewright.operators.grid import blocks
+from tilewright.shared import new_path
 
 
 def proximity(positives: DataFrame, height: int, width: int, top: float, reach: int) -> DataFrame:
@@ -96,21 +96,36 @@ def aspect(cells: DataFrame, value: str = "value") -> DataFrame:
     return v.select("r", "c", bearing(dy, dx).alias("aspect"))
 
 
-def texture(grays: DataFrame, dem: DataFrame, height: int, width: int, sigma: float = 1.5, power: float = 1.0) -> DataFrame:
-    """r, c, coherence, angle, stripes: structure tensor of the gray cells, and coherence times its alignment with the slope.
+def texture(grays: DataFrame, dem: DataFrame, height: int, width: int, sigma_smooth: float = 1.5, sigma_structure: float = 2.0, power: float = 1.0) -> DataFrame:
+    """r, c, coherence, angle (along the stripes), stripes: structure tensor of the smoothed gray cells, and coherence times its alignment with the slope.
 
-    The angle is atan2(2 Jxy, Jxx - Jyy), not halved, and perpendicular alignment counts 0.5.
+    The gradient's angle is atan2(2 Jxy, Jxx - Jyy), not halved; the stripes lie a quarter turn from it,
+    and perpendicular alignment counts 0.5.
     """
-    grad = sobel(grays)
+    grad = sobel(smoothed(grays, height, width, sigma_smooth))
     j = None
     for name, e in (("jxx", F.col("gx") * F.col("gx")), ("jyy", F.col("gy") * F.col("gy")), ("jxy", F.col("gx") * F.col("gy"))):
-        part = smoothed(grad.select("r", "c", e.alias(name)), height, width, sigma, name)
+        part = smoothed(grad.select("r", "c", e.alias(name)), height, width, sigma_structure, name)
         j = part if j is None else j.join(part, ["r", "c"])
     gap = F.col("jxx") - F.col("jyy")
     root = F.sqrt(gap * gap + 4 * F.col("jxy") * F.col("jxy"))
-    total = F.col("jxx") + F.col("jyy")
-    j = j.select("r", "c", F.when(total > 1e-12, root / total).otherwise(0.0).alias("coherence"), F.atan2(2 * F.col("jxy"), gap).alias("angle"))
-    return j.join(aspect(dem), ["r", "c"]).withColumn("stripes", F.col("coherence") * alignment(F.col("angle"), F.col("aspect"), power))
+    coherence = unit_range(root / (F.col("jxx") + F.col("jyy") + FLAT))
+    j = j.select("r", "c", coherence.alias("coherence"), (F.atan2(2 * F.col("jxy"), gap + FLAT) + math.pi / 2).alias("angle"))
+    return j.join(aspect(dem), ["r", "c"]).withColumn("stripes", along_slope(F.col("coherence"), F.col("angle"), power))
+
+
+#: Keeps flat places from dividing by 0.
+FLAT = 1e-12
+
+
+def unit_range(x: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+
+def along_slope(strength: Column, angle: Column, power: float | Column) -> Column:
+    """strength times (alignment of the angle with the column aspect) to a power: 0 ignores the slope, above 1 stresses it."""
+    p = power if isinstance(power, Column) else F.lit(float(power))
+    return unit_range(strength * F.pow(F.greatest(alignment(angle, F.col("aspect")), F.lit(FLAT)), p))
 
 
 def borders(cells: DataFrame, ident: str = "segment", nodata: int = -9999) -> DataFrame:
@@ -122,11 +137,12 @@ def borders(cells: DataFrame, ident: str = "segment", nodata: int = -9999) -> Da
 
 @dataclass(frozen=True)
 class Transform:
-    """A derived layer: inputs by name with their band counts, the halo it needs, and a function of arrays (name -> bands x h x w)."""
+    """A derived layer: inputs by name with their band counts, the halo it needs (a number, or a function of the options), a function of arrays (name -> bands x h x w), and the names of what it returns."""
 
     inputs: dict[str, int]
-    halo: int
+    halo: int | Callable[..., int]
     function: Callable[..., np.ndarray]
+    outputs: tuple[str, ...] = ("value",)
 
 
 TRANSFORMS: dict[str, Transform] = {}
@@ -137,7 +153,7 @@ def register_transform(name: str, transform: Transform) -> None:
 
 
 def derived(layers: dict[str, DataFrame], name: str, block: int = 64, **options) -> DataFrame:
-    """r, c, value of a named transform over layers (band, r, c, value), block by block with halos.
+    """r, c and the outputs of a named transform over layers (band, r, c, value), block by block with halos.
 
     A missing layer or a wrong number of bands is an error. A block with its halo must fit a task.
     """
@@ -153,7 +169,7 @@ def derived(layers: dict[str, DataFrame], name: str, block: int = 64, **options)
         part = layers[layer].select(F.lit(k).alias("layer"), "band", "r", "c", F.col("value").cast("double").alias("value"))
         every = part if every is None else every.unionByName(part)
     names = sorted(t.inputs)
-    halo, function, counts = t.halo, t.function, dict(t.inputs)
+    halo, function, counts, outputs = t.halo(**options) if callable(t.halo) else t.halo, t.function, dict(t.inputs), t.outputs
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = pdf["r"].min(), pdf["c"].min()
@@ -167,50 +183,62 @@ def derived(layers: dict[str, DataFrame], name: str, block: int = 64, **options)
             arrays[layer] = a
         out = function(**arrays, **options)
         own = pdf[pdf["own"]][["r", "c"]].drop_duplicates()
-        return own.assign(value=out[own["r"] - r0, own["c"] - c0])
+        layers_out = [out] if len(outputs) == 1 else out
+        return own.assign(**{n: x[own["r"] - r0, own["c"] - c0] for n, x in zip(outputs, layers_out, strict=True)})
 
-    return blocks(every, block, halo).groupBy("brow", "bcol").applyInPandas(run, "r long, c long, value double")
+    return blocks(every, block, halo).groupBy("brow", "bcol").applyInPandas(run, "r long, c long, " + ", ".join(f"{n} double" for n in outputs))
 
 
-def filtered(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """Correlation with edges repeated."""
+def filtered(a: np.ndarray, kernel: np.ndarray, mode: str = "edge") -> np.ndarray:
+    """Correlation with edges repeated, or mirrored (mode 'symmetric')."""
     kr, kc = kernel.shape[0] // 2, kernel.shape[1] // 2
-    p = np.pad(a, ((kr, kr), (kc, kc)), mode="edge")
+    p = np.pad(a, ((kr, kr), (kc, kc)), mode=mode)
     view = np.lib.stride_tricks.sliding_window_view(p, kernel.shape)
     return np.einsum("ijkl,kl->ij", view, kernel)
 
 
-def gabor_kernel(theta: float, sigma: float, wavelength: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    y, x = np.mgrid[-radius : radius + 1, -radius : radius + 1]
-    along, across = x * math.cos(theta) + y * math.sin(theta), -x * math.sin(theta) + y * math.cos(theta)
-    env = np.exp(-(along**2 + across**2) / (2 * sigma**2))
-    even = env * np.cos(2 * math.pi * along / wavelength)
-    return even - even.mean(), env * np.sin(2 * math.pi * along / wavelength)
+def gabor_reach(frequency: float = 0.1, sigma: float = 3.0, orientations: int = 16) -> int:
+    """Kernels end at three sigma."""
+    return max(1, math.ceil(3 * sigma))
+
+
+def gabor_kernel(theta: float, frequency: float, sigma: float) -> np.ndarray:
+    """A complex wave along theta under a round Gaussian; its box just holds three sigma along the turned axes."""
+    reach_x = math.ceil(max(abs(3 * sigma * math.cos(theta)), abs(3 * sigma * math.sin(theta)), 1))
+    y, x = np.mgrid[-reach_x : reach_x + 1, -reach_x : reach_x + 1]
+    along = x * math.cos(theta) + y * math.sin(theta)
+    return np.exp(-(x**2 + y**2) / (2 * sigma**2)) / (2 * math.pi * sigma**2) * np.exp(2j * math.pi * frequency * along)
 
 
-def gabor_bank(rgb: np.ndarray, orientations: int = 4, sigma: float = 1.5, wavelength: float = 4.0, radius: int = 4) -> np.ndarray:
-    """The largest magnitude over the orientations, cell by cell; the scale is left to a second pass."""
+def gabor_bank(rgb: np.ndarray, frequency: float = 0.1, sigma: float = 3.0, orientations: int = 16) -> np.ndarray:
+    """The largest magnitude over the orientations, cell by cell, and the first orientation that has it; the scale is left to a second pass."""
     v = (0.299 * rgb[0] + 0.587 * rgb[1] + 0.114 * rgb[2]) / 255.0
-    best = np.zeros(v.shape)
+    best, which = np.full(v.shape, -1.0), np.zeros(v.shape)
     for k in range(orientations):
-        even, odd = gabor_kernel(math.pi * k / orientations, sigma, wavelength, radius)
-        best = np.maximum(best, np.hypot(filtered(v, even), filtered(v, odd)))
-    return best
+        theta = math.pi * k / orientations
+        kernel = gabor_kernel(theta, frequency, sigma)
+        size = np.hypot(filtered(v, kernel.real, "symmetric"), filtered(v, kernel.imag, "symmetric"))
+        which[size > best] = theta
+        best = np.maximum(best, size)
+    return np.stack([best, which])
 
 
-register_transform("gabor", Transform({"rgb": 3}, 4, gabor_bank))
+register_transform("gabor", Transform({"rgb": 3}, gabor_reach, gabor_bank, ("strength", "theta")))
 register_transform("mean3", Transform({"rgb": 3}, 1, lambda rgb: filtered(rgb.mean(0), np.full((3, 3), 1 / 9))))
 
 
-def gabor_stripes(rgb: DataFrame, block: int = 64, norm_scope: str = "raster", **options) -> DataFrame:
-    """r, c, value scaled by the largest magnitude of the raster, or of each block (norm_scope 'block')."""
+def gabor_stripes(rgb: DataFrame, dem: DataFrame, block: int = 64, power: float = 1.0, norm_scope: str = "raster", **options) -> DataFrame:
+    """r, c, strength, angle (along the stripes), aspect, stripes: the bank's magnitude, scaled by the largest of the raster (or of each block with norm_scope 'block'), times its alignment with the slope to a power. dem: r, c, value."""
     raw = derived({"rgb": rgb}, "gabor", block, **options)
     if norm_scope == "block":
         keys = [F.floor(F.col("r") / block).alias("_br"), F.floor(F.col("c") / block).alias("_bc")]
         raw = raw.select("*", *keys)
-        return raw.withColumn("value", F.col("value") / F.greatest(F.max("value").over(Window.partitionBy("_br", "_bc")), F.lit(1e-12))).drop("_br", "_bc")
-    top = raw.agg(F.max("value").alias("_top"))  # one row
-    return raw.crossJoin(F.broadcast(top)).select("r", "c", (F.col("value") / F.greatest("_top", F.lit(1e-12))).alias("value"))
+        raw = raw.withColumn("_top", F.max("strength").over(Window.partitionBy("_br", "_bc"))).drop("_br", "_bc")
+    else:
+        raw = raw.crossJoin(F.broadcast(raw.agg(F.max("strength").alias("_top"))))  # one row
+    scaled = F.when(F.col("_top") > FLAT, unit_range(F.col("strength") / F.when(F.col("_top") > FLAT, F.col("_top")))).otherwise(F.col("strength"))
+    known = raw.select("r", "c", scaled.alias("strength"), (F.col("theta") + math.pi / 2).alias("angle")).join(aspect(dem), ["r", "c"])
+    return known.withColumn("stripes", along_slope(F.col("strength"), F.col("angle"), power))
 
 
 def regions(valid: DataFrame) -> DataFrame:
@@ -251,7 +279,7 @@ def _kept(df: DataFrame, names: str | None = None) -> DataFrame:
     spark = df.sparkSession
     if names:
         df = df.toDF(*[x.split()[0] for x in names.split(", ")])
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints/tilewright').rstrip('/')}/regions-{uuid.uuid4().hex}"
+    path = new_path(spark, "regions")
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -97,6 +97,10 @@ def params(spark: SparkSession, sf: str) -> DataFrame:
 EMB = "emb AS (SELECT vec_id AS r, CAST(k AS BIGINT) AS c, CAST(embedding[k + 1] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(64)) AS k))"
 
 
+#: Cells alone, for statements that need no more.
+CELLS = "WITH emb AS (SELECT vec_id AS r, CAST(unnest(range(64)) AS BIGINT) AS c, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
+
+
 def _band(k: int, m: int) -> str:
     return f"CASE WHEN r < 64 AND c < 32 THEN 0.0 WHEN r >= 400 AND c >= 32 THEN 255.0 ELSE CAST(CAST(floor(abs(x) * {m}) AS BIGINT) % 256 AS DOUBLE) END AS b{k}"
 

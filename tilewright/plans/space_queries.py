@@ -36,7 +36,10 @@ def boxes(spark, sf):
     return g.bounds(g.tiles(spark, fx.grid(spark, sf)))
 
 
-@register("j9_polygon_mask", fx.ALL + f", {CENTRES}, {edge_sql('e', HOLED)} SELECT r, c FROM cen WHERE pid IN (SELECT pid FROM ({held_sql('cen', 'e')}))")
+CROSSED = "JOIN e ON p.y >= least(e.y1, e.y2) AND p.y < greatest(e.y1, e.y2) WHERE e.x1 + (p.y - e.y1) / (e.y2 - e.y1) * (e.x2 - e.x1) > p.x"
+
+
+@register("j9_polygon_mask", fx.CELLS + f", {CENTRES}, {edge_sql('e', HOLED)} SELECT r, c FROM cen p {CROSSED} GROUP BY r, c HAVING count(*) % 2 = 1")
 def j9_polygon_mask(spark, sf):
     return vector.mask(vector.edges_of(spark, HOLED), fx.height(spark, sf), fx.WIDTH).select("r", "c")
 
@@ -46,9 +49,13 @@ def j9_all_touched(spark, sf):
     return vector.touched(vector.edges_of(spark, SHADOWS), fx.height(spark, sf), fx.WIDTH).join(fx.emb(spark, sf), ["r", "c"]).select("poly_id", "r", "c")
 
 
-@register("j10_raster_spec", f"WITH {edge_sql('e', SHADOWS)}, b AS (SELECT least(min(x1), min(x2)) AS minx, least(min(y1), min(y2)) AS miny, greatest(max(x1), max(x2)) AS maxx, greatest(max(y1), max(y2)) AS maxy FROM e) SELECT *, CAST(floor((maxx - minx) / 0.7) AS BIGINT) AS width, CAST(floor((maxy - miny) / 0.7) AS BIGINT) AS height, (SELECT max(vec_id) + 1 FROM embeddings) AS rows FROM b")
+@register("j10_raster_spec", "WITH p AS (SELECT CAST(unnest(embedding[1:6:2]) AS DOUBLE) * 100 AS x, CAST(unnest(embedding[2:6:2]) AS DOUBLE) * 100 AS y FROM embeddings), b AS (SELECT min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM p) SELECT *, CAST(floor((maxx - minx) / 0.7) AS BIGINT) AS width, CAST(floor((maxy - miny) / 0.7) AS BIGINT) AS height FROM b")
 def j10_raster_spec(spark, sf):
-    return vector.raster_spec(vector.edges_of(spark, SHADOWS), 0.7).withColumn("rows", F.lit(fx.height(spark, sf)).cast("long"))
+    """The raster that holds a triangle of each vector."""
+    at = lambda k: F.get("embedding", F.lit(k)).cast("double") * 100
+    sides = F.explode(F.array(*[F.struct(at(2 * a).alias("x1"), at(2 * a + 1).alias("y1"), at(2 * b).alias("x2"), at(2 * b + 1).alias("y2")) for a, b in ((0, 1), (1, 2), (2, 0))]))
+    edges = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("poly_id"), F.lit(0).alias("ring_id"), sides.alias("e")).select("poly_id", "ring_id", "e.*")
+    return vector.raster_spec(edges, 0.7)
 
 
 MEETS = f"""{BOX}, {edge_sql('e', BOUNDARY)}, cor AS (SELECT pid, minx AS x, miny AS y FROM box),
@@ -126,24 +133,30 @@ def j2_layer_stack(spark, sf):
     return raster.stacked(meta, [("rgb", fx.cells(spark, sf), 3), ("dem", dem, 1)]).groupBy("band", "layer").agg(F.count("*").alias("cells"), R(F.sum("value"), 4).alias("total"))
 
 
-@register("j15_resample_nearest", fx.ALL + ", o AS (SELECT a.r, b.c FROM (SELECT unnest(range(100)) AS r) a, (SELECT unnest(range(80)) AS c) b) SELECT o.r, o.c, x AS value FROM o JOIN emb e ON e.r = CAST(floor((o.r + 0.5) * 200 / 100) AS BIGINT) AND e.c = CAST(floor((o.c + 0.5) * 64 / 80) AS BIGINT)")
+GRID_OF = ", size AS (SELECT max(vec_id) + 1 AS h FROM embeddings), o AS (SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, h FROM (SELECT h, unnest(range({rows})) AS r FROM size), (SELECT unnest(range({cols})) AS c))"
+
+
+@register("j15_resample_nearest", fx.CELLS + GRID_OF.format(rows="h // 2", cols=80) + " SELECT o.r, o.c, e.x AS value FROM o JOIN emb e ON e.r = CAST(floor((o.r + 0.5) * o.h / (o.h // 2)) AS BIGINT) AND e.c = CAST(floor((o.c + 0.5) * 64 / 80) AS BIGINT)")
 def j15_resample_nearest(spark, sf):
-    v = fx.emb(spark, sf).filter("r < 200").withColumnRenamed("x", "value")
-    return raster.resampled(v, (200, 64), (100, 80), "nearest")
+    v, h = fx.emb(spark, sf).withColumnRenamed("x", "value"), fx.height(spark, sf)
+    return raster.resampled(v, (h, 64), (h // 2, 80), "nearest")
 
 
-@register("j15_resample_average", fx.ALL + " SELECT r // 4 AS r, c // 2 AS c, round(avg(x), 6) AS value FROM emb WHERE r < 200 GROUP BY 1, 2")
+@register("j15_resample_average", fx.CELLS + " SELECT r // 4 AS r, c // 2 AS c, round(avg(x), 6) AS value FROM emb GROUP BY 1, 2")
 def j15_resample_average(spark, sf):
-    v = fx.emb(spark, sf).filter("r < 200").withColumnRenamed("x", "value")
-    return rounded(raster.resampled(v, (200, 64), (50, 32), "average"), "value")
+    v, h = fx.emb(spark, sf).withColumnRenamed("x", "value"), fx.height(spark, sf)
+    return rounded(raster.resampled(v, (h, 64), (h // 4, 32), "average"), "value")
 
 
-@register("j15_resample_bilinear", fx.ALL + """, o AS (SELECT a.r, b.c, (a.r + 0.5) * 200 / 150 - 0.5 AS y, (b.c + 0.5) * 64 / 100 - 0.5 AS x FROM (SELECT unnest(range(150)) AS r) a, (SELECT unnest(range(100)) AS c) b),
-k AS (SELECT o.r, o.c, (1 - abs(y - e.r)) * (1 - abs(o.x - e.c)) AS w, e.x AS v FROM o JOIN emb e ON e.r < 200 AND (e.r = CAST(floor(y) AS BIGINT) OR e.r = CAST(floor(y) AS BIGINT) + 1) AND (e.c = CAST(floor(o.x) AS BIGINT) OR e.c = CAST(floor(o.x) AS BIGINT) + 1))
+AT = ", q AS (SELECT r, c, (r + 0.5::DOUBLE) * h / {rows} - 0.5 AS y, (c + 0.5::DOUBLE) * 64 / 100 - 0.5 AS x FROM o)"
+
+
+@register("j15_resample_bilinear", fx.CELLS + GRID_OF.format(rows="h * 3 // 4", cols=100) + AT.format(rows="(h * 3 // 4)") + """, two AS (SELECT CAST(unnest([0, 1]) AS BIGINT) AS d),
+k AS (SELECT q.r, q.c, (1 - abs(q.y - e.r)) * (1 - abs(q.x - e.c)) AS w, e.x AS v FROM q, two a, two b, emb e WHERE e.r = CAST(floor(q.y) AS BIGINT) + a.d AND e.c = CAST(floor(q.x) AS BIGINT) + b.d)
 SELECT r, c, round(sum(w * v) / sum(w), 6) AS value FROM k WHERE w <> 0 GROUP BY 1, 2""")
 def j15_resample_bilinear(spark, sf):
-    v = fx.emb(spark, sf).filter("r < 200").withColumnRenamed("x", "value")
-    return rounded(raster.resampled(v, (200, 64), (150, 100)), "value")
+    v, h = fx.emb(spark, sf).withColumnRenamed("x", "value"), fx.height(spark, sf)
+    return rounded(raster.resampled(v, (h, 64), (h * 3 // 4, 100)), "value")
 
 
 @register("j15_resample_cubic")
@@ -155,7 +168,7 @@ def j15_resample_cubic(spark, sf):
 INSIDE = f"{CENTRES}, {edge_sql('e', BOUNDARY)}, ins AS ({held_sql('cen', 'e')})"
 
 
-@register("t6_placements", fx.ALL + f", {INSIDE} SELECT w.r, w.c FROM wide w JOIN ins ON ins.pid = w.r * 64 + w.c WHERE least(b1, b2, b3) < 250 AND w.r BETWEEN 12 AND (SELECT h FROM len) - 13 AND w.c BETWEEN 12 AND 51")
+@register("t6_placements", fx.CELLS + f", {fx.RGB}, {edge_sql('e', BOUNDARY)}, cen AS (SELECT r, c, c + 0.5::DOUBLE AS x, -(r + 0.5::DOUBLE) AS y FROM wide WHERE least(b1, b2, b3) < 250) SELECT r, c FROM cen p {CROSSED} AND r BETWEEN 12 AND (SELECT max(vec_id) FROM embeddings) - 12 AND c BETWEEN 12 AND 51 GROUP BY r, c HAVING count(*) % 2 = 1")
 def t6_placements(spark, sf):
     h = fx.height(spark, sf)
     return raster.placements(fx.wide(spark, sf), vector.mask(vector.edges_of(spark, BOUNDARY), h, fx.WIDTH), h, fx.WIDTH, 12)
@@ -182,11 +195,11 @@ def t8_white_placements(spark, sf):
     return rounded(raster.too_white(stamp_cells(spark, sf), fx.wide(spark, sf), 0.2), "white_fraction")
 
 
-@register("x8_rotated", fx.TILED + " SELECT tile_idx, 31 - tc AS r2, 31 - tr AS c2, target FROM tt WHERE tile_idx = 20")
+@register("x8_rotated", fx.CELLS + f", {fx.GRID} SELECT tile_idx, 31 - (c - col_start) AS r2, 31 - (r - row_start) AS c2, any_value(x) AS x FROM tiles JOIN emb ON r >= row_start AND r < row_end AND c >= col_start AND c < col_end GROUP BY 1, 2, 3")
 def x8_rotated(spark, sf):
-    t = fx.tiled(fx.target(spark, sf), spark, sf).filter("tile_idx = 20")
+    t = fx.tiled(fx.emb(spark, sf), spark, sf)
     r, c = raster.turned(F.col("tr"), F.col("tc"), 32, 1, flip_h=True)
-    return t.select("tile_idx", r.alias("r2"), c.alias("c2"), "target")
+    return t.select("tile_idx", r.alias("r2"), c.alias("c2"), "x")
 
 
 @register("x9_recoloured", fx.TILED + """, n AS (SELECT tile_idx, b1 / 255 AS r, b2 / 255 AS g, b3 / 255 AS b FROM tw), s AS (SELECT tile_idx, y + 1.2 * (r - y) AS r, y + 1.2 * (g - y) AS g, y + 1.2 * (b - y) AS b FROM (SELECT *, 0.299 * r + 0.587 * g + 0.114 * b AS y FROM n)),
@@ -197,6 +210,18 @@ def x9_recoloured(spark, sf):
     return raster.recoloured(t, "tile_idx", brightness=0.05, contrast=0.8, saturation=1.2, gamma=1.1).groupBy("tile_idx").agg(R(F.avg("b1")).alias("r"), R(F.avg("b3")).alias("b"))
 
 
+TURN = "greatest(0.0, least((({n} + h * 6) % 6), 4 - (({n} + h * 6) % 6), 1.0))"
+HUED = f""", n AS (SELECT tile_idx, greatest(b1, b2, b3) / 255 AS v, CASE WHEN greatest(b1, b2, b3) = 0 THEN 0 ELSE 1 - least(b1, b2, b3) / greatest(b1, b2, b3) END AS s, greatest(b1, b2, b3) - least(b1, b2, b3) AS d, b1, b2, b3 FROM tw),
+k AS (SELECT tile_idx, v, s, (CASE WHEN d = 0 THEN 0 WHEN greatest(b1, b2, b3) = b1 THEN (b2 - b3) / d + 6 WHEN greatest(b1, b2, b3) = b2 THEN 2 + (b3 - b1) / d ELSE 4 + (b1 - b2) / d END / 6 + 0.1) % 1 AS h FROM n)
+SELECT tile_idx, round(avg(v - v * s * {TURN.format(n=5)}), 6) AS r, round(avg(v - v * s * {TURN.format(n=3)}), 6) AS g, round(avg(v - v * s * {TURN.format(n=1)}), 6) AS b FROM k GROUP BY 1"""
+
+
+@register("x9_hue", fx.TILED + HUED)
+def x9_hue(spark, sf):
+    t = fx.tiled(fx.wide(spark, sf), spark, sf).withColumns({b: F.col(b) / 255 for b in ("b1", "b2", "b3")})
+    return raster.recoloured(t, "tile_idx", hue=0.1).groupBy("tile_idx").agg(R(F.avg("b1")).alias("r"), R(F.avg("b2")).alias("g"), R(F.avg("b3")).alias("b"))
+
+
 @register("x9_noise")
 def x9_noise(spark, sf):
     t = fx.tiled(fx.wide(spark, sf), spark, sf).withColumns({b: F.col(b) / 255 for b in ("b1", "b2", "b3")})
@@ -440,21 +465,32 @@ def w11_borders(spark, sf):
     return stencil.borders(segments(spark, sf)).groupBy("r").agg(F.count_if("border").alias("borders"))
 
 
-@register("w12_aspect", fx.ALL + f", {AROUND.format(v='x', t='emb')} SELECT r, c, round(atan2(-coalesce((s - n) / 2, 0), -coalesce((e - w) / 2, 0)), 5) + 0.0 AS aspect FROM nb WHERE abs(coalesce((s - n) / 2, 0)) > 1e-9")
+BEARING = "CASE WHEN dy = 0 AND dx >= 0 THEN -pi() WHEN dy = 0 THEN 0.0 ELSE atan2(-dy, -dx) END"
+SLOPES = "sl AS (SELECT r, c, coalesce((lead(x) OVER down - lag(x) OVER down) / 2, 0.0) AS dy, coalesce((lead(x) OVER along - lag(x) OVER along) / 2, 0.0) AS dx FROM emb WINDOW down AS (PARTITION BY c ORDER BY r), along AS (PARTITION BY r ORDER BY c))"
+
+
+@register("w12_aspect", fx.CELLS + f", {SLOPES} SELECT r, c, any_value(round({BEARING}, 5) + 0.0) AS aspect FROM sl GROUP BY r, c")
 def w12_aspect(spark, sf):
-    d = fx.emb(spark, sf).withColumnRenamed("x", "value")
-    a = stencil.aspect(d).filter("abs(sin(aspect)) > 1e-12")
-    h = fx.height(spark, sf)
-    return a.filter(F.col("r").between(1, h - 2)).select("r", "c", R("aspect", 5).alias("aspect"))
+    a = stencil.aspect(fx.emb(spark, sf).withColumnRenamed("x", "value"))
+    return a.select("r", "c", (R("aspect", 5) + 0.0).alias("aspect"))
 
 
-TAPS1 = ", ".join(f"({k - 4}, {w!r}::DOUBLE)" for k, w in enumerate(stencil.gaussian_taps(1.0).tolist()))
+def smooth_sql(name: str, source: str, columns: list[str], sigma: float) -> str:
+    """name(r, c, columns): two passes of taps over the source, with edges repeated."""
+    taps = stencil.gaussian_taps(sigma).tolist()
+    values = ", ".join(f"({k - len(taps) // 2}, {w!r}::DOUBLE)" for k, w in enumerate(taps))
+    sums = ", ".join(f"sum(g.w * p.{x}) AS {x}" for x in columns)
+    clamp = "greatest(0, least((SELECT max(vec_id) FROM embeddings), q.r + g.t))"
+    return (
+        f"{name}_g AS (SELECT * FROM (VALUES {values}) v(t, w)), {name}_a AS (SELECT q.r, q.c, {sums} FROM {source} q, {name}_g g, {source} p WHERE p.c = q.c AND p.r = {clamp} GROUP BY 1, 2), "
+        f"{name} AS (SELECT q.r, q.c, {sums} FROM {name}_a q, {name}_g g, {name}_a p WHERE p.r = q.r AND p.c = greatest(0, least(63, q.c + g.t)) GROUP BY 1, 2)"
+    )
 
 
-@register("x2_smoothed", fx.ALL + f", g AS (SELECT * FROM (VALUES {TAPS1}) v(t, w)), q AS (SELECT * FROM emb WHERE r < 60), a AS (SELECT q.r, q.c, sum(g.w * p.x) AS x FROM q, g, q p WHERE p.c = q.c AND p.r = greatest(0, least(59, q.r + g.t)) GROUP BY 1, 2) SELECT a.r, a.c, round(sum(g.w * p.x), 6) AS value FROM a, g, a p WHERE p.r = a.r AND p.c = greatest(0, least(63, a.c + g.t)) GROUP BY 1, 2")
+@register("x2_smoothed", fx.CELLS + f", {smooth_sql('s', 'emb', ['x'], 1.0)} SELECT r, c, round(x, 6) AS value FROM s")
 def x2_smoothed(spark, sf):
-    v = fx.emb(spark, sf).filter("r < 60").withColumnRenamed("x", "value")
-    return rounded(stencil.smoothed(v, 60, 64, 1.0), "value")
+    v = fx.emb(spark, sf).withColumnRenamed("x", "value")
+    return rounded(stencil.smoothed(v, fx.height(spark, sf), 64, 1.0), "value")
 
 
 @register("x3_sobel", fx.ALL + ", y AS (SELECT r, c, (0.299 * b1 + 0.587 * b2 + 0.114 * b3) / 255 AS v FROM wide), h AS (SELECT max(r) AS h FROM y), d AS (SELECT a.k AS dr, b.k AS dc FROM (SELECT unnest([-1, 0, 1]) AS k) a, (SELECT unnest([-1, 0, 1]) AS k) b) SELECT y.r, y.c, round(sum(p.v * dc * CASE WHEN dr = 0 THEN 2 ELSE 1 END), 5) + 0.0 AS gx, round(sum(p.v * dr * CASE WHEN dc = 0 THEN 2 ELSE 1 END), 5) + 0.0 AS gy FROM y, d, h, y p WHERE p.r = greatest(0, least(h, y.r + dr)) AND p.c = greatest(0, least(63, y.c + dc)) GROUP BY 1, 2")
@@ -464,15 +500,32 @@ def x3_sobel(spark, sf):
     return s.withColumns({"gx": F.col("gx") + 0.0, "gy": F.col("gy") + 0.0})
 
 
-@register("x4_texture")
+GRAD = """d AS (SELECT CAST(unnest([-1, 0, 1]) AS BIGINT) AS k),
+gr AS (SELECT y.r, y.c, sum(p.v * b.k * (2 - abs(a.k))) AS gx, sum(p.v * a.k * (2 - abs(b.k))) AS gy FROM s1 y, d a, d b, s1 p WHERE p.r = greatest(0, least((SELECT max(vec_id) FROM embeddings), y.r + a.k)) AND p.c = greatest(0, least(63, y.c + b.k)) GROUP BY 1, 2),
+j AS (SELECT r, c, gx * gx AS xx, gy * gy AS yy, gx * gy AS xy FROM gr)"""
+TENSOR = (
+    fx.CELLS + f", {fx.RGB}, y0 AS (SELECT r, c, (0.299 * b1 + 0.587 * b2 + 0.114 * b3) / 255 AS v FROM wide), {smooth_sql('s1', 'y0', ['v'], 1.5)}, {GRAD}, {smooth_sql('s2', 'j', ['xx', 'yy', 'xy'], 2.0)}, {SLOPES}, asp AS (SELECT r, c, {BEARING} AS aspect FROM sl),"
+    " t AS (SELECT r, c, least(1.0, sqrt((xx - yy) * (xx - yy) + 4 * xy * xy) / (xx + yy + 1e-12)) AS coherence, atan2(2 * xy, xx - yy + 1e-12) + pi() / 2 AS angle FROM s2)"
+    " SELECT t.r, t.c, round(coherence, 4) AS coherence, round(least(1.0, coherence * pow(greatest((cos(angle - aspect) + 1) / 2, 1e-12), {power})), 4) AS stripes FROM t JOIN asp ON asp.r = t.r AND asp.c = t.c"
+)
+
+
+def grays(spark, sf):
+    return fx.wide(spark, sf).select("r", "c", stencil.gray(F.col("b1"), F.col("b2"), F.col("b3")).alias("value"))
+
+
+def dem(spark, sf):
+    return fx.emb(spark, sf).withColumnRenamed("x", "value")
+
+
+@register("x4_texture", TENSOR.format(power=1.0))
 def x4_texture(spark, sf):
-    v = fx.wide(spark, sf).select("r", "c", stencil.gray(F.col("b1"), F.col("b2"), F.col("b3")).alias("value"))
-    return stencil.texture(v, fx.emb(spark, sf).withColumnRenamed("x", "value"), fx.height(spark, sf), 64)
+    return rounded(stencil.texture(grays(spark, sf), dem(spark, sf), fx.height(spark, sf), 64).select("r", "c", "coherence", "stripes"), "coherence", "stripes", n=4)
 
 
 @register("x5_gabor")
 def x5_gabor(spark, sf):
-    return stencil.gabor_stripes(fx.cells(spark, sf).drop("raster_id"))
+    return stencil.gabor_stripes(fx.cells(spark, sf).drop("raster_id"), dem(spark, sf))
 
 
 @register("x6_derived", fx.ALL + ", y AS (SELECT r, c, (b1 + b2 + b3) / 3 AS v FROM wide), h AS (SELECT max(r) AS h FROM y), d AS (SELECT a.k AS dr, b.k AS dc FROM (SELECT unnest([-1, 0, 1]) AS k) a, (SELECT unnest([-1, 0, 1]) AS k) b) SELECT y.r, y.c, round(avg(p.v), 5) AS value FROM y, d, h, y p WHERE p.r = greatest(0, least(h, y.r + dr)) AND p.c = greatest(0, least(63, y.c + dc)) GROUP BY 1, 2")
@@ -485,13 +538,18 @@ def x7_regions(spark, sf):
     return stencil.regions(fx.wide(spark, sf).filter(qc.valid_mask(250, 0.0) & (F.col("b1") > 60)).select("r", "c"))
 
 
+def swept(df, channel: str, parameter):
+    e = F.col("stripes")
+    return df.groupBy(F.lit(channel).alias("channel"), parameter.alias("parameter")).agg(F.avg(e).alias("mean"), F.min(e).alias("min"), F.max(e).alias("max"))
+
+
 @register("g28_sweep")
 def g28_sweep(spark, sf):
-    """Mean, least and greatest of the texture channel for each smoothing."""
-    v = fx.wide(spark, sf).select("r", "c", stencil.gray(F.col("b1"), F.col("b2"), F.col("b3")).alias("value"))
-    dem = fx.emb(spark, sf).withColumnRenamed("x", "value")
+    """Mean, least and greatest of the texture channel for each structure sigma, and of the Gabor channel for each power of the alignment."""
     out = None
-    for sigma in (1.0, 2.0):
-        one = stencil.texture(v, dem, fx.height(spark, sf), 64, sigma).agg(F.lit(sigma).alias("sigma"), F.avg("stripes").alias("mean"), F.min("stripes").alias("min"), F.max("stripes").alias("max"))
+    for sigma in (1.0, 2.0, 3.0):
+        one = swept(stencil.texture(grays(spark, sf), dem(spark, sf), fx.height(spark, sf), 64, sigma_structure=sigma), "texture", F.lit(sigma))
         out = one if out is None else out.unionByName(one)
-    return out
+    bank = stencil.gabor_stripes(fx.cells(spark, sf).drop("raster_id"), dem(spark, sf), frequency=0.15, sigma=5.0)
+    powers = bank.withColumn("power", F.explode(F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])))
+    return out.unionByName(swept(powers.withColumn("stripes", stencil.along_slope(F.col("strength"), F.col("angle"), F.col("power"))), "gabor", F.col("power")))

@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tilewright.operators import qc
 from tilewright.plans import fixtures as fx
 from tilewright.registry import register
+from tilewright.shared import new_path
 from tilewright.streaming import monitor
 
 
-def folder(spark, name: str) -> str:
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tilewright").rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @register("z1_stop_monitor", fx.HISTORY + """, v AS (SELECT run_id, event_id AS step, value, ts, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS n, min(value) OVER (PARTITION BY run_id ORDER BY event_id) AS best, min(value) OVER (PARTITION BY run_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior
  FROM h WHERE metric = 'view' AND ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM h WHERE metric = 'view'))
 SELECT run_id, step, value, best, n - max(CASE WHEN prior IS NULL OR value < prior THEN n END) OVER (PARTITION BY run_id ORDER BY step) AS counter FROM v""")
@@ -25,7 +19,7 @@ def z1_stop_monitor(spark, sf):
     static = fx.table(spark, sf, "events")
     stream = spark.readStream.schema(static.schema).parquet(f"{sf}/events.parquet*")
     rows = stream.filter("event_type = 'view'").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), "value", F.col("ts").cast("timestamp").alias("ts"))
-    path = folder(spark, "z1")
+    path = new_path(spark, "z1")
     monitor.run_to_end(monitor.stop_monitor(rows), path)
     return spark.read.parquet(f"{path}/rows").select("run_id", "step", "value", "best", "counter")
 
@@ -33,7 +27,7 @@ def z1_stop_monitor(spark, sf):
 @register("z2_tile_qc", fx.TILED + " SELECT tile_idx, count(*) FILTER (abs(p.target) > 0) AS positive_pixels, count(*) AS total_pixels FROM tt p GROUP BY 1")
 def z2_tile_qc(spark, sf):
     """Target checks of tiles as their cells arrive; the target table is written first as the stream's source."""
-    path = folder(spark, "z2")
+    path = new_path(spark, "z2")
     cells = fx.tiled(fx.target(spark, sf), spark, sf).select("tile_idx", "target")
     cells.repartition("tile_idx").write.parquet(f"{path}/source")
     stream = spark.readStream.schema("tile_idx bigint, target double").parquet(f"{path}/source")

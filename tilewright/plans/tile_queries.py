@@ -72,7 +72,9 @@ def b10_binary_target(spark, sf):
     return fx.target(spark, sf).groupBy("r").agg(F.sum((F.col("target") >= 3).cast("long")).alias("positives"))
 
 
-@register("x1_proximity", fx.ALL + " SELECT r, c, CAST(target AS BIGINT) AS proximity FROM tgt WHERE target > 0")
+@register("x1_proximity", fx.CELLS + """, ones AS (SELECT r, c FROM emb WHERE x > 0.30 AND r >= 100), step AS (SELECT CAST(unnest(range(-5, 6)) AS BIGINT) AS d),
+near AS (SELECT o.r + a.d AS r, o.c + b.d AS c, a.d * a.d + b.d * b.d AS d2 FROM ones o, step a, step b)
+SELECT r, c, CAST(floor(5.0 - sqrt(min(d2))) AS BIGINT) AS proximity FROM near WHERE d2 <= 16 AND c BETWEEN 0 AND 63 AND r BETWEEN 0 AND (SELECT max(vec_id) FROM embeddings) GROUP BY 1, 2""")
 def x1_proximity(spark, sf):
     near = stencil.proximity(fx.mask(spark, sf).filter("value = 1").select("r", "c"), fx.height(spark, sf), fx.WIDTH, 5, 5)
     return near.filter("proximity > 0")
@@ -185,16 +187,16 @@ def g10_background_candidates(spark, sf):
     return qc.white_tiles(fx.tiled(fx.wide(spark, sf), spark, sf).join(rest, "tile_idx", "left_semi")).filter("NOT mostly_white").select("tile_idx")
 
 
-@register("g15_normalization", fx.TILED + " SELECT 'dem' AS layer, round(avg(x * 100), 6) AS mean, round(stddev_pop(x * 100), 6) AS std FROM tw WHERE tile_idx % 2 = 0 UNION ALL SELECT 'slope', round(avg(b1), 6), round(stddev_pop(b1), 6) FROM tw WHERE tile_idx % 2 = 0")
+@register("g15_normalization", fx.TILED + " SELECT 'dem' AS layer, round(avg(x * 100), 6) AS mean, round(stddev_pop(x * 100), 6) AS std FROM tw UNION ALL SELECT 'slope', round(avg(b1), 6), round(stddev_pop(b1), 6) FROM tw")
 def g15_normalization(spark, sf):
-    t = fx.tiled(fx.wide(spark, sf), spark, sf).filter("tile_idx % 2 = 0")
+    t = fx.tiled(fx.wide(spark, sf), spark, sf)
     layers = F.explode(F.create_map(F.lit("dem"), F.col("x") * 100, F.lit("slope"), F.col("b1"))).alias("layer", "v")
     return t.select(layers).groupBy("layer").agg(R(F.avg("v")).alias("mean"), R(F.stddev_pop("v")).alias("std"))
 
 
-@register("g16_dataset_baselines", fx.TILED + ", s AS (SELECT * FROM tt WHERE tile_idx % 3 = 0), " + baseline_sql("s", "", 4, 0.0) + f" SELECT {BASE_REST}, {BASE_ROUND} FROM bq")
+@register("g16_dataset_baselines", fx.TILED + ", " + baseline_sql("tt", "", 4, 0.0) + f" SELECT {BASE_REST}, {BASE_ROUND} FROM bq")
 def g16_dataset_baselines(spark, sf):
-    t = fx.tiled(fx.target(spark, sf), spark, sf).filter("tile_idx % 3 = 0")
+    t = fx.tiled(fx.target(spark, sf), spark, sf)
     return rounded(qc.baselines(t, [], 4.0, empty_union=0.0), *BASE_FLOATS)
 
 

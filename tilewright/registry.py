@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ("tile_queries", "history_queries", "space_queries", "stream_queries")
+MODULES = ("tile_queries", "history_queries", "space_queries", "stream_queries", "file_queries")
 
 
 def register(name: str, sql: str | None = None):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright import schemas
 
@@ -21,10 +24,43 @@ def read_filtered_tiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.FILTERED_LIST).json(path, multiLine=True).select(F.explode("tiles").alias("t")).select("t.*")
 
 
-def write_filtered_tiles(tiles: DataFrame, stats: DataFrame, path: str) -> None:
-    """Tiles and their counters side by side."""
-    tiles.write.mode("overwrite").parquet(f"{path}/tiles")
-    stats.write.mode("overwrite").json(f"{path}/stats")
+#: A list is written as documents of about so many tiles each, which read back as one list.
+TILES_PER_DOCUMENT = 10_000
+
+
+def _documents(rows: DataFrame, key: str, **gathered) -> DataFrame:
+    """Rows dealt by key to documents (part) of TILES_PER_DOCUMENT rows or so, each gathered to one row."""
+    parts = max(1, -(-rows.count() // TILES_PER_DOCUMENT))
+    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias("part")).agg(*[x.alias(n) for n, x in gathered.items()])
+
+
+def _write_documents(documents: DataFrame, columns: str, path: str, part: str = "part") -> None:
+    """One JSON document per row and folder, of the given columns."""
+    schema = T.StructType.fromDDL(columns)
+    documents.select(part, *[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("overwrite").partitionBy(part).json(path)
+
+
+def write_filtered_tiles(tiles: DataFrame, stats: DataFrame, path: str, config: dict | None = None, tile_size: int | None = None) -> None:
+    """A filtered list that read_filtered_tiles reads: the tiles with the filter's configuration, its counters (one row) and the tile size.
+
+    Columns of tiles that the list's schema does not know are left out, those that are absent are null.
+    """
+    kind = next(f.dataType.elementType for f in T.StructType.fromDDL(schemas.FILTERED_LIST) if f.name == "tiles")
+    known = F.struct(*[(F.col(f.name) if f.name in tiles.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind])
+    counts = stats.select(F.struct(*stats.columns).alias("stats"))
+    whole = _documents(tiles, "tile_id", tiles=F.collect_list(known)).crossJoin(F.broadcast(counts))  # one row of counters
+    whole = whole.withColumn("filter_config", F.from_json(F.lit(json.dumps(config or {})), "min_rgb_coverage double, include_background_only boolean, min_target_coverage double"))
+    whole = whole.withColumn("tile_size", F.lit(tile_size)).withColumn("stats", F.from_json(F.to_json("stats"), _part_of(schemas.FILTERED_LIST, "stats")))
+    _write_documents(whole, schemas.FILTERED_LIST, path)
+
+
+def _part_of(ddl: str, name: str) -> T.DataType:
+    return T.StructType.fromDDL(ddl)[name].dataType
+
+
+def read_list_header(spark: SparkSession, path: str) -> DataFrame:
+    """filter_config, tile_size, stats of a filtered list: one row."""
+    return spark.read.schema(schemas.FILTERED_LIST).json(path, multiLine=True).select("filter_config", "tile_size", "stats").limit(1)
 
 
 def tile_size(height, width):
@@ -37,9 +73,23 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.REGISTRY).json(path, multiLine=True).select(F.explode("tiles").alias("key", "t")).select("t.*")
 
 
-def write_registry(entries: DataFrame, path: str) -> None:
-    """One JSON line per tile."""
-    entries.write.mode("overwrite").json(path)
+def write_registry(entries: DataFrame, path: str, metadata: dict | None = None) -> None:
+    """Registry documents of metadata and tiles by id, which read_registry reads. Absent columns are null."""
+    kind = _part_of(schemas.REGISTRY, "tiles").valueType
+    known = F.struct(*[(F.col(f.name) if f.name in entries.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind])
+    whole = _documents(entries, "tile_id", tiles=F.map_from_entries(F.collect_list(F.struct("tile_id", known))))
+    whole = whole.withColumn("metadata", F.from_json(F.lit(json.dumps(metadata or {})), _part_of(schemas.REGISTRY, "metadata")))
+    _write_documents(whole, schemas.REGISTRY, path)
+
+
+def write_extended_tiles(tiles: DataFrame, path: str, config: dict[str, str] | None = None, stats: dict[str, int] | None = None) -> None:
+    """An extended training list that read_extended_tiles reads. Absent columns are null."""
+    kind = _part_of(schemas.EXTENDED_LIST, "tiles").elementType
+    known = F.struct(*[(F.col(f.name) if f.name in tiles.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind])
+    whole = _documents(tiles, "tile_id", tiles=F.collect_list(known))
+    for name, value in (("config", config), ("stats", stats)):
+        whole = whole.withColumn(name, F.from_json(F.lit(json.dumps(value or {})), _part_of(schemas.EXTENDED_LIST, name)))
+    _write_documents(whole, schemas.EXTENDED_LIST, path)
 
 
 def read_extended_tiles(spark: SparkSession, path: str) -> DataFrame:
@@ -95,9 +145,17 @@ def read_run_params(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Parallel arrays of a manifest's metrics_history as rows: metric, step, value."""
+    """Parallel arrays of a manifest's metrics_history as rows: metric, step, value; first run_id, if the manifests are in folders of runs."""
     h = spark.read.schema("metrics_history map<string,array<double>>").json(path, multiLine=True)
-    return h.select(F.explode("metrics_history").alias("metric", "v")).select("metric", F.posexplode("v").alias("step", "value"))
+    run = ["run_id"] if "run_id" in h.columns else []
+    return h.select(*run, F.explode("metrics_history").alias("metric", "v")).select(*run, "metric", F.posexplode("v").alias("step", "value"))
+
+
+def write_manifests(history: DataFrame, path: str, mode: str = "min") -> None:
+    """One manifest per run (folder run_id=...) with a version, the last step and arrays of each metric by step. history: run_id, metric, step, value."""
+    series = history.groupBy("run_id", "metric").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "value"))), lambda x: x["value"]).alias("v"), F.max("step").alias("last"))
+    runs = series.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("metric", "v"))).alias("metrics_history"), F.max("last").alias("last_completed_epoch"))
+    _write_documents(runs.withColumns({"version": F.lit(1), "mode": F.lit(mode)}), "version int, mode string, last_completed_epoch bigint, metrics_history map<string,array<double>>", path, "run_id")
 
 
 def append_history(rows: DataFrame, path: str) -> None:
