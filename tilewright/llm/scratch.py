@@ -2,28 +2,10 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-@functools.cache
-def local_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="tilewright-")
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary folder in a local session; an error on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return local_folder()
+from tilewright.shared import new_path
 
 
 class Scratch:
@@ -38,11 +20,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as a table written once; later reads do not repeat its work."""
-        path = f"{scratch_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-        schema = df.schema
+        path, schema = new_path(self.spark, name), df.schema
         df.write.parquet(path)
-        system, p = self._system(path)
-        system.deleteOnExit(p)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(schema).parquet(path)
 
