@@ -76,7 +76,9 @@ def contamination(
     size = windows.agg(F.coalesce(F.sum(F.size("window")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-size // BROADCAST_WORDS))
     words = dealt_to_all(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", words_of(F.col("text")).alias("w"))
-    tokens = scratch.write(words.select("doc_id", F.monotonically_increasing_id().alias("row"), F.size("w").alias("n_words"), "w"), "document-words")
+    # Written as one line of words each, which takes less memory to write and read than an array.
+    lines = scratch.write(words.select("doc_id", F.monotonically_increasing_id().alias("row"), F.size("w").alias("n_words"), F.array_join("w", " ").alias("line")), "document-words")
+    tokens = lines.filter("n_words > 0").select("row", "n_words", F.split("line", " ").alias("w"))
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
     anchors = scratch.write(anchored(windows, frequencies(tokens, vocabulary, parts), parts), "anchors")
 
@@ -102,7 +104,7 @@ def contamination(
         lambda acc: acc["n"].cast("long"),
     )
     none = lambda c: F.coalesce(c, F.array().cast(found_type(c, hit, named)))
-    per_doc = tokens.select("row", "doc_id", F.col("n_words").cast("long")).join(hit.select("row", "hits"), "row", "left").join(named, "row", "left")
+    per_doc = lines.select("row", "doc_id", F.col("n_words").cast("long")).join(hit.select("row", "hits"), "row", "left").join(named, "row", "left")
     per_doc = per_doc.select("doc_id", "n_words", none("hits").alias("hits"), none("items").alias("items"))
     return per_doc.select("doc_id", "n_words", "hits", "items", covered.alias("n_hit"))
 

@@ -128,7 +128,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         sketches[i] = odd[odd_at[i] : odd_at[i + 1]].tobytes()
                         pending.append(h[first[i] : first[i + 1]])
                         pending_n += first[i + 1] - first[i]
-                if pending_n > 2_000_000:
+                if pending_n > 500_000:
                     count()
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, rows), keys.slice(at, rows), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), pa.array(members, pa.binary()), pa.array(sketches, pa.binary()), pa.nulls(rows, pa.list_(pa.int64()))],
