@@ -328,3 +328,71 @@ def test_queries_against_brute_force(spark):
     chats_back = {r.conv_id: r for r in queries.QUERIES["op5_chat_formatting"](spark, sf).collect()}
     text = "user\n</s>[INST] ok [/INST]\nassistant\n</s>[INST] ok [/INST]\n"
     assert chats_back[-1].turns_sha256 == hashlib.sha256(text.encode()).hexdigest() and chats_back[-1].loss_chars == 21
+
+
+def test_registered_queries_of_whole_tables(spark):
+    """op3 with the library, op4 and op7 with their contracts recomputed in plain Python."""
+    import zlib
+
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from tilewright.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    v = tokencount.load_vocabulary(VOCABULARY)
+    exact = Tokenizer(models.Unigram(list(v.pieces), [p for p, _ in v.pieces].index("<unk>"), v.byte_fallback))
+    exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    got = {r.doc_id: r.n_tokens for r in queries.QUERIES["op3_token_counts"](spark, sf).collect()}
+    assert got == {i: len(exact.encode(r.text).ids) if r.text else 0 for i, r in docs.items()}
+    size, target = brute.targets([(r.source, r.text) for r in docs.values()])
+    rows = queries.QUERIES["op4_mixing"](spark, sf).collect()
+    taken = collections.Counter()
+    for r in rows:
+        d = docs[r.doc_id]
+        assert (r.size, r.source_size) == (len(brute.SPACED.findall(d.text or "")), size[d.source]) and r.target == pytest.approx(target[d.source])
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[d.source] += r.taken
+    assert len(rows) == len(docs) and all(abs(taken[s] - target[s]) <= 1 for s in target)
+    rows = queries.QUERIES["op7_sharding"](spark, sf).collect()
+    counts = collections.Counter(r.shard for r in rows)
+    assert len(rows) == len(docs) and set(counts) <= set(range(16)) and max(counts.values()) - min(counts.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in rows) == sorted((k, n) for k in counts for n in range(counts[k]))
+    for r in rows:
+        raw = (docs[r.doc_id].text or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in every column, empty, long and repeated rows, columns with names that stages use, and no rows."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    passage = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rng = random.Random(11)
+    text = lambda n: "The " + " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(n)) + "."
+    plain = [(k, text(60), "en", f"s{k % 3}", k) for k in range(40)]
+    odd = [(100, None, None, None, None), (None, None, None, None, None), (101, "", "en", "s0", 0), (102, " \n", "en", None, 3), (None, text(50), "en", "s1", 1), (103, text(9_000), None, "s2", 9), (104, passage + " " + text(20), "en", "s0", 1)]
+    rows = [(*r, "x", 1, 2, {"k": 1}) for r in [*plain, *odd, plain[0], plain[0], odd[4]]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _key string, shard int, row_number int, size map<string,int>"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        empty = stage(spark, docs.limit(0), sf)
+        docs = Scratch(spark).write(stage(spark, docs, sf), name)
+        after = docs.collect()
+        assert empty.isEmpty() and after
+        if name == "sharding":
+            assert docs.columns == [*[f.split()[0] for f in schema.split(", ")], "_shard", "slot"]
+            assert len(after) == len(before)
+        else:
+            assert docs.columns == [f.split()[0] for f in schema.split(", ")]
+        ids = {r.doc_id for r in after}
+        if name in ("quality", "jaccard_join", "decontamination"):
+            assert len(ids & {k for k, *_ in plain}) >= 36
+        if name == "quality":
+            assert not ids & {100, 101, 102}
+        if name == "jaccard_join":
+            assert len(after) == len({(r.doc_id, r.text) for r in before})
+        if name == "decontamination":
+            assert 104 not in ids and None in ids
