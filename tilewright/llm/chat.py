@@ -28,6 +28,11 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def tokens_of(text: Column) -> Column:
+    """Words and signs, and four for the template."""
+    return (F.regexp_count(text, F.lit(TOKEN)) + 4).cast("long")
+
+
 def format_chats(conversations: DataFrame, budget: int = 512, history: int = 128) -> DataFrame:
     """conv_id, window, formatted, n_turns (in it), n_repeated (at its front), loss_spans (code points start/length), n_tokens, over_budget.
 
@@ -41,31 +46,41 @@ def format_chats(conversations: DataFrame, budget: int = 512, history: int = 128
         raise ValueError("history must lie between 0 and half the budget")
     stride = budget - history
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    # A struct is an id even where its field is null, so one partitioning serves the join, the sums and the sort.
     turns = conversations.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+        F.struct("conv_id").alias("conv"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
     turns = turns.withColumn("part", F.floor(F.coalesce(F.col("turn"), F.lit(-(1 << 62))) / F.lit(TURN_BUCKET)))
-    turns = turns.withColumn("tokens", (F.regexp_count("text", F.lit(TOKEN)) + 4).cast("long"))
-    parts = turns.groupBy("conv_id", "part").agg(F.sum("tokens").alias("_n"), F.count("*").alias("_rows"))
-    upto = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("tokens", tokens_of(F.col("text")))
+    # Sums by part carry no text but that of system turns.
+    parts = turns.select("conv", "part", "tokens", "turn", "role", F.when(F.col("role") == "system", F.col("text")).alias("text"))
+    parts = parts.groupBy("conv", "part").agg(F.sum("tokens").alias("n"), F.count("*").alias("rows"), F.min(F.struct("turn", "role", "text")).alias("head"))
+    by_part = Window.partitionBy("conv").orderBy("part")
+    upto = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    head = F.first("head").over(by_part.rowsBetween(Window.unboundedPreceding, 0))
     before = parts.select(
-        F.col("conv_id").alias("_c"), F.col("part").alias("_p"),
-        F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_tokens"), F.coalesce(F.sum("_rows").over(upto), F.lit(0)).alias("_turns"),
+        "conv", "part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("tokens_before"),
+        F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("turns_before"), head.alias("head"),
     )
-    inside = Window.partitionBy("conv_id", "part").orderBy(*order)
-    placed = turns.join(before, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p"))).select(
-        "conv_id", "role", "text", "tokens", (F.col("_turns") + F.row_number().over(inside) - 1).alias("nth"),
-        (F.col("_tokens") + F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")).alias("start"),
+    inside = Window.partitionBy("conv", "part").orderBy(*order)
+    first = F.struct(F.lit(0).cast("long").alias("nth"), "head.role", "head.text", tokens_of(F.col("head.text")).alias("tokens"), F.lit(0).cast("long").alias("start"))
+    placed = turns.join(before, ["conv", "part"]).select(
+        "conv", "part", "turn", "role", "text", "tokens", (F.col("turns_before") + F.row_number().over(inside) - 1).alias("nth"),
+        (F.col("tokens_before") + F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")).alias("start"),
+        F.when(F.col("head.role") == "system", first).alias("system"),
     )
     placed = placed.withColumn("span", F.floor(F.col("start") / F.lit(stride)))
-    is_system = (F.col("nth") == 0) & (F.col("role") == "system")
-    systems = placed.filter(is_system).select(F.col("conv_id").alias("_c"), F.struct("nth", "role", "text", "tokens", "start").alias("system"))
-    # A turn is shown in its own span and, if it is near enough, again in the next.
-    shown = placed.withColumn("window", F.explode(F.array("span", F.col("span") + 1))).withColumn("own", F.col("window") == F.col("span"))
-    windows = shown.groupBy("conv_id", "window").agg(
-        F.array_sort(F.collect_list(F.struct("nth", "role", "text", "tokens", "start", "own"))).alias("turns")
+    # The system turn goes with the first turn of a span, not with each.
+    opens = ~F.lag("span").over(inside).eqNullSafe(F.col("span"))
+    placed = placed.withColumn("system", F.when(opens & (F.col("nth") > 0), F.col("system")))
+    # A turn is shown in its own span and, if it ends up within the history, again in the next.
+    near = F.col("start") >= (F.col("span") + 1) * stride - history
+    shown = placed.withColumn("window", F.explode(F.when(near, F.array("span", F.col("span") + 1)).otherwise(F.array("span"))))
+    shown = shown.withColumn("own", F.col("window") == F.col("span"))
+    windows = shown.groupBy("conv", "window").agg(
+        F.array_sort(F.collect_list(F.struct("nth", "role", "text", "tokens", "start", "own"))).alias("turns"),
+        F.first(F.when(F.col("own"), F.col("system")), ignorenulls=True).alias("system"),
     ).filter(F.exists("turns", lambda t: t["own"]))
-    windows = windows.join(systems, F.col("conv_id").eqNullSafe(F.col("_c")), "left").drop("_c")
     new = F.filter("turns", lambda t: t["own"])
     windows = windows.withColumn("new", new).withColumn("first", F.element_at("new", 1)["start"])
     new_tokens = F.aggregate("new", F.lit(0).cast("long"), lambda a, t: a + t["tokens"])
@@ -89,7 +104,7 @@ def format_chats(conversations: DataFrame, budget: int = 512, history: int = 128
         F.struct((F.get("begins", i) + lead(t)).alias("start"), F.char_length(escaped(t["text"])).alias("length")),
     ))
     return windows.select(
-        "conv_id", "window", F.array_join("rendered", "").alias("formatted"), F.size("every").alias("n_turns"), "n_repeated",
+        "conv.conv_id", "window", F.array_join("rendered", "").alias("formatted"), F.size("every").alias("n_turns"), "n_repeated",
         F.filter(spans, lambda s: s.isNotNull()).alias("loss_spans"),
         F.aggregate("every", F.lit(0).cast("long"), lambda a, t: a + t["tokens"]).alias("n_tokens"),
     ).withColumn("over_budget", F.col("n_tokens") > budget)
