@@ -206,6 +206,27 @@ def test_points_and_masks(spark):
     assert vector.overlapping(two, 10, 10)
 
 
+@pytest.mark.parametrize("bin_size", [3.0, 16.0, 1_000.0])
+def test_boxes_meet_edges_in_any_bins(spark, bin_size):
+    draw = random.Random(5)
+    at = lambda: draw.randint(-60, 60)
+    edges = [(at(), at(), at(), at()) for _ in range(12)] + [(-50, 7, 55, 7), (9, -50, 9, 48), (-60, 31, 60, 32), (4, 4, 4, 4)]
+    boxes = [(k, x, y, x + draw.randint(0, 20), y + draw.randint(0, 20)) for k, (x, y) in enumerate((at(), at()) for _ in range(80))]
+
+    def meet(e, b):
+        """A segment misses a box just if an axis or the segment's own line parts them; whole numbers, so exact."""
+        (x1, y1, x2, y2), (_, left, low, right, top) = e, b
+        if max(x1, x2) < left or min(x1, x2) > right or max(y1, y2) < low or min(y1, y2) > top:
+            return False
+        side = [(x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) for x in (left, right) for y in (low, top)]
+        return min(side) <= 0 <= max(side)
+
+    b = spark.createDataFrame([(k, *map(float, r)) for k, *r in boxes], "pid long, minx double, miny double, maxx double, maxy double")
+    e = spark.createDataFrame([tuple(map(float, r)) for r in edges], "x1 double, y1 double, x2 double, y2 double")
+    want = {b[0] for b in boxes if any(meet(e, b) for e in edges)}
+    assert 0 < len(want) < len(boxes) and {r.pid for r in vector.boxes_at_edges(b, e, bin_size).collect()} == want
+
+
 # Samples
 
 

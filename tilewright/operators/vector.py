@@ -6,13 +6,17 @@ the column and -y the row of a cell's upper left corner.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+EDGES = pa.schema([("poly_id", pa.int64()), ("ring_id", pa.int64()), ("edge_seq", pa.int64()), *((c, pa.float64()) for c in ("x1", "y1", "x2", "y2"))])
+
 
 def edges_of(spark: SparkSession, polygons: dict[int, list[list[tuple[float, float]]]]) -> DataFrame:
+    """The edges of polygons given as literals, as an Arrow table, whose size the optimizer knows (and so when to broadcast it)."""
     rows = [(p, r, k, *map(float, a), *map(float, b)) for p, rings in polygons.items() for r, pts in enumerate(rings) for k, (a, b) in enumerate(zip(pts, pts[1:] + pts[:1], strict=True))]
-    return spark.createDataFrame(rows, "poly_id long, ring_id long, edge_seq long, x1 double, y1 double, x2 double, y2 double")
+    return spark.createDataFrame(pa.table(list(zip(*rows, strict=True)) or [()] * len(EDGES), schema=EDGES))
 
 
 def mask(edges: DataFrame, height: int, width: int) -> DataFrame:
@@ -59,11 +63,24 @@ def holders(points: DataFrame, edges: DataFrame, bin_size: float = 32.0) -> Data
     return j.groupBy("pid", "poly_id").agg(F.count_if(x > F.col("x")).alias("n")).filter("n % 2 = 1").select("pid", "poly_id")
 
 
-def boxes_at_edges(boxes: DataFrame, edges: DataFrame, bin_size: float = 32.0) -> DataFrame:
-    """pid of boxes (pid, minx, miny, maxx, maxy) that an edge touches, by clipping the edge to the box (both in bins of y)."""
+def boxes_at_edges(boxes: DataFrame, edges: DataFrame, bin_size: float = 64.0) -> DataFrame:
+    """pid of boxes (pid, minx, miny, maxx, maxy) that an edge touches, by clipping the edge to the box.
+
+    Both meet in square bins: a box in all that it covers, an edge only in those that it passes, so neither
+    a long edge nor a band of many tiles is one bin. ``bin_size`` is best about the side of a box.
+    """
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / bin_size), F.floor(b / bin_size)))
-    b = boxes.withColumn("_bin", bins(F.col("miny"), F.col("maxy")))
-    e = edges.withColumn("_bin", bins(F.least("y1", "y2"), F.greatest("y1", "y2")))
+    b = boxes.withColumn("_bin", bins(F.col("miny"), F.col("maxy"))).withColumn("_col", bins(F.col("minx"), F.col("maxx")))
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    e = edges.withColumn("_bin", bins(low, high))
+    # The x of the edge within its bin's band of y, a little wider, so that rounding loses no bin; a flat edge, in two bands
+    # at most, has its whole x in both. The clip is exact.
+    slope = (F.col("x2") - F.col("x1")) / F.when(high - low > bin_size, F.col("y2") - F.col("y1"))
+    at = lambda y: F.col("x1") + (F.greatest(low, F.least(high, y)) - F.col("y1")) * slope
+    xa, xb = at(F.col("_bin") * bin_size), at((F.col("_bin") + 1) * bin_size)
+    wide = F.lit(bin_size / 1024)
+    left, right = F.coalesce(F.least(xa, xb), F.least("x1", "x2")) - wide, F.coalesce(F.greatest(xa, xb), F.greatest("x1", "x2")) + wide
+    e = e.withColumn("_col", bins(left, right))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
 
     def clip(p: Column, q: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
@@ -72,7 +89,7 @@ def boxes_at_edges(boxes: DataFrame, edges: DataFrame, bin_size: float = 32.0) -
         lo2 = F.when(p < 0, F.greatest(lo, t)).when((p == 0) & (q < 0), F.lit(2.0)).otherwise(lo)
         return lo2, F.when(p > 0, F.least(hi, t)).otherwise(hi)
 
-    j = b.join(e, "_bin").withColumns({"_lo": F.lit(0.0), "_hi": F.lit(1.0)})
+    j = b.join(e, ["_bin", "_col"]).withColumns({"_lo": F.lit(0.0), "_hi": F.lit(1.0)})
     for p, q in ((-dx, F.col("x1") - F.col("minx")), (dx, F.col("maxx") - F.col("x1")), (-dy, F.col("y1") - F.col("miny")), (dy, F.col("maxy") - F.col("y1"))):
         lo, hi = clip(p, q, F.col("_lo"), F.col("_hi"))
         j = j.withColumns({"_lo": lo, "_hi": hi})
