@@ -94,6 +94,19 @@ def test_token_count_ties(fallback):
     for _ in range(400):
         s = "▁" + "".join(rng.choice("ababaé漢") for _ in range(rng.randrange(0, 12)))
         assert counting.chunk(s)[0] == len(exact.encode(s).ids), s
+    long = "▁" + "".join(rng.choice("ababaé漢") for _ in range(3 * tokencount.TRIM))
+    assert counting.chunk(long)[0] == len(exact.encode(long).ids)
+
+
+def test_token_counts_of_odd_rows(spark):
+    v = tokencount.load_vocabulary(VOCABULARY)
+    rows = [(1, "some words", "x", 5), (1, "some words", "y", 6), (None, "some words", "z", 7), (2, "a" * 20_000, None, None), (3, None, "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, score int")
+    got = sorted((r.doc_id or 0, r.n_chunks, r.n_tokens) for r in tokencount.token_counts(docs, v).collect())
+    alone = tokencount.Counting(v)
+    n = alone.text("some words")[1]
+    assert got == [(0, 2, n), (1, 2, n), (1, 2, n), (2, 1, alone.text("a" * 20_000)[1]), (3, 0, 0)]
+    assert tokencount.token_counts(docs, v).columns == ["doc_id", "n_chunks", "n_tokens", "score"]
 
 
 def test_mixing(spark):

@@ -20,6 +20,8 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Counts of words are kept by each Python worker, this many at most.
 CACHE_WORDS = 300_000
+#: Positions of a chunk that no piece reaches any more go after so many.
+TRIM = 4_096
 
 
 @dataclass(frozen=True)
@@ -46,31 +48,36 @@ class Counting:
         for piece, score in vocabulary.pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max(len(piece) for piece, _ in vocabulary.pieces)
         self.unknown = min(s for _, s in vocabulary.pieces) - UNKNOWN_PENALTY
         self.bytes = vocabulary.byte_fallback
         self.cache: dict[str, tuple[int, float]] = {}
 
     def chunk(self, s: str) -> tuple[int, float]:
-        """Pieces and score of one chunk (a word with its space sign)."""
-        n = len(s)
-        found: list[list] = [[] for _ in range(n + 1)]
-        for end, piece in self.automaton.iter(s):
-            found[end + 1].append(piece)
-        best, count, lost = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for e in range(1, n + 1):
+        """Pieces and score of one chunk (a word with its space sign), in memory of the longest piece's length, however long the chunk."""
+        best, count, lost = [0.0], [0], False
+        matches = self.automaton.iter(s)
+        ahead = next(matches, None)
+        for end, char in enumerate(s):
             top, single = None, False
-            for length, score in found[e]:
+            while ahead is not None and ahead[0] == end:
+                length, score = ahead[1]
                 single |= length == 1
-                x = best[e - length] + score
+                x = best[-length] + score
                 if top is None or x > top:
-                    top, c, u = x, count[e - length] + 1, False
+                    top, c, u = x, count[-length] + 1, False
+                ahead = next(matches, None)
             if not single:
-                x = best[e - 1] + self.unknown
+                x = best[-1] + self.unknown
                 if top is None or x > top:
                     top, u = x, True
-                    c = count[e - 1] + (len(s[e - 1].encode("utf-8", "surrogatepass")) if self.bytes else int(not lost[e - 1]))
-            best[e], count[e], lost[e] = top, c, u
-        return count[n], best[n]
+                    c = count[-1] + (len(char.encode("utf-8", "surrogatepass")) if self.bytes else int(not lost))
+            best.append(top)
+            count.append(c)
+            lost = u
+            if len(best) > self.longest + TRIM:
+                del best[: -self.longest], count[: -self.longest]
+        return count[-1], best[-1]
 
     def text(self, text: str | None) -> tuple[int, int, float]:
         """(chunks, pieces, score). Chunks begin at each space; one is put before the text if it has none."""
@@ -96,7 +103,12 @@ class Counting:
 
 
 def token_counts(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chunks, n_tokens, score of every whole text. Null and empty texts have no tokens. Repeated rows keep a row each."""
+    """doc_id, n_chunks, n_tokens, score of every whole text.
+
+    Null and empty texts have no tokens and score 0. Repeated rows and ids keep a row each, and equal
+    texts count equal; ties of score go as at the top of this module. Words and texts of any length are
+    read whole. Other input columns, whatever their names, are ignored; no rows give no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the vocabulary's own size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
