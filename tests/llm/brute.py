@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import zlib
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -81,3 +82,88 @@ def targets(docs, weights=(5, 2, 1), cap=3):
         if not over:
             return size, {s: fixed.get(s, share * weight[s]) for s in names}
         fixed |= {s: cap * size[s] for s in over}
+
+
+def planted(docs):
+    """The words of each document after a tenth of them, by the crc32 of the id, repeat a stretch."""
+    out = []
+    for i, t in docs:
+        w, h = SPACED.findall(t or ""), zlib.crc32(("" if i is None else str(i)).encode())
+        g = h // 10
+        if h % 10 == 0 and w:
+            a = g % len(w)
+            p = 1 + (len(w) - a) // (3 + g % 8)
+            w = [w[k] if k < a else w[a + (k - a) % p] for k in range(len(w))]
+        out.append((i, w))
+    return out
+
+
+def periodic(words, least=6, times=4):
+    """(start, length, period) of all maximal runs, period by period."""
+    n, found, seen = len(words), [], set()
+    for q in range(1, n // times + 1):
+        k = 0
+        while k + q < n:
+            if words[k] != words[k + q]:
+                k += 1
+                continue
+            s = k
+            while k + q < n and words[k] == words[k + q]:
+                k += 1
+            length = k + q - s
+            # A smaller period of the same stretch has been found before.
+            if length >= max(least, times * q) and (s, length) not in seen:
+                seen.add((s, length))
+                found.append((s, length, q))
+    return sorted((s, n, q) for s, n, q in found)
+
+
+def collapsed(words, runs):
+    gone = {k for s, n, q in runs for k in range(s + q, s + n)}
+    return " ".join(w for k, w in enumerate(words) if k not in gone)
+
+
+def spelling(docs):
+    counts = collections.Counter()
+    for i, t in docs:
+        for r in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            r = r.translate(UP)
+            h = zlib.crc32(f"{'' if i is None else i}:{r}".encode())
+            counts[r if h % 97 else r[: h % len(r)] + r[h % len(r) + 1 :]] += 1
+    kept = {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        return len(b) == len(a) + 1 and any(a == b[:k] + b[k + 1 :] for k in range(len(b)))
+
+    beside = {w: [v for v in kept if near(w, v)] for w in kept}
+    form = {}
+    for w, others in beside.items():
+        best = min(others, key=lambda v: (-kept[v], v), default=None)
+        form[w] = best if best is not None and kept[best] >= 2 * kept[w] else None
+    out = []
+    for w in kept:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, kept[w], len(beside[w]), kept[form[w]] if form[w] is not None else None))
+    return sorted(out)
+
+
+def earlier_windows(docs, width=20):
+    """(id, words, removed, kept text) with windows that start at a smaller (id, word number) removed; a null id comes first."""
+    rows = [(i, SPACED.findall(t or "")) for i, t in docs]
+    at = lambda i, k: ((0, 0) if i is None else (1, i), k)
+    first = {}
+    for i, w in rows:
+        for k in range(len(w) - width + 1):
+            x = tuple(w[k : k + width])
+            first[x] = min(first.get(x, at(i, k)), at(i, k))
+    out = []
+    for i, w in rows:
+        gone = {j for k in range(len(w) - width + 1) if first[tuple(w[k : k + width])] < at(i, k) for j in range(k, k + width)}
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out, key=repr)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import chat, decontam, mixing, partenum, quality, sharding, sketch, suffixdedup, tokencount, toxicity
+from tilewright.llm import chat, debruijn, decontam, mixing, partenum, periodic, quality, sharding, sketch, spelling, suffixdedup, tokencount, toxicity
 
 #: The vocabulary of op3: a parameter, never part of the repository.
 VOCABULARY_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -92,6 +92,41 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rest.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = debruijn.without_repeats(table(spark, sf_dir, "documents"))
+    return rest.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text: a tenth of the documents, chosen by the crc32 of the id, repeats a stretch of its own words to its end."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size("words")
+    a = F.pmod(F.col("g"), n).cast("int")
+    p = (F.floor((n - F.col("a")) / (F.lit(3) + F.pmod(F.col("g"), F.lit(8)))) + 1).cast("int")
+    again = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p")))))
+    chosen = docs.select("doc_id", "text", h.alias("h"), g.alias("g")).withColumn("words", F.when(F.pmod("h", F.lit(10)) == 0, words))
+    chosen = chosen.withColumn("a", F.when(n > 0, a)).withColumn("p", F.when(n > 0, p))
+    return chosen.select("doc_id", F.when(n > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapsed_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    better = lambda a, b: b["length"] * a["period"] > a["length"] * b["period"]
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    found = found.withColumn("top", F.reduce("runs", none, lambda a, b: F.when(a.isNull() | better(a, b), b).otherwise(a)))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", F.expr("top.length * 1000 div top.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -103,4 +138,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_spelling": op11_spelling,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }

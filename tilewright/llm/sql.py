@@ -106,4 +106,18 @@ SELECT d.doc_id, len(d.t) // 2 AS n_bytes, coalesce(s.n_removed, 0) AS n_removed
 FROM doc d LEFT JOIN spans s USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2, "op5_chat_formatting": OP5, "op9_jaccard_join": OP9, "op10_suffix_dedup": OP10}
+OP12 = r"""
+WITH doc AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS c
+  FROM doc, LATERAL (SELECT unnest(generate_series(1, len(w) - 19)) AS i)
+),
+placed AS (SELECT doc_id, i, rank() OVER (PARTITION BY c ORDER BY doc_id NULLS FIRST, i) AS nth FROM win),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS k FROM placed WHERE nth > 1),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM doc),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS t FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM doc d LEFT JOIN kept k USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2, "op5_chat_formatting": OP5, "op9_jaccard_join": OP9, "op10_suffix_dedup": OP10, "op12_substring_dedup": OP12}

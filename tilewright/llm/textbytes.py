@@ -49,10 +49,10 @@ def runs(column: pa.Array, limit: int = RUN_BYTES):
         at = end
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums c with (c[e] - c[s]) * INVERSE**s the polynomial hash of data[s:e]."""
+def prefix_hash(data: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
+    """Sums c with (c[e] - c[s]) * INVERSE**s (for the base BASE) the polynomial hash of data[s:e]."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base, len(data)), out=out[1:])
     return out
 
 
