@@ -13,6 +13,7 @@ must lie in its first source right behind the first. So compacted paths are stre
 source coordinates, and only their first edges are looked up in the texts again.
 
 Edges are compared by 128 bits: two hashes of their words that are built from different word hashes.
+Equal texts are one path each from the start: the one with the least id stands for all.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ OTHER_INVERSE = np.uint64(pow(int(OTHER), -1, 1 << 64))
 #: Windows are looked through in pieces of so many.
 PIECE = 1 << 20
 #: Tables of anchors, paths and spans are broadcast up to so many bytes.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
 #: Compacted paths end at multiples of so many words of their source, so that no task holds a whole text's.
 SOURCE_BLOCK = 4_096
 
@@ -102,22 +103,27 @@ def segments(row: np.ndarray, first: Sequences, width: int, gram: int) -> tuple[
 
 
 def anchors(rows: DataFrame, width: int, gram: int) -> DataFrame:
-    """anchor, content (a hash of all words of the segment) of all segments. rows: text."""
+    """node, anchor, content (a hash of all words of the segment) of all segments. rows: node, text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in runs(batch.column("text")):
+            nodes = batch.column("node").to_numpy(zero_copy_only=False)
+            for k, data, offsets in runs(batch.column("text")):
                 row, (h, g) = word_hashes(data, offsets, True)
                 lo, hi, anchor = segments(row, Sequences(h, BASE, INVERSE), width, gram)
                 content = Sequences(g, OTHER, OTHER_INVERSE).between(lo, hi + width - 1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content)], ["anchor", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[k + row[lo]]), pa.array(anchor), pa.array(content)], ["node", "anchor", "content"])
 
-    return rows.mapInArrow(read, "anchor bigint, content bigint")
+    return rows.select("node", "text").mapInArrow(read, "node bigint, anchor bigint, content bigint")
 
 
 def cut_segments(rows: DataFrame, kind: str, width: int, gram: int) -> DataFrame:
-    """All segments of rows (doc_id, node, text): doc_id, node, start (word), anchor, content, edges and checks (two hashes of each edge), before and after (the edge on either side in the text)."""
+    """All segments of rows (doc_id, node, text): doc_id, node, start (word), anchor, content, edges and checks (two hashes of each edge), before and after (the edge on either side in the text).
+
+    If rows have ``wanted`` and ``several`` (arrays), only the segments with an anchor of the first; their ``several`` says whether the second has it too.
+    """
     names = ["doc_id", "node", "start", "anchor", "content", "edges", "checks", "before", "after"]
+    listed = "wanted" in rows.columns
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,20 +144,30 @@ def cut_segments(rows: DataFrame, kind: str, width: int, gram: int) -> DataFrame
                 begins = (lo == 0) | (row[prev] != of)
                 ends = (hi >= n) | ~fits[nxt] | (row[nxt] != of)
                 start = lo - np.searchsorted(row, of)
-                yield pa.RecordBatch.from_arrays([
+                out = pa.RecordBatch.from_arrays([
                     batch.column("doc_id").take(pa.array(k + of)), pa.array(nodes[k + of]), pa.array(start), pa.array(anchor), pa.array(second.between(lo, hi + width - 1).view(np.int64)),
                     pa.ListArray.from_arrays(cut, pa.array(edge[fits])), pa.ListArray.from_arrays(cut, pa.array(check[fits])),
                     pa.array(edge[prev], mask=begins), pa.array(edge[nxt], mask=ends),
                 ], names)
+                if listed:
+                    wanted, several = (np.unique(batch.column(c).slice(k, len(offsets) - 1).flatten().to_numpy(zero_copy_only=False)) for c in ("wanted", "several"))
+                    out = out.append_column("several", pa.array(np.isin(anchor, several))).filter(pa.array(np.isin(anchor, wanted)))
+                yield out
 
-    return rows.mapInArrow(read, f"doc_id {kind}, node bigint, start bigint, anchor bigint, content bigint, edges array<bigint>, checks array<bigint>, before bigint, after bigint")
+    schema = f"doc_id {kind}, node bigint, start bigint, anchor bigint, content bigint, edges array<bigint>, checks array<bigint>, before bigint, after bigint"
+    return rows.mapInArrow(read, schema + ", several boolean" * listed)
 
 
 def path_places(rows: DataFrame, kind: str, width: int, gram: int, scratch: Scratch) -> DataFrame:
     """The places of paths that may repeat: head and tail (edges), check, n (edges), doc_id, node, start, before, after."""
     counted = anchors(rows, width, gram).groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("several"))
     twice = scratch.write(counted.filter("n > 1").select("anchor", "several"), "anchors")
-    cut = cut_segments(rows, kind, width, gram).join(broadcast_if_small(twice, F.lit(40), BROADCAST_BYTES), "anchor")
+    if 40 * twice.count() <= BROADCAST_BYTES:
+        cut = cut_segments(rows, kind, width, gram).join(F.broadcast(twice), "anchor")
+    else:  # Anchors go to the texts that have them, and not the segments of all texts to the anchors.
+        has = anchors(rows, width, gram).select("node", "anchor").distinct().join(twice, "anchor")
+        lists = has.groupBy("node").agg(F.collect_list("anchor").alias("wanted"), F.collect_list(F.when(F.col("several"), F.col("anchor"))).alias("several"))
+        cut = cut_segments(rows.join(lists, "node").select("doc_id", "node", "text", "wanted", "several"), kind, width, gram)
     last = F.size("edges") - 1
     zero = F.lit(0)
 
@@ -210,10 +226,14 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
     """
     scratch = Scratch(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-    found = repeated_spans(rows.select("doc_id", "node", "text"), kind, width, gram, scratch)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumns({"node": F.xxhash64("text"), "key": F.unhex(F.md5("text"))})
+    # Of equal texts the one with the least id is looked at; the others go wholly, if they have a window.
+    copies = scratch.write(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id")).alias("original")).filter("n > 1").select("key", "original"), "copies")
+    extra = F.col("original").isNotNull() & ~F.col("original.doc_id").eqNullSafe(F.col("doc_id"))
+    rows = rows.join(broadcast_if_small(copies, F.lit(80), BROADCAST_BYTES), "key", "left").select("doc_id", "node", "text", extra.alias("extra"))
+    found = repeated_spans(rows.filter("NOT extra").select("doc_id", "node", "text"), kind, width, gram, scratch)
     known = scratch.write(merged_spans(found, ["doc_id", "node"]), "word-spans")
-    scratch.drop_all_but("word-spans")
+    scratch.drop_all_but("word-spans", "copies")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_words", "n_removed", "spans", "kept"]
@@ -221,9 +241,13 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 size, removed, kept = [], [], []
-                for text, gone in zip(part.column("text"), part.column("spans").to_pylist(), strict=True):
+                out = []
+                for text, gone, extra in zip(part.column("text"), part.column("spans").to_pylist(), part.column("extra").to_pylist(), strict=True):
                     words = text.as_py().split()
                     rest, k = [], 0
+                    if extra and len(words) >= width:
+                        gone = [[0, len(words)]]
+                    out.append(gone)
                     for x, y in gone:
                         rest += words[k:x]
                         k = y
@@ -231,10 +255,10 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_co
                     size.append(len(words))
                     removed.append(len(words) - len(rest))
                     kept.append(b" ".join(rest))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), part.column("spans"), pa.array(kept, pa.binary()).cast(pa.string())], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, part.column("spans").type), pa.array(kept, pa.binary()).cast(pa.string())], names)
 
     spans = broadcast_if_small(known.withColumnRenamed("doc_id", "_id"), 48 + 48 * F.size("spans"), BROADCAST_BYTES)
     joined = rows.join(spans, (rows["node"] == spans["node"]) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return joined.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce("spans", F.array().cast("array<array<bigint>>")).alias("spans")).mapInArrow(
+    return joined.select("doc_id", F.col("text").cast("binary").alias("text"), "extra", F.coalesce("spans", F.array().cast("array<array<bigint>>")).alias("spans")).mapInArrow(
         keep, f"doc_id {kind}, n_words bigint, n_removed bigint, spans array<array<bigint>>, kept string"
     )
