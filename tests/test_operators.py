@@ -368,6 +368,13 @@ def test_geojson(spark, tmp_path):
     e = documents.read_polygon_edges(spark, str(tmp_path / "p.geojson"))
     assert e.count() == 12 and e.filter("poly_id = 0").first().attrs == {"kind": "sun"}
     assert vector.mask(e.filter("poly_id = 0"), 10, 10).count() == 16
+    # Polygons are numbered over all files, files without features included.
+    (tmp_path / "many").mkdir()
+    for k, features in enumerate(([square, square], [], [[square[0], [[1, -1], [1, -2], [2, -2], [1, -1]]]], [square])):
+        (tmp_path / "many" / f"{k}.geojson").write_text(json.dumps({"features": [{"type": "Feature", "properties": {"file": str(k)}, "geometry": {"type": "Polygon", "coordinates": r}} for r in features]}))
+    many = documents.read_polygon_edges(spark, str(tmp_path / "many"))
+    assert sorted((r.poly_id, r.ring_id, r.f, r.n) for r in many.groupBy("poly_id", "ring_id", many.attrs["file"].alias("f")).agg(F.count("*").alias("n")).collect()) == [(0, 0, "0", 4), (1, 0, "0", 4), (2, 0, "2", 4), (2, 1, "2", 3), (3, 0, "3", 4)]
+    assert many.filter("abs(x2 - x1) + abs(y2 - y1) > 4").isEmpty()
     (tmp_path / "none.geojson").write_text('{"features": []}')
     assert documents.read_polygon_edges(spark, str(tmp_path / "none.geojson")).isEmpty()
     with pytest.raises(ValueError):
@@ -399,20 +406,3 @@ def test_run_files(spark, tmp_path):
     cells = spark.createDataFrame([("a", 1, 0, 0, 1.0), ("b", 1, 0, 0, 2.0), ("a", 2, 0, 0, 3.0)], "raster_id string, band int, r long, c long, value double")
     cells.write.partitionBy("raster_id", "band").parquet(str(tmp_path / "cells"))
     assert documents.read_cells(spark, str(tmp_path / "cells"), "a", [2]).first().value == 3.0
-
-
-# Streams
-
-
-def test_monitor_takes_steps_in_order(spark, tmp_path):
-    from tilewright.streaming import monitor
-
-    src, out = str(tmp_path / "src"), str(tmp_path / "out")
-    rows = lambda xs: spark.createDataFrame(xs, "run_id long, step long, value double, t long").selectExpr("run_id", "step", "value", "timestamp_seconds(t + 1000) AS ts").coalesce(1)
-    feed = lambda: spark.readStream.schema("run_id long, step long, value double, ts timestamp").parquet(src)
-    rows([(1, 1, 4.0, 60), (1, 0, 5.0, 0), (1, 0, 5.0, 0), (1, 2, 4.5, 120), (2, 0, 1.0, 10)]).write.parquet(src)
-    monitor.run_to_end(monitor.stop_monitor(feed(), "1 minute"), out)
-    rows([(1, 3, 3.0, 180), (1, 4, 6.0, 100_000), (1, 1, 9.0, 61)]).write.mode("append").parquet(src)
-    monitor.run_to_end(monitor.stop_monitor(feed(), "1 minute"), out)
-    got = sorted((r.run_id, r.step, r.best, r.counter) for r in spark.read.parquet(f"{out}/rows").collect())
-    assert got == [(1, 0, 5.0, 0), (1, 1, 4.0, 0), (1, 2, 4.0, 1), (1, 3, 3.0, 0), (2, 0, 1.0, 0)]

@@ -115,29 +115,104 @@ def first_holder(points: DataFrame, edges: DataFrame, labels: DataFrame) -> Data
     return points.select("pid").join(found, "pid", "left").select("pid", F.coalesce("label", F.lit("ambiguous")).alias("label"))
 
 
-def covered_fraction(boxes: DataFrame, edges: DataFrame, bin_size: float = 32.0) -> DataFrame:
-    """pid, fraction of each box that disjoint polygons cover, exactly: by Green's formula every edge adds the area between it, clipped to the box, and the box's left side."""
-    bins = lambda a, b: F.explode(F.sequence(F.floor(a / bin_size), F.floor(b / bin_size)))
-    b = boxes.withColumn("_bin", bins(F.col("miny"), F.col("maxy")))
-    # Outer rings add and holes take away, whichever way round they are drawn.
-    turn = F.signum(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) * F.when(F.col("ring_id") == 0, 1.0).otherwise(-1.0)
-    rings = edges.groupBy("poly_id", "ring_id").agg(turn.alias("_turn"))
-    e = edges.filter("y1 <> y2").join(rings, ["poly_id", "ring_id"]).withColumn("_bin", bins(F.least("y1", "y2"), F.greatest("y1", "y2")))
+#: Cells of the sweep start at this share of their side, so that corners of polygons are hardly ever on their borders.
+SHIFT = (3 - 5**0.5) / 2
+
+
+def _cell(v: Column | str, side: float) -> Column:
+    return F.floor(((F.col(v) if isinstance(v, str) else v) - side * SHIFT) / side)
+
+
+def _line(k: Column, side: float) -> Column:
+    """The lower border of cell k."""
+    return k * F.lit(side) + F.lit(side * SHIFT)
+
+
+def united(edges: DataFrame, side: float = 32.0) -> DataFrame:
+    """The union of polygons as intervals: _cr, _cc, ya, yb, xa, xb, sign. Between ya and yb the union in a square cell ends at the line from (xa, ya) to (xb, yb), on its left (sign 1) or on its right (sign -1).
+
+    A point is in a polygon if a ray from it crosses the polygon's rings an odd number of times, so holes
+    and parts need no order or direction; it is in the union if it is in any polygon. A plane sweep in each
+    cell: the ends of edges and the crossings of different polygons cut it into slabs; in a slab the
+    edges are sorted by x, every edge enters or leaves its polygon, and where the running number of
+    polygons begins or ends at 0 the union begins or ends. What lies left of a cell is known from
+    its lower left corner and the edges that cross its left border. A polygon's own edges must not cross.
+    """
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    # Within a bin only the bin's own part of box and edge counts, so that nothing is added twice.
-    ya = F.greatest(low, F.col("miny"), F.col("_bin") * bin_size)
-    yb = F.least(high, F.col("maxy"), (F.col("_bin") + 1) * bin_size)
-    j = b.join(e, "_bin").withColumns({"_a": ya, "_b": yb}).filter("_a < _b")
-    slope = (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    at = lambda y: F.col("x1") + (y - F.col("y1")) * slope
+    slope = (F.col("x2") - F.col("x1")) / F.when(F.col("y1") != F.col("y2"), F.col("y2") - F.col("y1"))
+    e = edges.select("poly_id", "x1", "y1", "x2", "y2", slope.alias("m"))
+    at = lambda y: F.col("x1") + (y - F.col("y1")) * F.col("m")
+    y_at = lambda x: F.col("y1") + (x - F.col("x1")) / F.when(F.col("m") != 0, F.col("m"))
+    span = lambda a, b: F.explode(F.sequence(_cell(a, side), _cell(b, side)))
+
+    # The part of each edge in each cell that it passes: from y = p to y = q.
+    rows = e.filter("m IS NOT NULL").withColumn("_cr", span(low, high)).withColumns({"_p": F.greatest(low, _line(F.col("_cr"), side)), "_q": F.least(high, _line(F.col("_cr") + 1, side))})
+    rows = rows.withColumn("_cc", span(F.least(at(F.col("_p")), at(F.col("_q"))), F.greatest(at(F.col("_p")), at(F.col("_q")))))
+    u, v = y_at(_line(F.col("_cc"), side)), y_at(_line(F.col("_cc") + 1, side))
+    pieces = rows.withColumns({"p": F.when(F.col("m") == 0, F.col("_p")).otherwise(F.greatest("_p", F.least(u, v))), "q": F.when(F.col("m") == 0, F.col("_q")).otherwise(F.least("_q", F.greatest(u, v)))})
+    pieces = pieces.filter("p < q").select("_cr", "_cc", "poly_id", "p", "q", "x1", "y1", "m")
+
+    # Edges that cross the left border of a cell, and lower left corners inside a polygon.
+    crossed = e.filter("x1 <> x2").withColumn("_cc", F.explode(_between(_cell(F.least("x1", "x2"), side) + 1, _cell(F.greatest("x1", "x2"), side))))
+    crossed = crossed.withColumn("y", F.when(F.col("y1") == F.col("y2"), F.col("y1")).otherwise(y_at(_line(F.col("_cc"), side)))).select(_cell("y", side).alias("_cr"), "_cc", "poly_id", "y")
+    level = e.filter("m IS NOT NULL").withColumn("_cr", F.explode(_between(_cell(low, side) + 1, _cell(high, side)))).select("_cr", "poly_id", at(_line(F.col("_cr"), side)).alias("x"))
+    w = Window.partitionBy("poly_id", "_cr").orderBy("x")
+    level = level.withColumns({"n": F.row_number().over(w), "to": F.lead("x").over(w)}).filter("n % 2 = 1 AND to IS NOT NULL")
+    corners = level.withColumn("_cc", F.explode(_between(_cell("x", side) + 1, _cell("to", side)))).select("_cr", "_cc", "poly_id", F.lit(float("-inf")).alias("y"))
+    left = corners.unionByName(crossed)
+
+    other = pieces.select("_cr", "_cc", *[F.col(c).alias(f"{c}_2") for c in ("poly_id", "p", "q", "x1", "y1", "m")])
+    meet = F.col("y1") + (F.col("x1_2") + (F.col("y1") - F.col("y1_2")) * F.col("m_2") - F.col("x1")) / (F.col("m") - F.col("m_2"))
+    crossings = pieces.join(other, ["_cr", "_cc"]).filter("poly_id < poly_id_2 AND m <> m_2 AND p < q_2 AND p_2 < q").select("_cr", "_cc", meet.alias("y"), F.greatest("p", "p_2").alias("a"), F.least("q", "q_2").alias("b")).filter("a < y AND y < b").select("_cr", "_cc", "y")
+    ends = pieces.select("_cr", "_cc", F.explode(F.array("p", "q")).alias("y")).unionByName(left.select("_cr", "_cc", "y")).unionByName(crossings)
+    bottom, top = _line(F.col("_cr"), side), _line(F.col("_cr") + 1, side)
+    cells = ends.groupBy("_cr", "_cc").agg(F.collect_set("y").alias("ys"))
+    cells = cells.select("_cr", "_cc", F.array_sort(F.array_union(F.filter("ys", lambda y: (y > bottom) & (y < top)), F.array(bottom, top))).alias("ys"))
+
+    # The sides of polygons in each slab; a polygon that holds the slab's left end has a side there.
+    slab = lambda i: F.struct(F.get("ys", i).alias("ya"), F.get("ys", i + 1).alias("yb"))
+    place = lambda y: (F.array_position("ys", y) - 1).cast("int")
+    inner = pieces.join(cells, ["_cr", "_cc"]).select("_cr", "_cc", "poly_id", "x1", "y1", "m", F.explode(F.transform(_between(place(F.col("p")), place(F.col("q")) - 1), slab)).alias("s"))
+    inner = inner.select("_cr", "_cc", "poly_id", "s.*", at(F.col("s.ya")).alias("xa"), at(F.col("s.yb")).alias("xb"))
+    before = left.groupBy("_cr", "_cc", "poly_id").agg(F.collect_list("y").alias("ts")).join(cells, ["_cr", "_cc"])
+    before = before.select("_cr", "_cc", "poly_id", "ts", F.explode(F.transform(_between(F.lit(0), F.size("ys") - 2), slab)).alias("s")).filter("size(filter(ts, t -> t <= s.ya)) % 2 = 1")
+    border = _line(F.col("_cc"), side)
+    sides = inner.unionByName(before.select("_cr", "_cc", "poly_id", "s.*", border.alias("xa"), border.alias("xb")))
+    keys = ["_cr", "_cc", "ya", "yb"]
+    x = F.col("xa") + F.col("xb")
+    own, all_ = Window.partitionBy(*keys, "poly_id").orderBy(x), Window.partitionBy(*keys).orderBy(x, F.col("step").desc(), "poly_id")
+    steps = sides.withColumn("step", F.when(F.row_number().over(own) % 2 == 1, 1).otherwise(-1))
+    steps = steps.withColumns({"after": F.sum("step").over(all_.rowsBetween(Window.unboundedPreceding, 0)), "last": F.lead("step").over(all_).isNull()})
+    ahead, right = F.col("after") - F.col("step"), _line(F.col("_cc") + 1, side)
+    end = lambda sign, a, b: F.struct(F.lit(sign).alias("sign"), a.alias("xa"), b.alias("xb"))
+    out = F.array(
+        F.when((ahead == 0) & (F.col("after") > 0), end(-1, F.col("xa"), F.col("xb"))).when((ahead > 0) & (F.col("after") == 0), end(1, F.col("xa"), F.col("xb"))),
+        F.when(F.col("last") & (F.col("after") > 0), end(1, right, right)),
+    )
+    return steps.select(*keys, F.inline(F.filter(out, lambda o: o.isNotNull())))
+
+
+def _between(a: Column, b: Column) -> Column:
+    """Whole numbers from a to b, none if a > b."""
+    return F.when(a <= b, F.sequence(a, F.greatest(a, b)))
+
+
+def covered_fraction(boxes: DataFrame, edges: DataFrame, side: float = 32.0) -> DataFrame:
+    """pid, fraction of each box (pid, minx, miny, maxx, maxy) that polygons cover, exactly; what several cover counts once. Null for boxes without an area.
+
+    Boxes meet the union's intervals in square cells, best about the size of a box; the area right of a
+    box's left side is added up to each end of an interval, and taken away from each begin.
+    """
+    b = boxes.filter("minx < maxx AND miny < maxy").withColumn("_cr", F.explode(F.sequence(_cell("miny", side), _cell("maxy", side)))).withColumn("_cc", F.explode(F.sequence(_cell("minx", side), _cell("maxx", side))))
+    j = b.join(united(edges, side), ["_cr", "_cc"]).withColumns({"_a": F.greatest("ya", "miny"), "_b": F.least("yb", "maxy")}).filter("_a < _b")
+    at = lambda y: F.col("xa") + (y - F.col("ya")) / (F.col("yb") - F.col("ya")) * (F.col("xb") - F.col("xa"))
     j = j.withColumns({"_xa": at(F.col("_a")), "_xb": at(F.col("_b"))}).withColumns({"_l": F.least("_xa", "_xb"), "_h": F.greatest("_xa", "_xb"), "_w": F.col("maxx") - F.col("minx")})
     # Mean over the stretch of clamp(x - minx, 0, w): the integral of the clamp over x, divided by the length.
     ramp = lambda x: F.when(x <= 0, 0.0).when(x >= F.col("_w"), F.col("_w") * x - F.col("_w") * F.col("_w") / 2).otherwise(x * x / 2)
     gap = F.col("_h") - F.col("_l")
     straight = F.greatest(F.lit(0.0), F.least(F.col("_w"), F.col("_l") - F.col("minx")))
     mean = F.when(gap < 1e-12, straight).otherwise((ramp(F.col("_h") - F.col("minx")) - ramp(F.col("_l") - F.col("minx"))) / F.when(gap < 1e-12, 1.0).otherwise(gap))
-    sign = F.when(F.col("y2") > F.col("y1"), 1.0).otherwise(-1.0)
-    area = j.select("pid", (F.col("_turn") * sign * mean * (F.col("_b") - F.col("_a"))).alias("a")).groupBy("pid").agg(F.sum("a").alias("area"))
+    area = j.select("pid", (F.col("sign") * mean * (F.col("_b") - F.col("_a"))).alias("a")).groupBy("pid").agg(F.sum("a").alias("area"))
     return boxes.join(area, "pid", "left").select("pid", (F.coalesce("area", F.lit(0.0)) / F.when((F.col("maxx") > F.col("minx")) & (F.col("maxy") > F.col("miny")), (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")))).alias("fraction"))
 
 

@@ -64,14 +64,14 @@ def a5_extended_list(spark, sf):
 
 @register("a6_polygons", fx.ALL + " SELECT CAST(tile_idx AS VARCHAR) AS name, CAST(count(*) AS BIGINT) AS edges, min(x) AS minx, max(y) AS maxy FROM (SELECT tile_idx, CAST(unnest([col_start, col_end, col_end, col_start]) AS DOUBLE) AS x, CAST(unnest([-row_end, -row_end, -row_start, -row_start]) AS DOUBLE) AS y FROM tiles) GROUP BY tile_idx")
 def a6_polygons(spark, sf):
-    """Tile boxes written as collections of a thousand polygons or so, and read as edges."""
+    """Tile boxes written as collections of ten polygons or so, and read as edges of polygons that are numbered over all files."""
     path = new_path(spark, "polygons")
     feature = documents.tile_index(boxes(spark, sf), ["tile_idx"])
-    parts = F.pmod(F.xxhash64("value"), F.lit(max(1, -(-feature.count() // 1_000))))
+    parts = F.pmod(F.xxhash64("value"), F.lit(max(1, -(-feature.count() // 10))))
     whole = feature.groupBy(parts.alias("part")).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
     whole.write.partitionBy("part").text(path)
     e = documents.read_polygon_edges(spark, path, required=True)
-    return e.groupBy(F.col("attrs")["tile_idx"].alias("name")).agg(F.count("*").alias("edges"), F.min("x1").alias("minx"), F.max("y1").alias("maxy"))
+    return e.groupBy("poly_id", F.col("attrs")["tile_idx"].alias("name")).agg(F.count("*").alias("edges"), F.min("x1").alias("minx"), F.max("y1").alias("maxy")).drop("poly_id")
 
 
 @register("a11_read_trials", fx.TRIALS + " SELECT CAST(trial_number AS VARCHAR) AS trial_number, state, study_name FROM t")

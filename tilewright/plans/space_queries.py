@@ -96,6 +96,25 @@ def g14_shadow_area(spark, sf):
     return f.select(F.col("pid").alias("tile_idx"), R("fraction", 3).alias("fraction"), "illumination")
 
 
+#: SHADOWS with one that crosses both, one inside another, one twice, and one with a hole.
+UNITED = SHADOWS | {2: [[(10, -150), (40, -150), (40, -260), (10, -260)]], 3: [[(5, -120), (15, -120), (15, -140), (5, -140)]], 4: SHADOWS[0], 5: [[(20, -330), (60, -330), (60, -420), (20, -420)], [(30, -350), (30, -400), (50, -400), (50, -350)]]}
+#: Each point counts once: on every line of a fine scan the polygons' stretches are merged.
+UNITED_FRACTION = f"""{BOX}, {edge_sql('e', UNITED)}, scan AS (SELECT pid, minx, maxx, miny + (k + 0.5) * (maxy - miny) / 2048 AS y FROM box, (SELECT unnest(range(2048)) AS k)),
+cut AS (SELECT s.pid, s.y, s.minx, s.maxx, e.poly_id, e.x1 + (s.y - e.y1) / (e.y2 - e.y1) * (e.x2 - e.x1) AS x FROM scan s JOIN e ON s.y >= least(e.y1, e.y2) AND s.y < greatest(e.y1, e.y2)),
+held AS (SELECT pid, y, minx, maxx, x AS a, lead(x) OVER w AS b, row_number() OVER w AS n FROM cut WINDOW w AS (PARTITION BY pid, y, poly_id ORDER BY x)),
+clipped AS (SELECT pid, y, minx, maxx, greatest(a, minx) AS a, least(b, maxx) AS b FROM held WHERE n % 2 = 1 AND greatest(a, minx) < least(b, maxx)),
+gained AS (SELECT pid, y, maxx - minx AS w, greatest(0.0, b - greatest(a, coalesce(max(b) OVER (PARTITION BY pid, y ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a))) AS v FROM clipped),
+fr AS (SELECT b.pid, coalesce(sum(v) / 2048 / any_value(w), 0.0) AS fraction FROM box b LEFT JOIN gained g ON b.pid = g.pid GROUP BY 1)"""
+
+
+@register("g14_united_shadows", fx.ALL + f", {UNITED_FRACTION} SELECT pid AS tile_idx, round(fraction, 3) + 0.0 AS fraction, CASE WHEN fraction >= 0.7 THEN 'shadow' WHEN fraction <= 0.3 THEN 'sun' ELSE 'mixed' END AS illumination FROM fr")
+def g14_united_shadows(spark, sf):
+    """Shadows that overlap, cross and hold one another."""
+    b = boxes(spark, sf).select(F.col("tile_idx").alias("pid"), "minx", "miny", "maxx", "maxy")
+    f = vector.light_of(vector.covered_fraction(b, vector.edges_of(spark, UNITED)))
+    return f.select(F.col("pid").alias("tile_idx"), (R("fraction", 3) + 0.0).alias("fraction"), "illumination")
+
+
 @register("j14_masked_segments", fx.ALL + f", {CENTRES}, {edge_sql('e', BOUNDARY)}, ins AS ({held_sql('cen', 'e')}) SELECT emb.r, CAST(sum(CASE WHEN ins.pid IS NULL THEN -9999 ELSE {SEGMENT.replace('r %', 'emb.r %').replace('(r //', '(emb.r //').replace('+ c //', '+ emb.c //')} END) AS BIGINT) AS total FROM emb LEFT JOIN ins ON ins.pid = emb.r * 64 + emb.c GROUP BY 1")
 def j14_masked_segments(spark, sf):
     inside = vector.mask(vector.edges_of(spark, BOUNDARY), fx.height(spark, sf), fx.WIDTH).select("r", "c", F.lit(True).alias("inside"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tilewright.operators import qc
 from tilewright.plans import fixtures as fx
+from tilewright.plans.tile_queries import G5, LEAST_RGB
 from tilewright.registry import register
 from tilewright.shared import new_path
 from tilewright.streaming import monitor
@@ -16,20 +16,46 @@ from tilewright.streaming import monitor
 SELECT run_id, step, value, best, n - max(CASE WHEN prior IS NULL OR value < prior THEN n END) OVER (PARTITION BY run_id ORDER BY step) AS counter FROM v""")
 def z1_stop_monitor(spark, sf):
     """The counter of W2 over the stream of events; steps are event numbers, which follow time."""
+    path = new_path(spark, "z1")
+    monitor.run_to_end(monitor.stop_monitor(metric_stream(spark, sf).filter("metric = 'view'")), path)
+    return spark.read.parquet(f"{path}/rows").select("run_id", "step", "value", "best", "counter")
+
+
+def metric_stream(spark, sf):
     static = fx.table(spark, sf, "events")
     stream = spark.readStream.schema(static.schema).parquet(f"{sf}/events.parquet*")
-    rows = stream.filter("event_type = 'view'").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), "value", F.col("ts").cast("timestamp").alias("ts"))
+    return stream.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("metric"), F.col("event_id").alias("step"), "value", F.col("ts").cast("timestamp").alias("ts"))
+
+
+@register("z1_stop_monitors", fx.HISTORY + """, v AS (SELECT run_id, metric, event_id AS step, value, row_number() OVER s AS n, min(value) OVER s AS best, min(value) OVER (s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior
+ FROM h WHERE ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM h) WINDOW s AS (PARTITION BY run_id, metric ORDER BY event_id))
+SELECT run_id, metric, step, value, best, n - max(CASE WHEN prior IS NULL OR value < prior THEN n END) OVER (PARTITION BY run_id, metric ORDER BY step) AS counter FROM v""")
+def z1_stop_monitors(spark, sf):
+    """Every metric of every run by itself."""
     path = new_path(spark, "z1")
-    monitor.run_to_end(monitor.stop_monitor(rows), path)
-    return spark.read.parquet(f"{path}/rows").select("run_id", "step", "value", "best", "counter")
+    monitor.run_to_end(monitor.stop_monitor(metric_stream(spark, sf)), path)
+    return spark.read.parquet(f"{path}/rows").filter("NOT late").drop("late")
 
 
 @register("z2_tile_qc", fx.TILED + " SELECT tile_idx, count(*) FILTER (abs(p.target) > 0) AS positive_pixels, count(*) AS total_pixels FROM tt p GROUP BY 1")
 def z2_tile_qc(spark, sf):
-    """Target checks of tiles as their cells arrive; the target table is written first as the stream's source."""
+    """Checks of tiles whose cells arrive in three batches."""
+    return monitor.latest_status(spark, arrived(spark, sf)).select("tile_idx", "positive_pixels", "total_pixels")
+
+
+def arrived(spark, sf):
+    """The folder of checks after all cells of all tiles have come: every tile has some in each of three files."""
     path = new_path(spark, "z2")
-    cells = fx.tiled(fx.target(spark, sf), spark, sf).select("tile_idx", "target")
-    cells.repartition("tile_idx").write.parquet(f"{path}/source")
-    stream = spark.readStream.schema("tile_idx bigint, target double").parquet(f"{path}/source")
-    monitor.checked_tiles(stream, path, lambda b: qc.target_check(b).select("tile_idx", "positive_pixels", "total_pixels"))
-    return monitor.latest_status(spark, path)
+    cells = fx.tiled(fx.wide(spark, sf).drop("x").join(fx.target(spark, sf).select("r", "c", "target"), ["r", "c"]), spark, sf)
+    cells.select("tile_idx", "tr", "tc", "b1", "b2", "b3", "target").repartition(3, "tr", "tc").write.parquet(f"{path}/source")
+    stream = spark.readStream.schema("tile_idx bigint, tr bigint, tc bigint, b1 double, b2 double, b3 double, target double").option("maxFilesPerTrigger", 1).parquet(f"{path}/source")
+    monitor.checked_tiles(stream, path, fx.TILE, least_rgb=LEAST_RGB)
+    return path
+
+
+@register("z2_running_counters", fx.TILED + f", {G5} SELECT count(*) AS total, count(*) FILTER (status = 'rgb_invalid') AS rgb_invalid, count(*) FILTER (status = 'background_only') AS background_only, count(*) FILTER (status = 'valid') AS valid FROM g5")
+def z2_running_counters(spark, sf):
+    """The running counters after the last batch."""
+    counters = monitor.running_counters(spark, arrived(spark, sf))
+    names = ["total", "rgb_invalid", "background_only", "valid"]
+    return counters.agg(F.max_by(F.struct(*names), "epoch").alias("c")).select("c.*")

@@ -97,12 +97,16 @@ def read_extended_tiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_polygon_edges(spark: SparkSession, path: str, required: bool = False) -> DataFrame:
-    """Edges of the polygons of GeoJSON files: poly_id (order in file), ring_id, edge_seq, x1, y1, x2, y2, attrs.
+    """Edges of the polygons of GeoJSON files: poly_id, ring_id, edge_seq, x1, y1, x2, y2, attrs.
 
-    A file without features gives no edges, or an error if they are required.
+    Polygons are numbered over all files, in the order of the files' paths and then of their features.
+    Files without features give no edges, or an error if they are required.
     """
     schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
-    f = spark.read.schema(schema).json(path, multiLine=True).select(F.posexplode("features").alias("poly_id", "f"))
+    files = spark.read.schema(schema).json(path, multiLine=True).select("features", F.col("_metadata.file_path").alias("file"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    first = files.groupBy("file").agg(F.sum(F.coalesce(F.greatest(F.size("features"), F.lit(0)), F.lit(0))).alias("n")).select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    f = files.filter(F.size("features") > 0).join(first, "file").select("first", F.posexplode("features").alias("nth", "f")).select((F.col("first") + F.col("nth")).alias("poly_id"), "f")
     if required and f.isEmpty():
         raise ValueError(f"no polygon in {path}")
     ring = "array<array<array<double>>>"

@@ -1,71 +1,184 @@
-"""Streaming twins of batch operators: early stopping over a metric stream, quality checks of arriving tiles."""
+"""Streaming twins of batch operators: early stopping over metric streams, quality checks of arriving tiles."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from typing import Any
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+OUTPUT = "run_id bigint, metric string, step bigint, value double, best double, counter bigint, late boolean"
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """Queries that start inside keep their state in RocksDB, which state by name and timers need."""
+    before = spark.conf.get(PROVIDER[0], None)
+    spark.conf.set(*PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER[0]) if before is None else spark.conf.set(PROVIDER[0], before)
+
+
+class StopProcessor(StatefulProcessor):
+    """State of a run's metric: its best value, the steps since, the last step taken, and the steps that wait for the watermark."""
+
+    def __init__(self, min_delta: float):
+        self.min_delta = min_delta
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", "best double, counter bigint, last bigint")
+        self.waiting = handle.getMapState("waiting", "step bigint", "value double, ts bigint")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        r = initialState.iloc[0]
+        self.best.update((float(r["best"]), int(r["counter"]), int(r["last"])))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.best.get()[2] if self.best.exists() else None
+        late = []
+        for f in rows:
+            for step, value, ts in zip(f["step"].tolist(), f["value"].tolist(), f["ts"], strict=True):
+                if last is not None and step <= last:
+                    late.append((*key, step, value, None, None, True))
+                else:
+                    self.waiting.updateValue((step,), (value, int(ts.value // 1_000_000)))
+        yield from self.taken(key, timerValues, late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.taken(key, timerValues, [])
+
+    def taken(self, key, timerValues, out: list) -> Iterator[pd.DataFrame]:
+        """The waiting steps that the watermark has passed, in order."""
+        mark = timerValues.getCurrentWatermarkInMs()
+        best, counter, last = self.best.get() if self.best.exists() else (None, 0, None)
+        waiting = sorted((k[0], v[0], v[1]) for k, v in self.waiting.iterator())
+        ready = [w for w in waiting if w[2] <= mark]
+        for step, value, _ in ready:
+            self.waiting.removeKey((step,))
+            if last is not None and step <= last:
+                out.append((*key, step, value, None, None, True))
+                continue
+            better = best is None or value < best - self.min_delta
+            best, counter, last = (value, 0, step) if better else (best, counter + 1, step)
+            out.append((*key, step, value, best, counter, False))
+        if last is not None:
+            self.best.update((best, counter, last))
+        rest = [w[2] for w in waiting if w[2] > mark]
+        if rest:
+            self.handle.registerTimer(max(mark + 1, min(rest)))
+        if out:
+            yield pd.DataFrame(out, columns=["run_id", "metric", "step", "value", "best", "counter", "late"]).astype({"best": "float64", "counter": "Int64"})
 
-OUTPUT = "run_id bigint, step bigint, value double, best double, counter bigint, late bigint"
+    def close(self) -> None:
+        pass
 
 
-def stop_monitor(stream: DataFrame, delay: str = "1 hour", min_delta: float = 0.0) -> DataFrame:
-    """Best value and steps since it improved, per run, for a stream of run_id, step, value, ts.
+def stop_monitor(stream: DataFrame, delay: str = "1 hour", min_delta: float = 0.0, resume: DataFrame | None = None) -> DataFrame:
+    """Best value and steps since it improved, per run and metric, for a stream of run_id, metric, step, value, ts.
 
-    Rows of one run and step within the delay count once. Steps wait until the watermark passes them and
-    are then taken in order; one that comes after a later step was taken is counted as late and left out.
+    Rows of one run, metric and step within the delay count once. Steps wait until the watermark passes
+    them and are then taken in order; one that is behind a step taken before comes back with ``late``
+    true and without best and counter. Rows older than the watermark when they arrive are left out and
+    counted by Spark. ``resume`` (run_id, metric, best, counter, last: ``stop_state`` of a stored
+    history) is where runs go on.
     """
+    once = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id", "metric", "step"])
+    initial = None if resume is None else resume.groupBy("run_id", "metric")
+    return once.groupBy("run_id", "metric").transformWithStateInPandas(StopProcessor(min_delta), OUTPUT, "Append", "EventTime", initial)
 
-    def advance(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, counter, last, late, held = state.get if state.exists else (None, 0, -1, 0, "[]")
-        waiting = [tuple(x) for x in json.loads(held)]
-        if not state.hasTimedOut:
-            for f in frames:
-                waiting += [(int(s), float(v), int(t.value // 1_000_000)) for s, v, t in zip(f["step"], f["value"], f["ts"], strict=True)]
-        mark = state.getCurrentWatermarkMs()
-        out = []
-        for step, value, _ in sorted(w for w in waiting if w[2] <= mark):
-            if step <= last:
-                late += 1
-                continue
-            better = best is None or value < best - min_delta
-            best, counter, last = (value, 0, step) if better else (best, counter + 1, step)
-            out.append((key[0], step, value, best, counter, late))
-        waiting = sorted(w for w in waiting if w[2] > mark)
-        state.update((best, counter, last, late, json.dumps(waiting)))
-        if waiting:
-            state.setTimeoutTimestamp(max(mark + 1, min(w[2] for w in waiting)))
-        if out:
-            yield pd.DataFrame(out, columns=["run_id", "step", "value", "best", "counter", "late"])
 
-    once = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id", "step"])
-    return once.groupBy("run_id").applyInPandasWithState(
-        advance, OUTPUT, "best double, counter bigint, last bigint, late bigint, held string", "append", GroupStateTimeout.EventTimeTimeout
-    )
+def stop_state(counted: DataFrame) -> DataFrame:
+    """run_id, metric, best, counter, last after the last step of a monitor's rows or of a history with counters (run_id, metric, step, best, counter)."""
+    rows = counted.filter("NOT late") if "late" in counted.columns else counted
+    return rows.groupBy("run_id", "metric").agg(F.max_by(F.struct("best", "counter"), "step").alias("s"), F.max("step").alias("last")).select("run_id", "metric", "s.*", "last")
 
 
 def run_to_end(stream: DataFrame, path: str, mode: str = "append") -> None:
     """Writes all that is there to path/rows, with the checkpoint beside it."""
-    q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-
-
-def checked_tiles(stream: DataFrame, path: str, check) -> None:
-    """Status rows of arriving tiles: ``check`` maps a batch of tile cells to a row per tile. A batch that runs again replaces its own rows."""
+    with state_store(stream.sparkSession):
+        q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+
+CHECKS = "tile_idx bigint, valid_pixels bigint, positive_pixels bigint, total_pixels bigint, max_value double, status string, previous string, complete boolean"
+
+
+class TileProcessor(StatefulProcessor):
+    """State of a tile: its counts so far, which cells have arrived (a bit each), and its status."""
+
+    def __init__(self, tile: int, nodata: float, above: float, least_rgb: float, include_background: bool, least_target: float | None):
+        self.tile, self.nodata, self.above, self.least_rgb, self.include_background, self.least_target = tile, nodata, above, least_rgb, include_background, least_target
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", "total bigint, valid bigint, positive bigint, top double, arrived binary, status string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        total, valid, positive, top, arrived, previous = self.counts.get() if self.counts.exists() else (0, 0, 0, None, None, None)
+        if total == self.tile * self.tile:  # complete: what comes now has been here
+            return
+        size = self.tile * self.tile
+        there = np.unpackbits(np.frombuffer(arrived, np.uint8))[:size].astype(bool) if arrived else np.zeros(size, bool)
+        for f in rows:
+            f = f.drop_duplicates(["tr", "tc"])
+            place = (f["tr"] * self.tile + f["tc"]).to_numpy()
+            f = f[~there[place]]
+            there[place] = True
+            bands = f[["b1", "b2", "b3"]].to_numpy(dtype=float)
+            total += len(f)
+            valid += int(((bands != self.nodata) & ~np.isnan(bands)).all(axis=1).sum())
+            positive += int((f["target"] > self.above).sum())
+            largest = f["target"].max() if len(f) else np.nan
+            if not np.isnan(largest):
+                top = float(largest) if top is None else max(top, float(largest))
+        low = self.least_target is not None and positive / total < self.least_target
+        status = "rgb_invalid" if valid / total < self.least_rgb else "background_only" if (positive == 0 and not self.include_background) or low else "valid"
+        done = total == size
+        self.counts.update((total, valid, positive, top, None if done else np.packbits(there).tobytes(), status))
+        yield pd.DataFrame([(key[0], valid, positive, total, top, status, previous, done)], columns=["tile_idx", "valid_pixels", "positive_pixels", "total_pixels", "max_value", "status", "previous", "complete"])
+
+    def close(self) -> None:
+        pass
+
+
+def checked_tiles(cells: DataFrame, path: str, tile: int, nodata: float = 0.0, above: float = 0.0, least_rgb: float = 0.01, include_background: bool = False, least_target: float | None = None) -> None:
+    """Checks tiles of ``tile`` x ``tile`` cells as their cells (tile_idx, tr, tc, b1, b2, b3, target) arrive, in any cut into batches.
+
+    A cell that comes again counts once. Every batch writes a row for each tile that it has cells of, with
+    the counts and the status of all cells so far, and one row of how the counters change; a batch that
+    runs again replaces its own rows. ``latest_status`` and ``running_counters`` read them.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        check(batch).withColumn("batch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/status/epoch={epoch}")
+        batch = batch.persist()
+        batch.write.mode("overwrite").parquet(f"{path}/status/epoch={epoch}")
+        moved = [F.coalesce(F.sum((F.col("status") == s).cast("long") - (F.col("previous").eqNullSafe(s)).cast("long")), F.lit(0)).alias(s) for s in ("rgb_invalid", "background_only", "valid")]
+        batch.agg(F.count_if(F.col("previous").isNull()).alias("total"), *moved).write.mode("overwrite").parquet(f"{path}/counters/epoch={epoch}")
+        batch.unpersist()
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    processor = TileProcessor(tile, nodata, above, least_rgb, include_background, least_target)
+    with state_store(cells.sparkSession):
+        checked = cells.groupBy("tile_idx").transformWithStateInPandas(processor, CHECKS, "Update", "None")
+        q = checked.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").outputMode("update").trigger(availableNow=True).start()
+        q.awaitTermination()
 
 
 def latest_status(spark: SparkSession, path: str, key: str = "tile_idx") -> DataFrame:
     """The newest status of each tile."""
     rows = spark.read.parquet(f"{path}/status")
-    others = [c for c in rows.columns if c not in (key, "batch", "epoch")]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*others), "batch").alias("s")).select(key, "s.*")
+    others = [c for c in rows.columns if c not in (key, "epoch", "previous")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), "epoch").alias("s")).select(key, "s.*")
+
+
+def running_counters(spark: SparkSession, path: str) -> DataFrame:
+    """epoch, total, rgb_invalid, background_only, valid after each batch."""
+    w = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)  # a row for each batch
+    names = ["total", "rgb_invalid", "background_only", "valid"]
+    return spark.read.parquet(f"{path}/counters").select("epoch", *[F.sum(c).over(w).alias(c) for c in names])
