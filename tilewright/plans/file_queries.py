@@ -11,7 +11,7 @@ from tilewright.plans.space_queries import boxes
 from tilewright.plans.tile_queries import G5, statuses
 from tilewright.registry import register
 from tilewright.shared import new_path
-from tilewright.sources import documents
+from tilewright.sources import blocks, documents
 from tilewright.sources import trials as trial_source
 
 TILE_ID = "printf('tile_%04d', tile_idx)"
@@ -25,6 +25,14 @@ def a1_read_cells(spark, sf):
     return documents.read_cells(spark, path, "rgb", [1, 3]).groupBy("band", "c").agg(F.sum("value").alias("total"))
 
 
+@register("a1_read_window", fx.ALL + " SELECT band, r, c, v AS value FROM (SELECT 1 AS band, r, c, b1 AS v FROM wide UNION ALL SELECT 3, r, c, b3 FROM wide) WHERE r BETWEEN 100 AND (SELECT h FROM len) - 101 AND c BETWEEN 10 AND 49")
+def a1_read_window(spark, sf):
+    """The raster written as a block store; of two bands all but its margins read back."""
+    path, h = new_path(spark, "raster"), fx.height(spark, sf)
+    blocks.write_raster(fx.cells(spark, sf).withColumnRenamed("raster_id", "layer"), path, size=16)
+    return blocks.read_window(spark, path, 100, 10, h - 200, 40, "rgb", [1, 3], size=16).drop("layer")
+
+
 @register("a3_filtered_list", fx.TILED + f", {G5} SELECT {TILE_ID} AS tile_id, true AS rgb_valid, true AS has_targets, round(rgb_coverage, 6) AS rgb_coverage, 0.25 AS least_rgb, 32 AS tile_size, (SELECT count(*) FROM g5) AS total_tiles, (SELECT count(*) FROM g5 WHERE status = 'valid') AS valid_tiles FROM g5 WHERE status = 'valid'")
 def a3_filtered_list(spark, sf):
     """A filtered list written with its configuration, counters and tile size, and read again (A2)."""

@@ -565,10 +565,10 @@ def swept(df, channel: str, parameter):
 @register("g28_sweep")
 def g28_sweep(spark, sf):
     """Mean, least and greatest of the texture channel for each structure sigma, and of the Gabor channel for each power of the alignment."""
-    out = None
-    for sigma in (1.0, 2.0, 3.0):
-        one = swept(stencil.texture(grays(spark, sf), dem(spark, sf), fx.height(spark, sf), 64, sigma_structure=sigma), "texture", F.lit(sigma))
-        out = one if out is None else out.unionByName(one)
+    sigmas = (1.0, 2.0, 3.0)
+    stripes = lambda k: stencil.along_slope(F.col(f"coherence_{k}"), F.col(f"angle_{k}"), 1.0)
+    each = F.inline(F.array(*[F.struct(F.lit(sigma).alias("sigma"), stripes(k).alias("stripes")) for k, sigma in enumerate(sigmas)]))
+    out = swept(stencil.texture_sweep(grays(spark, sf), dem(spark, sf), 1.5, sigmas).select(each), "texture", F.col("sigma"))
     bank = stencil.gabor_stripes(fx.cells(spark, sf).drop("raster_id"), dem(spark, sf), frequency=0.15, sigma=5.0)
     powers = bank.withColumn("power", F.explode(F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])))
     return out.unionByName(swept(powers.withColumn("stripes", stencil.along_slope(F.col("strength"), F.col("angle"), F.col("power"))), "gabor", F.col("power")))

@@ -80,6 +80,12 @@ def x1_proximity(spark, sf):
     return near.filter("proximity > 0")
 
 
+@register("x1_distance_map", fx.CELLS + ", ones AS (SELECT r, c FROM emb WHERE x > 0.30 AND r >= 100) SELECT e.r, e.c, min((e.r - o.r) * (e.r - o.r) + (e.c - o.c) * (e.c - o.c)) AS d2 FROM emb e, ones o GROUP BY 1, 2")
+def x1_distance_map(spark, sf):
+    """Every cell's squared distance to the nearest positive, however far."""
+    return stencil.distances(fx.mask(spark, sf).filter("value = 1").select("r", "c"), fx.height(spark, sf), fx.WIDTH)
+
+
 @register("c8_decay", fx.ALL + " SELECT c, CAST(sum(CASE WHEN abs(x) * 20 <= 5 THEN floor(greatest(0, 7 - abs(x) * 20)) ELSE 0 END) AS BIGINT) AS total FROM emb GROUP BY 1")
 def c8_decay(spark, sf):
     return fx.emb(spark, sf).groupBy("c").agg(F.sum(scalar.decay(F.abs("x") * 20, 7, 5)).alias("total"))
