@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.operators import quantiles
+
 N_COVERAGE = 0.01
 
 
@@ -51,14 +53,15 @@ def histogram(cells: DataFrame, by: list[str], value: str = "target") -> DataFra
 def baselines(cells: DataFrame, by: list[str], threshold: float, value: str = "target", empty_union: float = 1.0, accuracy: int | None = None) -> DataFrame:
     """Moments, class balance and errors of constant predictions, from the histogram of values.
 
-    The median is exact, for which a task holds the distinct values of a group; rasters of many
-    different values take ``accuracy``, which bounds that and the error of its rank to 1 / accuracy. The IoU of predicting 0 is ``empty_union`` where nothing is positive, else 0.
+    The median is exact. For groups, tiles say, a task holds the distinct values of one; the median of all
+    cells (no ``by``) is found by a sketch and the values near it. ``accuracy`` takes an approximate one,
+    with an error of its rank of 1 / accuracy. The IoU of predicting 0 is ``empty_union`` where nothing is positive, else 0.
     """
     h = histogram(cells, by, value)
-    median = F.expr("percentile(v, 0.5, n)") if accuracy is None else F.first("_median")
-    if accuracy is not None:
-        mid = cells.groupBy(*by).agg(F.percentile_approx(value, 0.5, accuracy).alias("_median"))
-        h = h.join(mid, by) if by else h.crossJoin(F.broadcast(mid))
+    median = F.expr("percentile(v, 0.5, n)") if by and accuracy is None else F.first("_median")
+    if not by or accuracy is not None:
+        mid = quantiles.exact(cells, [], {"_median": 0.5}, value) if accuracy is None else cells.groupBy(*by).agg(F.percentile_approx(value, 0.5, accuracy).alias("_median"))
+        h = h.join(mid, by) if by else h.join(F.broadcast(mid), F.lit(True), "left")  # one row
     n, v, pos = F.col("n"), F.col("v"), F.col("v") >= threshold
     k = [F.col(c) for c in by]
     first = h.groupBy(*k).agg(
@@ -142,11 +145,15 @@ def hsv_means(cells: DataFrame, by: str, h: Column, s: Column, v: Column, least:
 
 
 def calibrated(means: DataFrame, examples: tuple[list, list] | None = None, band: float = 0.1, ambiguous: float | None = None, by: str = "tile_idx", accuracy: int | None = None) -> DataFrame:
-    """One row (low, high): percentiles (exact, or with ranks off by 1 / accuracy at most in bounded memory) around the middle if an ambiguous share is given, else the middle of the examples' means or 0.45, plus and minus half the band; (0.4, 0.6) without tiles."""
+    """One row (low, high): percentiles (exact, by a sketch and the values near them, or with ranks off by 1 / accuracy at most) around the middle if an ambiguous share is given, else the middle of the examples' means or 0.45, plus and minus half the band; (0.4, 0.6) without tiles."""
     v, n = F.col("mean_value"), F.count("*")
     if ambiguous is not None:
         shares = [0.5 - ambiguous / 2, 0.5 + ambiguous / 2]
-        q = F.percentile("mean_value", F.array(*map(F.lit, shares))) if accuracy is None else F.percentile_approx("mean_value", shares, accuracy)
+        if accuracy is None:
+            q = quantiles.exact(means, [], {"_low": shares[0], "_high": shares[1]}, "mean_value")
+            one = means.agg(n.alias("n")).join(F.broadcast(q), F.lit(True), "left")  # one row
+            return one.select(F.when(F.col("n") == 0, 0.4).otherwise(F.col("_low")).alias("low"), F.when(F.col("n") == 0, 0.6).otherwise(F.col("_high")).alias("high"))
+        q = F.percentile_approx("mean_value", shares, accuracy)
         low, high = q[0], q[1]
     else:
         mid = F.lit(0.45)

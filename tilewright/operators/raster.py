@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.functions import draws
 from tilewright.functions.scalar import hsv, rgb
-from tilewright.operators.sampling import unit
 
 
 def crop(cells: DataFrame, height: int, width: int, x: float, y: float, rows: int, cols: int, a: float = 1.0, e: float = -1.0, x0: float = 0.0, y0: float = 0.0) -> tuple[DataFrame, tuple]:
@@ -119,43 +120,109 @@ def turned(r: Column, c: Column, size: int, k: int = 0, flip_h: bool = False, fl
     return (size - 1 - r if flip_v else r), (size - 1 - c if flip_h else c)
 
 
-def recoloured(tiles: DataFrame, by: str, brightness: float = 0.0, contrast: float = 1.0, saturation: float = 1.0, gamma: float = 1.0, hue: float = 0.0, noise: float = 0.0, seed: int = 0, bands: tuple[str, ...] = ("b1", "b2", "b3")) -> DataFrame:
-    """Bands (0..1) after hue, saturation, contrast, gamma, brightness and noise, clamped; left alone with fewer than three bands.
+def turned_by(r: Column, c: Column, size: int, turns: Column, flip_h: Column, flip_v: Column) -> tuple[Column, Column]:
+    """``turned`` with turns and flips from columns."""
+    places = [turned(r, c, size, k) for k in range(4)]
+    k = F.pmod(turns, F.lit(4))
+    pick = lambda n: F.when(k == 0, places[0][n]).when(k == 1, places[1][n]).when(k == 2, places[2][n]).otherwise(places[3][n])
+    r, c = pick(0), pick(1)
+    return F.when(flip_v, size - 1 - r).otherwise(r), F.when(flip_h, size - 1 - c).otherwise(c)
 
-    Contrast turns about the tile's mean gray. Noise comes from a hash of tile, place and band.
+
+#: Weights of the bands in the gray that saturation and contrast are blended with.
+BLEND = (0.2989, 0.587, 0.114)
+
+
+def recoloured(
+    tiles: DataFrame, by: str, brightness: float | Column = 0.0, contrast: float | Column = 1.0, saturation: float | Column = 1.0, gamma: float | Column = 1.0, hue: float | Column = 0.0,
+    noise: float = 0.0, seed: int = 0, bands: tuple[str, ...] = ("b1", "b2", "b3"), contrast_first: bool = False,
+) -> DataFrame:
+    """Bands (0..1) after hue, saturation, contrast, gamma, brightness and noise; left alone with fewer than three bands.
+
+    Hue, saturation, contrast and gamma give 0..1 each, so the next one starts from clamped bands; the sum
+    with brightness and noise is clamped at the end. Contrast turns about the tile's mean gray;
+    ``contrast_first`` has it before saturation. Noise is normal with deviation ``noise``, drawn by tile, place and band.
     """
     if len(bands) < 3:
         return tiles
-    r, g, b = (F.col(x) for x in bands[:3])
-    if hue:
-        h, saturated, top = hsv(r, g, b)
-        r, g, b = rgb(F.pmod(h + hue, F.lit(1.0)), saturated, top)
-    gray = 0.299 * r + 0.587 * g + 0.114 * b
-    sat = [gray + saturation * (x - gray) for x in (r, g, b)]
-    t = tiles.withColumns(dict(zip(("_1", "_2", "_3"), sat, strict=True)))
-    mean = F.avg(0.299 * F.col("_1") + 0.587 * F.col("_2") + 0.114 * F.col("_3"))
-    t = t.join(t.groupBy(by).agg(mean.alias("_m")), by)
-    clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    names, clamp = list(bands[:3]), lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    grey = lambda xs: sum(w * x for w, x in zip(BLEND, xs, strict=True))
+    t = tiles
+    if isinstance(hue, Column) or hue:
+        h, saturated, top = hsv(*map(F.col, names))
+        t = t.withColumns(dict(zip(names, rgb(F.pmod(h + hue, F.lit(1.0)), saturated, top), strict=True)))
+
+    def blended(t: DataFrame, factor: float | Column, other: Column) -> DataFrame:
+        return t.withColumn("_o", other).withColumns({n: clamp(factor * F.col(n) + (1 - factor) * F.col("_o")) for n in names}).drop("_o")
+
+    for step in ("contrast", "saturation") if contrast_first else ("saturation", "contrast"):
+        if step == "saturation":
+            t = blended(t, saturation, grey(map(F.col, names)))
+        else:
+            t = blended(t.join(t.groupBy(by).agg(F.avg(grey(map(F.col, names))).alias("_m")), by), contrast, F.col("_m")).drop("_m")
+    power = gamma if isinstance(gamma, Column) else F.lit(float(gamma))
     out = {}
-    for k, name in enumerate(bands[:3], 1):
-        x = clamp(F.col("_m") + contrast * (F.col(f"_{k}") - F.col("_m")))
-        x = F.pow(x, F.lit(gamma)) + brightness
-        if noise:
-            x = x + noise * (2 * unit(F.col(by), F.col("tr"), F.col("tc"), F.lit(k), F.lit(seed)) - 1)
-        out[name] = clamp(x)
-    return t.withColumns(out).drop("_1", "_2", "_3", "_m")
-
-
-def augmentation(policy: str, flag: Column, key: Column, seed: int) -> Column:
-    """Quarter turns for a tile: of all tiles in training ('train'), or of flagged rows only ('lobe'); 0 otherwise."""
-    turns = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(4)).cast("int")
+    for k, n in enumerate(names, 1):
+        x = clamp(F.pow(F.col(n), power)) + brightness
+        out[n] = clamp(x + noise * draws.normal("noise", seed, by, "tr", "tc", F.lit(k)) if noise else x)
+    return t.withColumns(out)
+
+
+@dataclass(frozen=True)
+class Augmentation:
+    """Which changes are made, and the ranges that their parameters are drawn from."""
+
+    geometric: bool = True
+    color: bool = True
+    contrast: tuple[float, float] = (0.72, 1.28)
+    saturation: tuple[float, float] = (0.72, 1.28)
+    brightness: tuple[float, float] = (-0.12, 0.12)
+    noise: float = 0.03
+    gamma: tuple[float, float] | None = (0.78, 1.22)
+    hue: tuple[float, float] | None = (-0.04, 0.04)
+
+
+def chosen(policy: str, flag: Column) -> Column:
+    """The rows that are changed: all of them in training ('train'), or flagged rows only ('lobe')."""
     if policy == "train":
-        return turns
+        return F.lit(True)
     if policy == "lobe":
-        return F.when(F.coalesce(flag, F.lit(False)), turns).otherwise(0)
+        return F.coalesce(flag, F.lit(False))
     raise ValueError(f"no policy {policy!r}")
 
 
+def draws_of(by: str, seed: int, kinds: Augmentation) -> dict[str, Column]:
+    """turns, flip_h, flip_v and the colour parameters of a tile (a column), each from its own counter."""
+    ranges = {"brightness": kinds.brightness, "contrast": kinds.contrast, "saturation": kinds.saturation, "gamma": kinds.gamma or (1.0, 1.0), "hue": kinds.hue or (0.0, 0.0)}
+    still = {"brightness": 0.0, "contrast": 1.0, "saturation": 1.0, "gamma": 1.0, "hue": 0.0}
+    out = {"turns": F.floor(4 * draws.uniform("turns", seed, by)).cast("int"), **{f: draws.uniform(f, seed, by) > 0.5 for f in ("flip_h", "flip_v")}}
+    if not kinds.geometric:
+        out = {"turns": F.lit(0), "flip_h": F.lit(False), "flip_v": F.lit(False)}
+    return out | {n: draws.between(*r, n, seed, by) if kinds.color else F.lit(still[n]) for n, r in ranges.items()}
+
+
+def augmented(tiles: DataFrame, by: str, size: int, policy: str, seed: int, kinds: Augmentation | None = None, flag: str = "augment", bands: tuple[str, ...] = ("b1", "b2", "b3")) -> DataFrame:
+    """Cells of tiles (``by``, tr, tc, bands 0..1 and any other layers and targets) under an augmentation policy.
+
+    A tile's cells keep all their values and move together, so features and targets are turned and
+    flipped alike; only the three bands change colour. The flagged rows alone change with the policy
+    'lobe', where both kinds of changes are always made. A tile with fewer than three bands keeps its colours.
+    """
+    kinds = kinds or Augmentation()
+    if policy == "lobe":
+        kinds = replace(kinds, geometric=True, color=True)
+    use = chosen(policy, F.col(flag) if flag in tiles.columns else F.lit(None).cast("boolean"))
+    d = draws_of(by, seed, kinds)
+    r, c = turned_by(F.col("tr"), F.col("tc"), size, d["turns"], d["flip_h"], d["flip_v"])
+    moved = tiles.withColumn("_use", use).withColumns({"_r": F.when(F.col("_use"), r).otherwise(F.col("tr")), "_c": F.when(F.col("_use"), c).otherwise(F.col("tc"))})
+    moved = moved.withColumns({"tr": F.col("_r"), "tc": F.col("_c")}).drop("_r", "_c")
+    if not kinds.color or len(bands) < 3:
+        return moved.drop("_use")
+    colours = {n: d[n] for n in ("brightness", "contrast", "saturation", "gamma", "hue")}
+    changed = recoloured(moved.filter("_use"), by, **colours, noise=kinds.noise, seed=seed, bands=bands)
+    return changed.unionByName(moved.filter("NOT _use")).drop("_use")
+
+
 def segment_scaled(cells: DataFrame, by: str, value: str = "segment", nodata: int = -9999) -> DataFrame:
     """Ids divided by the tile's greatest valid id; nodata and tiles without a valid id give 0."""
     top = F.max(F.when(F.col(value) != nodata, F.col(value))).over(Window.partitionBy(by))

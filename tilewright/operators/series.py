@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.operators import quantiles
+
 
 def best_so_far(trials: DataFrame, by: list[str], order: str = "trial_number", value: str = "value") -> DataFrame:
     """Running minimum over COMPLETE rows with a value."""
@@ -16,7 +21,8 @@ def stop_counters(history: DataFrame, by: str = "run_id", order: str = "step", v
     """Steps since the value last fell below the best by more than min_delta; 0 at the first step.
 
     Without a delta this is a window; with one the best moves only on improvement, which is a fold over
-    each run's steps in order.
+    each run's steps in order: rows sorted by run and step go by in batches, and the state of the run
+    that a batch ends in is carried to the next.
     """
     if min_delta <= 0:
         w = Window.partitionBy(by).orderBy(order)
@@ -26,17 +32,24 @@ def stop_counters(history: DataFrame, by: str = "run_id", order: str = "step", v
         h = history.withColumn("_n", F.row_number().over(w)).withColumn("_i", improved)
         last = F.max(F.when(F.col("_i"), F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
         return h.withColumn("counter", (F.col("_n") - last).cast("long")).drop("_n", "_i")
-    rows = history.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("s"), F.col(value).alias("v")))).alias("rows"))
-    kind = "struct<best:double,counter:bigint,out:array<struct<s:bigint,v:double,counter:bigint>>>"
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).cast("long").alias("counter"), F.array().cast("array<struct<s:bigint,v:double,counter:bigint>>").alias("out")).cast(kind)
-
-    def step(a, x):
-        better = a["best"].isNull() | (x["v"] < a["best"] - F.lit(float(min_delta)))
-        c = F.when(better, F.lit(0).cast("long")).otherwise(a["counter"] + 1)
-        return F.struct(F.when(better, x["v"]).otherwise(a["best"]).alias("best"), c.alias("counter"), F.concat(a["out"], F.array(F.struct(x["s"].cast("long").alias("s"), x["v"].alias("v"), c.alias("counter")))).alias("out")).cast(kind)
 
-    out = rows.select(by, F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("x"))
-    return out.select(by, F.col("x.s").alias(order), F.col("x.v").alias(value), F.col("x.counter").alias("counter"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, best, counter = object(), None, 0
+        for batch in batches:
+            out = []
+            for key, v in zip(batch.column(by).to_pylist(), batch.column(value).to_pylist(), strict=True):
+                if key != run:
+                    run, best, counter = key, None, -1
+                # NaN is larger than any number.
+                if best is None or (v is not None and v == v and (best != best or v < best - min_delta)):
+                    best, counter = v, 0
+                else:
+                    counter += 1
+                out.append(counter)
+            yield batch.append_column("counter", pa.array(out, pa.int64()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in history.schema) + ", counter bigint"
+    return history.repartition(by).sortWithinPartitions(by, order).mapInArrow(fold, schema)
 
 
 def stop_steps(counters: DataFrame, patience: int | None, by: str = "run_id", order: str = "step") -> DataFrame:
@@ -75,9 +88,13 @@ def latest(history: DataFrame) -> DataFrame:
 
 
 def axis_limits(history: DataFrame, by: list[str], pad: float = 0.1, accuracy: int | None = None) -> DataFrame:
-    """5th and 95th percentiles (exact, or with ranks off by 1 / accuracy at most in bounded memory), padded, not below 0; (0, 1) without values."""
-    q = F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))) if accuracy is None else F.percentile_approx("value", [0.05, 0.95], accuracy)
-    a = history.groupBy(*by).agg(q.alias("q"), F.count("value").alias("n")) if by else history.agg(q.alias("q"), F.count("value").alias("n"))
+    """5th and 95th percentiles (exact, by sketches and the values near them, or with ranks off by 1 / accuracy at most), padded, not below 0; (0, 1) without values."""
+    if accuracy is None:
+        q = quantiles.exact(history, by, {"_a": 0.05, "_b": 0.95}).select(*by, F.array("_a", "_b").alias("q"))
+        counts = history.groupBy(*by).agg(F.count("value").alias("n"))
+        a = counts.join(q.select(*[F.col(c).alias(f"_{c}") for c in by], "q"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or F.lit(True), "left")
+    else:
+        a = history.groupBy(*by).agg(F.percentile_approx("value", [0.05, 0.95], accuracy).alias("q"), F.count("value").alias("n"))
     gap = (F.col("q")[1] - F.col("q")[0]) * pad
     return a.select(*by, F.when(F.col("n") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("q")[0] - gap)).alias("low"), F.when(F.col("n") == 0, 1.0).otherwise(F.col("q")[1] + gap).alias("high"))
 

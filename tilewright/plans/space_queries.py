@@ -221,12 +221,40 @@ def x8_rotated(spark, sf):
     return t.select("tile_idx", r.alias("r2"), c.alias("c2"), "x")
 
 
-@register("x9_recoloured", fx.TILED + """, n AS (SELECT tile_idx, b1 / 255 AS r, b2 / 255 AS g, b3 / 255 AS b FROM tw), s AS (SELECT tile_idx, y + 1.2 * (r - y) AS r, y + 1.2 * (g - y) AS g, y + 1.2 * (b - y) AS b FROM (SELECT *, 0.299 * r + 0.587 * g + 0.114 * b AS y FROM n)),
-m AS (SELECT tile_idx, avg(0.299 * r + 0.587 * g + 0.114 * b) AS m FROM s GROUP BY 1)
-SELECT tile_idx, round(avg(greatest(0.0, least(1.0, pow(greatest(0.0, least(1.0, m + 0.8 * (r - m))), 1.1) + 0.05))), 6) AS r, round(avg(greatest(0.0, least(1.0, pow(greatest(0.0, least(1.0, m + 0.8 * (b - m))), 1.1) + 0.05))), 6) AS b FROM s JOIN m USING (tile_idx) GROUP BY 1""")
+CLAMPED = "greatest(0.0, least(1.0, {}))"
+GRAY = "0.2989 * r + 0.587 * g + 0.114 * b"
+
+
+def step_sql(name: str, source: str, expression: str) -> str:
+    """name: tile_idx, r, g, b after one step, each clamped; x stands for the band."""
+    return f"{name} AS (SELECT tile_idx, " + ", ".join(f"{CLAMPED.format(expression.replace('x', band))} AS {band}" for band in "rgb") + f" FROM {source})"
+
+
+RECOLOURED = f"""n AS (SELECT tile_idx, b1 / 255 AS r, b2 / 255 AS g, b3 / 255 AS b FROM tw), y AS (SELECT *, {GRAY} AS y FROM n), {step_sql('s', 'y', '1.28 * x + (1 - 1.28) * y')},
+m AS (SELECT *, avg({GRAY}) OVER (PARTITION BY tile_idx) AS m FROM s), {step_sql('k', 'm', '0.8 * x + (1 - 0.8) * m')}, {step_sql('p', 'k', 'pow(x, 1.1)')}, {step_sql('q', 'p', 'x + 0.05')}"""
+
+
+@register("x9_recoloured", fx.TILED + f", {RECOLOURED} SELECT tile_idx, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM q GROUP BY 1")
 def x9_recoloured(spark, sf):
-    t = fx.tiled(fx.wide(spark, sf), spark, sf).withColumns({b: F.col(b) / 255 for b in ("b1", "b2", "b3")})
-    return raster.recoloured(t, "tile_idx", brightness=0.05, contrast=0.8, saturation=1.2, gamma=1.1).groupBy("tile_idx").agg(R(F.avg("b1")).alias("r"), R(F.avg("b3")).alias("b"))
+    return band_means(raster.recoloured(unit_bands(spark, sf), "tile_idx", brightness=0.05, contrast=0.8, saturation=1.28, gamma=1.1))
+
+
+CONTRAST_FIRST = f"""n AS (SELECT tile_idx, b1 / 255 AS r, b2 / 255 AS g, b3 / 255 AS b FROM tw), m AS (SELECT *, avg({GRAY}) OVER (PARTITION BY tile_idx) AS m FROM n), {step_sql('k', 'm', '1.4 * x + (1 - 1.4) * m')},
+y AS (SELECT *, {GRAY} AS y FROM k), {step_sql('s', 'y', '0.7 * x + (1 - 0.7) * y')}"""
+
+
+@register("x9_contrast_first", fx.TILED + f", {CONTRAST_FIRST} SELECT tile_idx, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM s GROUP BY 1")
+def x9_contrast_first(spark, sf):
+    """The order of the extended set on disk."""
+    return band_means(raster.recoloured(unit_bands(spark, sf), "tile_idx", contrast=1.4, saturation=0.7, contrast_first=True))
+
+
+def unit_bands(spark, sf):
+    return fx.tiled(fx.wide(spark, sf), spark, sf).withColumns({b: F.col(b) / 255 for b in ("b1", "b2", "b3")})
+
+
+def band_means(t):
+    return t.groupBy("tile_idx").agg(R(F.avg("b1")).alias("r"), R(F.avg("b2")).alias("g"), R(F.avg("b3")).alias("b"))
 
 
 TURN = "greatest(0.0, least((({n} + h * 6) % 6), 4 - (({n} + h * 6) % 6), 1.0))"
@@ -237,20 +265,33 @@ SELECT tile_idx, round(avg(v - v * s * {TURN.format(n=5)}), 6) AS r, round(avg(v
 
 @register("x9_hue", fx.TILED + HUED)
 def x9_hue(spark, sf):
-    t = fx.tiled(fx.wide(spark, sf), spark, sf).withColumns({b: F.col(b) / 255 for b in ("b1", "b2", "b3")})
-    return raster.recoloured(t, "tile_idx", hue=0.1).groupBy("tile_idx").agg(R(F.avg("b1")).alias("r"), R(F.avg("b2")).alias("g"), R(F.avg("b3")).alias("b"))
+    return band_means(raster.recoloured(unit_bands(spark, sf), "tile_idx", hue=0.1))
 
 
 @register("x9_noise")
 def x9_noise(spark, sf):
-    t = fx.tiled(fx.wide(spark, sf), spark, sf).withColumns({b: F.col(b) / 255 for b in ("b1", "b2", "b3")})
-    return raster.recoloured(t, "tile_idx", hue=0.1, noise=0.05, seed=3).groupBy("tile_idx").agg(R(F.avg("b1")).alias("r"), R(F.avg("b2")).alias("g"), R(F.avg("b3")).alias("b"))
+    return band_means(raster.recoloured(unit_bands(spark, sf), "tile_idx", hue=0.1, noise=0.05, seed=3))
 
 
-@register("x10_policy")
+def flagged(spark, sf):
+    """Cells of tiles with bands 0..1, the target, and every third tile flagged."""
+    t = fx.target(spark, sf).select("r", "c", "target").join(fx.wide(spark, sf).select("r", "c", *[(F.col(b) / 255).alias(b) for b in ("b1", "b2", "b3")]), ["r", "c"])
+    return fx.tiled(t, spark, sf).withColumn("augment", F.col("tile_idx") % 3 == 0)
+
+
+@register("x10_policy", fx.TILED + " SELECT t.tile_idx, count(*) AS cells, round(sum(b1 / 255 * target), 6) AS paired, round(sum(b2 / 255), 6) AS g, round(sum(target), 6) AS target, round(sum(CASE WHEN t.tile_idx % 3 <> 0 THEN tr * 32 + tc ELSE 496 + 15.5 END * target), 4) AS place FROM tt t JOIN wide w ON w.r = t.r AND w.c = t.c GROUP BY 1")
 def x10_policy(spark, sf):
-    t = g.tiles(spark, fx.grid(spark, sf)).withColumn("augment", F.col("tile_idx") % 3 == 0)
-    return t.select("tile_idx", raster.augmentation("train", F.col("augment"), F.col("tile_id"), 1).alias("train"), raster.augmentation("lobe", F.col("augment"), F.col("tile_id"), 1).alias("lobe"))
+    """Turns and flips of flagged tiles: bands and targets stay together, tiles without a flag stay where they are."""
+    t = raster.augmented(flagged(spark, sf), "tile_idx", 32, "train", 1, raster.Augmentation(color=False))
+    t = t.filter("augment").unionByName(raster.augmented(flagged(spark, sf), "tile_idx", 32, "lobe", 1).filter("NOT augment"))
+    place = F.when(F.col("augment"), F.lit(511.5)).otherwise(F.col("tr") * 32 + F.col("tc"))
+    return t.groupBy("tile_idx").agg(F.count("*").alias("cells"), R(F.sum(F.col("b1") * F.col("target"))).alias("paired"), R(F.sum("b2")).alias("g"), R(F.sum("target")).alias("target"), R(F.sum(place * F.col("target")), 4).alias("place"))
+
+
+@register("x10_augmented")
+def x10_augmented(spark, sf):
+    """The whole policy of training: turns, flips and colours of every tile."""
+    return raster.augmented(flagged(spark, sf), "tile_idx", 32, "train", 7).select("tile_idx", "tr", "tc", "b1", "b2", "b3", "target")
 
 
 @register("c1_world_to_cell", "SELECT vec_id AS id, CAST(floor((CAST(embedding[1] AS DOUBLE) * 100 - 50) / -0.5) AS BIGINT) AS r, CAST(floor((CAST(embedding[2] AS DOUBLE) * 100 + 30) / 0.5) AS BIGINT) AS c FROM embeddings")

@@ -8,6 +8,7 @@ from tilewright.plans import fixtures as fx
 from tilewright.plans.tile_queries import G5, LEAST_RGB
 from tilewright.registry import register
 from tilewright.shared import new_path
+from tilewright.sources import ledger
 from tilewright.streaming import monitor
 
 
@@ -59,3 +60,17 @@ def z2_running_counters(spark, sf):
     counters = monitor.running_counters(spark, arrived(spark, sf))
     names = ["total", "rgb_invalid", "background_only", "valid"]
     return counters.agg(F.max_by(F.struct(*names), "epoch").alias("c")).select("c.*")
+
+
+@register("a14_ledger", fx.HISTORY + " SELECT run_id, metric, count(*) AS steps, round(sum(value), 6) AS total FROM h GROUP BY 1, 2")
+def a14_ledger(spark, sf):
+    """The history appended by a stream in four batches, the first two compacted, one of them sent twice."""
+    path, schema = new_path(spark, "ledger"), "run_id bigint, metric string, step bigint, value double"
+    h = fx.history(spark, sf).select(F.col("run_id").cast("long").alias("run_id"), "metric", "step", "value")
+    h.repartition(4, "run_id", "metric", "step").write.parquet(f"{path}/source")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/source")
+    ledger.append_stream(stream, f"{path}/table", f"{path}/checkpoint")
+    ledger.append_batch(spark.read.schema(schema).parquet(f"{path}/source"), f"{path}/table", "stream-0")
+    ledger.compact(spark, f"{path}/table", schema)
+    rows = ledger.read_table(spark, f"{path}/table", schema)
+    return rows.groupBy("run_id", "metric").agg(F.count("*").alias("steps"), F.round(F.sum("value"), 6).alias("total"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import scalar
 from tilewright.operators import grid as g
-from tilewright.operators import losses, qc, stencil
+from tilewright.operators import losses, qc, quantiles, stencil
 from tilewright.plans import fixtures as fx
 from tilewright.registry import register
 
@@ -206,6 +206,17 @@ def g16_dataset_baselines(spark, sf):
     return rounded(qc.baselines(t, [], 4.0, empty_union=0.0), *BASE_FLOATS)
 
 
+@register("g16_merged_medians", fx.TILED + " SELECT tile_idx % 3 AS part, count(*) AS n, true AS near FROM tt GROUP BY 1")
+def g16_merged_medians(spark, sf):
+    """Medians of splits from the sketches of their tiles; near says that the rank is as close as the sketches promise."""
+    t = fx.tiled(fx.pred(spark, sf), spark, sf)
+    tiles = quantiles.sketches(t, ["tile_idx"], "pred").withColumn("part", F.col("tile_idx") % 3)
+    parts = quantiles.estimated(quantiles.merged(tiles, ["part"]), {"median": 0.5}).drop("sketch")
+    ranks = t.withColumn("part", F.col("tile_idx") % 3).join(parts, "part").groupBy("part", "n").agg(F.count_if(F.col("pred") < F.col("median")).alias("under"), F.count_if(F.col("pred") <= F.col("median")).alias("upto"))
+    slack = quantiles.RANK_ERROR * F.col("n")
+    return ranks.select("part", "n", ((F.col("under") <= 0.5 * F.col("n") + slack) & (F.col("upto") >= 0.5 * F.col("n") - slack)).alias("near"))
+
+
 @register("g17_random_iou", fx.TILED + " SELECT tile_idx, round(f, 6) AS positive_share, round(CASE WHEN 0.1 + f - 0.1 * f > 0 THEN 0.1 * f / (0.1 + f - 0.1 * f) END, 6) AS expected_iou, round(CASE WHEN 0.1 + f / 4 - 0.1 * f / 4 > 0 THEN 0.1 * (f / 4) / (0.1 + f / 4 - 0.1 * f / 4) END, 6) AS quarter_iou FROM (SELECT tile_idx, count(*) FILTER (target >= 3) / count(*) AS f FROM tt GROUP BY 1)")
 def g17_random_iou(spark, sf):
     f = fx.tiled(fx.target(spark, sf), spark, sf).groupBy("tile_idx").agg(F.avg((F.col("target") >= 3).cast("double")).alias("f"))
