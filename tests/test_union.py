@@ -67,3 +67,35 @@ def test_random_overlaps(spark, seed, side):
     got = fractions(spark, boxes, polygons, side)
     for k, b in enumerate(boxes):
         assert abs(got[k] - scanned(polygons, b)) < 2e-3, (k, b)
+
+
+def held(rings, x, y):
+    """Crossings of the ray to the right, an edge from its lower end up to below its upper end."""
+    edges = [e for pts in rings for e in zip(pts, pts[1:] + pts[:1], strict=True)]
+    return sum(min(y1, y2) <= y < max(y1, y2) and x1 + (y - y1) / (y2 - y1) * (x2 - x1) > x for (x1, y1), (x2, y2) in edges) % 2 == 1
+
+
+@pytest.mark.parametrize("side", [3.0, 32.0, 500.0])
+def test_points_in_polygons_by_cells(spark, side):
+    rng = random.Random(9)
+    polygons = {k: [[(rng.randint(-50, 50), rng.randint(-50, 50)) for _ in range(rng.randrange(3, 7))]] for k in range(8)}
+    polygons[8] = [[(-40, -40), (40, -40), (40, 40), (-40, 40)], [(-20, -20), (20, -20), (20, 20), (-20, 20)]]
+    points = [(k, float(rng.randint(-55, 55)), float(rng.randint(-55, 55))) if k % 2 else (k, rng.uniform(-55, 55), rng.uniform(-55, 55)) for k in range(400)]
+    frame = spark.createDataFrame([*points, (900, None, 1.0)], "pid long, x double, y double")
+    got = {tuple(r) for r in vector.holders(frame, vector.edges_of(spark, polygons), side).collect()}
+    # Points on a sloped edge may fall on either side.
+    near = lambda x, y: any(abs((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)) < 1e-7 for rings in polygons.values() for pts in rings for (x1, y1), (x2, y2) in zip(pts, pts[1:] + pts[:1], strict=True) if x1 != x2)
+    clear = {k for k, x, y in points if not near(x, y)}
+    assert {g for g in got if g[0] in clear} == {(k, p) for k, x, y in points if k in clear for p, rings in polygons.items() if held(rings, x, y)}
+    assert len(clear) > 350
+
+
+def test_a_comb_in_one_row_of_tiles_is_many_groups(spark):
+    """A polygon with all its edges in one band of y: no cell has many more edges than another."""
+    teeth = [pt for k in range(400) for pt in ((10 * k, 0), (10 * k + 5, 20))]
+    comb = {0: [[*teeth, (4_000, 30), (0, 30)]]}
+    pieces, _ = vector._cover(vector.edges_of(spark, comb), 40.0)
+    sizes = sorted(r["count"] for r in pieces.groupBy("_cr", "_cc").count().collect())
+    assert len(sizes) > 100 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    points = spark.createDataFrame([(0, 12.0, 25.0), (1, 15.0, 19.0), (2, 20.0, 1.0), (3, 20.0, 19.0)], "pid long, x double, y double")
+    assert {tuple(r) for r in vector.holders(points, vector.edges_of(spark, comb), 40.0).collect()} == {(k, 0) for k, x, y in ((0, 12.0, 25.0), (1, 15.0, 19.0), (2, 20.0, 1.0), (3, 20.0, 19.0)) if held(comb[0], x, y)}

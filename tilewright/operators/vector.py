@@ -53,14 +53,18 @@ def touched(edges: DataFrame, height: int, width: int) -> DataFrame:
     return mask(edges, height, width).unionByName(cells.select("poly_id", "r", F.explode(F.sequence("a", "b")).alias("c"))).distinct()
 
 
-def holders(points: DataFrame, edges: DataFrame, bin_size: float = 32.0) -> DataFrame:
-    """pid, poly_id of the polygons that hold points (pid, x, y): an odd number of edges crosses the ray to the right. Edges and points meet in bins of y."""
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    e = edges.filter("y1 <> y2").withColumn("_bin", F.explode(F.sequence(F.floor(low / bin_size), F.floor(high / bin_size))))
-    p = points.withColumn("_bin", F.floor(F.col("y") / bin_size))
-    j = p.join(e, "_bin").filter((F.col("y") >= low) & (F.col("y") < high))
-    x = F.col("x1") + (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    return j.groupBy("pid", "poly_id").agg(F.count_if(x > F.col("x")).alias("n")).filter("n % 2 = 1").select("pid", "poly_id")
+def holders(points: DataFrame, edges: DataFrame, side: float = 32.0) -> DataFrame:
+    """pid, poly_id of the polygons that hold points (pid, x, y): an odd number of edges crosses the ray to the left.
+
+    Points meet the edges of their own square cell only; what lies left of the cell is known from its
+    border, so cells that a polygon covers wholly are answered without any edge.
+    """
+    pieces, left = _cover(edges, side)
+    p = points.filter("x IS NOT NULL AND y IS NOT NULL").withColumns({"_cr": _cell("y", side), "_cc": _cell("x", side)})
+    x = F.col("x1") + (F.col("y") - F.col("y1")) * F.col("m")
+    inner = p.join(pieces, ["_cr", "_cc"]).filter((F.col("p") <= F.col("y")) & (F.col("y") < F.col("q")) & (x <= F.col("x"))).select("pid", "poly_id")
+    border = p.withColumnRenamed("y", "_y").join(left, ["_cr", "_cc"]).filter("y <= _y").select("pid", "poly_id")
+    return inner.unionByName(border).groupBy("pid", "poly_id").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("pid", "poly_id")
 
 
 def boxes_at_edges(boxes: DataFrame, edges: DataFrame, bin_size: float = 64.0) -> DataFrame:
@@ -128,15 +132,10 @@ def _line(k: Column, side: float) -> Column:
     return k * F.lit(side) + F.lit(side * SHIFT)
 
 
-def united(edges: DataFrame, side: float = 32.0) -> DataFrame:
-    """The union of polygons as intervals: _cr, _cc, ya, yb, xa, xb, sign. Between ya and yb the union in a square cell ends at the line from (xa, ya) to (xb, yb), on its left (sign 1) or on its right (sign -1).
+def _cover(edges: DataFrame, side: float) -> tuple[DataFrame, DataFrame]:
+    """Polygons in square cells: pieces (_cr, _cc, poly_id, p, q, x1, y1, m: the part of an edge from y = p to y = q), and what tells how much of a cell's left border lies inside: left (_cr, _cc, poly_id, y), where the border changes sides upwards; y = -inf for a lower left corner inside.
 
-    A point is in a polygon if a ray from it crosses the polygon's rings an odd number of times, so holes
-    and parts need no order or direction; it is in the union if it is in any polygon. A plane sweep in each
-    cell: the ends of edges and the crossings of different polygons cut it into slabs; in a slab the
-    edges are sorted by x, every edge enters or leaves its polygon, and where the running number of
-    polygons begins or ends at 0 the union begins or ends. What lies left of a cell is known from
-    its lower left corner and the edges that cross its left border. A polygon's own edges must not cross.
+    A cell with a corner inside and no edge is inside as a whole.
     """
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     slope = (F.col("x2") - F.col("x1")) / F.when(F.col("y1") != F.col("y2"), F.col("y2") - F.col("y1"))
@@ -159,8 +158,21 @@ def united(edges: DataFrame, side: float = 32.0) -> DataFrame:
     w = Window.partitionBy("poly_id", "_cr").orderBy("x")
     level = level.withColumns({"n": F.row_number().over(w), "to": F.lead("x").over(w)}).filter("n % 2 = 1 AND to IS NOT NULL")
     corners = level.withColumn("_cc", F.explode(_between(_cell("x", side) + 1, _cell("to", side)))).select("_cr", "_cc", "poly_id", F.lit(float("-inf")).alias("y"))
-    left = corners.unionByName(crossed)
+    return pieces, corners.unionByName(crossed)
+
 
+def united(edges: DataFrame, side: float = 32.0) -> DataFrame:
+    """The union of polygons as intervals: _cr, _cc, ya, yb, xa, xb, sign. Between ya and yb the union in a square cell ends at the line from (xa, ya) to (xb, yb), on its left (sign 1) or on its right (sign -1).
+
+    A point is in a polygon if a ray from it crosses the polygon's rings an odd number of times, so holes
+    and parts need no order or direction; it is in the union if it is in any polygon. A plane sweep in each
+    cell: the ends of edges and the crossings of different polygons cut it into slabs; in a slab the
+    edges are sorted by x, every edge enters or leaves its polygon, and where the running number of
+    polygons begins or ends at 0 the union begins or ends. What lies left of a cell is known from
+    its lower left corner and the edges that cross its left border. A polygon's own edges must not cross.
+    """
+    pieces, left = _cover(edges, side)
+    at = lambda y: F.col("x1") + (y - F.col("y1")) * F.col("m")
     other = pieces.select("_cr", "_cc", *[F.col(c).alias(f"{c}_2") for c in ("poly_id", "p", "q", "x1", "y1", "m")])
     meet = F.col("y1") + (F.col("x1_2") + (F.col("y1") - F.col("y1_2")) * F.col("m_2") - F.col("x1")) / (F.col("m") - F.col("m_2"))
     crossings = pieces.join(other, ["_cr", "_cc"]).filter("poly_id < poly_id_2 AND m <> m_2 AND p < q_2 AND p_2 < q").select("_cr", "_cc", meet.alias("y"), F.greatest("p", "p_2").alias("a"), F.least("q", "q_2").alias("b")).filter("a < y AND y < b").select("_cr", "_cc", "y")
