@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tilewright.functions import scalar
@@ -44,7 +46,16 @@ def j9_polygon_mask(spark, sf):
     return vector.mask(vector.edges_of(spark, HOLED), fx.height(spark, sf), fx.WIDTH).select("r", "c")
 
 
-@register("j9_all_touched")
+#: Cells, closed above and on their left, that an edge passes: the edge clipped to the cell, where an end that a cell does not own must be beyond.
+TOUCHED = f"""{CENTRES}, {edge_sql('e', SHADOWS)}, t AS (SELECT emb.r, emb.c, e.poly_id, x2 - x1 AS dx, y1 - y2 AS dy, x1, -y1 AS v1, e.* EXCLUDE (x1, poly_id) FROM emb JOIN e ON emb.c BETWEEN floor(least(x1, x2)) AND floor(greatest(x1, x2)) AND emb.r BETWEEN floor(-greatest(y1, y2)) AND floor(-least(y1, y2))),
+b AS (SELECT r, c, poly_id,
+ greatest(0.0, CASE WHEN dx > 0 THEN (c - x1) / dx END, CASE WHEN dy > 0 THEN (r - v1) / dy END) AS low, greatest(-1.0, CASE WHEN dx < 0 THEN (c + 1 - x1) / dx END, CASE WHEN dy < 0 THEN (r + 1 - v1) / dy END) AS low_open,
+ least(1.0, CASE WHEN dx < 0 THEN (c - x1) / dx END, CASE WHEN dy < 0 THEN (r - v1) / dy END) AS high, least(2.0, CASE WHEN dx > 0 THEN (c + 1 - x1) / dx END, CASE WHEN dy > 0 THEN (r + 1 - v1) / dy END) AS high_open FROM t)
+SELECT poly_id, r, c FROM b WHERE low <= high AND low < high_open AND low_open < high AND low_open < high_open
+UNION SELECT poly_id, r, c FROM ({held_sql('cen', 'e')}) JOIN cen USING (pid)"""
+
+
+@register("j9_all_touched", fx.CELLS + f", {TOUCHED}")
 def j9_all_touched(spark, sf):
     return vector.touched(vector.edges_of(spark, SHADOWS), fx.height(spark, sf), fx.WIDTH).join(fx.emb(spark, sf), ["r", "c"]).select("poly_id", "r", "c")
 
@@ -178,10 +189,16 @@ def j15_resample_bilinear(spark, sf):
     return rounded(raster.resampled(v, (h, 64), (h * 3 // 4, 100)), "value")
 
 
-@register("j15_resample_cubic")
+CUBE = "CASE WHEN abs({t}) <= 1 THEN 1.5 * abs({t}) ** 3 - 2.5 * {t} * {t} + 1 WHEN abs({t}) < 2 THEN -0.5 * abs({t}) ** 3 + 2.5 * {t} * {t} - 4 * abs({t}) + 2 ELSE 0 END"
+
+
+@register("j15_resample_cubic", fx.CELLS + GRID_OF.format(rows="h * 2 // 3", cols=100) + AT.format(rows="(h * 2 // 3)") + f""", four AS (SELECT CAST(unnest([-1, 0, 1, 2]) AS BIGINT) AS d),
+k AS (SELECT q.r, q.c, {CUBE.format(t='(q.y - e.r)')} * {CUBE.format(t='(q.x - e.c)')} AS w, e.x AS v FROM q, four a, four b, emb e WHERE e.r = CAST(floor(q.y) AS BIGINT) + a.d AND e.c = CAST(floor(q.x) AS BIGINT) + b.d)
+SELECT r, c, round(sum(w * v) / sum(w), 6) + 0.0 AS value FROM k GROUP BY 1, 2""")
 def j15_resample_cubic(spark, sf):
     v = fx.emb(spark, sf).withColumnRenamed("x", "value")
-    return raster.resampled(v, (fx.height(spark, sf), 64), (fx.height(spark, sf) * 2 // 3, 100), "cubic")
+    got = rounded(raster.resampled(v, (fx.height(spark, sf), 64), (fx.height(spark, sf) * 2 // 3, 100), "cubic"), "value")
+    return got.withColumn("value", F.col("value") + 0.0)
 
 
 INSIDE = f"{CENTRES}, {edge_sql('e', BOUNDARY)}, ins AS ({held_sql('cen', 'e')})"
@@ -583,6 +600,36 @@ def x4_texture(spark, sf):
     return rounded(stencil.texture(grays(spark, sf), dem(spark, sf), fx.height(spark, sf), 64).select("r", "c", "coherence", "stripes"), "coherence", "stripes", n=4)
 
 
+def taps_sql(frequency: float, sigma: float, n: int) -> str:
+    """k, dr, dc, re, im of the bank's kernels, as text of numbers."""
+    out = []
+    for k in range(n):
+        kernel = stencil.gabor_kernel(math.pi * k / n, frequency, sigma)
+        reach = kernel.shape[0] // 2
+        out += [f"({k}, {i - reach}, {j - reach}, {z.real!r}::DOUBLE, {z.imag!r}::DOUBLE)" for i, row in enumerate(kernel.tolist()) for j, z in enumerate(row)]
+    return f"tap AS MATERIALIZED (SELECT * FROM (VALUES {', '.join(out)}) v(k, dr, dc, re, im))"
+
+
+def mirror_sql(x: str, n: str) -> str:
+    return f"CASE WHEN {x} < 0 THEN -1 - ({x}) WHEN {x} >= {n} THEN 2 * {n} - 1 - ({x}) ELSE {x} END"
+
+
+#: Six orientations of a short kernel: the statement has every tap of every cell.
+SHORT = {"frequency": 0.15, "sigma": 1.0, "orientations": 6}
+GABOR = f"""y0 AS (SELECT r, c, (0.299 * b1 + 0.587 * b2 + 0.114 * b3) / 255 AS v FROM wide), {taps_sql(0.15, 1.0, 6)}, hh AS (SELECT max(vec_id) + 1 AS h FROM embeddings),
+s AS (SELECT q.r, q.c, k, sqrt(sum(re * p.v) ** 2 + sum(im * p.v) ** 2) AS m FROM y0 q, tap, hh, y0 p WHERE p.r = {mirror_sql('q.r + dr', 'h')} AND p.c = {mirror_sql('q.c + dc', '64')} GROUP BY 1, 2, 3),
+best AS (SELECT r, c, max(m) AS m FROM s GROUP BY 1, 2), first AS (SELECT r, c, any_value(best.m) AS m, min(k) AS k FROM s JOIN best USING (r, c) WHERE s.m >= best.m - 1e-9 GROUP BY 1, 2),
+{SLOPES}, asp AS (SELECT r, c, {BEARING} AS aspect FROM sl), t AS (SELECT r, c, m / (SELECT max(m) FROM best) AS strength, k * pi() / 6 + pi() / 2 AS angle FROM first)
+SELECT t.r, t.c, round(strength, 5) AS strength, round(angle, 5) AS angle, round(least(1.0, strength * greatest((cos(angle - aspect) + 1) / 2, 1e-12)), 5) AS stripes FROM t JOIN asp ON asp.r = t.r AND asp.c = t.c"""
+
+
+@register("x5_gabor_short", fx.CELLS + f", {fx.RGB}, {GABOR}")
+def x5_gabor_short(spark, sf):
+    """A bank of short kernels, whose every tap SQL can write out."""
+    got = stencil.gabor_stripes(fx.cells(spark, sf).drop("raster_id"), dem(spark, sf), **SHORT)
+    return rounded(got.select("r", "c", "strength", "angle", "stripes"), "strength", "angle", "stripes", n=5)
+
+
 @register("x5_gabor")
 def x5_gabor(spark, sf):
     return stencil.gabor_stripes(fx.cells(spark, sf).drop("raster_id"), dem(spark, sf))
@@ -593,7 +640,17 @@ def x6_derived(spark, sf):
     return rounded(stencil.derived({"rgb": fx.cells(spark, sf).drop("raster_id")}, "mean3"), "value", n=5)
 
 
-@register("x7_regions")
+#: Every cell takes the least label beside it until none changes.
+REGIONS = """v AS MATERIALIZED (SELECT r, c, r * 4294967296 + c AS k FROM wide WHERE least(b1, b2, b3) < 250 AND b1 <> 0 AND b2 <> 0 AND b3 <> 0 AND b1 > 60),
+side AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM v a JOIN v b ON b.r = a.r AND b.c = a.c + 1 UNION ALL SELECT a.k, b.k FROM v a JOIN v b ON b.r = a.r + 1 AND b.c = a.c),
+beside AS MATERIALIZED (SELECT a, b FROM side UNION ALL SELECT b, a FROM side),
+lab(k, l) USING KEY (k) AS (SELECT k, k AS l FROM v UNION SELECT s.b AS k, min(n.l) AS l FROM lab n JOIN beside s ON s.a = n.k JOIN recurring.lab o ON o.k = s.b WHERE n.l < o.l GROUP BY s.b),
+within AS (SELECT l, count(*) AS n FROM side JOIN lab ON side.a = lab.k GROUP BY 1)
+SELECT l // 4294967296 AS first_r, l % 4294967296 AS first_c, count(*) AS area, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1, 4 * count(*) - 2 * coalesce(any_value(n), 0) AS border_edges
+FROM v JOIN lab USING (k) LEFT JOIN within USING (l) GROUP BY l"""
+
+
+@register("x7_regions", fx.CELLS.replace("WITH", "WITH RECURSIVE", 1) + f", {fx.RGB}, {REGIONS}")
 def x7_regions(spark, sf):
     return stencil.regions(fx.wide(spark, sf).filter(qc.valid_mask(250, 0.0) & (F.col("b1") > 60)).select("r", "c"))
 
