@@ -195,6 +195,13 @@ def test_suffix_dedup_in_pieces(spark, monkeypatch):
     assert suffixdedup.without_repeats(frame(spark, docs).limit(0)).isEmpty()
 
 
+def test_suffix_dedup_when_first_hashes_collide(spark, corpus, monkeypatch):
+    """Texts are the same only if both hashes are."""
+    monkeypatch.setattr(suffixdedup, "identity", lambda text: (F.xxhash64(F.lit("all")), F.xxhash64(F.lit(1), text)))
+    got = suffixdedup.without_repeats(frame(spark, corpus)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got), key=repr) == brute.repeats(corpus)
+
+
 def test_sharding(spark, corpus):
     got = sharding.shard(frame(spark, corpus), 4, seed=3).collect()
     again = sharding.shard(frame(spark, corpus, 7), 4, seed=3).collect()

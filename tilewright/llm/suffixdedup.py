@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.scratch import Scratch, broadcast_if_small
@@ -159,21 +159,27 @@ def spans(flags: np.ndarray) -> list[list[int]]:
 
 
 def anchors(docs: DataFrame, width: int) -> DataFrame:
-    """anchor, node, ident (of the anchor's place) of all segments. docs: node, text."""
+    """anchor, node, ident (of the anchor's place) of all segments. docs: node, check, text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column("node").to_numpy(zero_copy_only=False)
+            nodes, checks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "check"))
             for at, data, offsets in runs(batch.column("text")):
                 for row, lo, _, _, key in segments(data, offsets, width):
                     node = nodes[at + row]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, place_id(node, lo - offsets[row]))], ["anchor", "node", "ident"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, place_id(node, checks[at + row], lo - offsets[row]))], ["anchor", "node", "ident"])
 
     return docs.mapInArrow(read, "anchor bigint, node bigint, ident bigint")
 
 
-def place_id(node: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return mixed(start.astype(np.uint64) * BASE + mixed(node.view(np.uint64))).view(np.int64)
+def place_id(node: np.ndarray, check: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A number of a place, to tell whether two places of one anchor are the same."""
+    return mixed(start.astype(np.uint64) * BASE + mixed(node.view(np.uint64) + mixed(check.view(np.uint64)))).view(np.int64)
+
+
+def identity(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a text with different seeds: texts are the same if both are."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
 def digest(data: bytes) -> int:
@@ -191,16 +197,16 @@ def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def cut_segments(docs: DataFrame, width: int) -> DataFrame:
-    """The segments of docs (node, text, anchors) whose anchor is in ``anchors``, once per node and task: anchor, content (a hash of data), node, start (in the text), n_starts, at (the anchor's place in data), ident, data."""
+    """The segments of docs (node, check, text, anchors) whose anchor is in ``anchors``, once per text and task: anchor, content (a hash of data), node, check, start (in the text), n_starts, at (the anchor's place in data), ident, data."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        names = ["anchor", "content", "node", "start", "n_starts", "at", "ident", "data"]
+        seen: set[tuple[int, int]] = set()
+        names = ["anchor", "content", "node", "check", "start", "n_starts", "at", "ident", "data"]
         for batch in batches:
-            nodes, wants = batch.column("node").to_numpy(zero_copy_only=False), batch.column("anchors")
+            nodes, checks, wants = *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "check")), batch.column("anchors")
             lists, flat = wants.offsets.to_numpy(), wants.values.to_numpy(zero_copy_only=False)
             new = np.zeros(len(nodes), bool)
-            for i, x in enumerate(nodes.tolist()):
+            for i, x in enumerate(zip(nodes.tolist(), checks.tolist(), strict=True)):
                 new[i] = x not in seen
                 if len(seen) < 1_000_000:
                     seen.add(x)
@@ -209,12 +215,12 @@ def cut_segments(docs: DataFrame, width: int) -> DataFrame:
                 for row, lo, hi, place, key in segments(data, offsets, width):
                     use = np.flatnonzero(new[k + row] & np.isin(key, want))
                     row, lo, hi, place, key = (x[use] for x in (row, lo, hi, place, key))
-                    node, start = nodes[k + row], lo - offsets[row]
+                    node, check, start = nodes[k + row], checks[k + row], lo - offsets[row]
                     raw = [data[x:y].tobytes() for x, y in zip(lo, hi + width - 1, strict=True)]
-                    cols = [pa.array(key), digests(raw), *(pa.array(x) for x in (node, start, hi - lo, place - lo, place_id(node, start)))]
+                    cols = [pa.array(key), digests(raw), *(pa.array(x) for x in (node, check, start, hi - lo, place - lo, place_id(node, check, start)))]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array(raw, pa.binary())], names)
 
-    return docs.mapInArrow(cut, "anchor bigint, content bigint, node bigint, start bigint, n_starts bigint, at bigint, ident bigint, data binary")
+    return docs.mapInArrow(cut, "anchor bigint, content bigint, node bigint, check bigint, start bigint, n_starts bigint, at bigint, ident bigint, data binary")
 
 
 def cut_classes(segments: DataFrame, width: int) -> DataFrame:
@@ -290,14 +296,14 @@ def compared(groups: DataFrame, width: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """node, lo, hi (bytes from lo to hi - 1) that repeated strings cover, overlapping or not. docs: node, text, a row per text or more."""
+    """node, check, lo, hi (bytes from lo to hi - 1) that repeated strings cover, overlapping or not. docs: node, check, text, a row per text or more."""
     found = scratch.write(anchors(docs, width), "anchors")
     # Written, so that both sides of the join are plain shuffles and a very frequent anchor can be split.
     twice = scratch.write(found.groupBy("anchor").agg(F.min("ident").alias("lo"), F.max("ident").alias("hi")).filter("lo != hi").select("anchor"), "twice")
     wanted = scratch.write(found.join(twice, "anchor").groupBy("node").agg(F.collect_set("anchor").alias("anchors")), "wanted")
     scratch.drop("anchors", "twice")
     known = broadcast_if_small(wanted, 32 + 8 * F.size("anchors"), BROADCAST_BYTES)
-    members = scratch.write(cut_segments(docs.join(known, "node").select("node", "text", "anchors"), width), "segments")
+    members = scratch.write(cut_segments(docs.join(known, "node").select("node", "check", "text", "anchors"), width), "segments")
     distinct = scratch.write(
         members.groupBy("anchor", "content")
         .agg(F.min("ident").alias("lo"), F.max("ident").alias("hi"), F.first("n_starts").alias("n_starts"), F.first("at").alias("at"), F.first("data").alias("data"))
@@ -326,8 +332,8 @@ def repeated_spans(docs: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     twofold = strings.groupBy("string", "check").agg(F.count("*").alias("n")).filter("n > 1").select("string", "check")
     alone = strings.join(twofold, ["string", "check"]).select("anchor", "content", F.col("nth").alias("lo"), (F.col("nth") + 1).alias("hi"))
     hits = scratch.write(merged_spans(whole.unionByName(by_array).unionByName(shared).unionByName(alone), ["anchor", "content"]), "repeated-starts")
-    placed = members.select("anchor", "content", "node", "start").distinct().join(hits, ["anchor", "content"]).select("node", "start", F.explode("spans").alias("s"))
-    return placed.select("node", (F.col("start") + F.col("s")[0]).alias("lo"), (F.col("start") + F.col("s")[1] - 1 + width).alias("hi"))
+    placed = members.select("anchor", "content", "node", "check", "start").distinct().join(hits, ["anchor", "content"]).select("node", "check", "start", F.explode("spans").alias("s"))
+    return placed.select("node", "check", (F.col("start") + F.col("s")[0]).alias("lo"), (F.col("start") + F.col("s")[1] - 1 + width).alias("hi"))
 
 
 def merged_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -348,10 +354,12 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text", F.octet_length("text")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumns(dict(zip(("node", "check"), identity(F.col("text")), strict=True)))
     size = F.octet_length("text")
-    copied = rows.filter(size >= width).groupBy("node").agg(F.count("*").alias("n"), F.max(size).cast("long").alias("hi")).filter("n > 1").select("node", F.lit(0).cast("long").alias("lo"), "hi")
-    known = scratch.write(merged_spans(repeated_spans(rows.select("node", "text"), width, scratch).unionByName(copied), ["node"]), "spans")
+    copied = rows.filter(size >= width).groupBy("node", "check").agg(F.count("*").alias("n"), F.max(size).cast("long").alias("hi")).filter("n > 1").select("node", "check", F.lit(0).cast("long").alias("lo"), "hi")
+    found = repeated_spans(rows.select("node", "check", "text"), width, scratch)
+    known = scratch.write(merged_spans(found.unionByName(copied), ["node", "check"]), "spans")
     scratch.drop_all_but("spans")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +380,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, n), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), spans, pa.array(out, pa.binary())], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = rows.join(broadcast_if_small(known, 32 + 48 * F.size("spans"), BROADCAST_BYTES), "node", "left")
+    joined = rows.join(broadcast_if_small(known, 40 + 48 * F.size("spans"), BROADCAST_BYTES), ["node", "check"], "left")
     return joined.select("doc_id", "text", F.coalesce("spans", F.array().cast("array<array<bigint>>")).alias("spans")).mapInArrow(
         keep, f"doc_id {kind}, n_bytes bigint, n_removed bigint, spans array<array<bigint>>, kept binary"
     )
