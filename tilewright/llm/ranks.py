@@ -15,8 +15,8 @@ from tilewright.llm.scratch import Scratch
 FEW_ROWS, FEW_BUCKETS, MANY_ROWS = 64, 65_536, 4_096
 #: So many bucket sums are added up in one window.
 BLOCK = 4_096
-#: Equal rows beyond this number are dealt to SALTS parts.
-HOT, SALTS = 4_096, 1_024
+#: The rows of a bucket beyond this number are dealt to SALTS parts. Buckets of different rows stay well below it.
+HOT, SALTS = 16_384, 1_024
 
 
 def bucket_count(rows: int) -> int:
@@ -38,28 +38,26 @@ def numbered(df: DataFrame, key: str, order: list[Column], rows: int, name: str
     """``df`` with row numbers from 0 without gaps.
 
     ``key`` is a column with a 64-bit hash of the row; the order is (bucket of the key, ``order``), so
-    it depends on the rows alone, not on how they are partitioned. Equal rows are interchangeable;
-    those of a key with more than HOT rows come last and are numbered in many tasks.
+    it depends on the rows alone, not on how they are partitioned. Equal rows are interchangeable; in a
+    bucket of more than HOT rows, which only a repeated key makes, rows are ordered by key and those of
+    one key are numbered in many tasks.
     """
     scratch, b = Scratch(df.sparkSession), bucket_count(rows)
-    often = scratch.write(df.groupBy(F.col(key).alias("_often")).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT), "often")
-    hot = None
-    if not often.isEmpty():
-        same = F.col(key) == F.col("_often")
-        # Written, so that a row keeps its salt when a task runs again.
-        hot = scratch.write(df.join(often, same, "left_semi").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "repeated-rows")
-        df = df.join(often, same, "left_anti")
-    cold = df.withColumn("_bucket", F.pmod(F.col(key), F.lit(b)))
-    base = before(cold.groupBy("_bucket").agg(F.count("*").alias("_n")), [], "_bucket", "_n", "_first").select("_bucket", "_first")
+    dealt = df.withColumn("_bucket", F.pmod(F.col(key), F.lit(b)))
+    counts = scratch.write(dealt.groupBy("_bucket").agg(F.count("*").alias("_n")), "buckets")
+    base = before(counts, [], "_bucket", "_n", "_first").select("_bucket", "_first")
+    full = counts.filter(F.col("_n") > HOT).select("_bucket")
+    cold = dealt if full.isEmpty() else dealt.join(full, "_bucket", "left_anti")
     inside = Window.partitionBy("_bucket").orderBy(*order)
     out = cold.join(base, "_bucket").withColumn(name, F.col("_first") + F.row_number().over(inside) - 1).drop("_bucket", "_first")
-    if hot is None:
+    if cold is dealt:
         return out
-    # A row for each key of more than HOT rows, and SALTS rows of each.
-    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    total = rows - hot.count()
-    keys = often.select(F.col("_often").alias(key), (earlier(Window.orderBy("_often")) + F.lit(total)).alias("_first"))
-    salts = hot.groupBy(key, "_salt").agg(F.count("*").alias("_n")).withColumn("_inner", earlier(Window.partitionBy(key).orderBy("_salt"))).drop("_n")
-    nth = F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order))
-    last = hot.join(salts, [key, "_salt"]).join(keys, key).withColumn(name, F.col("_first") + F.col("_inner") + nth - 1)
+    # Written, so that a row keeps its salt when a task runs again.
+    hot = scratch.write(dealt.join(full, "_bucket", "left_semi").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "repeated-rows")
+    # A row for each salt of each key of a full bucket.
+    salts = hot.groupBy("_bucket", key, "_salt").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_bucket").orderBy(key, "_salt").rowsBetween(Window.unboundedPreceding, -1)
+    salts = salts.withColumn("_inner", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long"))).drop("_n")
+    nth = F.row_number().over(Window.partitionBy("_bucket", key, "_salt").orderBy(*order))
+    last = hot.join(salts, ["_bucket", key, "_salt"]).join(base, "_bucket").withColumn(name, F.col("_first") + F.col("_inner") + nth - 1)
     return out.unionByName(last.select(out.columns))
