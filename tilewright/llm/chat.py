@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 OPEN, TEXT, CLOSE_TEXT, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
 #: A backslash goes behind the first character of each control string inside a text; backslashes are doubled.
 CONTROL = r"(<(?=/?s>)|\[(?=/?INST\]))"
-TOKEN = r"\w+|[^\w\s]"
+#: A run of letters, marks and digits of any script, or any other sign but white space.
+TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\x09-\x0D ]"
 #: Turns are summed in buckets of so many turn numbers, so a very long conversation is spread.
 TURN_BUCKET = 1_024
 
@@ -29,14 +30,15 @@ def unescaped(text: Column) -> Column:
 
 
 def tokens_of(text: Column) -> Column:
-    """Words and signs, and four for the template."""
+    """Words and signs of any script, and four for the template."""
     return (F.regexp_count(text, F.lit(TOKEN)) + 4).cast("long")
 
 
-def format_chats(conversations: DataFrame, budget: int = 512, history: int = 128) -> DataFrame:
+def format_chats(conversations: DataFrame, budget: int = 512, history: int = 128, tokens_col: str | None = None) -> DataFrame:
     """conv_id, window, formatted, n_turns (in it), n_repeated (at its front), loss_spans (code points start/length), n_tokens, over_budget.
 
-    ``budget`` and ``history`` count tokens (words and signs). The system turn is the first turn if
+    ``budget`` and ``history`` count tokens: words and signs, or what ``tokens_col`` says of each turn
+    (null: none; the template's four come on top), a tokenizer's counts say. The system turn is the first turn if
     its role is system. A turn longer than the budget has a window of its own that exceeds it
     (over_budget). A null text or role is empty; a null turn number comes first; turns of one number
     go by role and text; a null conversation id is an id. Repeated rows are turns of their own. Other

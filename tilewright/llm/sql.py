@@ -32,7 +32,7 @@ WITH given AS (
 turns AS (
   SELECT *, row_number() OVER w - 1 AS nth, coalesce(sum(tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
     20 + length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text, '\\|<s>|</s>|\[INST\]|\[/INST\]')) AS chars
-  FROM (SELECT *, len(regexp_extract_all(text, '[0-9A-Za-z_]+|[^0-9A-Za-z_\x09-\x0D ]')) + 4 AS tokens FROM given)
+  FROM (SELECT *, len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\x09-\x0D ]')) + 4 AS tokens FROM given)
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ),
 spanned AS (SELECT *, start // 384 AS span FROM turns),
