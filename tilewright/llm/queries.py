@@ -76,11 +76,14 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.substring("text", F.lit(1), n - q), F.substring("next_text", F.lit(1), q)).alias("edited"),
     )
     rows = rows.select("doc_id", "n_chars", "payload", "next_payload", F.sha2("edited", 256).alias("edited_sha256"), sketch.sketch(F.col("edited")).alias("edited_sketch"))
-    a = F.col("payload")
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", sketch.encoded(a).alias("fingerprint"), sketch.encoded(F.col("edited_sketch")).alias("edited_fingerprint"),
-        sketch.resemblance(a, F.col("edited_sketch")).alias("near_edited"), sketch.resemblance(a, F.col("next_payload")).alias("near_next"),
+    a, e, x = F.col("payload"), F.col("edited_sketch"), F.col("next_payload")
+    rows = rows.select(
+        "doc_id", "n_chars", "edited_sha256", sketch.encoded(a).alias("fingerprint"), sketch.encoded(e).alias("edited_fingerprint"),
+        sketch.resemblance(a, e).alias("near_edited"), sketch.resemblance(a, x).alias("near_next"),
+        sketch.distinct_count(a).alias("n_shingles"), sketch.distinct_count(e).alias("_e"), sketch.distinct_count(x).alias("_x"),
     )
+    share = lambda near, n: sketch.contained(F.col(near), F.col("n_shingles"), F.col(n))
+    return rows.withColumns({"in_edited": share("near_edited", "_e"), "in_next": share("near_next", "_x")}).drop("_e", "_x")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,9 +53,12 @@ def distinct_count(a: Column, k: int = K) -> Column:
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
     """Estimated share of a's shingles that b has; null if a is empty."""
-    r = resemblance(a, b, k)
-    inter = r / (1 + r) * (distinct_count(a, k) + distinct_count(b, k))
-    return F.when(F.size(a) > 0, F.least(F.lit(1.0), inter / F.when(F.size(a) > 0, distinct_count(a, k))))
+    return contained(resemblance(a, b, k), distinct_count(a, k), distinct_count(b, k))
+
+
+def contained(r: Column, n_a: Column, n_b: Column) -> Column:
+    """Share of a in b from their resemblance and sizes; null if a is empty."""
+    return F.when(n_a > 0, F.least(F.lit(1.0), r / (1 + r) * (n_a + n_b) / F.when(n_a > 0, n_a)))
 
 
 def encoded(a: Column) -> Column:
