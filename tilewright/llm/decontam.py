@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.naming import unused
+from tilewright.llm.naming import text_key, unused
 from tilewright.llm.scratch import Scratch, broadcast_if_small, dealt_to_all
 
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -64,7 +64,7 @@ def contamination(
 
     A null or wordless text has no words and no hits; a null or wordless benchmark text has no
     window; one shorter than ``width`` is a single window. An empty benchmark leaves every document
-    clean. Repeated rows and equal or null ids keep a row each. Other input columns are ignored.
+    clean. Repeated rows and equal or null ids keep a row each. A very long text is one row of words, whole. Other input columns are ignored.
 
     Texts are cut to words once, in a table of which each row has a number. Windows travel as numbers;
     the lists of items that have them, each list once, are looked up for the windows of a document.
@@ -113,11 +113,16 @@ def found_type(column: str, *tables: DataFrame) -> str:
     return next(t.schema[column].dataType.simpleString() for t in tables if column in t.columns)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id") -> DataFrame:
-    """The documents without any window, with the columns they came with. Rows are told apart by id and text, so ids may be null or shared."""
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without any window, with the columns they came with, whatever their names.
+
+    Rows are told apart by id and text, so ids may be null or shared, and rows that are equal in both
+    stay or go together. Null and wordless texts stay, as do all documents if the benchmark has no
+    words. Texts of any length are whole. An empty table stays empty.
+    """
     key = unused(docs, "_key")
-    keyed = docs.withColumn(key, F.xxhash64("text"))
+    keyed = docs.withColumn(key, text_key(text_col))
     bad, bad_key = unused(keyed, "_bad"), unused(keyed, "_bad_key")
-    named = keyed.select(F.struct(F.col(id_col).alias("id"), F.col(key).alias("key")).alias("doc_id"), "text")
+    named = keyed.select(F.struct(F.col(id_col).alias("id"), F.col(key).alias("key")).alias("doc_id"), F.col(text_col).alias("text"))
     found = contamination(named, benchmark, width).filter("n_hit > 0").select(F.col("doc_id.id").alias(bad), F.col("doc_id.key").alias(bad_key)).distinct()
     return keyed.join(found, F.col(id_col).eqNullSafe(F.col(bad)) & (F.col(key) == F.col(bad_key)), "left_anti").drop(key)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.components import components
-from tilewright.llm.naming import unused
+from tilewright.llm.naming import text_key, unused
 from tilewright.llm.scratch import written
 from tilewright.llm.textbytes import BASE, mixed, runs, shingles, summed, words
 
@@ -86,7 +86,7 @@ def odd_sketches(row: np.ndarray, h: np.ndarray, bits: np.ndarray) -> tuple[np.n
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (a hash of the text), node (a hash of the whole set; null if empty), n, members (packed hashes) and sketch (both once per node and task), and rows of frequent shingles (node null, n -1, members, times)."""
+    """doc_id, key (128 bits of the text), node (a hash of the whole set; null if empty), n, members (packed hashes) and sketch (both once per node and task), and rows of frequent shingles (node null, n -1, members, times)."""
     mask = np.uint64((1 << 8 * HASH_BYTES) - 1)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,15 +138,15 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         top = sorted(often, key=often.get, reverse=True)[:LOCAL_KEPT]
         if top:
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, kind_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.array([pack(np.array(top, np.uint64)).tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.array([[often[x] for x in top]], pa.list_(pa.int64()))],
+                [pa.nulls(1, kind_type), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.array([pack(np.array(top, np.uint64)).tobytes()], pa.binary()), pa.nulls(1, pa.binary()), pa.array([[often[x] for x in top]], pa.list_(pa.int64()))],
                 ["doc_id", "key", "node", "n", "members", "sketch", "times"],
             )
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind_type = to_arrow_type(docs.schema[id_col].dataType)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(read, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key bigint, node bigint, n bigint, members binary, sketch binary, times array<bigint>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(read, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key binary, node bigint, n bigint, members binary, sketch binary, times array<bigint>")
 
 
 def frequent_shingles(sets: DataFrame) -> np.ndarray:
@@ -471,7 +471,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row of each component, of its smallest id (null is the largest); documents without words all stay.
 
     Rows are told apart by id and text, so ids may be null or shared. Rows that are equal in both are
-    one text of one component, of which one row stays.
+    one text of one component, of which one row stays; of several texts with the smallest id the one with
+    the smallest key stays. Null, empty and blank texts are in no component. Texts of any length are
+    whole. An empty table stays empty; other columns are kept as they are, whatever their names.
     """
     sets, _, labels = linked_sets(docs, id_col, text_col)
     same = sets.filter("n > 0").groupBy("node", "doc_id", "key").agg(F.count("*").alias("times"))
@@ -483,7 +485,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))).alias("stays"),
     )
     key = unused(docs, "_key")
-    keyed = docs.withColumn(key, F.xxhash64(text_col))
+    keyed = docs.withColumn(key, text_key(text_col))
     name, same = unused(keyed, "_id"), unused(keyed, "_same")
     marked = lambda left, marks, how: left.join(marks.select(F.col("_id").alias(name), F.col("_same").alias(same)), F.col(id_col).eqNullSafe(F.col(name)) & (F.col(key) == F.col(same)), how)
     again = found.filter("stays AND times > 1")

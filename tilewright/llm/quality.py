@@ -211,7 +211,11 @@ def quality(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id",
 
 
 def accepted(docs: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text") -> DataFrame:
-    """The documents that the scorer does not reject, with their own columns."""
+    """The documents that the scorer does not reject, with their own columns, whatever their names.
+
+    Null and empty texts have no words and are scored as such; equal rows are scored alike; texts of any
+    length are read whole, in words and pieces of long words. Without rows there is nothing to fit or to keep.
+    """
     _, _, weights, bias = fit_scorer(docs, max_train, text_col)
     used = {int(i): float(weights[i]) for i in np.flatnonzero(weights)}
 

@@ -2,35 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.shared import new_path
 
 
+#: The paths of what is written inside ``collected``, innermost last.
+_COLLECTED: list[list[str]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of all tables written inside, to be deleted with ``delete`` once what was made of them is written."""
+    _COLLECTED.append([])
+    try:
+        yield _COLLECTED[-1]
+    finally:
+        _COLLECTED.pop()
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Tables of one operator by name. They go when they are dropped, the others when the application ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def _system(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as a table written once; later reads do not repeat its work."""
         path, schema = new_path(self.spark, name), df.schema
         df.write.parquet(path)
         self.paths.setdefault(name, []).append(path)
+        if _COLLECTED:
+            _COLLECTED[-1].append(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more: what was made of them must have been written."""
         for name in names:
-            for path in self.paths.pop(name, ()):
-                system, p = self._system(path)
-                system.delete(p, True)
+            delete(self.spark, self.paths.pop(name, []))
 
     def drop_all_but(self, *names: str) -> None:
         self.drop(*[n for n in self.paths if n not in names])

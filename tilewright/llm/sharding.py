@@ -106,7 +106,11 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "doc_i
 
 
 def sharded_documents(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with their own columns, then shard and slot, named with underscores before them where the input has such columns."""
+    """The documents with their own columns, then shard and slot, named with underscores before them where the input has such columns.
+
+    Null ids and texts are values like any other, repeated rows get a place each, texts are only hashed,
+    and an empty table stays empty.
+    """
     names = {c: unused(docs, c) for c in ("shard", "slot")}
     placed = shard(docs, shards, seed, id_col, text_col, keep=tuple(docs.columns))
     return placed.select("row.*", *[F.col(c).alias(new) for c, new in names.items()])
