@@ -106,6 +106,21 @@ def test_policies_and_switches(spark):
         raster.augmented(t, "tile_idx", 6, "never", 5)
 
 
+def test_written_copies(spark):
+    t = tiles(spark, 6).withColumns({b: F.floor(255 * F.col(b)).cast("double") for b in ("b1", "b2", "b3")})
+    rgb = arrays(t, ("b1", "b2", "b3"), 6)
+    got = raster.extended_copies(t, "tile_idx", 6, 3).cache()
+    drawn = {r.tile_idx: (r.c, r.s) for r in t.select("tile_idx", draws.between(0.8, 1.2, "copy contrast", 3, "tile_idx").alias("c"), draws.between(0.8, 1.2, "copy saturation", 3, "tile_idx").alias("s")).distinct().collect()}
+    assert len({x for x in drawn.values()}) == 6 and all(0.8 <= v < 1.2 for x in drawn.values() for v in x)
+    for turn in range(4):
+        out = arrays(got.filter(F.col("turn") == turn), ("b1", "b2", "b3", "target"), 6)
+        want = arrays(t, ("target",), 6)
+        for k in range(6):
+            assert np.array_equal(out[k, 3], np.rot90(want[k, 0], turn))
+            colour = recoloured_by_steps(rgb[k].reshape(3, -1) / 255, 0, drawn[k][1], drawn[k][0], 1.0, 0.0, True).reshape(3, 6, 6)
+            assert np.array_equal(out[k, :3], np.rot90(np.floor(np.round(255 * colour, 9)), turn, axes=(1, 2)))
+
+
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(3)
     groups = {"normal": rng.normal(size=20_000), "tied": rng.integers(0, 3, 20_000).astype(float), "one": np.array([4.0]), "two": np.array([1.0, 2.0]), None: np.arange(1_000.0)}

@@ -223,6 +223,23 @@ def augmented(tiles: DataFrame, by: str, size: int, policy: str, seed: int, kind
     return changed.unionByName(moved.filter("NOT _use")).drop("_use")
 
 
+def extended_copies(
+    cells: DataFrame, by: str, size: int, seed: int, contrast: tuple[float, float] = (0.8, 1.2), saturation: tuple[float, float] = (0.8, 1.2), bands: tuple[str, ...] = ("b1", "b2", "b3"),
+) -> DataFrame:
+    """The written copies of tiles (``by``, tr, tc, bands 0..255, other layers and targets): turn (0 to 3 quarter turns) beside the turned cells.
+
+    A tile draws one contrast and one saturation for its four copies; contrast comes first. Bands are cut
+    to whole numbers again, where 1e-9 below one is that one.
+    """
+    coloured = recoloured(
+        cells.withColumns({b: F.col(b) / 255 for b in bands}), by, contrast=draws.between(*contrast, "copy contrast", seed, by), saturation=draws.between(*saturation, "copy saturation", seed, by),
+        bands=bands, contrast_first=True,
+    )
+    whole = coloured.withColumns({b: F.floor(F.round(255 * F.col(b), 9)).cast("double") for b in bands}).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    r, c = turned_by(F.col("tr"), F.col("tc"), size, F.col("turn"), F.lit(False), F.lit(False))
+    return whole.withColumns({"_r": r, "_c": c}).withColumns({"tr": F.col("_r"), "tc": F.col("_c")}).drop("_r", "_c")
+
+
 def segment_scaled(cells: DataFrame, by: str, value: str = "segment", nodata: int = -9999) -> DataFrame:
     """Ids divided by the tile's greatest valid id; nodata and tiles without a valid id give 0."""
     top = F.max(F.when(F.col(value) != nodata, F.col(value))).over(Window.partitionBy(by))

@@ -496,6 +496,20 @@ def s6_extended_rotations(spark, sf):
     return sampling.extended_rotations(s.filter("status = 'valid'"), s.filter("status <> 'valid'"), 0.1, 0.1).groupBy("role").agg(F.count("*").alias("tiles"))
 
 
+COPIES = f"""n AS (SELECT tile_idx, w.r, w.c, b1 / 255 AS r, b2 / 255 AS g, b3 / 255 AS b FROM tw w), m AS (SELECT *, avg({GRAY}) OVER (PARTITION BY tile_idx) AS m FROM n), {step_sql('k', 'm', '1.1 * x + (1 - 1.1) * m')},
+y AS (SELECT *, {GRAY} AS y FROM k), {step_sql('s', 'y', '0.9 * x + (1 - 0.9) * y')},
+colour AS (SELECT tile_idx, CAST(sum(floor(round(255 * r, 9))) AS DOUBLE) AS b1, CAST(sum(floor(round(255 * b, 9))) AS DOUBLE) AS b3 FROM s GROUP BY 1),
+place AS (SELECT tile_idx, turn, CAST(sum(target * CASE turn WHEN 0 THEN tr * 32 + tc WHEN 1 THEN (31 - tc) * 32 + tr WHEN 2 THEN (31 - tr) * 32 + 31 - tc ELSE tc * 32 + 31 - tr END) AS DOUBLE) AS place FROM tt, (SELECT CAST(unnest(range(4)) AS INTEGER) AS turn) GROUP BY 1, 2)"""
+
+
+@register("s6_extended_copies", fx.TILED + f", {COPIES.replace('w.r, w.c, ', '')} SELECT tile_idx, turn, b1, b3, place FROM place JOIN colour USING (tile_idx)")
+def s6_extended_copies(spark, sf):
+    """The four written copies of every tile, with one contrast and saturation for all."""
+    t = fx.tiled(fx.target(spark, sf).select("r", "c", "target").join(fx.wide(spark, sf).drop("x"), ["r", "c"]), spark, sf)
+    copies = raster.extended_copies(t, "tile_idx", 32, 1, (1.1, 1.1), (0.9, 0.9))
+    return copies.groupBy("tile_idx", "turn").agg(F.sum("b1").alias("b1"), F.sum("b3").alias("b3"), F.sum(F.col("target") * (F.col("tr") * 32 + F.col("tc"))).alias("place"))
+
+
 @register("s7_background_ids", fx.TILED + f", {G5} SELECT least(count(*), 5) AS tiles FROM g5 WHERE status <> 'valid'")
 def s7_background_ids(spark, sf):
     s = statuses(spark, sf).select(g.tile_id(F.col("tile_idx")).alias("tile_id"), "status")
