@@ -104,7 +104,9 @@ def test_jaccard_join_of_nothing(spark, corpus):
     assert partenum.one_of_each(frame(spark, [(1, None), (2, "")])).count() == 2
 
 
-def test_one_of_each(spark, corpus):
+@pytest.mark.parametrize("block", [256, 3])
+def test_one_of_each(spark, corpus, monkeypatch, block):
+    monkeypatch.setattr(partenum, "BLOCK", block)
     rest = partenum.one_of_each(frame(spark, corpus))
     assert rest.columns == ["doc_id", "text", "n", "node"]
     want = {i for i, n, c in brute.jaccard(corpus) if i == c or not n}

@@ -348,6 +348,35 @@ def links_in(node: np.ndarray, block: np.ndarray, sets: list[np.ndarray], lesser
     return found, np.bincount(pairs.ravel(), minlength=len(sets))
 
 
+def joining_links(node: np.ndarray, block: np.ndarray, sets: list[np.ndarray], crossing: bool, numerator: int) -> list[tuple[int, int]]:
+    """Links that join what links join in a group: each set is compared only with those that no link leads to yet, so a group of copies of one text takes about one comparison a set."""
+    size = np.array([len(x) for x in sets])
+    width = int(sketch_bits(size).max())
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    first = np.concatenate(([0], np.cumsum(size)))
+    sketch = odd_sketches(row, flat, np.full(len(sets), width))[0].view(np.uint64).reshape(len(sets), -1) if len(sets) > 2 else None
+    joined, found = Joined(len(sets)), []
+    for x in range(len(sets) - 1):
+        label = joined.label()
+        rest = x + 1 + np.flatnonzero(label[x + 1 :] != label[x])
+        rest = rest[100 * np.minimum(size[rest], size[x]) >= numerator * np.maximum(size[rest], size[x])]
+        if crossing:
+            rest = rest[block[rest] != block[x]]
+        if len(rest) and sketch is not None:
+            rest = rest[np.bitwise_count(sketch[rest] ^ sketch[x]).sum(1) * (100 + numerator) <= (100 - numerator) * (size[rest] + size[x])]
+        if not len(rest):
+            continue
+        k = size[rest]
+        at = np.repeat(first[rest], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        place = np.minimum(np.searchsorted(sets[x], flat[at]), size[x] - 1)
+        inter = np.add.reduceat((sets[x][place] == flat[at]).astype(np.int64), np.cumsum(k) - k)
+        hit = rest[100 * inter >= numerator * (size[rest] + size[x] - inter)]
+        if len(hit):
+            found += [(int(node[x]), int(node[y])) for y in hit]
+            joined.join(x, hit)
+    return found
+
+
 def dealt(near: DataFrame, blocks: DataFrame, held: DataFrame) -> DataFrame:
     """Rows of clusters (center, node) with what is held of each node, dealt to pairs of blocks (center, i, j) in order."""
     rows = near.join(blocks, "center").join(held, "node")
@@ -415,17 +444,25 @@ def hopeful(near: DataFrame, sets: DataFrame, numerator: int = 75) -> DataFrame:
     return dealt(near, blocks_of(near), held).mapInArrow(look, "center bigint, node bigint").distinct()
 
 
-def cluster_links(near: DataFrame, sets: DataFrame, numerator: int = 75) -> DataFrame:
+def cluster_links(near: DataFrame, sets: DataFrame, numerator: int = 75, count: bool = True) -> DataFrame:
     """Links (a, b; n null) enough to join all that link within each cluster (center, node), and rows (a, b null, n) whose n sum to the links of node a.
 
     Every link is counted once: in the cluster of the least center that both ends have, in one pair of blocks.
-    A cluster of more than BLOCK nodes is compared block by block in many tasks; a task holds the sets
+    Without ``count`` only the joining links are looked for, and the others are not compared. A cluster of more than BLOCK nodes is compared block by block in many tasks; a task holds the sets
     of two blocks at most. Sketches are looked at first, so that sets are only sent where they matter.
     """
     near = written(hopeful(near, sets, numerator), "hopeful")
     nodes = written(near.select("node").distinct(), "hopeful-nodes")
     small = F.broadcast if nodes.count() <= BROADCAST_ROWS else (lambda df: df)
     held = sets.filter("members IS NOT NULL AND n > 0").select("node", "members").join(small(nodes), "node", "left_semi").dropDuplicates(["node"])
+    if not count:
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (_, i, j), (node, block, members) in groups(batches, ["node", "block", "members"]):
+                found = joining_links(np.array(node), np.array(block), [np.sort(unpack(m)) for m in members], i != j, numerator)
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in found], pa.int64()) for k in range(2)), pa.nulls(len(found), pa.int64())], ["a", "b", "n"])
+
+        return dealt(near, blocks_of(near), held).mapInArrow(join, "a bigint, b bigint, n bigint")
     held = held.join(near.groupBy("node").agg(F.collect_list("center").alias("centers")), "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,11 +476,11 @@ def cluster_links(near: DataFrame, sets: DataFrame, numerator: int = 75) -> Data
     return dealt(near, blocks_of(near), held).mapInArrow(compare, "a bigint, b bigint, n bigint")
 
 
-def linked_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def linked_sets(docs: DataFrame, id_col: str, text_col: str, count: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sets of all rows, their links and link counts (cluster_links), and node, label (the component) of every set that is not empty."""
     sets = written(shingle_sets(docs, id_col, text_col), "shingle-sets")
     near = written(clusters(signatures(sets, frequent_shingles(sets))), "clusters")
-    links = written(cluster_links(near, sets), "cluster-links")
+    links = written(cluster_links(near, sets, count=count), "cluster-links")
     nodes = sets.filter("n >= 0 AND node IS NOT NULL").select("node").distinct()
     return sets, links, nodes.join(components(links.filter("b IS NOT NULL")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
@@ -475,7 +512,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the smallest key stays. Null, empty and blank texts are in no component. Texts of any length are
     whole. An empty table stays empty; other columns are kept as they are, whatever their names.
     """
-    sets, _, labels = linked_sets(docs, id_col, text_col)
+    sets, _, labels = linked_sets(docs, id_col, text_col, count=False)
     same = sets.filter("n > 0").groupBy("node", "doc_id", "key").agg(F.count("*").alias("times"))
     rows = written(same.join(labels, "node"), "row-labels")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
