@@ -132,20 +132,20 @@ def write_tile_index(tiles: DataFrame, attributes: list[str], path: str) -> None
     tile_index(tiles, attributes).write.mode("overwrite").text(path)
 
 
-def read_metric_history(spark: SparkSession, path: str) -> DataFrame:
-    """Lines 'timestamp value step' of files <run>/metrics/<name>; blank and shorter lines are left out."""
+def read_metric_history(spark: SparkSession, path: str, layout: str = r"/([^/]+)/metrics/([^/]+)$") -> DataFrame:
+    """Lines 'timestamp value step' of files <run>/metrics/<name>; blank and shorter lines are left out. ``layout`` finds run and metric in a file's path, another one for other folders."""
     lines = spark.read.text(path, recursiveFileLookup=True).select(F.split(F.trim("value"), r"\s+").alias("p"), F.col("_metadata.file_path").alias("file"))
     parts = lines.filter(F.size("p") >= 3).select(
-        F.regexp_extract("file", r"/([^/]+)/metrics/[^/]+$", 1).alias("run_id"), F.regexp_extract("file", r"/([^/]+)$", 1).alias("metric"),
+        F.regexp_extract("file", layout, 1).alias("run_id"), F.regexp_extract("file", layout, 2).alias("metric"),
         F.col("p")[0].try_cast("bigint").alias("ts_ms"), F.col("p")[1].try_cast("double").alias("value"), F.col("p")[2].try_cast("int").alias("step"),
     )
     return parts.filter("run_id <> ''")
 
 
-def read_run_params(spark: SparkSession, path: str) -> DataFrame:
-    """Files <run>/params/<key>, one trimmed text each."""
+def read_run_params(spark: SparkSession, path: str, layout: str = r"/([^/]+)/params/([^/]+)$") -> DataFrame:
+    """Files <run>/params/<key>, one trimmed text each; ``layout`` as for metric histories."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"), F.col("_metadata.file_path").alias("file"))
-    return files.select(F.regexp_extract("file", r"/([^/]+)/params/[^/]+$", 1).alias("run_id"), F.regexp_extract("file", r"/([^/]+)$", 1).alias("key"), "value").filter("run_id <> ''")
+    return files.select(F.regexp_extract("file", layout, 1).alias("run_id"), F.regexp_extract("file", layout, 2).alias("key"), "value").filter("run_id <> ''")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
