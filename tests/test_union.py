@@ -94,8 +94,34 @@ def test_a_comb_in_one_row_of_tiles_is_many_groups(spark):
     """A polygon with all its edges in one band of y: no cell has many more edges than another."""
     teeth = [pt for k in range(400) for pt in ((10 * k, 0), (10 * k + 5, 20))]
     comb = {0: [[*teeth, (4_000, 30), (0, 30)]]}
-    pieces, _ = vector._cover(vector.edges_of(spark, comb), 40.0)
+    pieces, *_ = vector._cover(vector.edges_of(spark, comb), 40.0)
     sizes = sorted(r["count"] for r in pieces.groupBy("_cr", "_cc").count().collect())
     assert len(sizes) > 100 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
     points = spark.createDataFrame([(0, 12.0, 25.0), (1, 15.0, 19.0), (2, 20.0, 1.0), (3, 20.0, 19.0)], "pid long, x double, y double")
     assert {tuple(r) for r in vector.holders(points, vector.edges_of(spark, comb), 40.0).collect()} == {(k, 0) for k, x, y in ((0, 12.0, 25.0), (1, 15.0, 19.0), (2, 20.0, 1.0), (3, 20.0, 19.0)) if held(comb[0], x, y)}
+
+
+def test_dense_cells_are_cut_further(spark, monkeypatch):
+    """Stars of many corners in a few cells, beside a large square: points and areas as without cutting, and no cell of the last level is dense."""
+    monkeypatch.setattr(vector, "DENSE", 40)
+    rng = random.Random(4)
+    polygons = {0: [[(-100, -100), (100, -100), (100, 100), (-100, 100)], [(-50, -50), (50, -50), (50, 50), (-50, 50)]]}
+    for k, (cx, cy) in enumerate(((0, 0), (6, 4), (45, 47)), 1):
+        polygons[k] = [[(cx + r * math.cos(2 * math.pi * t / 150), cy + r * math.sin(2 * math.pi * t / 150)) for t in range(150) for r in (rng.uniform(6, 9),)]]
+    edges = vector.edges_of(spark, polygons)
+    points = [(k, rng.uniform(-15, 60), rng.uniform(-15, 60)) for k in range(300)] + [(400, 80.0, 80.0), (401, 0.0, 60.0), (402, 0.0, 30.0)]
+    got = {tuple(r) for r in vector.holders(spark.createDataFrame(points, "pid long, x double, y double"), edges, 64.0).collect()}
+    assert got == {(k, p) for k, x, y in points for p, rings in polygons.items() if held(rings, x, y)}
+    boxes = [(-10, -10, 15, 15), (-2, -3, 4, 5), (40, 40, 60, 60), (-120, -120, 120, 120), (44, 44, 44.5, 44.5), (60, 60, 90, 90)]
+    whole = {k: scanned(polygons, b, 6_000) for k, b in enumerate(boxes)}
+    share = fractions(spark, boxes, polygons, 64.0)
+    assert all(abs(share[k] - whole[k]) < 2e-3 for k in whole)
+    sizes, side, levels = [], 64.0, 0
+    while True:
+        cover = vector._cover(edges, side)
+        dense = vector._dense(edges, cover[0])
+        sizes.append(cover[0].groupBy("_cr", "_cc").count().agg({"count": "max"}).first()[0])
+        if dense is None:
+            break
+        edges, side, levels = vector._clipped(dense, edges, cover, side), side / vector.SPLIT, levels + 1
+    assert levels >= 1 and sizes[0] > 40 >= sizes[-1]

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tilewright.shared import new_path
+
 EDGES = pa.schema([("poly_id", pa.int64()), ("ring_id", pa.int64()), ("edge_seq", pa.int64()), *((c, pa.float64()) for c in ("x1", "y1", "x2", "y2"))])
 
 
@@ -53,18 +55,26 @@ def touched(edges: DataFrame, height: int, width: int) -> DataFrame:
     return mask(edges, height, width).unionByName(cells.select("poly_id", "r", F.explode(F.sequence("a", "b")).alias("c"))).distinct()
 
 
-def holders(points: DataFrame, edges: DataFrame, side: float = 32.0) -> DataFrame:
+def holders(points: DataFrame, edges: DataFrame, side: float = 32.0, levels: int = 4) -> DataFrame:
     """pid, poly_id of the polygons that hold points (pid, x, y): an odd number of edges crosses the ray to the left.
 
     Points meet the edges of their own square cell only; what lies left of the cell is known from its
-    border, so cells that a polygon covers wholly are answered without any edge.
+    border, so cells that a polygon covers wholly are answered without any edge. Cells with many
+    edges are cut into smaller ones, in which the polygons' parts are looked at in the same way.
     """
-    pieces, left = _cover(edges, side)
+    cover = _cover(edges, side)
+    pieces, left, _ = cover
     p = points.filter("x IS NOT NULL AND y IS NOT NULL").withColumns({"_cr": _cell("y", side), "_cc": _cell("x", side)})
+    dense = _dense(edges, pieces) if levels else None
+    here = p if dense is None else p.join(dense, ["_cr", "_cc"], "left_anti")
     x = F.col("x1") + (F.col("y") - F.col("y1")) * F.col("m")
-    inner = p.join(pieces, ["_cr", "_cc"]).filter((F.col("p") <= F.col("y")) & (F.col("y") < F.col("q")) & (x <= F.col("x"))).select("pid", "poly_id")
-    border = p.withColumnRenamed("y", "_y").join(left, ["_cr", "_cc"]).filter("y <= _y").select("pid", "poly_id")
-    return inner.unionByName(border).groupBy("pid", "poly_id").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("pid", "poly_id")
+    inner = here.join(pieces, ["_cr", "_cc"]).filter((F.col("p") <= F.col("y")) & (F.col("y") < F.col("q")) & (x <= F.col("x"))).select("pid", "poly_id")
+    border = here.withColumnRenamed("y", "_y").join(left, ["_cr", "_cc"]).filter("y <= _y").select("pid", "poly_id")
+    found = inner.unionByName(border).groupBy("pid", "poly_id").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("pid", "poly_id")
+    if dense is None:
+        return found
+    inside = p.join(dense, ["_cr", "_cc"], "left_semi").select("pid", "x", "y")
+    return found.unionByName(holders(inside, _clipped(dense, edges, cover, side), side / SPLIT, levels - 1))
 
 
 def boxes_at_edges(boxes: DataFrame, edges: DataFrame, bin_size: float = 64.0) -> DataFrame:
@@ -132,8 +142,8 @@ def _line(k: Column, side: float) -> Column:
     return k * F.lit(side) + F.lit(side * SHIFT)
 
 
-def _cover(edges: DataFrame, side: float) -> tuple[DataFrame, DataFrame]:
-    """Polygons in square cells: pieces (_cr, _cc, poly_id, p, q, x1, y1, m: the part of an edge from y = p to y = q), and what tells how much of a cell's left border lies inside: left (_cr, _cc, poly_id, y), where the border changes sides upwards; y = -inf for a lower left corner inside.
+def _cover(edges: DataFrame, side: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Polygons in square cells: pieces (_cr, _cc, poly_id, p, q, x1, y1, m: the part of an edge from y = p to y = q), and what tells how much of a cell's left border lies inside: left (_cr, _cc, poly_id, y), where the border changes sides upwards; y = -inf for a lower left corner inside; and level (_cr, poly_id, x, to: the stretches inside along the lower border of a row of cells).
 
     A cell with a corner inside and no edge is inside as a whole.
     """
@@ -158,10 +168,51 @@ def _cover(edges: DataFrame, side: float) -> tuple[DataFrame, DataFrame]:
     w = Window.partitionBy("poly_id", "_cr").orderBy("x")
     level = level.withColumns({"n": F.row_number().over(w), "to": F.lead("x").over(w)}).filter("n % 2 = 1 AND to IS NOT NULL")
     corners = level.withColumn("_cc", F.explode(_between(_cell("x", side) + 1, _cell("to", side)))).select("_cr", "_cc", "poly_id", F.lit(float("-inf")).alias("y"))
-    return pieces, corners.unionByName(crossed)
+    return pieces, corners.unionByName(crossed), level.select("_cr", "poly_id", "x", "to")
+
+
+#: A cell with more pieces than this is cut into SPLIT x SPLIT cells, and those again, LEVELS times at most.
+DENSE, SPLIT, LEVELS = 256, 8, 4
+
+
+def _dense(edges: DataFrame, pieces: DataFrame) -> DataFrame | None:
+    """_cr, _cc of the cells with more than DENSE pieces; None if there are none."""
+    if edges.limit(DENSE + 1).count() <= DENSE:
+        return None
+    found = pieces.groupBy("_cr", "_cc").agg(F.count("*").alias("n")).filter(F.col("n") > DENSE).select("_cr", "_cc")
+    return None if found.isEmpty() else found
 
 
-def united(edges: DataFrame, side: float = 32.0) -> DataFrame:
+def _clipped(cells: DataFrame, edges: DataFrame, cover: tuple[DataFrame, DataFrame, DataFrame], side: float) -> DataFrame:
+    """The edges of what polygons have in the cells (_cr, _cc): their pieces there, and the stretches of the cells' borders that lie inside."""
+    pieces, left, level = cover
+    at = lambda y: F.col("x1") + (y - F.col("y1")) * F.col("m")
+    edge = lambda *xs: [x.alias(n) for x, n in zip(xs, ("x1", "y1", "x2", "y2"), strict=True)]
+    keys = ["_cr", "_cc"]
+    inner = pieces.join(cells, keys).select("poly_id", *edge(at(F.col("p")), F.col("p"), at(F.col("q")), F.col("q")))
+    # The right border of a cell is the left one of the cell beside it.
+    sides = left.select("_cr", F.explode(F.array("_cc", F.col("_cc") - 1)).alias("_cell"), "_cc", "poly_id", "y").join(cells.withColumnRenamed("_cc", "_cell"), ["_cr", "_cell"])
+    ys = sides.groupBy("_cr", "_cell", "_cc", "poly_id").agg(F.array_sort(F.collect_list("y")).alias("ys"))
+    bottom, top, x = _line(F.col("_cr"), side), _line(F.col("_cr") + 1, side), _line(F.col("_cc"), side)
+    spans = F.transform(F.sequence(F.lit(0), F.size("ys") - 1, F.lit(2)), lambda k: F.struct(F.greatest(F.get("ys", k), bottom).alias("a"), F.coalesce(F.get("ys", k + 1), top).alias("b")))
+    border = ys.select("poly_id", x.alias("x"), F.explode(spans).alias("s")).select("poly_id", *edge(F.col("x"), F.col("s.a"), F.col("x"), F.col("s.b")))
+    # Lower borders, and those of the cells above.
+    row = level.withColumn("_cc", F.explode(F.sequence(_cell("x", side), _cell("to", side)))).select(F.explode(F.array("_cr", F.col("_cr") - 1)).alias("_row"), "_cr", "_cc", "poly_id", "x", "to")
+    row = row.join(cells.withColumnRenamed("_cr", "_row"), ["_row", "_cc"])
+    a, b = F.greatest("x", _line(F.col("_cc"), side)), F.least("to", _line(F.col("_cc") + 1, side))
+    floor = row.select("poly_id", *edge(a, bottom, b, bottom)).filter("x1 < x2")
+    # Flat edges are no pieces.
+    low, high = F.least("x1", "x2"), F.greatest("x1", "x2")
+    flat = edges.filter("y1 = y2 AND x1 <> x2").withColumns({"_cr": _cell("y1", side), "_cc": F.explode(F.sequence(_cell(low, side), _cell(high, side)))}).join(cells, keys)
+    flat = flat.select("poly_id", *edge(F.greatest(low, _line(F.col("_cc"), side)), F.col("y1"), F.least(high, _line(F.col("_cc") + 1, side)), F.col("y1"))).filter("x1 < x2")
+    parts = inner.unionByName(border).unionByName(floor).unionByName(flat)
+    # Written, so that a level does not work out again what the ones above it did.
+    path, schema = new_path(edges.sparkSession, "clipped"), parts.schema
+    parts.write.parquet(path)
+    return edges.sparkSession.read.schema(schema).parquet(path)
+
+
+def united(edges: DataFrame, side: float = 32.0, cover: tuple | None = None, only: DataFrame | None = None) -> DataFrame:
     """The union of polygons as intervals: _cr, _cc, ya, yb, xa, xb, sign. Between ya and yb the union in a square cell ends at the line from (xa, ya) to (xb, yb), on its left (sign 1) or on its right (sign -1).
 
     A point is in a polygon if a ray from it crosses the polygon's rings an odd number of times, so holes
@@ -171,7 +222,7 @@ def united(edges: DataFrame, side: float = 32.0) -> DataFrame:
     polygons begins or ends at 0 the union begins or ends. What lies left of a cell is known from
     its lower left corner and the edges that cross its left border. A polygon's own edges must not cross.
     """
-    pieces, left = _cover(edges, side)
+    pieces, left = (t if only is None else t.join(only, ["_cr", "_cc"], "left_anti") for t in (cover or _cover(edges, side))[:2])
     at = lambda y: F.col("x1") + (y - F.col("y1")) * F.col("m")
     other = pieces.select("_cr", "_cc", *[F.col(c).alias(f"{c}_2") for c in ("poly_id", "p", "q", "x1", "y1", "m")])
     meet = F.col("y1") + (F.col("x1_2") + (F.col("y1") - F.col("y1_2")) * F.col("m_2") - F.col("x1")) / (F.col("m") - F.col("m_2"))
@@ -209,14 +260,23 @@ def _between(a: Column, b: Column) -> Column:
     return F.when(a <= b, F.sequence(a, F.greatest(a, b)))
 
 
-def covered_fraction(boxes: DataFrame, edges: DataFrame, side: float = 32.0) -> DataFrame:
+def covered_fraction(boxes: DataFrame, edges: DataFrame, side: float = 32.0, levels: int = LEVELS) -> DataFrame:
     """pid, fraction of each box (pid, minx, miny, maxx, maxy) that polygons cover, exactly; what several cover counts once. Null for boxes without an area.
 
     Boxes meet the union's intervals in square cells, best about the size of a box; the area right of a
-    box's left side is added up to each end of an interval, and taken away from each begin.
+    box's left side is added up to each end of an interval, and taken away from each begin. Cells with
+    many edges are cut into smaller ones.
     """
-    b = boxes.filter("minx < maxx AND miny < maxy").withColumn("_cr", F.explode(F.sequence(_cell("miny", side), _cell("maxy", side)))).withColumn("_cc", F.explode(F.sequence(_cell("minx", side), _cell("maxx", side))))
-    j = b.join(united(edges, side), ["_cr", "_cc"]).withColumns({"_a": F.greatest("ya", "miny"), "_b": F.least("yb", "maxy")}).filter("_a < _b")
+    area = covered_area(boxes.filter("minx < maxx AND miny < maxy"), edges, side, levels).groupBy("pid").agg(F.sum("a").alias("area"))
+    return boxes.join(area, "pid", "left").select("pid", (F.coalesce("area", F.lit(0.0)) / F.when((F.col("maxx") > F.col("minx")) & (F.col("maxy") > F.col("miny")), (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")))).alias("fraction"))
+
+
+def covered_area(boxes: DataFrame, edges: DataFrame, side: float, levels: int) -> DataFrame:
+    """pid, a: parts of the covered areas of boxes, to be added up."""
+    cover = _cover(edges, side)
+    dense = _dense(edges, cover[0]) if levels else None
+    b = boxes.withColumn("_cr", F.explode(F.sequence(_cell("miny", side), _cell("maxy", side)))).withColumn("_cc", F.explode(F.sequence(_cell("minx", side), _cell("maxx", side))))
+    j = b.join(united(edges, side, cover, dense), ["_cr", "_cc"]).withColumns({"_a": F.greatest("ya", "miny"), "_b": F.least("yb", "maxy")}).filter("_a < _b")
     at = lambda y: F.col("xa") + (y - F.col("ya")) / (F.col("yb") - F.col("ya")) * (F.col("xb") - F.col("xa"))
     j = j.withColumns({"_xa": at(F.col("_a")), "_xb": at(F.col("_b"))}).withColumns({"_l": F.least("_xa", "_xb"), "_h": F.greatest("_xa", "_xb"), "_w": F.col("maxx") - F.col("minx")})
     # Mean over the stretch of clamp(x - minx, 0, w): the integral of the clamp over x, divided by the length.
@@ -224,8 +284,11 @@ def covered_fraction(boxes: DataFrame, edges: DataFrame, side: float = 32.0) ->
     gap = F.col("_h") - F.col("_l")
     straight = F.greatest(F.lit(0.0), F.least(F.col("_w"), F.col("_l") - F.col("minx")))
     mean = F.when(gap < 1e-12, straight).otherwise((ramp(F.col("_h") - F.col("minx")) - ramp(F.col("_l") - F.col("minx"))) / F.when(gap < 1e-12, 1.0).otherwise(gap))
-    area = j.select("pid", (F.col("sign") * mean * (F.col("_b") - F.col("_a"))).alias("a")).groupBy("pid").agg(F.sum("a").alias("area"))
-    return boxes.join(area, "pid", "left").select("pid", (F.coalesce("area", F.lit(0.0)) / F.when((F.col("maxx") > F.col("minx")) & (F.col("maxy") > F.col("miny")), (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")))).alias("fraction"))
+    area = j.select("pid", (F.col("sign") * mean * (F.col("_b") - F.col("_a"))).alias("a"))
+    if dense is None:
+        return area
+    near = boxes.join(b.join(dense, ["_cr", "_cc"], "left_semi").select("pid").distinct(), "pid", "left_semi")
+    return area.unionByName(covered_area(near, _clipped(dense, edges, cover, side), side / SPLIT, levels - 1))
 
 
 def light_of(fractions: DataFrame, threshold: float = 0.3) -> DataFrame:
