@@ -35,7 +35,7 @@ OTHER = np.uint64(0xD1342543DE82EF95)
 OTHER_INVERSE = np.uint64(pow(int(OTHER), -1, 1 << 64))
 #: Windows are looked through in pieces of so many.
 PIECE = 1 << 20
-#: Tables of anchors, paths and spans are broadcast up to so many bytes.
+#: Tables of anchors, paths and spans are broadcast up to so many bytes, as estimated by row; Spark's hashed form takes about twice that.
 BROADCAST_BYTES = 64 << 20
 #: Compacted paths end at multiples of so many words of their source, so that no task holds a whole text's.
 SOURCE_BLOCK = 4_096
