@@ -137,6 +137,16 @@ def test_exact_quantiles(spark):
     assert quantiles.exact(df.limit(0), [], {"mid": 0.5}).isEmpty()
 
 
+def test_exact_quantiles_of_counts(spark):
+    rng = np.random.default_rng(9)
+    for vs in (rng.normal(size=5_001), rng.integers(0, 4, 3_000).astype(float), np.array([7.0]), np.array([1.0, 2.0])):
+        counts = spark.createDataFrame([(float(v),) for v in vs] + [(None,)], "v double").groupBy("v").agg(F.count("*").alias("n"))
+        shares = {"low": 0.05, "mid": 0.5, "top": 0.999, "min": 0.0, "max": 1.0}
+        r = quantiles.exact_of_counts(counts, shares).first()
+        assert all(r[n] == pytest.approx(np.quantile(vs, p), abs=1e-12) for n, p in shares.items())
+    assert quantiles.exact_of_counts(counts.limit(0), {"mid": 0.5}).isEmpty()
+
+
 def test_exact_quantiles_when_the_sketch_is_off(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "BRACKET", 0.0)
     monkeypatch.setattr(quantiles, "K", 8)

@@ -54,13 +54,15 @@ def baselines(cells: DataFrame, by: list[str], threshold: float, value: str = "t
     """Moments, class balance and errors of constant predictions, from the histogram of values.
 
     The median is exact. For groups, tiles say, a task holds the distinct values of one; the median of all
-    cells (no ``by``) is found by a sketch and the values near it. ``accuracy`` takes an approximate one,
+    cells (no ``by``) is found in ranges of the distinct values, which are counted once and written. ``accuracy`` takes an approximate one,
     with an error of its rank of 1 / accuracy. The IoU of predicting 0 is ``empty_union`` where nothing is positive, else 0.
     """
     h = histogram(cells, by, value)
     median = F.expr("percentile(v, 0.5, n)") if by and accuracy is None else F.first("_median")
     if not by or accuracy is not None:
-        mid = quantiles.exact(cells, [], {"_median": 0.5}, value) if accuracy is None else cells.groupBy(*by).agg(F.percentile_approx(value, 0.5, accuracy).alias("_median"))
+        if not by:
+            h = quantiles.written(h, "histogram")
+        mid = quantiles.exact_of_counts(h, {"_median": 0.5}) if accuracy is None else cells.groupBy(*by).agg(F.percentile_approx(value, 0.5, accuracy).alias("_median"))
         h = h.join(mid, by) if by else h.join(F.broadcast(mid), F.lit(True), "left")  # one row
     n, v, pos = F.col("n"), F.col("v"), F.col("v") >= threshold
     k = [F.col(c) for c in by]

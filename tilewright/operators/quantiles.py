@@ -33,6 +33,31 @@ def estimated(stored: DataFrame, shares: dict[str, float]) -> DataFrame:
     return stored.select("*", *[F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(float(p)))).alias(name) for name, p in shares.items()])
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the folder of spark.checkpoint.dir."""
+    path, schema = new_path(df.sparkSession, name), df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def exact_of_counts(counts: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """One row: the exact quantiles of values given by their counts (v, n; written or cheap to read), between neighbours in proportion; no row without values.
+
+    Values go to ranges; sums of the ranges, a row each, tell in which one a rank lies, so no task holds all values.
+    """
+    ranges = written(counts.filter("v IS NOT NULL").select(F.col("v").cast("double").alias("v"), "n").repartitionByRange("v").withColumn("_part", F.spark_partition_id()), "value-ranges")
+    sums = ranges.groupBy("_part").agg(F.sum("n").alias("_s"), F.min("v").alias("_first"))
+    before = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = sums.select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"), F.sum("_s").over(Window.partitionBy()).alias("_total"))
+    upto = F.col("_base") + F.sum("n").over(Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranges.join(F.broadcast(base), "_part").withColumn("last", upto - 1).withColumn("first", F.col("last") - F.col("n") + 1)
+    place = {name: F.lit(float(p)) * (F.col("_total") - 1) for name, p in shares.items()}
+    at = lambda r: F.max(F.when((F.col("first") <= r) & (r <= F.col("last")), F.col("v")))
+    found = ranked.agg(F.max("_total").alias("_total"), *[at(f(x)).alias(f"{end}{name}") for name, x in place.items() for end, f in (("_lo", F.floor), ("_hi", F.ceil))]).filter("_total > 0")
+    share = {name: x - F.floor(x) for name, x in place.items()}
+    return found.select(*[F.when(share[n] == 0, F.col(f"_lo{n}")).otherwise((1 - share[n]) * F.col(f"_lo{n}") + share[n] * F.col(f"_hi{n}")).alias(n) for n in shares])
+
+
 def exact(values: DataFrame, by: list[str], shares: dict[str, float], value: str = "value") -> DataFrame:
     """by and a column for each share with the exact quantile, between neighbours in proportion; NaN is larger than any number.
 
@@ -47,9 +72,7 @@ def exact(values: DataFrame, by: list[str], shares: dict[str, float], value: str
     brackets = F.array(*[F.struct(F.lit(k).alias("k"), at(shares[n] - BRACKET).alias("lo"), at(shares[n] + BRACKET).alias("hi")) for k, n in enumerate(names)])
     known = sketches(rows, keys, "_v").select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("n").alias("_n"), brackets.alias("_b"))
     # Written, since a sketch draws at random: all that follows must see the same brackets.
-    path, schema = new_path(values.sparkSession, "brackets"), known.schema
-    known.write.parquet(path)
-    known = values.sparkSession.read.schema(schema).parquet(path)
+    known = written(known, "brackets")
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
     near = rows.join(known if by else F.broadcast(known), same)  # without groups the sketch is one row
 
