@@ -40,6 +40,19 @@ def test_query(spark, duck, name):
         assert rows == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
 
 
+@pytest.mark.parametrize(("name", "height"), [("b6_representatives", 74_001)])
+def test_query_on_another_height(spark, tmp_path, name, height):
+    """Rasters of more than 10,000 tiles."""
+    path = str(tmp_path / "embeddings.parquet")
+    vector = "transform(sequence(0, 63), k -> CAST(sin(id * 64 + k) AS FLOAT))" if height < 1000 else "array_repeat(CAST(0 AS FLOAT), 64)"
+    spark.range(height).selectExpr("id AS vec_id", f"{vector} AS embedding").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    df = QUERIES[name](spark, str(tmp_path))
+    rel = con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE[name]})")
+    assert sorted(map(tuple, df.collect())) == sorted(rel.fetchall())
+
+
 def test_fixture_has_every_class(spark):
     got = {r.status: r.n for r in QUERIES["g5_tile_filter"](spark, SF).groupBy("status").count().withColumnRenamed("count", "n").collect()}
     assert set(got) == {"valid", "background_only", "rgb_invalid"}
