@@ -40,9 +40,9 @@ def test_query(spark, duck, name):
         assert rows == sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize(("name", "height"), [("b6_representatives", 74_001)])
+@pytest.mark.parametrize(("name", "height"), [("b6_representatives", 74_001), *[("j15_resample_average", h) for h in (501, 502, 503, 3)]])
 def test_query_on_another_height(spark, tmp_path, name, height):
-    """Rasters of more than 10,000 tiles."""
+    """Rasters of more than 10,000 tiles, and of heights that 4 does not divide."""
     path = str(tmp_path / "embeddings.parquet")
     vector = "transform(sequence(0, 63), k -> CAST(sin(id * 64 + k) AS FLOAT))" if height < 1000 else "array_repeat(CAST(0 AS FLOAT), 64)"
     spark.range(height).selectExpr("id AS vec_id", f"{vector} AS embedding").coalesce(1).write.parquet(path)
