@@ -38,6 +38,22 @@ def test_packed_and_unpacked(spark, size):
     assert got == sorted((r, c, repr(float(a[r, c]))) for r in range(13) for c in range(21) if there[r, c])
 
 
+@pytest.mark.parametrize("rows", [1, 7, 64, 10_000])
+def test_blocks_are_packed_many_to_a_call_in_any_cut(spark, rows):
+    rng = np.random.default_rng(2)
+    a, there = rng.random((21, 17)), rng.random((21, 17)) < 0.8
+    cells = layered(cells_of(spark, a, there)).unionByName(layered(cells_of(spark, -a, there), band=2)).unionByName(layered(cells_of(spark, a), layer=None))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        blocks = blockwise.packed(cells, 8)
+        assert "InPandas" not in blocks._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(repr, map(tuple, blockwise.unpacked(blocks).collect())))
+        assert blocks.count() == 3 * 3 * 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(map(repr, map(tuple, cells.select("layer", "band", "r", "c", "value").collect())))
+
+
 @pytest.mark.parametrize(("size", "halo"), [(4, 0), (4, 1), (4, 9), (64, 3)])
 def test_halos_hold_the_neighbourhood(spark, size, halo):
     a = np.arange(11 * 14, dtype=float).reshape(11, 14)

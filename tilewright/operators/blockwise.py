@@ -19,23 +19,61 @@ SIZE = 64
 BLOCKS = "layer string, band int, brow bigint, bcol bigint, r0 bigint, c0 bigint, h int, w int, data binary, mask binary"
 
 
-def packed(cells: DataFrame, size: int = SIZE) -> DataFrame:
-    """The blocks of cells (layer, band, r, c, value); one row for each cell of a layer and band."""
+KEY = ["layer", "band", "brow", "bcol"]
+
+
+def keyed(cells: DataFrame, size: int) -> DataFrame:
+    """Cells (layer, band, r, c, value) with the block that holds them."""
+    k = cells.select("layer", F.col("band").cast("int").alias("band"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("value").cast("double").alias("value"))
+    return k.withColumns({"brow": F.floor(F.col("r") / size), "bcol": F.floor(F.col("c") / size)})
+
+
+def gathered(cells: DataFrame) -> DataFrame:
+    """The blocks of keyed cells that come block after block: each block's cells in one partition, one after the other."""
+    names = [f.split()[0] for f in BLOCKS.split(", ")]
+
+    def blocks(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        r, c, v = (t[n].to_numpy() for n in ("r", "c", "value"))
+        r0, c0 = np.minimum.reduceat(r, starts), np.minimum.reduceat(c, starts)
+        h, w = np.maximum.reduceat(r, starts) - r0 + 1, np.maximum.reduceat(c, starts) - c0 + 1
+        data, mask = [], []
+        for k, (i, j) in enumerate(zip(starts, [*starts[1:], len(r)], strict=True)):
+            at = (r[i:j] - r0[k], c[i:j] - c0[k])
+            a, there = np.zeros((h[k], w[k])), np.zeros((h[k], w[k]), bool)
+            a[at], there[at] = v[i:j], True
+            data.append(a.tobytes())
+            mask.append(None if there.all() else np.packbits(there).tobytes())
+        first = t.select(KEY).take(pa.array(starts)).combine_chunks()
+        columns = [*(first[n] for n in KEY), pa.array(r0), pa.array(c0), pa.array(h, pa.int32()), pa.array(w, pa.int32()), pa.array(data, pa.binary()), pa.array(mask, pa.binary())]
+        return pa.Table.from_arrays(columns, names=names).combine_chunks().to_batches()[0]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = []  # the batches since the last block's first cell
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            place, names = [batch[n].to_numpy() for n in KEY[1:]], batch["layer"].dictionary_encode()
+            place.append(names.indices.fill_null(-1).to_numpy())
+            new = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in place])) + 1
+            if begun and any(begun[-1][n][-1] != batch[n][0] for n in KEY):
+                new = np.concatenate([[0], new])
+            begun.append(batch)
+            if len(new):
+                before, cut = sum(x.num_rows for x in begun[:-1]), int(new[-1])
+                if before + cut:
+                    starts = new[:-1] + before
+                    whole = pa.Table.from_batches([*begun[:-1], batch.slice(0, cut)])
+                    yield blocks(whole, starts if len(starts) and starts[0] == 0 else np.concatenate([[0], starts]))
+                begun = [batch.slice(cut)]
+        if begun:
+            yield blocks(pa.Table.from_batches(begun), np.zeros(1, int))
+
+    return cells.select(*KEY, "r", "c", "value").mapInArrow(pack, BLOCKS)
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
-        r0, c0 = int(r.min()), int(c.min())
-        h, w = int(r.max()) - r0 + 1, int(c.max()) - c0 + 1
-        a, there = np.zeros((h, w)), np.zeros((h, w), bool)
-        a[r - r0, c - c0] = pdf["value"].to_numpy(float)
-        there[r - r0, c - c0] = True
-        first = pdf.iloc[0]
-        row = (first["layer"], first["band"], first["brow"], first["bcol"], r0, c0, h, w, a.tobytes(), None if there.all() else np.packbits(there).tobytes())
-        return pd.DataFrame([row], columns=[f.split()[0] for f in BLOCKS.split(", ")])
 
-    keyed = cells.select("layer", F.col("band").cast("int").alias("band"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("value").cast("double").alias("value"))
-    keyed = keyed.withColumns({"brow": F.floor(F.col("r") / size), "bcol": F.floor(F.col("c") / size)})
-    return keyed.groupBy("layer", "band", "brow", "bcol").applyInPandas(pack, BLOCKS)
+def packed(cells: DataFrame, size: int = SIZE) -> DataFrame:
+    """The blocks of cells (layer, band, r, c, value); one row for each cell of a layer and band."""
+    return gathered(keyed(cells, size).repartition(*KEY).sortWithinPartitions(*KEY))
 
 
 def _arrays(r: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -44,16 +82,33 @@ def _arrays(r: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(r["data"], np.float64).reshape(h, w), there
 
 
+#: Cells of blocks that are given out together, at least.
+CELLS = 1 << 17
+
+
 def unpacked(blocks: DataFrame) -> DataFrame:
     """layer, band, r, c, value of the cells of blocks."""
 
+    def cells(rows: list, parts: list) -> pa.RecordBatch:
+        r, c, v = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        layer, band = pa.array([x["layer"] for x in rows], pa.string()).take(pa.array(of)), pa.array([x["band"] for x in rows], pa.int32()).take(pa.array(of))
+        return pa.RecordBatch.from_arrays([layer, band, pa.array(r), pa.array(c), pa.array(v)], ["layer", "band", "r", "c", "value"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, parts, n = [], [], 0
         for batch in batches:
             for r in batch.to_pylist():
                 a, there = _arrays(r)
                 i, j = np.nonzero(there)
-                n = len(i)
-                yield pa.RecordBatch.from_arrays([pa.array([r["layer"]] * n, pa.string()), pa.array(np.full(n, r["band"], np.int32)), pa.array(i + r["r0"]), pa.array(j + r["c0"]), pa.array(a[i, j])], ["layer", "band", "r", "c", "value"])
+                rows.append(r)
+                parts.append((i + r["r0"], j + r["c0"], a[i, j]))
+                n += len(i)
+                if n >= CELLS:
+                    yield cells(rows, parts)
+                    rows, parts, n = [], [], 0
+        if rows:
+            yield cells(rows, parts)
 
     return blocks.mapInArrow(read, "layer string, band int, r bigint, c bigint, value double")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.operators.blockwise import SIZE, morton, packed, unpacked
+from tilewright.operators.blockwise import SIZE, gathered, keyed, morton, unpacked
 
 #: Bytes of a row group: 128 blocks or so of 64 x 64 cells.
 ROW_GROUP = 4 << 20
@@ -13,10 +13,10 @@ ROW_GROUP = 4 << 20
 
 def write_raster(cells: DataFrame, path: str, size: int = SIZE, files: int | None = None, row_group: int = ROW_GROUP) -> None:
     """Cells (layer, band, r, c, value) as blocks of ``size`` x ``size``, dealt to files by layer, band and the curve, and sorted by it."""
-    blocks = packed(cells, size).withColumn("morton", morton(F.col("brow"), F.col("bcol")))
-    order = ["layer", "band", "morton"]
-    dealt = blocks.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order)
-    dealt.withColumn("size", F.lit(size)).write.option("parquet.block.size", row_group).option("parquet.block.size.row.check.min", 1).option("parquet.page.size.row.check.min", 1).parquet(path)
+    place, order = morton(F.col("brow"), F.col("bcol")), ["layer", "band", "morton"]
+    # The cells are dealt, not the blocks, so that one shuffle does both and no sample of the ranges packs them.
+    dealt = keyed(cells, size).withColumn("morton", place).repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order)
+    gathered(dealt).withColumn("morton", place).withColumn("size", F.lit(size)).write.option("parquet.block.size", row_group).option("parquet.block.size.row.check.min", 1).option("parquet.page.size.row.check.min", 1).parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str, layer: str | None = None, bands: list[int] | None = None, window: tuple[int, int, int, int] | None = None, size: int = SIZE) -> DataFrame:
