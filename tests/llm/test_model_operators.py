@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from tilewright.llm import chat, mixing, quality, tokencount, toxicity  # noqa: E402
-from tilewright.llm.scratch import Scratch  # noqa: E402
+from tilewright.llm import chat, mixing, partenum, quality, tokencount, toxicity  # noqa: E402
+from tilewright.llm.scratch import BATCH, Scratch  # noqa: E402
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -48,6 +48,27 @@ def test_quality_of_odd_rows(spark):
     assert quality.quality(docs.limit(0)).isEmpty() and quality.accepted(docs.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("step", [quality.accepted, partenum.shingle_sets])
+def test_bytes_of_a_batch_are_bounded(spark, step):
+    """8 MB of texts reach a worker in several batches, and each text reaches it once; a limit that the session has stays."""
+
+    def measured(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 30000) AS text").coalesce(1)
+    spark.conf.unset(BATCH[0])
+    step(docs.limit(1))
+    got = docs.mapInArrow(measured, "n long, size long").collect()
+    assert sum(r.n for r in got) == 40 and max(r["size"] for r in got) < 1.5 * int(BATCH[1])
+    spark.conf.set(BATCH[0], "1000000")
+    step(docs.limit(1))
+    assert spark.conf.get(BATCH[0]) == "1000000"
+    spark.conf.unset(BATCH[0])
+
+
 def test_quality_sample_is_bounded(spark):
     """A third of the rows without a text and a third with one text take their share of the sample, as a row each."""
     rows = [(None if i % 3 == 0 else "same text" if i % 3 == 1 else f"text {i} of many",) for i in range(9_000)]

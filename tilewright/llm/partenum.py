@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.components import components
 from tilewright.llm.naming import text_key, unused
-from tilewright.llm.scratch import written
+from tilewright.llm.scratch import small_batches, written
 from tilewright.llm.textbytes import BASE, mixed, runs, shingles, summed, words
 
 SHINGLE_WORDS = 5
@@ -87,6 +87,7 @@ def odd_sketches(row: np.ndarray, h: np.ndarray, bits: np.ndarray) -> tuple[np.n
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (128 bits of the text), node (a hash of the whole set; null if empty), n, members (packed hashes) and sketch (both once per node and task), and rows of frequent shingles (node null, n -1, members, times)."""
+    small_batches(docs.sparkSession)
     mask = np.uint64((1 << 8 * HASH_BYTES) - 1)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.linear import fit, hashed, sigmoid
+from tilewright.llm.scratch import small_batches
 
 ABSTAIN, JUNK, GOOD = 0, 1, 2
 NAMES = ("sign_runs", "capitals", "repeats", "top_word", "signs", "bare_signs", "variety", "plain", "flowing")
@@ -142,6 +143,7 @@ def sampled(texts: DataFrame, total: int, max_train: int) -> DataFrame:
 
 def fit_scorer(docs: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text"):
     """(posteriors of patterns, rates, weights, bias) from all documents' votes and a sample's features."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).alias("text"))
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,8 +222,9 @@ def accepted(docs: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text"
     used = {int(i): float(weights[i]) for i in np.flatnonzero(weights)}
 
     @F.pandas_udf("boolean")
-    def keeps(texts: pd.Series) -> pd.Series:
+    def keeps(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader = Reader()
-        return pd.Series([bias + sum(used.get(hashed(k, BITS), 0.0) * x for k, x in reader.read(t)[1].items()) < 0 for t in texts], dtype=bool)
+        for texts in batches:
+            yield pd.Series([bias + sum(used.get(hashed(k, BITS), 0.0) * x for k, x in reader.read(t)[1].items()) < 0 for t in texts], dtype=bool)
 
     return docs.filter(keeps(F.col(text_col)))
